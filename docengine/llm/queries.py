@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import mixing, packing, sharding, url_filter
+from docengine.llm import langid, mixing, packing, quality, sharding, url_filter
 from docengine.llm.common import table
 
 LISTED_HOSTS = r"(^|\.)(spam-farm|adult-x)\."
@@ -34,6 +34,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(langid.crc_of_id("doc_id") % 3 == 1, F.lit(False))
+    trees = langid.train(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), trees).drop("text")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
+    return scored.select("doc_id", "p_low", "p_toxic", "quality_score", quality.kept().alias("keep"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP7_SQL = f"""
 with p as (
@@ -56,5 +70,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
+    "op8_language_id": op8_language_id,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL = {"op7_url_filter": OP7_SQL}
