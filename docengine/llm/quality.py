@@ -56,7 +56,7 @@ class Logistic:
         self.at = {f: i for i, f in enumerate(names)}
         self.w, self.b = np.zeros(len(names)), 0.0
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, l2: float = 0.003, steps: int = 150, rate: float = 0.15) -> "Logistic":
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, l2: float = 1.0, steps: int = 150, rate: float = 0.15) -> "Logistic":
         row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         col = np.concatenate([*docs, np.empty(0, np.int64)]).astype(np.int64)
         prior = np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -64,7 +64,7 @@ class Logistic:
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for t in range(1, steps + 1):  # Adam on the whole batch
             p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], len(docs)), -30, 30)))
-            g = np.append(np.bincount(col, (p - y)[row], len(w)) / len(y) + l2 * w / 10, (p - y).mean())
+            g = np.append(np.bincount(col, (p - y)[row], len(w)) / len(y) + l2 * w / len(y), (p - y).mean())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w, b = w - step[:-1], b - step[-1]
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 10_000, unlabelled
     The bounds are labelled and unlabelled, in documents: those of the lowest
     seeded id hashes with and without a label. Text features enter a head if
     at least 3 labelled documents have them and they differ from chance
-    between its classes by 3 standard deviations. A null label counts as
+    between its classes by 4 standard deviations. A null label counts as
     quality 1 or toxic 0; of several labels of one id the worst holds.
     """
     spark = docs.sparkSession
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 10_000, unlabelled
     apart = F.lit(False)
     for head in ("low", "toxic"):
         p = min(max((totals[head] or 0) / max(n, 1), 1e-6), 1 - 1e-6)
-        apart = apart | (F.abs(F.col(head) - p * F.col("seen")) > 3 * F.sqrt(p * (1 - p) * F.col("seen") * (1 - F.col("seen") / max(n, 1)) + 0.05))
+        apart = apart | (F.abs(F.col(head) - p * F.col("seen")) > 4 * F.sqrt(p * (1 - p) * F.col("seen") * (1 - F.col("seen") / max(n, 1)) + 0.05))
     names = sorted(r.feature for r in counts.where(apart).select("feature").collect())  # bounded by the sample
     rows = sample.mapInArrow(_sampled({f: i for i, f in enumerate(names)}), "words array<int>, numbers array<double>, lang string, source string, low int, toxic int, id long").toPandas()
     rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
@@ -246,6 +246,6 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return base.mapInArrow(_scored(model, {c: base.columns.index(c) for c in ("text", "lang", "source", "n_chars")}, base.columns), schema)
 
 
-def kept(most_low: float = 0.9, most_toxic: float = 0.4):
+def kept(most_low: float = 0.97, most_toxic: float = 0.5):
     """The decision on scored documents: reject only what is surely low, or likely toxic."""
     return (F.col("p_low") < most_low) & (F.col("p_toxic") < most_toxic)

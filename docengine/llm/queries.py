@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import langid, mixing, packing, quality, sharding, url_filter
+from docengine.llm import langid, media, mixing, packing, quality, sharding, url_filter
 from docengine.llm.common import table
 
 LISTED_HOSTS = r"(^|\.)(spam-farm|adult-x)\."
@@ -21,6 +21,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text is a media payload that the text's own page refers to."""
+    kept = media.store_texts(table(spark, sf_dir, "documents"))
+    pages = media.interleave(media.pages_of(kept)).withColumn("items", F.size("sequence"))
+    found = media.resolve(media.references(pages, "doc_id", "items"), media.decoded(kept))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "items")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixing.range_sorted(mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "position2"))
@@ -68,6 +76,7 @@ select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/')
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op5_media": op5_media,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
