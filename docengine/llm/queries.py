@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import langid, media, mixing, packing, quality, sharding, url_filter
+from docengine.llm import hamming, langid, media, mixing, near_duplicates, packing, quality, sharding, url_filter
 from docengine.llm.common import table
 
 LISTED_HOSTS = r"(^|\.)(spam-farm|adult-x)\."
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
+def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign codes of all embeddings; queries are the rows whose vec_id is divisible by 50."""
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.search(codes, codes.where("id % 50 = 0"), k=10)
+
+
+OP4_SQL = """
+with d as (select q.vec_id as query_id, b.vec_id as vec_id,
+  (select count(*) from range(1, 65) t(i) where (q.embedding[i] > 0) <> (b.embedding[i] > 0)) as distance
+  from embeddings q, embeddings b where q.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by query_id order by distance, vec_id) as rank, vec_id, distance from d)
+select query_id, cast(rank as int) as rank, vec_id, cast(distance as int) as distance from r where rank <= 10
+"""
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffle_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -74,12 +93,14 @@ select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/')
 """
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op4_hamming_topk": op4_hamming_topk,
     "op5_media": op5_media,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL = {"op7_url_filter": OP7_SQL}
+ORACLE_SQL = {"op4_hamming_topk": OP4_SQL, "op7_url_filter": OP7_SQL}
