@@ -116,3 +116,10 @@ def mix(
 def range_sorted(df: DataFrame, column: str = "position") -> DataFrame:
     """df in the order of training; partitions are ranges of positions."""
     return df.orderBy(column)
+
+
+def training_order(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them: a row for each time a document is taken, in the order of positions."""
+    mixed = mix(docs, **options).where("copies > 0")
+    places = F.filter(F.array("position", "position2"), lambda p: p <= 1)
+    return range_sorted(mixed.withColumn("_mx_at", F.explode(places)), "_mx_at").select(docs.columns)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docengine.llm.common import stored
 
@@ -233,3 +234,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     classes = label.join(first, "label").join(counted, "node").select("node", "class_id", "links")
     every = nodes.select("node", "first_id").join(classes, "node", "left").select("node", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return signed.select("doc_id", "_key", "node").join(every, "node", "left").select("doc_id", "_key", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def _with_node(at: int, columns: list[str]):
+    def run(batches):
+        shingles = Shingles()
+        for batch in batches:
+            words = [shingles.words(t) for t in batch.column(at).to_pylist()]
+            nodes = [hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() if w else None for w in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*columns, "_node"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each class of near_duplicates(): that of the least id.
+
+    Rows without a word are all kept. Rows of one id and text count as one.
+    """
+    classes = near_duplicates(docs, **options).where("node is not null")
+    name = F.coalesce(F.col("class_id").cast("string"), F.hex("node"))
+    best = classes.groupBy(name).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "node")).alias("best"))
+    best = best.select(F.col("best._key").alias("_key"), F.col("best.node").alias("_node"))
+    keyed = docs.withColumn("_key", _key(docs))
+    schema = T.StructType([*keyed.schema.fields, T.StructField("_node", T.BinaryType())])
+    noded = keyed.mapInArrow(_with_node(keyed.columns.index("text"), keyed.columns), schema)
+    kept = noded.where("_node is not null").join(best, ["_key", "_node"]).dropDuplicates(["_key", "_node"])
+    return kept.unionByName(noded.where("_node is null")).select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import hamming, langid, media, mixing, near_duplicates, packing, quality, sharding, url_filter
+from docengine.llm import hamming, langid, media, mixing, near_duplicates, ngram_lm, packing, quality, sharding, url_filter
 from docengine.llm.common import table
 
 LISTED_HOSTS = r"(^|\.)(spam-farm|adult-x)\."
@@ -68,6 +68,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), trees).drop("text")
 
 
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"), langid.crc_of_id("doc_id") % 5 == 1)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -101,6 +105,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
+    "op9_ngram_lm": op9_ngram_lm,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL = {"op4_hamming_topk": OP4_SQL, "op7_url_filter": OP7_SQL}
