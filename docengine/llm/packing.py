@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
-_AWKWARD = re.compile(r"\s\s|^\s|\s$")  # a space here may belong to another token than the next word's
-MEMO = 300_000
+MEMO = 1_000_000
+TAIL = ",.;:!?*#%&$|"
 
 
 def default_tokenizer_path() -> str:
@@ -27,10 +28,12 @@ def default_tokenizer_path() -> str:
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    In a byte-level BPE whose splitter starts a new token at a single space
-    before a word, a text's ids are those of its space-led words, one after
-    another; each word is encoded once and remembered (MEMO words at most,
-    then afresh). Texts with runs of white space are encoded whole.
+    The vocabulary's splitter always starts a new token at a single space or
+    line feed between words, after such a line feed, and between a letter or
+    digit and a mark of TAIL. So a text's ids are those of its pieces between
+    such places, one after another; a piece is encoded once and remembered
+    (MEMO pieces at most, then afresh). Texts with other white space, or runs
+    of it, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -44,24 +47,45 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if _AWKWARD.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        words = set().union(*[w for w in split if w is not None])
+    def _pieces(self, text: str) -> list[str] | None:
+        if "\0" in text or text.count(" ") + text.count("\n") + 1 != len(text.split()):
+            return None
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def _learn(self, words: set[str]) -> None:
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = [w for w in words if w not in self.memo]
-        self.memo.update(zip(new, self._encode(new)))
+        memo = self.memo
+        new = {w for w in words if w not in memo}
+        cut = [(w, h) for w in new if (h := w.rstrip(TAIL)) != w and h[-1:].isalnum()]
+        new.difference_update(w for w, _ in cut)
+        new.update(x for w, h in cut for x in (h, w[len(h) :]) if x not in memo)
+        plain = list(new)
+        memo.update(zip(plain, self._encode(plain)))
+        for w, h in cut:
+            memo[w] = memo[h] + memo[w[len(h) :]]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        split = [self._pieces(t) for t in texts]
+        words = set().union(*[w for w in split if w is not None])
+        self._learn(words)
         of = self.memo.__getitem__
         return [b"".join(map(of, w)) if w is not None else self._encode([t])[0] for t, w in zip(texts, split)]
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    return Encoder(path)
+
+
 def _cut(path: str, capacity: int, end_id: int, at_once: int = 256):
     """Documents to pieces: full ones with their checksum, the rest with their ids."""
 
     def run(batches):
-        encoder, end = Encoder(path), np.asarray([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for low in range(0, batch.num_rows, at_once):
                 part = batch.slice(low, at_once)
