@@ -46,8 +46,8 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     met = index.join(F.broadcast(queries) if few else queries, "file_key")
     scored = met.withColumn("score", cosine("embedding", "query_vec")).drop("embedding", "query_vec")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    top = scored.withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < k)
-    return top.withColumn("score", F.round("score", 4))
+    top = scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
+    return top.withColumns({"pos": F.col("pos") - 1, "score": F.round("score", 4)})
 
 
 # ---- BM25 ---------------------------------------------------------------------
@@ -86,8 +86,8 @@ def bm25_over_hits(hits: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
     whole = Window.partitionBy("query_id")
     best = F.max("bm25").over(whole)
     scored = scored.withColumn("bm25", F.when(best > 0, F.col("bm25") / best).otherwise(F.col("bm25"))).where("bm25 > 0")
-    rank = F.row_number().over(whole.orderBy(F.desc(F.round("bm25", 9)), "pos")) - 1
-    return scored.withColumn("bm25_rank", rank).where(F.col("bm25_rank") < k)
+    rank = F.row_number().over(whole.orderBy(F.desc(F.round("bm25", 9)), "pos"))
+    return scored.withColumn("bm25_rank", rank).where(F.col("bm25_rank") <= k).withColumn("bm25_rank", F.col("bm25_rank") - 1)
 
 
 def bm25_corpus(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
