@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docengine.functions.rules import is_short
 from docengine.functions.text import expand_query, py_strip, tokens
 from docengine.operators.retrieval import dense_topk
+from docengine.sources.scratch import written
 
 PREFIX = 100
 
@@ -84,7 +85,7 @@ def corrective_search(index: DataFrame, queries: DataFrame, k: int = 15, rewrite
     states = queries.withColumns({"original": F.col("query"), "rewrite_count": F.lit(0)})
     done = None
     for turn in range(rewrites + 1):
-        graded = grade(retrieve(index, states, k), rewrites=rewrites)
+        graded = written(grade(retrieve(index, states, k), rewrites=rewrites), "graded")
         over = graded.where("not needs_rewrite").drop("needs_rewrite")
         done = over if done is None else done.unionByName(over)
         states = graded.where("needs_rewrite").drop("needs_rewrite", "chunks").withColumns({"query": rewrite("query"), "rewrite_count": F.col("rewrite_count") + 1})

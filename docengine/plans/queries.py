@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import rules, text
 from docengine.operators import chunking, corrective, pages, report, retrieval
-from docengine.plans import index
+from docengine.plans import answer, index
 from docengine.streaming import ingest, tokens
 
 
@@ -272,6 +272,18 @@ def think_stream(spark, sf_dir):
     return tokens.parse(rows.select("stream_id", "seq", F.to_json(F.struct(F.struct("content").alias("message"), "done")).alias("line")))
 
 
+def ask(spark, sf_dir):
+    """Benchmark questions, some as small talk, of files of which some are still being indexed."""
+    q = vector_queries(spark, sf_dir).withColumn("query", F.when(F.col("query_id") % 9 == 0, F.concat(F.lit("hello "), "query")).otherwise(F.col("query")))
+    status = q.select("file_key").distinct().select("file_key", F.when(F.col("file_key") == "src3", "indexing").when(F.col("file_key") == "src4", "error").otherwise("ready").alias("status"), F.lit("No chunks produced").alias("message"))
+    return answer.ask(vector_index(spark, sf_dir), q, image_pages(spark, sf_dir), status).select("query_id", "path", "answer", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+def image_diagnosis(spark, sf_dir):
+    rows = vector_index(spark, sf_dir).withColumn("image_path", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(""))
+    return answer.image_diagnosis(rows, image_pages(spark, sf_dir))
+
+
 def event_windows(spark, sf_dir):
     return ingest.event_windows(_t(spark, sf_dir, "events"))
 
@@ -280,7 +292,7 @@ QUERIES = {f.__name__: f for f in (
     tokenize, clean_text, expand_query, file_names, latex_text, normalise_math, small_talk, query_rules, strip_table_lines, chunk_documents,
     chunk_markdown, chunk_reindex, chunk_stats, dense_topk, bm25_hits, bm25_corpus, rrf, bow_cosine, mmr, rerank, hybrid_search, dedupe_variants,
     grade_chunks, corrective_search, page_images, page_select, chunks_preview, even_partition, heading_scan, section_ranges, section_join,
-    section_context, report_latex, cache_misses, file_status, think_stream, event_windows,
+    section_context, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis,
 )}
 
 
@@ -421,5 +433,8 @@ select file_key, '{_HEAD}' || 'Doc ' || substr(file_key, 5) || '{_TAIL}' || coal
     "cache_misses": "select '/docs/' || doc_id || '.txt' as path, md5(text) as md5 from documents where doc_id % 3 = 0 or doc_id % 5 = 0",
     "file_status": WITH + """log as (select 'doc_' || user_id as file_key, arg_max(event_type, event_id) as status from events group by all), cnt as (select file_key, count(*) as chunks from chunk_lines group by all)
 select file_key, coalesce(status, 'ready') as status, coalesce(chunks, 0) as chunks from log full join cnt using (file_key)""",
+    "image_diagnosis": WITH + """i as (select file_key, count(distinct case when chunk_id % 2 = 0 then page end) as indexed_paths from vindex group by all),
+g as (select file_key, count(distinct page) as images from vindex where page % 3 = 0 group by all)
+select file_key, coalesce(indexed_paths, 0) as indexed_paths, coalesce(images, 0) as images, case when coalesce(images, 0) = 0 then 'no page images' when indexed_paths = 0 then 'images, but no chunk refers to one' else 'ok' end as diagnosis from i full join g using (file_key)""",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all",
 }
