@@ -53,6 +53,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     least = salted.withColumn("_n", F.row_number().over(in_salt)).where(F.col("_n") <= k).drop("_n", "_salt")
     ids = stored(least.withColumn("place", F.row_number().over(in_code)).where(F.col("place") <= k), "hamming-ids")
     codes = ids.groupBy("code").agg(F.min("id").alias("first_id"), F.count("*").cast("int").alias("n"))
+    # Spark expects few probes, as it can't see how many the masks make; without the hint it would broadcast them.
     index = stored(codes.select("code", "first_id", "n", _segments("code")), "hamming-index")
     kinds = index.where("segment = 0").count()
 
@@ -61,7 +62,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     found, done, radius = None, [], 0
     while kinds and not open_.isEmpty():
         probes = open_.select("query", _segments("query")).select("query", "segment", F.explode(F.transform(_masks(radius), lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
-        near = probes.join(index, ["segment", "key"]).select("query", "code", "first_id", "n")
+        near = probes.hint("merge").join(index, ["segment", "key"]).select("query", "code", "first_id", "n")
         near = near.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))))
         if found is not None:
             near = near.unionByName(found)
