@@ -18,7 +18,7 @@ INSTRUCTIONS = "Answer from the context alone, in detail, and cite pages as p.N.
 def fallback_context(hits: DataFrame, order: str = "rank") -> DataFrame:
     """(query_id, context): all hits with labels that also show their scores."""
     page = F.when(F.coalesce("page", F.lit(0)) != 0, F.concat(F.lit("p."), F.col("page").cast("string"), F.lit("/"), F.col("total_pages").cast("string"))).otherwise("")
-    rerank = F.coalesce(F.concat(F.lit(" | rerank:"), F.format_string("%.3f", "rerank_score")), F.lit("")) if "rerank_score" in hits.columns else F.lit("")
+    rerank = F.when(F.col("rerank_score").isNotNull(), F.format_string(" | rerank:%.3f", "rerank_score")).otherwise("") if "rerank_score" in hits.columns else F.lit("")
     label = F.concat(F.lit("["), F.upper("type"), F.lit(" | "), "source", F.lit(" "), page, F.lit(" | score:"), F.col("score").cast("string"), rerank, F.lit(" | chunk:"), F.col("chunk_index").cast("string"), F.lit("]\n"), "text")
     listed = F.array_sort(F.collect_list(F.struct(order, label.alias("line"))))
     return hits.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n\n").alias("context"))
