@@ -120,6 +120,8 @@ def range_sorted(df: DataFrame, column: str = "position") -> DataFrame:
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a row for each time a document is taken, in the order of positions."""
-    mixed = mix(docs, **options).where("copies > 0")
+    own = {c: f"_mx_own_{c}" for c in docs.columns if c.lower() in OUT}
+    mixed = mix(docs.withColumnsRenamed(own), **options).where("copies > 0")
     places = F.filter(F.array("position", "position2"), lambda p: p <= 1)
-    return range_sorted(mixed.withColumn("_mx_at", F.explode(places)), "_mx_at").select(docs.columns)
+    ordered = range_sorted(mixed.withColumn("_mx_at", F.explode(places)), "_mx_at")
+    return ordered.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

@@ -83,10 +83,11 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RU
     rest = base.where("rule is null").withColumn("_uf_url", canonical(F.col("host"), F.col("path")))
 
     filter_, blocks = bloom_blocks(listed, "_uf_url", keys, bits_per_key)
+    filter_ = filter_.select(*[F.col(c).alias(f"_uf_{c}") for c in filter_.columns])
     small = blocks * 8 * (LANES + 1) <= BROADCAST_BYTES
-    probed = rest.withColumn("block", _block(F.col("_uf_url"), blocks)).join(F.broadcast(filter_) if small else filter_, "block", "left")
-    hit = reduce(lambda a, b: a & b, [F.col(f"lane{i}").bitwiseAND(_mask(F.col("_uf_url"), i)) == _mask(F.col("_uf_url"), i) for i in range(LANES)])
-    probed = probed.withColumn("_uf_hit", F.coalesce(hit, F.lit(False))).drop("block", *[f"lane{i}" for i in range(LANES)])
+    probed = rest.withColumn("_uf_block", _block(F.col("_uf_url"), blocks)).join(F.broadcast(filter_) if small else filter_, "_uf_block", "left")
+    hit = reduce(lambda a, b: a & b, [F.col(f"_uf_lane{i}").bitwiseAND(_mask(F.col("_uf_url"), i)) == _mask(F.col("_uf_url"), i) for i in range(LANES)])
+    probed = probed.withColumn("_uf_hit", F.coalesce(hit, F.lit(False))).drop(*filter_.columns)
 
     possible = probed.where("_uf_hit").join(listed.withColumn("_uf_listed", F.lit(True)), "_uf_url", "left")
     judged = possible.withColumn("verdict", F.when(F.col("_uf_listed"), "block").otherwise("allow"))
