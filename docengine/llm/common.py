@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,22 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names, so that an operator's own may follow."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def sliced(batches, rows: int = 256):
+    """Arrow batches cut small, so that a task holds few texts as Python objects at once."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within, what runs sends Python at most so many rows at once; for rows of some MB each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import tempfile
 from collections import defaultdict
 
@@ -12,10 +13,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import stored
+from docengine.llm.common import arrow_rows, sliced, stored
 
 END = b"\n</s>"  # not a word: it holds white space
-CHUNK = 4 << 20  # bytes of text whose tokens share one row
+CHUNK = 2 << 20  # bytes of text whose tokens share one row
+BUCKET = 1 << 20  # words of chunks whose counts are added up in one task
 WORD_SHARE = 1e-5  # of the training tokens; so at most 1e5 words have n-grams
 GRAM_SHARE = 1e-6  # so a level of the trie has at most 1e6 n-grams
 DISCOUNT = 0.75
@@ -205,7 +207,17 @@ def vocabulary_ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 # ---- on Spark ------------------------------------------------------------------
-CHUNKS = "chunk long, doc_id array<long>, held_out array<boolean>, lengths array<int>, tokens binary, words binary, counts binary"
+CHUNKS = "chunk long, doc_id array<long>, held_out array<boolean>, lengths array<int>, tokens binary, words binary, counts binary, n_words long, train_texts long, train_tokens long"
+
+
+def _narrow(x: np.ndarray, top: int) -> np.ndarray:
+    """x in the least of 2, 4 or 8 bytes that hold values up to top."""
+    return x.astype("<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<i8")
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    """The n values that _narrow() wrote."""
+    return np.frombuffer(data, {2: "<u2", 4: "<u4", 8: "<i8"}[len(data) // max(n, 1)]).astype(np.int64)
 
 
 def _tokenized(batches):
@@ -230,13 +242,13 @@ def _tokenized(batches):
         all_ = np.concatenate(tokens)
         counts = np.bincount(all_[np.repeat(train, lengths)], minlength=len(local)).astype(np.uint32)
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, local), np.uint64, len(local))
-        row = [[(part << 32) + serial], [[d for d, _, _ in pending]], [[h for _, h, _ in pending]], [lengths], [all_.tobytes()], [words.tobytes()], [counts.tobytes()]]
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
+        row = [[(part << 32) + serial], [[d for d, _, _ in pending]], [[h for _, h, _ in pending]], [lengths], [_narrow(all_, len(local)).tobytes()], [words.tobytes()], [counts.tobytes()], [len(words)], [sum(train)], [int(counts.sum())]]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         serial, pending = serial + 1, []
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["chunk", "doc_id", "held_out", "lengths", "tokens", "words", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["chunk", "doc_id", "held_out", "lengths", "tokens", "words", "counts", "n_words", "train_texts", "train_tokens"])
 
     size = 0
-    for batch in batches:
+    for batch in sliced(batches):
         for doc, held, text in zip(*(c.to_pylist() for c in batch.columns)):
             data = (text or "").encode().lower()  # bytes: only A-Z change, only ASCII white space splits
             pending.append((doc, held, data))
@@ -248,17 +260,42 @@ def _tokenized(batches):
         yield flush()
 
 
-def _words(batches):
-    for batch in batches:
-        for chunk, words, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "counts"))):
-            w = np.frombuffer(words, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(w), chunk)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(np.frombuffer(counts, np.uint32).astype(np.int64))], ["word", "chunk", "place", "n"])
+def _places(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, cuts): a chunk's words by hash bucket, stable, and where each bucket begins there."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    return np.argsort(bucket, kind="stable"), np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
+
+
+def _dealt(buckets: int):
+    """A row for each chunk and bucket: its words there and their counts."""
+
+    def run(batches):
+        for batch in sliced(batches, 1):
+            for chunk, words, counts in _decoded(batch, ("chunk", "words", "counts")):
+                w, n = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.uint32)
+                order, cuts = _places(w, buckets)
+                part = [(b, chunk, w[order[i:j]].tobytes(), n[order[i:j]].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "words", "counts"])
+
+    return run
 
 
-def _in_place(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    out = np.zeros(rows.num_rows, np.int64)
-    out[rows["place"].to_numpy()] = rows["c"].to_numpy()
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "corpus": pa.array([out.tobytes()], pa.binary())})
+def _summed(least: float):
+    """Corpus counts of a bucket's words, back to each chunk in its order; and a row (chunk null)
+    with the number of different words and those of the vocabulary."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        chunks, words, counts = (rows[c].to_pylist() for c in ("chunk", "words", "counts"))
+        w = np.frombuffer(b"".join(words), np.uint64)
+        kinds, at = np.unique(w, return_inverse=True)
+        total = np.bincount(at, np.frombuffer(b"".join(counts), np.uint32), len(kinds)).astype(np.int64)
+        back = np.split(total[at], np.cumsum([len(x) // 8 for x in words])[:-1])
+        frequent = total >= least
+        out = [(key[0].as_py(), c, _narrow(x, int(x.max())).tobytes(), None, None) for c, x in zip(chunks, back)]
+        out.append((key[0].as_py(), None, total[frequent].tobytes(), kinds[frequent].tobytes(), int((total > 0).sum())))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["bucket", "chunk", "corpus", "words", "kinds"])
+
+    return run
 
 
 def _contexts(ids: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,10 +318,10 @@ def _counted(words: np.ndarray, bigrams: np.ndarray | None):
     v = len(words)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for held, lengths, tokens, hashes in _decoded(batch, ("held_out", "lengths", "tokens", "words")):
                 lengths = np.array(lengths)
-                ids = vocabulary_ids(words, np.frombuffer(hashes, np.uint64))[np.frombuffer(tokens, np.uint32)]
+                ids = vocabulary_ids(words, np.frombuffer(hashes, np.uint64))[_wide(tokens, int(lengths.sum()))]
                 b, a = (x[np.repeat(~np.array(held, bool), lengths)] for x in _contexts(ids, lengths, v))
                 w = ids[np.repeat(~np.array(held, bool), lengths)]
                 if bigrams is None:
@@ -304,27 +341,37 @@ def _counted(words: np.ndarray, bigrams: np.ndarray | None):
 
 def _grams(chunks: DataFrame, words: np.ndarray, bigrams: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
     counted = chunks.select("held_out", "lengths", "tokens", "words").mapInArrow(_counted(words, bigrams), "gram long, n long")
-    kept = counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas().sort_values("gram")
+    with arrow_rows(chunks.sparkSession, 2):
+        kept = stored(counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "lm-grams")
+    kept = kept.toPandas().sort_values("gram")
     return kept["gram"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(blob, tokens: int, kinds: int):
-    def run(batches):
-        trie = None
-        for batch in batches:
-            trie = trie or Trie(blob.value)
-            for docs, held, lengths, toks, words, corpus in _decoded(batch, ("doc_id", "held_out", "lengths", "tokens", "words", "corpus")):
-                at, lengths, c = np.frombuffer(toks, np.uint32), np.array(lengths), np.frombuffer(corpus, np.int64)
-                first = np.cumsum(lengths) - lengths
-                base = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))[at]
-                ids = trie.ids(np.frombuffer(words, np.uint64))[at]
-                u, v = _contexts(ids, lengths, trie.v)
-                score = trie.log10(u, v, ids, base)
-                known = np.add.reduceat((c > 0).astype(np.int64)[at], first)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+def _scored(blob, tokens: int, kinds: int, buckets: int):
+    tries: list[Trie] = []
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, counted: pa.Table) -> pa.Table:
+        if not tries:
+            tries.append(Trie(blob.value))
+        trie = tries[0]
+        docs, held, lengths, toks, words = (texts[c][0].as_py() for c in ("doc_id", "held_out", "lengths", "tokens", "words"))
+        hashes = np.frombuffer(words, np.uint64)
+        order, cuts = _places(hashes, buckets)
+        c = np.empty(len(hashes), np.int64)
+        for b, part in zip(counted["bucket"].to_pylist(), counted["corpus"].to_pylist()):
+            c[order[cuts[b] : cuts[b + 1]]] = _wide(part, cuts[b + 1] - cuts[b])
+        lengths = np.array(lengths)
+        at = _wide(toks, int(lengths.sum()))
+        first = np.cumsum(lengths) - lengths
+        base = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))[at]
+        ids = trie.ids(hashes)[at]
+        u, v = _contexts(ids, lengths, trie.v)
+        known = np.add.reduceat((c > 0).astype(np.int64)[at], first)
+        score = np.add.reduceat(trie.log10(u, v, ids, base), first)
+        return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -333,8 +380,10 @@ def score(docs: DataFrame, held_out: Column, word_share: float = WORD_SHARE, gra
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each text.
 
     Learns from the texts that aren't held out (a null there counts as not).
-    Words are counted over all of them and joined back by hash, which gives
-    the unigram scores exactly. The trie keeps words and n-grams that make up
+    Texts are cut to rows of about CHUNK bytes. Each row's different words are
+    dealt to hash buckets, added up there over all rows and sent back, which
+    gives the unigram scores exactly; a bucket has each row's words once, so
+    no word makes it large. The trie keeps words and n-grams that make up
     at least word_share or gram_share of the training tokens, so at any
     corpus size it has at most 1 / share of them; that bounds what the driver
     builds and broadcasts. An n-gram can only reach the share if its parts
@@ -344,24 +393,25 @@ def score(docs: DataFrame, held_out: Column, word_share: float = WORD_SHARE, gra
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    chunks = stored(slim.mapInArrow(_tokenized, CHUNKS), "lm-chunks")
-    uses = chunks.select("chunk", "words", "counts").mapInArrow(_words, "word long, chunk long, place int, n long")
-    unigrams = stored(uses.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-words")
-    total = unigrams.agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds")).first()
-    tokens, kinds = total["tokens"] or 0, total["kinds"]
-    texts = chunks.select(F.explode("held_out").alias("held")).where("not held").count()
-
-    vocabulary = unigrams.where(F.col("c") >= max(1.0, word_share * tokens)).toPandas()
-    words = vocabulary["word"].to_numpy(np.int64).view(np.uint64)
+    with arrow_rows(spark, 500):
+        chunks = stored(slim.mapInArrow(_tokenized, CHUNKS), "lm-chunks")
+    total = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "train_texts", "train_tokens")]).first()
+    tokens, texts, buckets = total["train_tokens"], total["train_texts"], max(1, math.ceil(total["n_words"] / BUCKET), min(64, math.ceil(total["n_words"] / 4096)))
+    dealt = chunks.select("chunk", "words", "counts").mapInArrow(_dealt(buckets), "bucket long, chunk long, words binary, counts binary")
+    with arrow_rows(spark, 20):
+        summed = stored(dealt.groupBy("bucket").applyInArrow(_summed(max(1.0, word_share * tokens)), "bucket long, chunk long, corpus binary, words binary, kinds long"), "lm-counts")
+
+    found = summed.where("chunk is null").select("corpus", "words", "kinds").collect()  # at most 1 / word_share words
+    kinds = sum(r.kinds for r in found)
+    words = np.frombuffer(b"".join(r.words for r in found), np.uint64)
     order = np.argsort(words)
-    words, word_n = words[order], vocabulary["c"].to_numpy(np.int64)[order]
+    words, word_n = words[order], np.frombuffer(b"".join(r.corpus for r in found), np.int64)[order]
     least = max(1.0, gram_share * tokens)
     bigrams, bigram_n = _grams(chunks, words, None, least)
     trigrams, trigram_n = _grams(chunks, words, bigrams, least)
     blob = spark.sparkContext.broadcast(Trie.build(words, word_n, texts, tokens, kinds, bigrams, bigram_n, trigrams, trigram_n))
 
-    counted = uses.select("word", "chunk", "place").join(unigrams, "word", "left").select("chunk", "place", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
-    corpus = stored(counted.groupBy("chunk").applyInArrow(_in_place, "chunk long, corpus binary"), "lm-counts")
-    ready = chunks.select("chunk", "doc_id", "held_out", "lengths", "tokens", "words").join(corpus, "chunk")
-    out = ready.mapInArrow(_scored(blob, tokens, kinds), SCORES)
+    own = chunks.select("chunk", "doc_id", "held_out", "lengths", "tokens", "words").groupBy("chunk")
+    corpus = summed.where("chunk is not null").select("chunk", "bucket", "corpus").groupBy("chunk")
+    out = own.cogroup(corpus).applyInArrow(_scored(blob, tokens, kinds, buckets), SCORES)
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))
