@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.common import stored, without
+from docengine.llm.common import sliced, stored, without
 
 ORDER = 3  # bytes of the longest context
 PAD = b"\n" * ORDER
 WINDOW = 1 << 20  # bytes scored at once
-ROWS = 24_000  # contexts remembered by a task
+ROWS = 12_000  # contexts remembered by a task
 
 
 def crc_of_id(id_col: str) -> Column:
@@ -42,15 +42,19 @@ def train(docs: DataFrame, label: str = "lang", docs_per_language: int = 400, se
     """Context trees of each language, from whole texts of a bounded sample.
 
     The bound is docs_per_language: those of the lowest seeded hashes among
-    rows with a label, an id and a letter in the text. A tree is, for each
+    rows with a label, an id and a letter in the text, out of the hash range
+    that holds about three times as many. A tree is, for each
     order from 0 to ORDER, the bytes seen after each context and their counts.
     The counts are summed by Spark; the driver gets one row for each language
     and distinct gram of that sample.
     """
     fit = docs.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & has_letter(F.col(text)))
     slim = fit.select(F.col(label).alias("lang"), F.col(id_col).alias("id")).withColumn("h", F.xxhash64(F.lit(seed), "id"))
-    for by in ([F.col("lang"), F.pmod("h", F.lit(64))], [F.col("lang")]):
-        slim = slim.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))).where(F.col("n") <= docs_per_language).drop("n")
+    counts = stored(slim.groupBy("lang").agg(F.count("*").alias("n")), "langid-counts")
+    counts = F.broadcast(counts) if counts.count() <= 100_000 else counts
+    likely = F.shiftrightunsigned("h", 11) / float(1 << 53) < 3 * docs_per_language / F.col("n")  # so no task gets a whole language
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    slim = slim.join(counts, "lang").where(likely).withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_language)
     chosen = stored(slim.select("id").distinct(), "langid-sample")
     few = chosen.count() <= 1_000_000  # 8 bytes a row
     sample = fit.join(F.broadcast(chosen) if few else chosen, fit[id_col] == chosen["id"]).select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
@@ -158,7 +162,7 @@ def _predict(trees: dict[str, list[dict]], at: int, columns: list[str]):
 
     def run(batches):
         lengths = CodeLengths(trees) if langs else None
-        for batch in batches:
+        for batch in sliced(batches):
             pred, score = [None] * batch.num_rows, [0.0] * batch.num_rows
             known = batch.column(batch.num_columns - 1).to_pylist()
             texts = [t.lower().encode() if ok else b"" for t, ok in zip(batch.column(at).to_pylist(), known)]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.common import stored, without
+from docengine.llm.common import sliced, stored, without
 
 ITEM = T.StructType().add("position", T.IntegerType()).add("kind", T.StringType()).add("text", T.StringType()).add("digest", T.StringType()).add("caption", T.StringType())
 SEQUENCE = T.ArrayType(ITEM)
@@ -173,7 +173,7 @@ def _encode(batches):
 
 
 def _decode(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for digest, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if hashlib.sha256(media).hexdigest() != digest:
@@ -201,9 +201,11 @@ def store_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 def decoded(media: DataFrame) -> DataFrame:
     """One row of features a digest, computed from the stored bytes beside the store.
 
-    Only features are shuffled to drop repeats, never the bytes.
+    Only features are shuffled to drop repeats, never the bytes. They are
+    written, so that a join with them is a join of two plain exchanges, where
+    Spark can split a digest with many references.
     """
-    return media.select("digest", "media").mapInArrow(_decode, FEATURES).dropDuplicates(["digest"])
+    return stored(media.select("digest", "media").mapInArrow(_decode, FEATURES).dropDuplicates(["digest"]), "media-features")
 
 
 def _pages(batches):

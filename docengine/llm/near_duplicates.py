@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.common import stored
+from docengine.llm.common import sliced, stored
 
 WORDS = 5
 THRESHOLD = 0.8
 BLOCK = 256  # documents on one side of a comparison in memory
-CELLS = 8 << 20  # of a block's dense matrix at once
-MEMO = 400_000
+CELLS = 4 << 20  # of a block's dense matrix at once
+MEMO = 200_000
 AT_ONCE = 200
 
 
@@ -190,7 +190,7 @@ def _verified(n: int, threshold: float):
 def _own_text(batches):
     """Rows whose text is the node's (a repeated id may have other texts)."""
     shingles = Shingles()
-    for batch in batches:
+    for batch in sliced(batches):
         keep = [hashlib.blake2b(" ".join(shingles.words(t)).encode(), digest_size=16).digest() == v for t, v in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist())]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
@@ -226,23 +226,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     met = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("node", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "blocks", "text")
     met = met.withColumn("_group", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(few))).otherwise(F.xxhash64("comp", "i", "j")))
-    links = stored(met.drop("blocks").groupBy("_group").applyInArrow(_verified(words, threshold), "a binary, b binary, links long"), "links")
+    links = stored(met.drop("blocks").repartition(few, "_group").groupBy("_group").applyInArrow(_verified(words, threshold), "a binary, b binary, links long"), "links")
 
     label = components(links.select("a", "b"))
     counted = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     first = label.join(nodes.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("class_id"))
     classes = label.join(first, "label").join(counted, "node").select("node", "class_id", "links")
     every = nodes.select("node", "first_id").join(classes, "node", "left").select("node", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    every = stored(every, "classes")  # the join below then has two plain exchanges, where Spark can split a node of many copies
     return signed.select("doc_id", "_key", "node").join(every, "node", "left").select("doc_id", "_key", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def _with_node(at: int, columns: list[str]):
     def run(batches):
         shingles = Shingles()
-        for batch in batches:
+        for batch in sliced(batches):
             words = [shingles.words(t) for t in batch.column(at).to_pylist()]
             nodes = [hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() if w else None for w in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*columns, "_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*columns, "_nd_node"])
 
     return run
 
@@ -255,9 +256,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     classes = near_duplicates(docs, **options).where("node is not null")
     name = F.coalesce(F.col("class_id").cast("string"), F.hex("node"))
     best = classes.groupBy(name).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "node")).alias("best"))
-    best = best.select(F.col("best._key").alias("_key"), F.col("best.node").alias("_node"))
-    keyed = docs.withColumn("_key", _key(docs))
-    schema = T.StructType([*keyed.schema.fields, T.StructField("_node", T.BinaryType())])
+    best = best.select(F.col("best._key").alias("_nd_key"), F.col("best.node").alias("_nd_node"))
+    keyed = docs.withColumn("_nd_key", _key(docs))
+    schema = T.StructType([*keyed.schema.fields, T.StructField("_nd_node", T.BinaryType())])
     noded = keyed.mapInArrow(_with_node(keyed.columns.index("text"), keyed.columns), schema)
-    kept = noded.where("_node is not null").join(best, ["_key", "_node"]).dropDuplicates(["_key", "_node"])
-    return kept.unionByName(noded.where("_node is null")).select(docs.columns)
+    kept = noded.where("_nd_node is not null").join(best, ["_nd_key", "_nd_node"]).dropDuplicates(["_nd_key", "_nd_node"])
+    return kept.unionByName(noded.where("_nd_node is null")).select(docs.columns)

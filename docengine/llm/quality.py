@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.common import stored, without
+from docengine.llm.common import sliced, stored, without
 
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»"
 PREFIXES = (3, 4, 5, 6, 8)
@@ -128,7 +128,7 @@ def cotrain(views: list[tuple[list[str], list[np.ndarray]]], y: np.ndarray, unla
 def _counted(batches):
     """(feature, seen, low, toxic): labelled documents of a task that have a feature."""
     n: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for batch in batches:
+    for batch in sliced(batches):
         for text, low, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "toxic"))):
             if low is not None:
                 for f in text_features(text):
@@ -144,7 +144,7 @@ def _sampled(chosen: dict[str, int]):
     """The sample's rows with the chosen text features' numbers and the metadata."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, chars = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
             words = [sorted(chosen[f] for f in text_features(t) if f in chosen) for t in texts]
             numbers = [page_numbers(t, c) for t, c in zip(texts, chars)]
@@ -210,7 +210,7 @@ def _scored(model: dict, at: dict[str, int], columns: list[str]):
         memo: dict[str, tuple] = {}
         text_weights = [h["weights"][0] for h in heads]
         useful = set().union(*text_weights) if heads else set()
-        for batch in batches:
+        for batch in sliced(batches):
             texts, langs, sources, chars = (batch.column(at[c]).to_pylist() for c in ("text", "lang", "source", "n_chars"))
             out = [[] for _ in heads]
             for text, lang, source, n_chars in zip(texts, langs, sources, chars):

@@ -1,6 +1,7 @@
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, host string"
+CLASHES = ("position", "copies", "block", "lane0", "_key", "node", "label", "seq")
 
 
 @pytest.fixture(scope="session")
@@ -16,3 +17,11 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="session")
+def clashing(odd_docs):
+    """The odd rows with more columns that are named like the operators' own."""
+    from pyspark.sql import functions as F
+
+    return odd_docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})

@@ -34,3 +34,15 @@ def test_odd_rows_pass_all_stages(spark, odd_docs, no_docs, tmp_path):
             f(spark, docs, SF).write.parquet(f"file://{tmp_path}/{name}-{stage}")
             docs = spark.read.parquet(f"file://{tmp_path}/{name}-{stage}")
     assert docs.count() == 0
+
+
+def test_columns_of_clashing_names_keep_their_values(spark, clashing):
+    from docengine.llm import mixing, url_filter
+
+    for out in (near_duplicates.one_of_each(clashing), mixing.training_order(clashing)):
+        rows = out.collect()
+        assert out.columns == clashing.columns and rows
+        assert all(r.position == (None if r.doc_id is None else f"position{r.doc_id}") and r.size in ("x", None, "a") for r in rows)
+    listed = spark.createDataFrame([("x.com/a",)], "u string")
+    judged = url_filter.url_verdicts(clashing.withColumn("url", clashing.text), listed).collect()
+    assert len(judged) == clashing.count() and all(r.block == (None if r.doc_id is None else f"block{r.doc_id}") for r in judged)
