@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import io
 import math
 import tempfile
@@ -10,17 +11,16 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.common import arrow_rows, sliced, stored
 
 END = b"\n</s>"  # not a word: it holds white space
-CHUNK = 2 << 20  # bytes of text whose tokens share one row
-BUCKET = 1 << 20  # words of chunks whose counts are added up in one task
-WORD_SHARE = 1e-5  # of the training tokens; so at most 1e5 words have n-grams
-GRAM_SHARE = 1e-6  # so a level of the trie has at most 1e6 n-grams
-DISCOUNT = 0.75
+CHUNK = 4 << 20  # bytes of text whose tokens share one row
+BUCKET = 4 << 20  # n-grams of chunks whose counts are added up in one task
+PRIOR = (100.0, 5.0)  # weight, in tokens, of the shorter context's share in a bigram's and a trigram's
 STEP = 1e-3  # of a quantised log10
 
 
@@ -108,33 +108,34 @@ def _value(code: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Up to trigrams over a vocabulary of word hashes; id V is a text's start.
+    """Up to trigrams over words 0 to v - 1; id v is a text's start.
 
-    Level 2 holds each context's successors as context * (V + 1) + word in
+    Level 2 holds each context's successors as context * (v + 1) + word in
     one Elias-Fano sequence, with monotone pointers to where a context
     begins. Level 3 is under the bigram that is a trigram's context; the
     last word is kept as its rank among the successors of the word before it,
     so a query is a successor search in level 2, whose rank then is searched
     in level 3. Each n-gram has a quantised log10 probability, each context a
-    quantised log10 backoff weight (Katz, absolute discount).
+    quantised log10 weight of what the shorter context says (hierarchical
+    Dirichlet prior, which needs no sums over successors).
     """
 
     @staticmethod
-    def build(words, word_n, texts, tokens, kinds, bigrams, bigram_n, trigrams, trigram_n) -> bytes:
-        """words sorted with counts; bigrams sorted keys; trigrams sorted (bigram << 20 | rank)."""
-        v = len(words)
-        p1 = (np.append(word_n, 0) + 0.5) / (tokens + 0.5 * (kinds + 1))
-        context_n = np.append(word_n, texts).astype(float)
+    def build(p1, context_n, bigrams, bigram_n, trigrams, trigram_n, prior=PRIOR) -> bytes:
+        """p1 of each word; context_n of each word and the start; bigrams are sorted keys
+        context * (v + 1) + word; trigrams are (place of the context's bigram, place of the
+        bigram of the last two words), sorted."""
+        v = len(p1)
         u, w = np.divmod(bigrams, v + 1)
-        p2 = (bigram_n - DISCOUNT) / context_n[u]
-        back1 = Trie._backoff(np.bincount(u, p2, v + 1), np.bincount(u, p1[w], v + 1))
+        back1, back2 = prior[0] / (context_n + prior[0]), prior[1] / (bigram_n + prior[1])
+        p2 = (bigram_n + prior[0] * p1[w]) / (context_n[u] + prior[0])
         pointers = np.searchsorted(bigrams, np.arange(v + 2) * (v + 1))
-        node, rank = trigrams >> 20, trigrams & ((1 << 20) - 1)
-        p3 = (trigram_n - DISCOUNT) / bigram_n[node].astype(float) if len(trigrams) else np.empty(0)
-        lower = p2[pointers[w[node]] + rank] if len(trigrams) else np.empty(0)
-        back2 = Trie._backoff(np.bincount(node, p3, len(bigrams)), np.bincount(node, lower, len(bigrams)))
-        parts = {"words": np.asarray(words, np.uint64), "back1": _quantised(np.log10(back1)), "p2": _quantised(np.log10(p2)), "back2": _quantised(np.log10(back2)), "p3": _quantised(np.log10(p3))}
-        for name, values, universe in (("level2", bigrams, (v + 1) ** 2), ("pointers", pointers, len(bigrams) + 1), ("level3", trigrams, max(1, len(bigrams)) << 20)):
+        width = int(np.diff(pointers).max()) + 1
+        node, last = trigrams
+        p3 = (trigram_n + prior[1] * p2[last]) / (bigram_n[node] + prior[1])
+        level3 = node * width + last - pointers[w[node]]
+        parts = {"sizes": np.array([v, width]), "back1": _quantised(np.log10(back1)), "p2": _quantised(np.log10(p2)), "back2": _quantised(np.log10(back2)), "p3": _quantised(np.log10(p3))}
+        for name, values, universe in (("level2", bigrams, (v + 1) ** 2), ("pointers", pointers, len(bigrams) + 1), ("level3", level3, max(1, len(bigrams)) * width)):
             parts |= {f"{name}.{k}": x for k, x in EliasFano.build(values, universe).items()}
         out = io.BytesIO()
         head = repr([(k, str(x.dtype), len(x)) for k, x in parts.items()]).encode()
@@ -143,14 +144,8 @@ class Trie:
             out.write(b"\0" * (-out.tell() % 8) + x.tobytes())
         return out.getvalue()
 
-    @staticmethod
-    def _backoff(kept: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        return np.clip((1 - kept) / np.maximum(1 - lower, 1e-9), 1e-9, 1e4)
-
     def __init__(self, blob: bytes):
         """The levels as memory maps of a file that has no name any more."""
-        import ast
-
         with tempfile.TemporaryFile() as f:
             f.write(blob)
             f.flush()
@@ -162,62 +157,84 @@ class Trie:
             size = np.dtype(kind).itemsize * length
             parts[name] = whole[at : at + size].view(kind)
             at += size
-        self.words, self.back1, self.p2, self.back2, self.p3 = (parts[k] for k in ("words", "back1", "p2", "back2", "p3"))
-        self.v = len(self.words)
+        self.back1, self.p2, self.back2, self.p3 = (parts[k] for k in ("back1", "p2", "back2", "p3"))
+        self.v, self.width = (int(x) for x in parts["sizes"])
         self.level2, self.pointers, self.level3 = (EliasFano({k: parts[f"{name}.{k}"] for k in ("high", "low", "meta")}) for name in ("level2", "pointers", "level3"))
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        return vocabulary_ids(self.words, hashes)
-
-    def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 P(w | u v); ids are -1 where unknown; base: log10 of the unigrams."""
-        out, known = base.copy(), v >= 0
-        out[known] += _value(self.back1[v[known]])
-        pair = np.flatnonzero(known & (w >= 0))
-        key, back = np.unique(v[pair] * (self.v + 1) + w[pair], return_inverse=True)
-        found = self.level2.find(key)
-        place = found[back]
-        hit = place >= 0
-        out[pair[hit]] = _value(self.p2[place[hit]])
-        before = np.flatnonzero(known & (u >= 0))
-        key, back = np.unique(u[before] * (self.v + 1) + v[before], return_inverse=True)
-        node = self.level2.find(key)[back]
-        before, node = before[node >= 0], node[node >= 0]
-        out[before] += _value(self.back2[node])
-        second = np.full(len(w), -1, np.int64)
-        second[pair] = place
-        both = second[before] >= 0
-        before, node = before[both], node[both]
-        if len(before):
-            context = v[before]
-            starts, back = np.unique(context, return_inverse=True)
-            rank = second[before] - self.pointers.access(starts)[back]
-            key, back = np.unique(node << 20 | rank, return_inverse=True)
-            third = self.level3.find(key)[back]
-            out[before[third >= 0]] = _value(self.p3[third[third >= 0]])
+    def pairs(self, v: np.ndarray, w: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 P(w | v), place in level 2 or -1); base: log10 of w alone."""
+        place = self.level2.find(v * (self.v + 1) + w)
+        out, hit = base + _value(self.back1[v]), place >= 0
+        out[hit] = _value(self.p2[place[hit]])
+        return out, place
+
+    def triples(self, before: np.ndarray, v: np.ndarray, second: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """log10 P(w | u v): before and second are the places of (u, v) and (v, w), lower is log10 P(w | v)."""
+        out, known = lower.copy(), before >= 0
+        out[known] += _value(self.back2[before[known]])
+        both = np.flatnonzero(known & (second >= 0))
+        third = self.level3.find(before[both] * self.width + second[both] - self.pointers.access(v[both]))
+        out[both[third >= 0]] = _value(self.p3[third[third >= 0]])
         return out
 
 
-def vocabulary_ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Places of hashes in sorted words, or -1."""
-    if not len(words):
-        return np.full(len(hashes), -1, np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at, -1)
+# ---- n-grams of a chunk ---------------------------------------------------------
+def _squeezed(x: np.ndarray) -> bytes:
+    """Integers from 0 on, by planes of their bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-# ---- on Spark ------------------------------------------------------------------
-CHUNKS = "chunk long, doc_id array<long>, held_out array<boolean>, lengths array<int>, tokens binary, words binary, counts binary, n_words long, train_texts long, train_tokens long"
+def _whole(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def _narrow(x: np.ndarray, top: int) -> np.ndarray:
-    """x in the least of 2, 4 or 8 bytes that hold values up to top."""
-    return x.astype("<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<i8")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    """The n values that _narrow() wrote."""
-    return np.frombuffer(data, {2: "<u2", 4: "<u4", 8: "<i8"}[len(data) // max(n, 1)]).astype(np.int64)
+START = np.uint64(0x5354415254)
+
+
+class Grams:
+    """A chunk's different words, bigrams and trigrams, and where its tokens have them.
+
+    hashes are those of the chunk's words, tokens their places, lengths the
+    tokens of each text. keys has a corpus-wide key of each: odd for words,
+    with a low byte of 0 for others, so 56 bits tell n-grams apart.
+    """
+
+    def __init__(self, hashes: np.ndarray, tokens: np.ndarray, lengths: np.ndarray):
+        self.v, self.first = len(hashes), np.cumsum(lengths) - lengths
+        before = np.concatenate([[self.v], tokens[:-1]])
+        before[self.first] = self.v
+        self.bigrams, self.at2 = np.unique(before * (self.v + 1) + tokens, return_inverse=True)
+        inner = np.ones(len(tokens), bool)
+        inner[self.first] = False
+        self.inner = np.flatnonzero(inner)
+        pair, self.at3 = np.unique(self.at2[self.inner - 1] * len(self.bigrams) + self.at2[self.inner], return_inverse=True)
+        self.before, self.last = np.divmod(pair, max(1, len(self.bigrams)))  # trigrams as two bigrams
+        self.left, self.right = np.divmod(self.bigrams, self.v + 1)
+        every, low = np.append(hashes, START), np.uint64(255)
+        two = _mixed(every[self.left] * np.uint64(3) + _mixed(every[self.right]))
+        three = _mixed(two[self.before] * np.uint64(5) + _mixed(every[self.right[self.last]]))
+        self.keys = np.concatenate([hashes | np.uint64(1), two & ~low, three & ~low])
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def cut(self, x: np.ndarray) -> list[np.ndarray]:
+        """x of all keys: that of words, bigrams and trigrams."""
+        return np.split(x, [self.v, self.v + len(self.bigrams)])
+
+    def buckets(self, n: int) -> np.ndarray:
+        """Where each of n ranges of keys begins and ends in order."""
+        bucket = (self.keys[self.order] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        return np.searchsorted(bucket.astype(np.int64), np.arange(n + 1))
+
+
+# ---- on Spark ------------------------------------------------------------------
+CHUNKS = "chunk long, doc_id array<long>, held_out array<boolean>, lengths array<int>, tokens binary, words binary, n_grams long, train_texts long, train_tokens long"
 
 
 def _tokenized(batches):
@@ -239,13 +256,12 @@ def _tokenized(batches):
             tokens.append(np.array(ids, np.uint32))
             lengths.append(len(ids))
             train.append(not held)
-        all_ = np.concatenate(tokens)
-        counts = np.bincount(all_[np.repeat(train, lengths)], minlength=len(local)).astype(np.uint32)
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, local), np.uint64, len(local))
-        row = [[(part << 32) + serial], [[d for d, _, _ in pending]], [[h for _, h, _ in pending]], [lengths], [_narrow(all_, len(local)).tobytes()], [words.tobytes()], [counts.tobytes()], [len(words)], [sum(train)], [int(counts.sum())]]
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        n = 3 * sum(lengths)  # at most
+        row = [[(part << 32) + serial], [[d for d, _, _ in pending]], [[h for _, h, _ in pending]], [lengths], [_squeezed(np.concatenate(tokens))], [words.tobytes()], [n], [sum(train)], [sum(k for k, t in zip(lengths, train) if t)]]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         serial, pending = serial + 1, []
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["chunk", "doc_id", "held_out", "lengths", "tokens", "words", "counts", "n_words", "train_texts", "train_tokens"])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["chunk", "doc_id", "held_out", "lengths", "tokens", "words", "n_grams", "train_texts", "train_tokens"])
 
     size = 0
     for batch in sliced(batches):
@@ -260,158 +276,95 @@ def _tokenized(batches):
         yield flush()
 
 
-def _places(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, cuts): a chunk's words by hash bucket, stable, and where each bucket begins there."""
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    return np.argsort(bucket, kind="stable"), np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
-
-
 def _dealt(buckets: int):
-    """A row for each chunk and bucket: its words there and their counts."""
-
-    def run(batches):
-        for batch in sliced(batches, 1):
-            for chunk, words, counts in _decoded(batch, ("chunk", "words", "counts")):
-                w, n = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.uint32)
-                order, cuts = _places(w, buckets)
-                part = [(b, chunk, w[order[i:j]].tobytes(), n[order[i:j]].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "words", "counts"])
-
-    return run
-
-
-def _summed(least: float):
-    """Corpus counts of a bucket's words, back to each chunk in its order; and a row (chunk null)
-    with the number of different words and those of the vocabulary."""
-
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        chunks, words, counts = (rows[c].to_pylist() for c in ("chunk", "words", "counts"))
-        w = np.frombuffer(b"".join(words), np.uint64)
-        kinds, at = np.unique(w, return_inverse=True)
-        total = np.bincount(at, np.frombuffer(b"".join(counts), np.uint32), len(kinds)).astype(np.int64)
-        back = np.split(total[at], np.cumsum([len(x) // 8 for x in words])[:-1])
-        frequent = total >= least
-        out = [(key[0].as_py(), c, _narrow(x, int(x.max())).tobytes(), None, None) for c, x in zip(chunks, back)]
-        out.append((key[0].as_py(), None, total[frequent].tobytes(), kinds[frequent].tobytes(), int((total > 0).sum())))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["bucket", "chunk", "corpus", "words", "kinds"])
-
-    return run
-
-
-def _contexts(ids: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the token before each, and of the one before that; start at a text's first, then -1."""
-    first = np.cumsum(lengths) - lengths
-    v = np.concatenate([[start], ids[:-1]])
-    v[first] = start
-    u = np.concatenate([[-1], v[:-1]])
-    u[first] = -1
-    return u, v
-
-
-def _decoded(batch, columns):
-    for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-        yield row
-
-
-def _counted(words: np.ndarray, bigrams: np.ndarray | None):
-    """(gram, n) of the training texts: bigrams of the vocabulary, or trigrams whose two bigrams are kept."""
-    v = len(words)
+    """A row for each chunk and bucket: the keys of its n-grams there, as gaps, and their training counts."""
 
     def run(batches):
         for batch in sliced(batches, 1):
-            for held, lengths, tokens, hashes in _decoded(batch, ("held_out", "lengths", "tokens", "words")):
-                lengths = np.array(lengths)
-                ids = vocabulary_ids(words, np.frombuffer(hashes, np.uint64))[_wide(tokens, int(lengths.sum()))]
-                b, a = (x[np.repeat(~np.array(held, bool), lengths)] for x in _contexts(ids, lengths, v))
-                w = ids[np.repeat(~np.array(held, bool), lengths)]
-                if bigrams is None:
-                    ok = (a >= 0) & (w >= 0)
-                    gram, n = np.unique(a[ok] * (v + 1) + w[ok], return_counts=True)
-                else:
-                    ok = (b >= 0) & (a >= 0) & (w >= 0)
-                    a, b, w = a[ok], b[ok], w[ok]
-                    node, second = vocabulary_ids(bigrams, b * (v + 1) + a), vocabulary_ids(bigrams, a * (v + 1) + w)
-                    ok = (node >= 0) & (second >= 0)
-                    rank = second[ok] - np.searchsorted(bigrams, a[ok] * (v + 1))
-                    gram, n = np.unique(node[ok] << 20 | rank, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["gram", "n"])
+            chunk, held, lengths, tokens, words = (batch.column(c)[0].as_py() for c in ("chunk", "held_out", "lengths", "tokens", "words"))
+            lengths, tokens = np.array(lengths), _whole(tokens).astype(np.int64)
+            grams = Grams(np.frombuffer(words, np.uint64), tokens, lengths)
+            train = np.repeat(~np.array(held, bool), lengths)
+            n = [np.bincount(at[own], minlength=size) for at, own, size in ((tokens, train, grams.v), (grams.at2, train, len(grams.bigrams)), (grams.at3, train[grams.inner], len(grams.last)))]
+            n, keys, cuts = np.concatenate(n)[grams.order], grams.keys[grams.order], grams.buckets(buckets)
+            out = [(b, chunk, _squeezed(np.diff(keys[i:j], prepend=np.uint64(0))), _squeezed(n[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "counts"])
 
     return run
 
 
-def _grams(chunks: DataFrame, words: np.ndarray, bigrams: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    counted = chunks.select("held_out", "lengths", "tokens", "words").mapInArrow(_counted(words, bigrams), "gram long, n long")
-    with arrow_rows(chunks.sparkSession, 2):
-        kept = stored(counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "lm-grams")
-    kept = kept.toPandas().sort_values("gram")
-    return kept["gram"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
+def _summed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Corpus counts of a bucket's n-grams, back to each chunk in its order; and a row (chunk null) with the number of different words."""
+    chunks = rows["chunk"].to_pylist()
+    keys = [np.cumsum(_whole(x), dtype=np.uint64) for x in rows["keys"].to_pylist()]
+    kinds, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate([_whole(x) for x in rows["counts"].to_pylist()]), len(kinds)).astype(np.int64)
+    back = np.split(total[at], np.cumsum([len(x) for x in keys])[:-1])
+    out = [(key[0].as_py(), c, _squeezed(x), None) for c, x in zip(chunks, back)]
+    out.append((key[0].as_py(), None, None, int(((total > 0) & (kinds & np.uint64(1) > 0)).sum())))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["bucket", "chunk", "corpus", "kinds"])
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(blob, tokens: int, kinds: int, buckets: int):
-    tries: list[Trie] = []
-
-    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, counted: pa.Table) -> pa.Table:
-        if not tries:
-            tries.append(Trie(blob.value))
-        trie = tries[0]
-        docs, held, lengths, toks, words = (texts[c][0].as_py() for c in ("doc_id", "held_out", "lengths", "tokens", "words"))
-        hashes = np.frombuffer(words, np.uint64)
-        order, cuts = _places(hashes, buckets)
-        c = np.empty(len(hashes), np.int64)
-        for b, part in zip(counted["bucket"].to_pylist(), counted["corpus"].to_pylist()):
-            c[order[cuts[b] : cuts[b + 1]]] = _wide(part, cuts[b + 1] - cuts[b])
-        lengths = np.array(lengths)
-        at = _wide(toks, int(lengths.sum()))
-        first = np.cumsum(lengths) - lengths
-        base = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))[at]
-        ids = trie.ids(hashes)[at]
-        u, v = _contexts(ids, lengths, trie.v)
-        known = np.add.reduceat((c > 0).astype(np.int64)[at], first)
-        score = np.add.reduceat(trie.log10(u, v, ids, base), first)
-        return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+def _scored(tokens: int, texts: int, kinds: int, prior: tuple[float, float]):
+    def run(key: tuple[pa.Scalar, ...], chunk: pa.Table, counted: pa.Table) -> pa.Table:
+        docs, held, lengths, at, words = (chunk[c][0].as_py() for c in ("doc_id", "held_out", "lengths", "tokens", "words"))
+        lengths, at = np.array(lengths), _whole(at).astype(np.int64)
+        grams = Grams(np.frombuffer(words, np.uint64), at, lengths)
+        parts = sorted(zip(counted["bucket"].to_pylist(), counted["corpus"].to_pylist()))
+        n = np.empty(len(grams.keys), np.int64)
+        n[grams.order] = np.concatenate([_whole(x) for _, x in parts]).astype(np.int64)
+        c, n2, n3 = grams.cut(n)
+        p1 = (c + 0.5) / (tokens + 0.5 * (kinds + 1))
+
+        seen2, seen3 = n2 > 0, n3 > 0
+        place = np.cumsum(seen2) - 1
+        trie = Trie(Trie.build(p1, np.append(c, texts), grams.bigrams[seen2], n2[seen2], (place[grams.before[seen3]], place[grams.last[seen3]]), n3[seen3], prior))
+        base = np.log10(p1)
+        two, found = trie.pairs(grams.left, grams.right, base[grams.right])
+        three = trie.triples(found[grams.before], grams.left[grams.last], found[grams.last], two[grams.last])
+        log10 = two[grams.at2]
+        log10[grams.inner] = three[grams.at3]
+        add = lambda x: np.add.reduceat(x, grams.first)
+        return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(add((c > 0).astype(np.int64)[at])), pa.array(add(base[at])), pa.array(add(log10))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, prior: tuple[float, float] = PRIOR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each text.
 
-    Learns from the texts that aren't held out (a null there counts as not).
-    Texts are cut to rows of about CHUNK bytes. Each row's different words are
-    dealt to hash buckets, added up there over all rows and sent back, which
-    gives the unigram scores exactly; a bucket has each row's words once, so
-    no word makes it large. The trie keeps words and n-grams that make up
-    at least word_share or gram_share of the training tokens, so at any
-    corpus size it has at most 1 / share of them; that bounds what the driver
-    builds and broadcasts. An n-gram can only reach the share if its parts
-    do, so counting by levels is exact. score is log10 P of the whole text.
-    Null texts are empty: one end token. Null ids are kept. Empty input,
-    empty output. Words are told apart by 64-bit hashes.
+    Learns from the texts that aren't held out (a null there counts as not),
+    from every word, bigram and trigram of them: nothing is cut off by its
+    count. Texts are cut to rows (chunks) of about CHUNK bytes. A chunk's
+    different n-grams are dealt to ranges of their hashes, added up there
+    over all chunks and sent back, so the model is spread over the cluster
+    and grows with the corpus; the driver gets four sums. A range has each
+    chunk's n-grams once, so no word or pair makes it large. Each chunk then
+    builds the trie of those n-grams that its own texts can ask for, with
+    counts of the whole corpus, and is scored by it. A context's probability
+    is (n + prior * that of the shorter context) / (context's n + prior).
+
+    score is log10 P of the whole text. Null texts are empty: one end token.
+    Null ids and repeated rows are kept. Empty input, empty output. Words are
+    told apart by 63-bit hashes, n-grams by 56-bit ones. Other columns are
+    left out.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     with arrow_rows(spark, 500):
         chunks = stored(slim.mapInArrow(_tokenized, CHUNKS), "lm-chunks")
-    total = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "train_texts", "train_tokens")]).first()
-    tokens, texts, buckets = total["train_tokens"], total["train_texts"], max(1, math.ceil(total["n_words"] / BUCKET), min(64, math.ceil(total["n_words"] / 4096)))
-    dealt = chunks.select("chunk", "words", "counts").mapInArrow(_dealt(buckets), "bucket long, chunk long, words binary, counts binary")
-    with arrow_rows(spark, 20):
-        summed = stored(dealt.groupBy("bucket").applyInArrow(_summed(max(1.0, word_share * tokens)), "bucket long, chunk long, corpus binary, words binary, kinds long"), "lm-counts")
-
-    found = summed.where("chunk is null").select("corpus", "words", "kinds").collect()  # at most 1 / word_share words
-    kinds = sum(r.kinds for r in found)
-    words = np.frombuffer(b"".join(r.words for r in found), np.uint64)
-    order = np.argsort(words)
-    words, word_n = words[order], np.frombuffer(b"".join(r.corpus for r in found), np.int64)[order]
-    least = max(1.0, gram_share * tokens)
-    bigrams, bigram_n = _grams(chunks, words, None, least)
-    trigrams, trigram_n = _grams(chunks, words, bigrams, least)
-    blob = spark.sparkContext.broadcast(Trie.build(words, word_n, texts, tokens, kinds, bigrams, bigram_n, trigrams, trigram_n))
+    total = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_grams", "train_texts", "train_tokens")]).first()
+    tokens, texts = total["train_tokens"], total["train_texts"]
+    buckets = max(1, math.ceil(total["n_grams"] / BUCKET), min(256, math.ceil(total["n_grams"] / 4096)))
+    with arrow_rows(spark, 2):
+        dealt = chunks.select("chunk", "held_out", "lengths", "tokens", "words").mapInArrow(_dealt(buckets), "bucket long, chunk long, keys binary, counts binary")
+        summed = stored(dealt.groupBy("bucket").applyInArrow(_summed, "bucket long, chunk long, corpus binary, kinds long"), "lm-counts")
+    kinds = summed.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
 
     own = chunks.select("chunk", "doc_id", "held_out", "lengths", "tokens", "words").groupBy("chunk")
     corpus = summed.where("chunk is not null").select("chunk", "bucket", "corpus").groupBy("chunk")
-    out = own.cogroup(corpus).applyInArrow(_scored(blob, tokens, kinds, buckets), SCORES)
+    out = own.cogroup(corpus).applyInArrow(_scored(tokens, texts, kinds, tuple(prior)), SCORES)
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))

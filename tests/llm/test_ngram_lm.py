@@ -33,41 +33,24 @@ def words_of(text):
 class Slow:
     """The model by its definition, on dictionaries."""
 
-    def __init__(self, texts, word_share, gram_share):
+    def __init__(self, texts, prior):
         self.c = Counter(w for t in texts for w in words_of(t))
-        self.n, self.kinds, self.texts = sum(self.c.values()), len(self.c), len(texts)
-        vocab = {w for w, n in self.c.items() if n >= max(1, word_share * self.n)}
-        two, three = Counter(), Counter()
+        self.n, self.kinds, self.texts, self.prior = sum(self.c.values()), len(self.c), len(texts), prior
+        self.two, self.three = Counter(), Counter()
         for t in texts:
             w = ["<s>", *words_of(t)]
-            two.update(zip(w, w[1:]))
-            three.update(zip(w, w[1:], w[2:]))
-        least = max(1.0, gram_share * self.n)
-        ok = vocab | {"<s>"}
-        self.two = {g: n for g, n in two.items() if n >= least and g[0] in ok and g[1] in vocab}
-        self.three = {g: n for g, n in three.items() if n >= least and g[:2] in self.two and g[1:] in self.two}
-        self.vocab = ok
+            self.two.update(zip(w, w[1:]))
+            self.three.update(zip(w, w[1:], w[2:]))
 
     def p1(self, w):
         return (self.c[w] + 0.5) / (self.n + 0.5 * (self.kinds + 1))
 
     def p2(self, u, w):
-        if u not in self.vocab:
-            return self.p1(w)
-        cu = self.texts if u == "<s>" else self.c[u]
-        if (u, w) in self.two:
-            return (self.two[u, w] - 0.75) / cu
-        kept = [g for g in self.two if g[0] == u]
-        return (1 - sum((self.two[g] - 0.75) / cu for g in kept)) / (1 - sum(self.p1(g[1]) for g in kept)) * self.p1(w)
+        n = self.texts if u == "<s>" else self.c[u]
+        return (self.two[u, w] + self.prior[0] * self.p1(w)) / (n + self.prior[0])
 
     def p3(self, u, v, w):
-        if (u, v) not in self.two:
-            return self.p2(v, w)
-        n = self.two[u, v]
-        if (u, v, w) in self.three:
-            return (self.three[u, v, w] - 0.75) / n
-        kept = [g for g in self.three if g[:2] == (u, v)]
-        return (1 - sum((self.three[g] - 0.75) / n for g in kept)) / (1 - sum(self.p2(v, g[2]) for g in kept)) * self.p2(v, w)
+        return (self.three[u, v, w] + self.prior[1] * self.p2(v, w)) / (self.two[u, v] + self.prior[1])
 
     def score(self, text):
         w = [None, "<s>", *words_of(text)]
@@ -77,12 +60,12 @@ class Slow:
 TEXTS = ["a b a b a c", "A b a", "b a c  d", "c d e é\tÉ", None, "", "a b a b a c", "x y z a b"] * 3 + ["a b q", "zz zz"]
 
 
-@pytest.mark.parametrize("shares", [(0.0, 0.0), (0.04, 0.03)])
-def test_scores_are_the_definition(spark, shares):
+@pytest.mark.parametrize("prior,chunks", [((20.0, 5.0), 1), ((1.0, 0.5), 6)])
+def test_scores_are_the_definition(spark, prior, chunks):
     rows = [(i, t, i % 5 == 1) for i, t in enumerate(TEXTS)]
-    slow = Slow([t for _, t, h in rows if not h], *shares)
-    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
-    for r in ngram_lm.score(df, F.col("held"), *shares).collect():
+    slow = Slow([t for _, t, h in rows if not h], prior)
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(chunks)
+    for r in ngram_lm.score(df, F.col("held"), prior).collect():
         t = TEXTS[r.doc_id]
         assert r.n_tokens == len(words_of(t)) and r.train_tokens == slow.n
         assert r.n_known == sum(slow.c[w] > 0 for w in words_of(t))
@@ -91,7 +74,7 @@ def test_scores_are_the_definition(spark, shares):
 
 
 def test_probabilities_sum_to_one():
-    slow = Slow(TEXTS, 0.04, 0.03)
+    slow = Slow(TEXTS, (2.0, 0.5))
     every = [*slow.c, "<unknown>"]
     for context in [("a", "b"), ("b", "a"), ("<s>", "a"), ("q", "d"), ("d", "never")]:
         assert abs(sum(slow.p3(*context, w) for w in every) - 1) < 1e-9
