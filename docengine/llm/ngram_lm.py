@@ -181,7 +181,7 @@ class Trie:
 # ---- n-grams of a chunk ---------------------------------------------------------
 def _squeezed(x: np.ndarray) -> bytes:
     """Integers from 0 on, by planes of their bytes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _whole(data: bytes) -> np.ndarray:
@@ -195,6 +195,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as gaps of their upper 56 bits, over their low bytes, which are mostly 0."""
+    return np.diff(keys >> np.uint64(8), prepend=np.uint64(0)) << np.uint64(8) | keys & np.uint64(255)
+
+
+def _keys(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps >> np.uint64(8), dtype=np.uint64) << np.uint64(8) | gaps & np.uint64(255)
+
+
 START = np.uint64(0x5354415254)
 
 
@@ -287,7 +296,7 @@ def _dealt(buckets: int):
             train = np.repeat(~np.array(held, bool), lengths)
             n = [np.bincount(at[own], minlength=size) for at, own, size in ((tokens, train, grams.v), (grams.at2, train, len(grams.bigrams)), (grams.at3, train[grams.inner], len(grams.last)))]
             n, keys, cuts = np.concatenate(n)[grams.order], grams.keys[grams.order], grams.buckets(buckets)
-            out = [(b, chunk, _squeezed(np.diff(keys[i:j], prepend=np.uint64(0))), _squeezed(n[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+            out = [(b, chunk, _squeezed(_gaps(keys[i:j])), _squeezed(n[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "counts"])
 
     return run
@@ -296,7 +305,7 @@ def _dealt(buckets: int):
 def _summed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """Corpus counts of a bucket's n-grams, back to each chunk in its order; and a row (chunk null) with the number of different words."""
     chunks = rows["chunk"].to_pylist()
-    keys = [np.cumsum(_whole(x), dtype=np.uint64) for x in rows["keys"].to_pylist()]
+    keys = [_keys(_whole(x)) for x in rows["keys"].to_pylist()]
     kinds, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate([_whole(x) for x in rows["counts"].to_pylist()]), len(kinds)).astype(np.int64)
     back = np.split(total[at], np.cumsum([len(x) for x in keys])[:-1])

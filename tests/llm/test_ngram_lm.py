@@ -26,6 +26,12 @@ def test_elias_fano(n, universe):
     assert all((f >= 0 and values[f] == x) if x in values else f == -1 for x, f in zip(asked, found))
 
 
+def test_keys_come_back():
+    rng = np.random.default_rng(1)
+    keys = np.sort(np.concatenate([rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, 1, 255, 256, (1 << 64) - 1], np.uint64)]))
+    assert (ngram_lm._keys(ngram_lm._whole(ngram_lm._squeezed(ngram_lm._gaps(keys)))) == keys).all()
+
+
 def words_of(text):
     return [w.decode() for w in (text or "").encode().lower().split()] + ["</s>"]
 
