@@ -50,7 +50,9 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, text: str) -> list[str] | None:
-        if "\0" in text or text.count(" ") + text.count("\n") + 1 != len(text.split()):
+        words, gaps = text.split(), text.count(" ") + text.count("\n")
+        # all white space is these two characters, and there is one between two words
+        if "\0" in text or not gaps == len(words) - 1 == len(text) - len("".join(words)):
             return None
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 

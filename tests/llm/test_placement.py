@@ -73,6 +73,16 @@ def test_packing_of_odd_rows(spark, odd_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_ids_of_mixed_white_space_are_the_whole_texts():
+    rng = np.random.default_rng(5)
+    gaps = [" ", "\n", " ", "\n", "  ", "\n\n\n", "\t", "\r\n", "\u00a0\u00a0", "\u2003", "\x0b", "\x1c", "\x85"]
+    texts = ["a\n\u00a0\u00a0b", "para\n\n\nx\ty\tz", "a b", " a\tb", "a\tb ", "", " ", "\t", "a"]
+    texts += ["".join(w + gaps[int(g)] for w, g in zip(("one", "it's,", "2,", "x") * 3, rng.integers(0, len(gaps), n))) for n in range(1, 13) for _ in range(200)]
+    encoder = packing.Encoder(packing.default_tokenizer_path())
+    assert [encoder.batch([t])[0] for t in texts] == encoder._encode(texts)
+    assert encoder._pieces("a b\nc") and not encoder._pieces(texts[0])
+
+
 def test_balance_keeps_costs_near():
     rng = np.random.default_rng(1)
     lengths = [int(x) for x in rng.integers(1, 900, 400)]
