@@ -196,7 +196,7 @@ def _own_text(batches):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = 0.999, block: int = BLOCK, seed: int = 29) -> DataFrame:
-    """(doc_id, _key, node, class_id, links): one row a document.
+    """(doc_id, _key, node, label, class_id, links): one row a document.
 
     Documents of the same word sequence are a node and are compared once.
     Nodes that share a MinHash band are candidates; the candidate graph's
@@ -204,7 +204,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     block nodes a side, so a large component is many tasks and no task emits
     pairs: it returns each node's number of links (other texts at Jaccard
     threshold or more) and a forest of them. class_id is the least doc_id
-    that is reached by links. Chance of missing a pair at the threshold is
+    that is reached by links; as ids may repeat, only label, the class's least
+    node, tells classes apart. Chance of missing a pair at the threshold is
     1 - recall, less above. Texts that are null or have no word are their own
     classes without links. Null ids are kept as rows; a class of null ids
     only has a null class_id. Empty input, empty output. Needs doc_id and text.
@@ -231,10 +232,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     label = components(links.select("a", "b"))
     counted = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     first = label.join(nodes.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("class_id"))
-    classes = label.join(first, "label").join(counted, "node").select("node", "class_id", "links")
-    every = nodes.select("node", "first_id").join(classes, "node", "left").select("node", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    classes = label.join(first, "label").join(counted, "node").select("node", "label", "class_id", "links")
+    every = nodes.select("node", "first_id").join(classes, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     every = stored(every, "classes")  # the join below then has two plain exchanges, where Spark can split a node of many copies
-    return signed.select("doc_id", "_key", "node").join(every, "node", "left").select("doc_id", "_key", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return signed.select("doc_id", "_key", "node").join(every, "node", "left").select("doc_id", "_key", "node", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def _with_node(at: int, columns: list[str]):
@@ -254,8 +255,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows without a word are all kept. Rows of one id and text count as one.
     """
     classes = near_duplicates(docs, **options).where("node is not null")
-    name = F.coalesce(F.col("class_id").cast("string"), F.hex("node"))
-    best = classes.groupBy(name).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "node")).alias("best"))
+    best = classes.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "node")).alias("best"))
     best = best.select(F.col("best._key").alias("_nd_key"), F.col("best.node").alias("_nd_node"))
     keyed = docs.withColumn("_nd_key", _key(docs))
     schema = T.StructType([*keyed.schema.fields, T.StructField("_nd_node", T.BinaryType())])

@@ -36,6 +36,16 @@ def test_odd_rows_pass_all_stages(spark, odd_docs, no_docs, tmp_path):
     assert docs.count() == 0
 
 
+def test_one_of_each_keeps_classes_apart(spark):
+    """Unrelated texts of one id all stay; of near copies without ids, or with one id, one stays."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    near = lambda k: [text(k), text(k) + " end", text(k) + " other"]
+    rows = [(7, text(k)) for k in "abcde"] + [(None, t) for t in near("n")] + [(7, t) for t in near("s")] + [(8, text("p")), (9, text("p") + " end"), (7, text("p") + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text.split()[0]) for r in near_duplicates.one_of_each(docs).collect()]
+    assert Counter(kept) == Counter([(7, f"{k}0") for k in "abcdesp"] + [(None, "n0")])
+
+
 def test_columns_of_clashing_names_keep_their_values(spark, clashing):
     from docengine.llm import mixing, url_filter
 
