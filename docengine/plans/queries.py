@@ -245,6 +245,12 @@ def section_context(spark, sf_dir):
     return report.contexts(report.section_chunks(report.sections(rows), rows), limit=1500, chunk_limit=400).select("file_key", "section_no", "page_range", "context")
 
 
+def section_context_whole(spark, sf_dir):
+    """section_context() under the operator's own budgets."""
+    rows = headed_lines(spark, sf_dir)
+    return report.contexts(report.section_chunks(report.sections(rows), rows)).select("file_key", "section_no", "page_range", "context")
+
+
 def report_latex(spark, sf_dir):
     return report.generate_report(headed_lines(spark, sf_dir))
 
@@ -292,7 +298,7 @@ QUERIES = {f.__name__: f for f in (
     tokenize, clean_text, expand_query, file_names, latex_text, normalise_math, small_talk, query_rules, strip_table_lines, chunk_documents,
     chunk_markdown, chunk_reindex, chunk_stats, dense_topk, bm25_hits, bm25_corpus, rrf, bow_cosine, mmr, rerank, hybrid_search, dedupe_variants,
     grade_chunks, corrective_search, page_images, page_select, chunks_preview, even_partition, heading_scan, section_ranges, section_join,
-    section_context, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis,
+    section_context, section_context_whole, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis,
 )}
 
 
@@ -426,6 +432,7 @@ select query_id, intent, case when len(nums) > 0 then coalesce(named.pages, '')
     "section_ranges": WITH + _SECTIONS + " select file_key, section_no, start_page, end_page, name from sections",
     "section_join": WITH + _SECTIONS + " select file_key, section_no, count(chunk_index) as chunks, min(chunk_index) as first, max(chunk_index) as last from placed group by all",
     "section_context": WITH + _SECTIONS + _contexts(1500, 400) + " select file_key, section_no, page_range, context from made",
+    "section_context_whole": WITH + _SECTIONS + _contexts(400_000, 10_000) + " select file_key, section_no, page_range, context from made",
     "report_latex": WITH + _SECTIONS + _contexts(400_000, 10_000) + rf""",
 written as (select *, case when context = '' then '\textit{{No content found.}}' else left(regexp_replace(context, '\[p\.\d+\]\n', '', 'g'), 400) || ' (\textit{{' || page_range || '}})' end as text from made),
 bodies as (select file_key, string_agg('\section{{' || {_ESC("name")} || '}}' || chr(10) || chr(10) || {_NBSP(_strip("text"))}, chr(10) || chr(10) order by section_no) as body from written where not contains(text, '\textit{{No content') group by all)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from docengine.plans import index
+from docengine.operators import report
+from docengine.plans import index, queries
 from docengine.sources import files
 from docengine.streaming import ingest, tokens
 
@@ -149,3 +150,18 @@ def test_answers_of_sql(spark):
         columns = sorted(got.columns)
         want = con.execute(f"select {', '.join(columns)} from ({entry.ORACLE_SQL[name]})").fetchall()
         assert sorted(map(repr, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(repr, want)), name
+
+
+def test_whole_section_contexts(spark):
+    """Contexts under the full budgets are those of SQL and hold every chunk's whole text."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    got = entry.QUERIES["section_context_whole"](spark, SF).select("file_key", "section_no", "page_range", "context").collect()
+    want = con.execute(f"select file_key, section_no, page_range, context from ({entry.ORACLE_SQL['section_context_whole']})").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    rows = queries.headed_lines(spark, SF)
+    texts = report.section_chunks(report.sections(rows), rows).where("page is not null").select("file_key", "section_no", F.trim("text").alias("text")).collect()
+    made = {(r.file_key, r.section_no): r.context for r in got}
+    assert max(map(len, made.values())) > 1500 and all(r.text in made[r.file_key, r.section_no] for r in texts)
