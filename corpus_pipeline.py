@@ -18,9 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language: without a letter, or with no likely language."""
-    predicted = langid.predict(docs, langid.train(docs))
-    return predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select(docs.columns)
+    """Rejects documents of no language: without a letter, with no likely language, or that cost more a byte than held-out texts of theirs."""
+    return langid.learned(docs).where(F.col("score") >= LEAST_SURE).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

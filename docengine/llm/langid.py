@@ -15,6 +15,8 @@ from docengine.llm.common import sliced, stored, without
 ORDER = 3  # bytes of the longest context
 PAD = b"\n" * ORDER
 WINDOW = 1 << 20  # bytes scored at once
+SPREAD = 12.0  # bits a text may cost more by chance, times the root of its bytes
+COSTS = ("_li_bits", "_li_bytes")
 ROWS = 12_000  # contexts remembered by a task
 
 
@@ -146,7 +148,7 @@ class CodeLengths:
         return out
 
 
-def _predict(trees: dict[str, list[dict]], at: int, columns: list[str]):
+def _predict(trees: dict[str, list[dict]], at: int, columns: list[str], costs: bool = False):
     langs = list(trees)
 
     def groups(texts):
@@ -163,32 +165,57 @@ def _predict(trees: dict[str, list[dict]], at: int, columns: list[str]):
     def run(batches):
         lengths = CodeLengths(trees) if langs else None
         for batch in sliced(batches):
-            pred, score = [None] * batch.num_rows, [0.0] * batch.num_rows
+            pred, score, cost = [None] * batch.num_rows, [0.0] * batch.num_rows, [0.0] * batch.num_rows
             known = batch.column(batch.num_columns - 1).to_pylist()
             texts = [t.lower().encode() if ok else b"" for t, ok in zip(batch.column(at).to_pylist(), known)]
             for part in groups(texts) if langs else ():
                 bits = lengths.sums([t for _, t in part])
                 best = bits.argmin(axis=1)
                 sure = 1 / np.exp2(np.minimum(bits.min(axis=1)[:, None] - bits, 0)).sum(axis=1)
-                for (i, _), j, s in zip(part, best, sure):
-                    pred[i], score[i] = langs[j], float(s)
+                for (i, _), j, s, b in zip(part, best, sure, bits.min(axis=1)):
+                    pred[i], score[i], cost[i] = langs[j], float(s), float(b)
             pred = [p if ok and p is not None else "und" for p, ok in zip(pred, known)]
             score = [s if p != "und" else 0.0 for s, p in zip(score, pred)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*columns, "lang_pred", "score"])
+            more = [pa.array(cost, pa.float64()), pa.array([float(len(t)) for t in texts], pa.float64())] if costs else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), *more], [*columns, "lang_pred", "score", *(COSTS if costs else ())])
 
     return run
 
 
-def predict(docs: DataFrame, trees: dict[str, list[dict]], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, trees: dict[str, list[dict]], text: str = "text", costs: bool = False) -> DataFrame:
     """docs with lang_pred and score (input columns of these names are replaced).
 
     A whole text's code length in bits is summed under each language's frozen
     tree; the shortest wins (ties: the first language by name), with its share
     of 2 ** -bits over all languages as score. Texts that are null or hold no
     letter are "und" with score 0, as is all if nothing was learned. Only the
-    text is read for a prediction. Empty input, empty output.
+    text is read for a prediction. With costs, the columns COSTS follow: the
+    shortest code length in bits, and the bytes coded. Empty input, empty output.
     """
     base = without(docs, "lang_pred", "score")
     fed = base.withColumn("_li_known", has_letter(F.col(text)))
-    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return fed.mapInArrow(_predict(trees, base.columns.index(text), base.columns), schema)
+    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *(T.StructField(c, T.DoubleType()) for c in COSTS if costs)])
+    return fed.mapInArrow(_predict(trees, base.columns.index(text), base.columns, costs), schema)
+
+
+def learned(docs: DataFrame, label: str = "lang", text: str = "text", **options) -> DataFrame:
+    """docs that are in a language of their labels, with predict()'s columns and COSTS.
+
+    A quarter of the texts, by hash, so copies together, is held out of
+    training. What such texts cost a byte, where label and prediction agree,
+    says what a language costs: their median and four times the way from
+    there to the 90th percentile, or a quarter of the median if that is more.
+    A text stays if it costs no more, with SPREAD bits times the root of its
+    bytes allowed for chance. A language with no text held out has no limit.
+    """
+    held = F.pmod(F.xxhash64(F.lit(17), F.col(text)), F.lit(4)) == 0
+    judged = stored(predict(docs, train(docs.where(~held), label, text=text, **options), text, True).where("lang_pred <> 'und'"), "langid-judged")
+    bits, size = map(F.col, COSTS)
+    rates = judged.where(held & (F.col(label) == F.col("lang_pred"))).groupBy(F.col("lang_pred").alias("_li_lang")).agg(F.percentile_approx(bits / size, [0.5, 0.9]).alias("q"))
+    middle, high = F.col("q")[0], F.col("q")[1]
+    limits = rates.select("_li_lang", (middle + F.greatest(4 * (high - middle), middle / 4)).alias("_li_limit"))
+    limits = stored(limits, "langid-limits")  # a row for each language learned
+    few = limits.count() <= 100_000
+    met = judged.join(F.broadcast(limits) if few else limits, F.col("lang_pred") == F.col("_li_lang"), "left")
+    likely = bits <= F.col("_li_limit") * size + SPREAD * F.sqrt(size)
+    return met.where(F.coalesce(likely, F.lit(True))).drop("_li_lang", "_li_limit")

@@ -36,6 +36,21 @@ def test_odd_rows_pass_all_stages(spark, odd_docs, no_docs, tmp_path):
     assert docs.count() == 0
 
 
+def test_language_stage_rejects_languages_never_learned(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä "
+    row = docs.where("lang = 'en'").first().asDict()
+    odd = {-1: finnish * 8, -2: "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα " * 8, -3: "xqzjv wkpfh gzzxq vbnmk qqwrt " * 40}
+    short = [" ".join(r.text.split()[:4]) for r in docs.where("lang is not null").limit(60).collect()]
+    more = [row | {"doc_id": i, "text": t, "lang": None} for i, t in [*odd.items(), *((-100 - i, t) for i, t in enumerate(short))]]
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), SF).collect()}
+    assert not kept & set(odd)
+    assert sum(-100 - i in kept for i in range(60)) >= 58
+    assert len([d for d in kept if d >= 0]) >= 0.99 * docs.where(F.col("text").rlike(r"\p{L}")).count()
+
+
 def test_one_of_each_keeps_classes_apart(spark):
     """Unrelated texts of one id all stay; of near copies without ids, or with one id, one stays."""
     text = lambda k: " ".join(f"{k}{i}" for i in range(60))
