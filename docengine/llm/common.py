@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,54 @@ def sliced(batches, rows: int = 256):
             yield batch.slice(low, rows)
 
 
+def give_back() -> None:
+    """Freed memory back to the machine at a task's end, as the worker stays for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+# ---- hashes of parts of a byte array ------------------------------------------------
+_RNG = np.random.default_rng(0x5EED)
+_BYTES = _RNG.integers(0, 1 << 64, (2, 256), np.uint64)
+_STEP = (_RNG.integers(0, 1 << 61, 2, np.uint64) << np.uint64(3)) | np.uint64(3)
+#: Bytes that end a word: U+0020 and U+0009 to U+000D.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_WORD_BYTES = np.where(SPACE, np.uint64(0), _BYTES)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits to 64 bits, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def part_hashes(data: np.ndarray, starts: np.ndarray, words: bool = False, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each part of data (uint8) from one start to the next.
+
+    A sum of random values of its bytes times powers of a multiplier; with
+    words, white space counts nothing, so what follows a word doesn't matter.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    length = np.diff(starts, append=len(data))
+    power = np.full(int(length.max()), _STEP[which])
+    power[0] = 1
+    power = np.cumprod(power)
+    place = np.arange(starts[0], len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), length)
+    value = (_WORD_BYTES if words else _BYTES)[which][data[starts[0] :]]
+    value *= power[place]
+    return mixed(np.add.reduceat(value, starts - starts[0]))
+
+
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Where words begin."""
+    inside = ~SPACE[data]
+    inside[1:] &= SPACE[data[:-1]]
+    return np.flatnonzero(inside)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Within, what runs sends Python at most so many rows at once; for rows of some MB each."""

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docengine.llm import mixing, packing, queries, sharding, url_filter
 
@@ -79,8 +80,31 @@ def test_ids_of_mixed_white_space_are_the_whole_texts():
     texts = ["a\n\u00a0\u00a0b", "para\n\n\nx\ty\tz", "a b", " a\tb", "a\tb ", "", " ", "\t", "a"]
     texts += ["".join(w + gaps[int(g)] for w, g in zip(("one", "it's,", "2,", "x") * 3, rng.integers(0, len(gaps), n))) for n in range(1, 13) for _ in range(200)]
     encoder = packing.Encoder(packing.default_tokenizer_path())
-    assert [encoder.batch([t])[0] for t in texts] == encoder._encode(texts)
-    assert encoder._pieces("a b\nc") and not encoder._pieces(texts[0])
+    want = [x.tolist() for x in encoder.encode(texts)]
+    assert [encoder.batch([t])[0].tolist() for t in texts] == want
+    assert [x.tolist() for x in encoder.batch(texts)] == want
+    encoder.clear()
+    assert [x.tolist() for x in encoder.batch(texts)] == want
+
+
+def test_ids_of_odd_words_are_the_whole_texts(monkeypatch):
+    rng = np.random.default_rng(6)
+    parts = ["it's", "don't,", "x,,", "«word»", "é,", "ß.", "3.14,", "a.b.", "%%%", "|", "12!", "word???", "naïve,", "<|endoftext|>", "你好,", "😀!", "a-b", "'s", "re:", "$5", "A" * 40 + "."]
+    texts = ["".join(str(parts[int(i)]) + (" ", "\n", "  ", "\r\n")[int(g)] for i, g in zip(rng.integers(0, len(parts), 30), rng.choice([0, 0, 0, 0, 1, 2, 3], 30))) for _ in range(300)]
+    encoder = packing.Encoder(packing.default_tokenizer_path())
+    want = [x.tolist() for x in encoder.encode(texts)]
+    assert [x.tolist() for x in encoder.batch(texts)] == want
+    monkeypatch.setattr(packing, "MEMO", 20)
+    assert [x.tolist() for low in range(0, 300, 7) for x in encoder.batch(texts[low : low + 7])] == want
+    encoder.checks[:] = 0  # as if all first hashes were another piece's
+    monkeypatch.setattr(packing, "MEMO", 10**6)
+    assert [x.tolist() for x in encoder.batch(texts[294:])] == want[294:]
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    docs = spark.createDataFrame([(1, "the same words in every row of this table")] * 4000, "doc_id long, text string")
+    rows = packing.pack(docs, group_docs=100).groupBy((F.col("sequence_id") / 2**32).cast("long").alias("g")).agg(F.sum("length").alias("n")).collect()
+    assert len(rows) > 30 and max(r.n for r in rows) < 3 * sum(r.n for r in rows) / len(rows)
 
 
 def test_balance_keeps_costs_near():
