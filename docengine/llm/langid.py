@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.common import sliced, stored, without
+from docengine.llm.common import give_back, sliced, stored, without
 
 ORDER = 3  # bytes of the longest context
 PAD = b"\n" * ORDER
-WINDOW = 1 << 20  # bytes scored at once
+WINDOW = 1 << 18  # bytes scored at once
 SPREAD = 12.0  # bits a text may cost more by chance, times the root of its bytes
 COSTS = ("_li_bits", "_li_bytes")
-ROWS = 12_000  # contexts remembered by a task
+TABLE_BYTES = 48 << 20  # of code lengths remembered by a task: 1 KB for a context and language
 
 
 def crc_of_id(id_col: str) -> Column:
@@ -45,10 +45,11 @@ def train(docs: DataFrame, label: str = "lang", docs_per_language: int = 400, se
 
     The bound is docs_per_language: those of the lowest seeded hashes among
     rows with a label, an id and a letter in the text, out of the hash range
-    that holds about three times as many. A tree is, for each
-    order from 0 to ORDER, the bytes seen after each context and their counts.
-    The counts are summed by Spark; the driver gets one row for each language
-    and distinct gram of that sample.
+    that holds about three times as many. Of rows with one id and language
+    the least text counts. A tree is, for each order from 0 to ORDER, the
+    bytes seen after each context and their counts. The counts are summed by
+    Spark; the driver gets one row for each language and distinct gram of that
+    sample. Empty input gives no trees.
     """
     fit = docs.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & has_letter(F.col(text)))
     slim = fit.select(F.col(label).alias("lang"), F.col(id_col).alias("id")).withColumn("h", F.xxhash64(F.lit(seed), "id"))
@@ -59,7 +60,8 @@ def train(docs: DataFrame, label: str = "lang", docs_per_language: int = 400, se
     slim = slim.join(counts, "lang").where(likely).withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_language)
     chosen = stored(slim.select("id").distinct(), "langid-sample")
     few = chosen.count() <= 1_000_000  # 8 bytes a row
-    sample = fit.join(F.broadcast(chosen) if few else chosen, fit[id_col] == chosen["id"]).select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
+    sample = fit.join(F.broadcast(chosen) if few else chosen, fit[id_col] == chosen["id"]).select("id", F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
+    sample = sample.groupBy("id", "lang").agg(F.min("text").alias("text")).drop("id")  # of a repeated id the least text
     rows = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     trees = {}
     for lang, part in sorted(rows.groupby("lang"), key=lambda x: x[0]):
@@ -101,29 +103,85 @@ def distribution(tree: list[dict], context: int) -> np.ndarray:
     return p
 
 
+def flattened(tree: list[dict]) -> list[tuple[np.ndarray, ...]]:
+    """Of each order: the contexts sorted, where each one's symbols begin, all symbols, all counts."""
+    out = []
+    for level in tree:
+        contexts = np.array(sorted(level), np.int64)
+        parts = [level[c] for c in contexts.tolist()]
+        first = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int64)
+        join = lambda i: np.concatenate([np.empty(0, np.int64), *(p[i] for p in parts)]).astype(np.int64)
+        out.append((contexts, first, join(0), join(1)))
+    return out
+
+
+def distributions(flat: list[tuple[np.ndarray, ...]], contexts: np.ndarray) -> np.ndarray:
+    """distribution() of many contexts at once, a row each."""
+    n = len(contexts)
+    p, mass, open_ = np.zeros((n, 256)), np.ones(n), np.ones((n, 256), bool)
+    for k in range(len(flat) - 1, -1, -1):
+        known, first, symbols, counts = flat[k]
+        own = contexts & ((1 << 8 * k) - 1)
+        at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+        rows = np.flatnonzero(known[at] == own) if len(known) else np.empty(0, np.int64)
+        size = first[at[rows] + 1] - first[at[rows]]
+        row = np.repeat(rows, size)
+        entry = np.arange(len(row)) + np.repeat(first[at[rows]] - (np.cumsum(size) - size), size)
+        free = open_[row, symbols[entry]]
+        row, entry = row[free], entry[free]
+        symbol, count = symbols[entry], counts[entry]
+        kinds = np.bincount(row, minlength=n)
+        whole = np.maximum(np.bincount(row, count, n) + kinds, 1)
+        p[row, symbol] = mass[row] * count / whole[row]
+        open_[row, symbol] = False
+        mass = np.where(kinds > 0, mass * kinds / whole, mass)
+    left = open_.sum(axis=1)
+    return np.where(open_, (mass / np.maximum(left, 1))[:, None], p)
+
+
 class CodeLengths:
-    """Exact code lengths in bits, remembered by context (ROWS at most, then afresh)."""
+    """Exact code lengths in bits, remembered by context (most_bytes at most, then afresh)."""
 
-    def __init__(self, trees: dict[str, list[dict]]):
-        self.trees = list(trees.values())
+    def __init__(self, trees: dict[str, list], most_bytes: int = TABLE_BYTES):
+        self.trees = [t if isinstance(t[0], tuple) else flattened(t) for t in trees.values()]
+        self.most = max(16, most_bytes // (1024 * len(self.trees)))
+        self.bits = np.empty((self.most * 256, len(self.trees)), np.float32)  # the machine gives pages as they are filled
         self.clear()
 
     def clear(self):
-        self.row = np.full(1 << 8 * ORDER, -1, np.int32)
-        self.bits = np.empty((1024 * 256, len(self.trees)), np.float32)
+        self.block = np.zeros(1 << 16, np.int32)  # of a context's first two bytes; block 0 knows none
+        self.row = np.full((1, 256), -1, np.int32)  # by block and third byte
         self.rows = 0
 
+    def _rows(self, context: np.ndarray) -> np.ndarray:
+        return self.row[self.block[context >> 8], context & 255]
+
     def _learn(self, contexts: np.ndarray) -> None:
-        need = (self.rows + len(contexts)) * 256
-        if need > len(self.bits):
-            grown = np.empty((max(need, 2 * len(self.bits)), len(self.trees)), np.float32)
-            grown[: len(self.bits)] = self.bits
-            self.bits = grown
-        for c in contexts.tolist():
+        pairs = np.unique(contexts >> 8)
+        pairs = pairs[self.block[pairs] == 0]
+        self.block[pairs] = len(self.row) + np.arange(len(pairs))
+        self.row = np.concatenate([self.row, np.full((len(pairs), 256), -1, np.int32)])
+        self.row[self.block[contexts >> 8], contexts & 255] = self.rows + np.arange(len(contexts))
+        for low in range(0, len(contexts), 512):
+            part = contexts[low : low + 512].astype(np.int64)
+            at = (self.rows + low) * 256
             for i, tree in enumerate(self.trees):
-                self.bits[self.rows * 256 : (self.rows + 1) * 256, i] = -np.log2(distribution(tree, c))
-            self.row[c] = self.rows
-            self.rows += 1
+                self.bits[at : at + len(part) * 256, i] = -np.log2(distributions(tree, part)).ravel()
+        self.rows += len(contexts)
+
+    def _window(self, b: np.ndarray) -> np.ndarray:
+        """Bits of each byte of b but the first ORDER."""
+        context = b[:-3] << 16 | b[1:-2] << 8 | b[2:-1]
+        if (new := np.flatnonzero(self._rows(context) < 0)).size:
+            new = np.unique(context[new])
+            if self.rows + len(new) > self.most:
+                self.clear()
+                new = np.unique(context)
+                if len(new) > self.most:
+                    half = len(context) // 2
+                    return np.concatenate([self._window(b[: half + ORDER]), self._window(b[half:])])
+            self._learn(new)
+        return self.bits[self._rows(context).astype(np.int64) * 256 + b[3:]]
 
     def sums(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
@@ -131,16 +189,8 @@ class CodeLengths:
         ends = np.cumsum([len(t) + ORDER for t in texts])
         out = np.zeros((len(texts), len(self.trees)))
         for low in range(0, len(joined) - ORDER, WINDOW):
-            b = joined[low : low + WINDOW + ORDER].astype(np.int32)
-            context = b[:-3] << 16 | b[1:-2] << 8 | b[2:-1]
-            if (new := np.flatnonzero(self.row[context] < 0)).size:
-                new = np.unique(context[new])
-                if self.rows + len(new) > ROWS:
-                    self.clear()
-                    new = np.unique(context)
-                self._learn(new)
-            bits = self.bits[self.row[context] * 256 + b[3:]]
-            place = np.arange(low, low + len(context))
+            bits = self._window(joined[low : low + WINDOW + ORDER].astype(np.int32))
+            place = np.arange(low, low + len(bits))
             doc = np.searchsorted(ends, place, side="right")
             bits[place >= ends[doc] - ORDER] = 0  # the padding
             first = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -178,6 +228,8 @@ def _predict(trees: dict[str, list[dict]], at: int, columns: list[str], costs: b
             score = [s if p != "und" else 0.0 for s, p in zip(score, pred)]
             more = [pa.array(cost, pa.float64()), pa.array([float(len(t)) for t in texts], pa.float64())] if costs else []
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), *more], [*columns, "lang_pred", "score", *(COSTS if costs else ())])
+        del lengths
+        give_back()
 
     return run
 
@@ -190,10 +242,14 @@ def predict(docs: DataFrame, trees: dict[str, list[dict]], text: str = "text", c
     of 2 ** -bits over all languages as score. Texts that are null or hold no
     letter are "und" with score 0, as is all if nothing was learned. Only the
     text is read for a prediction. With costs, the columns COSTS follow: the
-    shortest code length in bits, and the bytes coded. Empty input, empty output.
+    shortest code length in bits, and the bytes coded. A very long text is
+    coded in windows. A task remembers TABLE_BYTES of code lengths, whatever
+    the number of languages. Repeated rows and null ids are rows. Input columns
+    of any other name keep their values. Empty input, empty output.
     """
-    base = without(docs, "lang_pred", "score")
-    fed = base.withColumn("_li_known", has_letter(F.col(text)))
+    base = without(docs, "lang_pred", "score", *(COSTS if costs else ()))
+    fed = base.select("*", has_letter(F.col(text)).alias("_li_known"))  # read by its place, so the name may be taken
+    trees = {lang: flattened(tree) for lang, tree in trees.items()}
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *(T.StructField(c, T.DoubleType()) for c in COSTS if costs)])
     return fed.mapInArrow(_predict(trees, base.columns.index(text), base.columns, costs), schema)
 

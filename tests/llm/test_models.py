@@ -51,13 +51,19 @@ def test_distribution_sums_to_one():
         assert abs(langid.distribution(tree, int.from_bytes(ctx, "big")).sum() - 1) < 1e-9
 
 
+def test_distributions_are_those_of_each_context():
+    tree = tree_of(b"abracadabra, abracadabra")
+    contexts = [int.from_bytes(c, "big") for c in (b"abr", b"xyz", b"\n\n\n", b"a, ", b"cad", b"qra")]
+    assert np.allclose(langid.distributions(langid.flattened(tree), np.array(contexts)), [langid.distribution(tree, c) for c in contexts], rtol=1e-12)
+
+
 def test_code_lengths_are_exact(monkeypatch):
     trees = {"a": tree_of(b"the cat sat on the mat"), "b": tree_of("où est la bibliothèque".encode())}
     texts = [b"", b"the hat", "thé où".encode(), b"zzz" * 50, b"the cat on la mat " * 9]
     want = [[slow_bits(t, x) for t in trees.values()] for x in texts]
-    for window in (1 << 20, 7):  # the second cuts texts into many windows
+    for window, most in ((1 << 20, 1 << 20), (7, 1 << 20), (1 << 20, 1)):  # the second cuts texts into many windows, the third forgets again and again
         monkeypatch.setattr(langid, "WINDOW", window)
-        assert np.allclose(langid.CodeLengths(trees).sums(texts), want, rtol=1e-5)
+        assert np.allclose(langid.CodeLengths(trees, most).sums(texts), want, rtol=1e-5)
 
 
 def test_training_counts_match_brute_force(spark):
