@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.common import sliced, stored, without
+from docengine.llm.common import give_back, sliced, stored, without
 
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»"
 PREFIXES = (3, 4, 5, 6, 8)
@@ -32,17 +34,16 @@ def text_features(text: str | None) -> set[str]:
     return {f for w in set((text or "").split()) for f in word_features(w)}
 
 
-def page_numbers(text: str | None, n_chars: int | None) -> list[float]:
+def page_numbers(text: str | None, n_chars: int | None, words: list[str] | None = None, kinds: int | None = None) -> list[float]:
     """The metadata view's numbers: length and layout, no words."""
     text = text or ""
-    words, n = text.split(), max(1, len(text))
-    b = np.frombuffer(text.encode(), np.uint8)
-    upper = np.count_nonzero((b >= 65) & (b <= 90))
-    digits = np.count_nonzero((b >= 48) & (b <= 57))
-    lower = np.count_nonzero((b >= 97) & (b <= 122))
-    marks = np.count_nonzero((b > 32) & (b < 127)) - upper - digits - lower
-    k = max(1, len(words))
-    return [float(np.log1p(len(text) if n_chars is None else n_chars)), upper / n, marks / n, digits / n, np.count_nonzero(b == 10) / n, len(text) / k, len(set(words)) / k, sum(map(str.__eq__, words, words[1:])) / k]
+    words = text.split() if words is None else words
+    n, k = max(1, len(text)), max(1, len(words))
+    of = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+    upper, digits, lower = int(of[65:91].sum()), int(of[48:58].sum()), int(of[97:123].sum())
+    marks = int(of[33:127].sum()) - upper - digits - lower
+    kinds = len(set(words)) if kinds is None else kinds
+    return [float(np.log1p(len(text) if n_chars is None else n_chars)), upper / n, marks / n, digits / n, int(of[10]) / n, len(text) / k, kinds / k, sum(map(eq, words, islice(words, 1, None))) / k]
 
 
 def page_features(numbers: list[float], lang: str | None, source: str | None, edges: list[np.ndarray]) -> list[str]:
@@ -56,17 +57,19 @@ class Logistic:
         self.at = {f: i for i, f in enumerate(names)}
         self.w, self.b = np.zeros(len(names)), 0.0
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, l2: float = 1.0, steps: int = 150, rate: float = 0.15) -> "Logistic":
-        row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, l2: float = 1.0, steps: int = 150, rate: float = 0.15, warm: bool = False) -> "Logistic":
+        """Adam on the whole batch; warm: from the weights so far, in a third of the steps."""
+        size = np.array([len(d) for d in docs], np.int64)
+        row = np.repeat(np.arange(len(docs)), size)
         col = np.concatenate([*docs, np.empty(0, np.int64)]).astype(np.int64)
         prior = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        w, b = np.zeros_like(self.w), np.log(prior / (1 - prior))
+        w, b = (self.w, self.b) if warm else (np.zeros_like(self.w), np.log(prior / (1 - prior)))
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-        for t in range(1, steps + 1):  # Adam on the whole batch
+        for t in range(1, (steps // 3 if warm else steps) + 1):
             p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], len(docs)), -30, 30)))
-            g = np.append(np.bincount(col, (p - y)[row], len(w)) / len(y) + l2 * w / len(y), (p - y).mean())
+            g = np.append(np.bincount(col, np.repeat(p - y, size), len(w)) / len(y) + l2 * w / len(y), (p - y).mean())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            step = (rate / 3 if warm else rate) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w, b = w - step[:-1], b - step[-1]
         self.w, self.b = w, b
         return self
@@ -106,7 +109,7 @@ def cotrain(views: list[tuple[list[str], list[np.ndarray]]], y: np.ndarray, unla
     models = [Logistic(names) for names, _ in views]
     for r in range(rounds + 1):
         for v in (0, 1):
-            models[v].fit(fit[v], np.array(ys[v], float))
+            models[v].fit(fit[v], np.array(ys[v], float), warm=r > 0)
         if r == rounds:
             break
         for v, other in ((0, 1), (1, 0)):
@@ -160,7 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 10_000, unlabelled
     seeded id hashes with and without a label. Text features enter a head if
     at least 3 labelled documents have them and they differ from chance
     between its classes by 4 standard deviations. A null label counts as
-    quality 1 or toxic 0; of several labels of one id the worst holds.
+    quality 1 or toxic 0; of several labels of one id the worst holds, of
+    several rows of one id the least counts. The views share their source: but
+    for n_chars, lang and source, the metadata's numbers are counts of the
+    text's layout, so they aren't independent.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(
@@ -170,7 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 10_000, unlabelled
     others = docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct().join(known.select("id"), "id", "left_anti").orderBy(h, "id").limit(unlabelled)
     picked = stored(first.unionByName(others.select("id", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("toxic"))), "quality-ids")
     slim = docs.select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars")
-    sample = stored(slim.join(F.broadcast(picked), "id"), "quality-sample")  # at most labelled + unlabelled ids
+    met = slim.join(F.broadcast(picked), "id")  # at most labelled + unlabelled ids
+    one = met.groupBy("id", "low", "toxic").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_d"))  # of a repeated id the least row
+    sample = stored(one.select("id", "_d.*", "low", "toxic"), "quality-sample")
 
     counts = sample.mapInArrow(_counted, "feature string, seen long, low long, toxic long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("seen", "low", "toxic")]).where("seen >= 3")
     totals = sample.where("low is not null").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).first()
@@ -208,26 +216,35 @@ def _scored(model: dict, at: dict[str, int], columns: list[str]):
 
     def run(batches):
         memo: dict[str, tuple] = {}
-        text_weights = [h["weights"][0] for h in heads]
-        useful = set().union(*text_weights) if heads else set()
+        place = {f: i for i, f in enumerate(sorted(set().union(*(h["weights"][0] for h in heads))))}
+        weights = np.array([[h["weights"][0].get(f, 0.0) for h in heads] for f in place]).reshape(len(place), len(heads))
         for batch in sliced(batches):
             texts, langs, sources, chars = (batch.column(at[c]).to_pylist() for c in ("text", "lang", "source", "n_chars"))
-            out = [[] for _ in heads]
-            for text, lang, source, n_chars in zip(texts, langs, sources, chars):
-                found: set[str] = set()
-                for w in set((text or "").split()):
+            n, ids, sizes = len(texts), [], []
+            z = np.tile([h["base"] for h in heads], (n, 1)) if heads else np.zeros((n, 0))
+            for i, (text, lang, source, n_chars) in enumerate(zip(texts, langs, sources, chars)):
+                found: set[int] = set()
+                words = (text or "").split()
+                kinds = set(words)
+                for w in kinds:
                     if (got := memo.get(w)) is None:
                         if len(memo) > MEMO:
                             memo.clear()
-                        got = memo[w] = tuple(f for f in word_features(w) if f in useful)
-                    found.update(got)
-                page = page_features(page_numbers(text, n_chars), lang, source, model["edges"])
+                        got = memo[w] = tuple(place[f] for f in word_features(w) if f in place)
+                    if got:
+                        found.update(got)
+                ids += sorted(found)
+                sizes.append(len(found))
+                page = page_features(page_numbers(text, n_chars, words, len(kinds)), lang, source, model["edges"])
                 for k, h in enumerate(heads):
-                    z = h["base"] + sum(map(lambda f: text_weights[k].get(f, 0.0), sorted(found))) + sum(h["weights"][1].get(f, 0.0) for f in page)
-                    out[k].append(1 / (1 + float(np.exp(np.clip(-z, -700, 700)))))
-            p = [pa.array(x, pa.float64()) for x in out] if heads else [pa.array([0.0] * batch.num_rows, pa.float64())] * 2
-            clean = np.prod([1 - np.asarray(x) for x in p], axis=0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *p, pa.array(clean, pa.float64())], [*columns, "p_low", "p_toxic", "quality_score"])
+                    z[i, k] += sum(h["weights"][1].get(f, 0.0) for f in page)
+            row = np.repeat(np.arange(n), sizes)
+            for k in range(len(heads)):
+                z[:, k] += np.bincount(row, weights[ids, k] if ids else None, n)
+            p = 1 / (1 + np.exp(np.clip(-z, -700, 700))) if heads else np.zeros((n, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.float64()) for x in p.T), pa.array(np.prod(1 - p, axis=1), pa.float64())], [*columns, "p_low", "p_toxic", "quality_score"])
+        memo.clear()
+        give_back()
 
     return run
 
@@ -238,8 +255,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     Each head adds its two views' calibrated logits, less the prior's, which
     both hold; quality_score is (1 - p_low) * (1 - p_toxic). The text view
     reads whole texts. Null texts count as empty, other nulls as a value of
-    their own; a model without labels gives 1 to all. Empty input, empty
-    output. Needs the columns text, lang, source and n_chars.
+    their own; a model without labels gives 1 to all. Repeated rows and null
+    ids are rows; a very long text is read whole; other columns keep their
+    values. Empty input, empty output. Needs the columns text, lang, source
+    and n_chars.
     """
     base = without(docs, "p_low", "p_toxic", "quality_score")
     schema = T.StructType([*base.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("p_low", "p_toxic", "quality_score"))])
