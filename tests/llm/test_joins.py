@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -78,6 +79,28 @@ def test_large_group_of_near_copies(spark, block):
     compare(nd.near_duplicates(df, block=block).collect(), docs)
 
 
+def test_repeated_rows_meet_once(spark):
+    """Many rows of one text, with one id, null ids or many, are one node, compared once."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, text)] * 500 + [(None, text)] * 500 + [(i, text) for i in range(1000, 1500)] + [(3, text + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compare(nd.near_duplicates(docs).collect(), rows)
+
+
+def test_chains_under_the_threshold_are_not_compared(spark):
+    """Texts that overlap in chains at Jaccard 0.5: work grows in step with their number, not its square."""
+    def candidates(n):
+        rows = [(i, " ".join(f"c{j}" for j in range(20 * i, 20 * i + 64))) for i in range(n)]
+        signed, classes = nd._classes(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, 5, 0.999, 256, 29)
+        assert classes.where("links > 0").count() == 0 and classes.count() == n
+        base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+        newest = max(Path(base).glob("gram-sets-*"), key=lambda p: p.stat().st_mtime)
+        return spark.read.parquet(f"file://{newest}").count()
+
+    few, many = candidates(5000), candidates(20_000)
+    assert many < 5 * few + 500 and many < 4000
+
+
 def test_join_of_odd_rows(spark, odd_docs, no_docs):
     more = odd_docs.unionByName(spark.createDataFrame([(100, "the same id with another text", None, None, None, None, None), (None, "no id here", "en", "s", 1, "a", "b")], odd_docs.schema))
     compare(nd.near_duplicates(more).collect(), [(r.doc_id, r.text) for r in more.collect()])
