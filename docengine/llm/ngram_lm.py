@@ -6,22 +6,23 @@ import ast
 import io
 import math
 import tempfile
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import arrow_rows, sliced, stored
+from docengine.llm.common import arrow_rows, give_back, mixed, part_hashes, sliced, stored, word_starts
 
-END = b"\n</s>"  # not a word: it holds white space
-CHUNK = 4 << 20  # bytes of text whose tokens share one row
-BUCKET = 4 << 20  # n-grams of chunks whose counts are added up in one task
+END = np.uint64(0x454E4445)  # the end token's hash
+CHUNK = 4 << 20  # bytes of text whose tokens share one row, at least
+MOST_CHUNK = 32 << 20
+BUCKET = 2 << 20  # n-grams of chunks whose counts are added up in one task, at least
+CELL = 256  # n-grams that a chunk has for a bucket, at least, while chunks are under MOST_CHUNK
 PRIOR = (100.0, 5.0)  # weight, in tokens, of the shorter context's share in a bigram's and a trigram's
 STEP = 1e-3  # of a quantised log10
+SLAB = 1 << 14  # look-ups at once, so that their arrays stay in the processor's cache
 
 
 # ---- Elias-Fano sequences ------------------------------------------------------
@@ -50,12 +51,15 @@ class EliasFano:
         high = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros((int(universe >> low_bits) + n + 64) // 64 * 64 + 64, np.uint8)
         bits[high] = 1
-        low = np.zeros((n * low_bits + 7) // 8 + 16, np.uint8)
+        low = np.zeros((n * low_bits + 63) // 64 + 2, np.uint64)
         if low_bits and n:
-            part = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
-            packed = np.packbits(part.astype(np.uint8).ravel(), bitorder="little")
-            low[: len(packed)] = packed
-        return {"high": np.packbits(bits, bitorder="little").view(np.uint64), "low": low, "meta": np.array([n, low_bits], np.int64)}
+            part, at = values & np.uint64((1 << low_bits) - 1), np.arange(n) * low_bits
+            word, shift = at >> 6, (at & 63).astype(np.uint64)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            low[word[first]] = np.bitwise_or.reduceat(part << shift, first)
+            over = np.flatnonzero((at & 63) + low_bits > 64)  # one value at most reaches into a next word
+            low[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
+        return {"high": np.packbits(bits, bitorder="little").view(np.uint64), "low": low.view(np.uint8), "meta": np.array([n, low_bits], np.int64)}
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.high, self.low_bytes = parts["high"], parts["low"]
@@ -90,11 +94,13 @@ class EliasFano:
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of each x, or -1."""
-        if not self.n or not len(x):
-            return np.full(len(x), -1, np.int64)
-        at = self.successor(x)
-        inside = np.minimum(at, self.n - 1)
-        return np.where((at < self.n) & (self.access(inside) == x), at, -1)
+        out = np.full(len(x), -1, np.int64)
+        for low in range(0, len(x) if self.n else 0, SLAB):
+            part = x[low : low + SLAB]
+            at = self.successor(part)
+            inside = np.minimum(at, self.n - 1)
+            out[low : low + SLAB] = np.where((at < self.n) & (self.access(inside) == part), at, -1)
+        return out
 
 
 # ---- the trie ----------------------------------------------------------------
@@ -181,7 +187,7 @@ class Trie:
 # ---- n-grams of a chunk ---------------------------------------------------------
 def _squeezed(x: np.ndarray) -> bytes:
     """Integers from 0 on, by planes of their bytes."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _whole(data: bytes) -> np.ndarray:
@@ -189,12 +195,6 @@ def _whole(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def _gaps(keys: np.ndarray) -> np.ndarray:
     """Sorted keys as gaps of their upper 56 bits, over their low bytes, which are mostly 0."""
     return np.diff(keys >> np.uint64(8), prepend=np.uint64(0)) << np.uint64(8) | keys & np.uint64(255)
@@ -204,6 +204,20 @@ def _keys(gaps: np.ndarray) -> np.ndarray:
     return np.cumsum(gaps >> np.uint64(8), dtype=np.uint64) << np.uint64(8) | gaps & np.uint64(255)
 
 
+def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with its inverse; where there is room, the place is sorted along in the low bits, which is much faster."""
+    n = max(1, len(keys)).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + n > 64:
+        return np.unique(keys, return_inverse=True)
+    packed = keys.astype(np.uint64) << np.uint64(n) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order, keys = (packed & np.uint64((1 << n) - 1)).astype(np.int64), (packed >> np.uint64(n)).astype(np.int64)
+    new = np.diff(keys, prepend=-1) > 0
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return keys[new], inverse
+
+
 START = np.uint64(0x5354415254)
 
 
@@ -219,16 +233,16 @@ class Grams:
         self.v, self.first = len(hashes), np.cumsum(lengths) - lengths
         before = np.concatenate([[self.v], tokens[:-1]])
         before[self.first] = self.v
-        self.bigrams, self.at2 = np.unique(before * (self.v + 1) + tokens, return_inverse=True)
+        self.bigrams, self.at2 = _kinds(before * (self.v + 1) + tokens)
         inner = np.ones(len(tokens), bool)
         inner[self.first] = False
         self.inner = np.flatnonzero(inner)
-        pair, self.at3 = np.unique(self.at2[self.inner - 1] * len(self.bigrams) + self.at2[self.inner], return_inverse=True)
+        pair, self.at3 = _kinds(self.at2[self.inner - 1] * len(self.bigrams) + self.at2[self.inner])
         self.before, self.last = np.divmod(pair, max(1, len(self.bigrams)))  # trigrams as two bigrams
         self.left, self.right = np.divmod(self.bigrams, self.v + 1)
         every, low = np.append(hashes, START), np.uint64(255)
-        two = _mixed(every[self.left] * np.uint64(3) + _mixed(every[self.right]))
-        three = _mixed(two[self.before] * np.uint64(5) + _mixed(every[self.right[self.last]]))
+        two = mixed(every[self.left] * np.uint64(3) + mixed(every[self.right]))
+        three = mixed(two[self.before] * np.uint64(5) + mixed(every[self.right[self.last]]))
         self.keys = np.concatenate([hashes | np.uint64(1), two & ~low, three & ~low])
         self.order = np.argsort(self.keys, kind="stable")
 
@@ -246,43 +260,56 @@ class Grams:
 CHUNKS = "chunk long, doc_id array<long>, held_out array<boolean>, lengths array<int>, tokens binary, words binary, n_grams long, train_texts long, train_tokens long"
 
 
-def _tokenized(batches):
-    """Rows of about CHUNK bytes of text: tokens as places in the chunk's own words."""
-    from pyspark import TaskContext
-
-    part, serial = TaskContext.get().partitionId(), 0
-    pending: list[tuple] = []
-
-    def flush():
-        nonlocal serial, pending
-        local: dict = defaultdict()
-        local.default_factory = local.__len__
-        local[END]
-        tokens, lengths, train = [], [], []
-        for _, held, text in pending:
-            ids = list(map(local.__getitem__, text.split()))
-            ids.append(0)
-            tokens.append(np.array(ids, np.uint32))
-            lengths.append(len(ids))
-            train.append(not held)
-        words = np.fromiter(map(xxhash.xxh3_64_intdigest, local), np.uint64, len(local))
-        n = 3 * sum(lengths)  # at most
-        row = [[(part << 32) + serial], [[d for d, _, _ in pending]], [[h for _, h, _ in pending]], [lengths], [_squeezed(np.concatenate(tokens))], [words.tobytes()], [n], [sum(train)], [sum(k for k, t in zip(lengths, train) if t)]]
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        serial, pending = serial + 1, []
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["chunk", "doc_id", "held_out", "lengths", "tokens", "words", "n_grams", "train_texts", "train_tokens"])
-
-    size = 0
-    for batch in sliced(batches):
-        for doc, held, text in zip(*(c.to_pylist() for c in batch.columns)):
-            data = (text or "").encode().lower()  # bytes: only A-Z change, only ASCII white space splits
-            pending.append((doc, held, data))
-            size += len(data)
-            if size >= CHUNK:
-                yield flush()
-                size = 0
-    if pending:
-        yield flush()
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the texts' different words, the words' places there token by token, and the tokens of each text."""
+    data = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    starts = word_starts(data)
+    lengths = np.diff(np.searchsorted(starts, ends), prepend=0) + 1
+    last = np.cumsum(lengths) - 1  # the end tokens
+    every = np.full(int(last[-1]) + 1, END)
+    own = np.ones(len(every), bool)
+    own[last] = False
+    for low in range(0, len(starts), 1 << 17):  # a slab of words at once
+        part = starts[low : low + (1 << 17)]
+        stop = starts[low + (1 << 17)] if low + (1 << 17) < len(starts) else len(data)
+        every[np.flatnonzero(own)[low : low + (1 << 17)]] = part_hashes(data[part[0] : stop], part - part[0], words=True)
+    hashes, tokens = np.unique(every, return_inverse=True)
+    return hashes, tokens, lengths
+
+
+def _tokenized(chunk_bytes: int):
+    """Rows of about chunk_bytes of text: tokens as places in the chunk's own words."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, serial = TaskContext.get().partitionId(), 0
+        pending: list[tuple] = []
+
+        def flush():
+            nonlocal serial, pending
+            hashes, tokens, lengths = _tokens([t for _, _, t in pending])
+            train = np.array([not h for _, h, _ in pending])
+            row = [[(part << 32) + serial], [[d for d, _, _ in pending]], [[h for _, h, _ in pending]], [lengths.astype(np.int32)], [_squeezed(tokens)], [hashes.tobytes()], [3 * len(tokens)], [int(train.sum())], [int(lengths[train].sum())]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            serial, pending = serial + 1, []
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["chunk", "doc_id", "held_out", "lengths", "tokens", "words", "n_grams", "train_texts", "train_tokens"])
+
+        size = 0
+        for batch in sliced(batches):
+            for doc, held, text in zip(*(c.to_pylist() for c in batch.columns)):
+                data = (text or "").encode().lower()  # bytes: only A-Z change
+                pending.append((doc, held, data))
+                size += len(data)
+                if size >= chunk_bytes:
+                    yield flush()
+                    size = 0
+        if pending:
+            yield flush()
+        give_back()
+
+    return run
 
 
 def _dealt(buckets: int):
@@ -298,6 +325,7 @@ def _dealt(buckets: int):
             n, keys, cuts = np.concatenate(n)[grams.order], grams.keys[grams.order], grams.buckets(buckets)
             out = [(b, chunk, _squeezed(_gaps(keys[i:j])), _squeezed(n[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "counts"])
+        give_back()
 
     return run
 
@@ -342,6 +370,18 @@ def _scored(tokens: int, texts: int, kinds: int, prior: tuple[float, float]):
     return run
 
 
+def sizes(text_bytes: int) -> tuple[int, int]:
+    """(bytes of a chunk, n-grams of a bucket) for so much text.
+
+    A chunk has about half an n-gram a byte and sends each bucket one row. A
+    row should have CELL n-grams or more, so chunks and buckets grow with the
+    root of the corpus, up to what a task can hold.
+    """
+    grown = math.sqrt(max(1, CELL * text_bytes / (BUCKET / CHUNK)))
+    chunk = int(min(MOST_CHUNK, max(CHUNK, grown)))
+    return chunk, BUCKET * chunk // CHUNK
+
+
 def score(docs: DataFrame, held_out: Column, prior: tuple[float, float] = PRIOR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each text.
 
@@ -355,6 +395,8 @@ def score(docs: DataFrame, held_out: Column, prior: tuple[float, float] = PRIOR)
     builds the trie of those n-grams that its own texts can ask for, with
     counts of the whole corpus, and is scored by it. A context's probability
     is (n + prior * that of the shorter context) / (context's n + prior).
+    A very long text is one chunk of its own. Columns of other names, clashing
+    or not, don't matter, as only doc_id and text are read.
 
     score is log10 P of the whole text. Null texts are empty: one end token.
     Null ids and repeated rows are kept. Empty input, empty output. Words are
@@ -363,17 +405,19 @@ def score(docs: DataFrame, held_out: Column, prior: tuple[float, float] = PRIOR)
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    chunk_bytes, bucket = sizes(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     with arrow_rows(spark, 500):
-        chunks = stored(slim.mapInArrow(_tokenized, CHUNKS), "lm-chunks")
-    total = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_grams", "train_texts", "train_tokens")]).first()
+        chunks = stored(slim.mapInArrow(_tokenized(chunk_bytes), CHUNKS), "lm-chunks")
+    total = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_grams", "train_texts", "train_tokens")], F.count("*").alias("chunks")).first()
     tokens, texts = total["train_tokens"], total["train_texts"]
-    buckets = max(1, math.ceil(total["n_grams"] / BUCKET), min(256, math.ceil(total["n_grams"] / 4096)))
+    buckets = max(1, math.ceil(total["n_grams"] / bucket))
     with arrow_rows(spark, 2):
         dealt = chunks.select("chunk", "held_out", "lengths", "tokens", "words").mapInArrow(_dealt(buckets), "bucket long, chunk long, keys binary, counts binary")
-        summed = stored(dealt.groupBy("bucket").applyInArrow(_summed, "bucket long, chunk long, corpus binary, kinds long"), "lm-counts")
+        summed = stored(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_summed, "bucket long, chunk long, corpus binary, kinds long"), "lm-counts")
     kinds = summed.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
 
-    own = chunks.select("chunk", "doc_id", "held_out", "lengths", "tokens", "words").groupBy("chunk")
-    corpus = summed.where("chunk is not null").select("chunk", "bucket", "corpus").groupBy("chunk")
+    tasks = max(1, total["chunks"])  # so a task has about one chunk, whatever the size of the table
+    own = chunks.select("chunk", "doc_id", "held_out", "lengths", "tokens", "words").repartition(tasks, "chunk").groupBy("chunk")
+    corpus = summed.where("chunk is not null").select("chunk", "bucket", "corpus").repartition(tasks, "chunk").groupBy("chunk")
     out = own.cogroup(corpus).applyInArrow(_scored(tokens, texts, kinds, tuple(prior)), SCORES)
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -86,6 +86,24 @@ def test_probabilities_sum_to_one():
         assert abs(sum(slow.p3(*context, w) for w in every) - 1) < 1e-9
 
 
+def test_a_text_that_occurs_twice_scores_above_itself_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 300").dropDuplicates(["text"]).select("doc_id", "text").limit(60)
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0").select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    once = {r.doc_id: r.score / r.n_tokens for r in ngram_lm.score(docs, F.lit(False)).collect()}
+    again = {r.doc_id: r.score / r.n_tokens for r in ngram_lm.score(twice, F.lit(False)).collect()}
+    gain = {d: again[d] - once[d] for d in once}
+    assert all(again[d] == again[d + 10**6] for d in once if d % 3 == 0)
+    assert min(g for d, g in gain.items() if d % 3 == 0) > max(0.02, max(g for d, g in gain.items() if d % 3))
+
+
+def test_chunks_and_buckets_grow_with_the_corpus():
+    for text_bytes in (10**6, 10**9, 3 * 10**10, 10**12):
+        chunk, bucket = ngram_lm.sizes(text_bytes)
+        rows = (text_bytes / chunk) * (text_bytes / 2 / bucket)
+        assert chunk >= ngram_lm.CHUNK and bucket >= ngram_lm.BUCKET
+        assert chunk == ngram_lm.MOST_CHUNK or rows <= max(1, text_bytes / ngram_lm.CELL)
+
+
 def test_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in docs}
