@@ -92,9 +92,6 @@ def has_visual_content(images: Column, embedded: Column, drawings: Column, page_
     n = lambda a, f: F.coalesce(F.size(F.filter(a, f)), F.lit(0))
     raster, inner = n(images, lambda x: area(x) >= least_image), n(embedded, lambda x: area(x) >= least_image)
     drawn = n(drawings, lambda x: (area(x) >= least_drawing) & (area(x) < 0.8 * page_area))
-    return (
-        F.when(raster > 0, F.concat(raster.cast("string"), F.lit(" raster image(s)")))
-        .when(inner > 0, F.concat(inner.cast("string"), F.lit(" embedded image(s)")))
-        .when(drawn > 0, F.concat(drawn.cast("string"), F.lit(" vector graphic(s)/diagram(s)")))
-        .otherwise("no visual content")
-    )
+    # The reasons.
+    found = (raster, " raster image(s)"), (inner, " embedded image(s)"), (drawn, " vector graphic(s)/diagram(s)")
+    return F.coalesce(*[F.when(k > 0, F.concat(k.cast("string"), F.lit(said))) for k, said in found], F.lit("no visual content"))

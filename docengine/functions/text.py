@@ -115,6 +115,15 @@ def preview(c: Column | str, length: int = 300) -> Column:
     return F.when(F.length(col(c)) > length, F.concat(F.left(col(c), F.lit(length)), F.lit("..."))).otherwise(col(c))
 
 
+def best_lines(c: Column | str, query: Column | str, keep: int = 5, skip: str = r"^\[p\.\d+\]$") -> Column:
+    """The keep lines of the whole text that share the most words with the query (the first on ties), in their order; lines like skip don't count."""
+    asked = F.array_distinct(tokens(query))
+    lines = F.filter(F.split(col(c), "\n"), lambda x: (py_strip(x) != "") & ~x.rlike(skip))
+    scored = F.transform(lines, lambda x, i: F.struct((-F.size(F.array_intersect(tokens(x), asked))).alias("s"), i.alias("i"), x.alias("x")))
+    best = F.transform(F.slice(F.array_sort(scored), 1, keep), lambda x: F.struct(x["i"], x["x"]))
+    return F.array_join(F.transform(F.array_sort(best), lambda x: x["x"]), " ")
+
+
 def first_line(c: Column | str) -> Column:
     return F.substring_index(py_strip(c), "\n", 1)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docengine.functions.rules import is_short
 from docengine.functions.text import expand_query, py_strip, tokens
 from docengine.operators.retrieval import dense_topk
+from docengine.plans.index import hash_embedding
 from docengine.sources.scratch import written
 
 PREFIX = 100
@@ -62,10 +63,10 @@ def context(chunks: Column | str, top: int = 8) -> Column:
 HIT = ("page", "total_pages", "chunk_index", "type", "source", "text")
 
 
-def retrieve(index: DataFrame, states: DataFrame, k: int = 15, variant=expand_query) -> DataFrame:
-    """states with chunks: hits of the query, and of one variant unless the query is short."""
-    own = states.select("query_id", "file_key", "query", "query_vec", F.lit(0).alias("variant"))
-    other = own.where(~is_short("query") & (variant("query") != F.col("query"))).withColumn("variant", F.lit(1))
+def retrieve(index: DataFrame, states: DataFrame, k: int = 15, variant=expand_query, embed=hash_embedding) -> DataFrame:
+    """states with chunks: hits of the query, and of one variant with its own vector unless the query is short."""
+    own = states.select("query_id", "file_key", "query", F.col("query_vec").cast("array<double>").alias("query_vec"), F.lit(0).alias("variant"))
+    other = own.where(~is_short("query") & (variant("query") != F.col("query"))).withColumns({"query": variant("query"), "query_vec": embed(variant("query")), "variant": F.lit(1)})
     asked = own.unionByName(other).withColumnRenamed("query_id", "_q").withColumn("query_id", F.struct("_q", "variant"))
     hits = dense_topk(index, asked.drop("_q", "variant"), k).withColumns({"variant": F.col("query_id.variant"), "query_id": F.col("query_id._q")})
     short = states.select("query_id", is_short("query").alias("_short"))
@@ -76,17 +77,18 @@ def retrieve(index: DataFrame, states: DataFrame, k: int = 15, variant=expand_qu
     return states.drop("chunks").join(listed, "query_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(listed.schema["chunks"].dataType)))
 
 
-def corrective_search(index: DataFrame, queries: DataFrame, k: int = 15, rewrite=expand_query, rewrites: int = 1) -> DataFrame:
+def corrective_search(index: DataFrame, queries: DataFrame, k: int = 15, rewrite=expand_query, rewrites: int = 1, variant=expand_query, embed=hash_embedding) -> DataFrame:
     """queries (query_id, file_key, query, query_vec) with kept chunks, rewrite_count and context.
 
     Retrieve, grade, and for those that need it rewrite and go again: the
-    bound on rewrites makes it a plan of so many stages.
+    bound on rewrites makes it a plan of so many stages. embed gives the
+    vectors of variants and rewritten queries.
     """
-    states = queries.withColumns({"original": F.col("query"), "rewrite_count": F.lit(0)})
+    states = queries.withColumn("query_vec", F.col("query_vec").cast("array<double>")).withColumns({"original": F.col("query"), "rewrite_count": F.lit(0)})
     done = None
     for turn in range(rewrites + 1):
-        graded = written(grade(retrieve(index, states, k), rewrites=rewrites), "graded")
+        graded = written(grade(retrieve(index, states, k, variant, embed), rewrites=rewrites), "graded")
         over = graded.where("not needs_rewrite").drop("needs_rewrite")
         done = over if done is None else done.unionByName(over)
-        states = graded.where("needs_rewrite").drop("needs_rewrite", "chunks").withColumns({"query": rewrite("query"), "rewrite_count": F.col("rewrite_count") + 1})
+        states = graded.where("needs_rewrite").drop("needs_rewrite", "chunks").withColumns({"query": rewrite("query"), "query_vec": embed(rewrite("query")), "rewrite_count": F.col("rewrite_count") + 1})
     return done.withColumn("context", context("chunks"))

@@ -30,20 +30,38 @@ def page_summaries(hits: DataFrame, images: DataFrame) -> DataFrame:
     return with_images(once, images).withColumn("summary", line)
 
 
+NUMBERS = ("BIGINT", "DOUBLE", "FLOAT")
+
+
+def _answer(reply: Column | str) -> Column:
+    """The JSON from the first brace to the last, as a variant; null if it can't be read."""
+    body = F.regexp_extract(F.regexp_replace(reply, r"```(json)?", ""), r"(?s)(\{.*\})", 1)
+    return F.try_parse_json(F.when(body != "", body))
+
+
+def model_shows(reply: Column | str) -> Column:
+    """Whether a selector's JSON reply {"show_images": .., "pages": [..]} says so; null if it can't be read."""
+    said = _answer(reply)
+    return F.when(said.isNotNull(), F.coalesce(F.try_variant_get(said, "$.show_images", "boolean"), F.lit(False)))
+
+
 def model_pages(reply: Column | str, valid: Column) -> Column:
-    """Pages of a selector's JSON reply {"pages": [..]}: whole numbers that are valid; text around the JSON is ignored."""
-    body = F.regexp_extract(F.regexp_replace(reply, r"```(json)?", ""), r"(?s)(\{.*)", 1)
-    pages = F.from_json(body, "pages array<string>")["pages"]
-    return F.filter(F.transform(pages, lambda p: p.try_cast("double").cast("int")), lambda p: p.isNotNull() & F.array_contains(valid, p))
+    """Pages of the reply that are valid, in its order: numbers (not quoted ones), cut to whole ones; text around the JSON is ignored."""
+    listed = F.try_variant_get(_answer(reply), "$.pages", "array<variant>")
+    number = lambda p: F.schema_of_variant(p).isin(*NUMBERS) | F.schema_of_variant(p).startswith("DECIMAL")
+    whole = F.transform(listed, lambda p: F.when(number(p), F.try_variant_get(p, "$", "double")))
+    pages = F.transform(whole, lambda x: F.when(F.abs(x) < 2.0**31, F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))).try_cast("int"))
+    return F.coalesce(F.filter(pages, lambda p: p.isNotNull() & F.array_contains(valid, p)), F.array().cast("array<int>"))
 
 
-def select_pages(queries: DataFrame, hits: DataFrame, images: DataFrame, reply: Column | None = None) -> DataFrame:
+def select_pages(queries: DataFrame, hits: DataFrame, images: DataFrame, reply: Column | None = None, repair: Column | None = None) -> DataFrame:
     """queries (query_id, file_key, query) with pages to show, by ordered rules.
 
-    Pages named that have an image; nothing for text questions or hits
-    without images; the first two for ambiguous ones; else a model's choice.
-    Without a model (reply), or if it chooses none for a visual question,
-    the first two.
+    Pages named that have an image; nothing without images; the first two for
+    ambiguous questions; else a model's choice (reply; where it can't be read,
+    repair, a second try). Without a model, the first two. Where it says no,
+    or neither reply can be read, the first two for a visual question, none
+    for one about text.
     """
     summaries = page_summaries(hits, images).where("has_image")
     shown = summaries.groupBy("query_id").agg(F.sort_array(F.collect_set("page")).alias("_shown"))
@@ -54,17 +72,39 @@ def select_pages(queries: DataFrame, hits: DataFrame, images: DataFrame, reply:
     none = F.array().cast("array<int>")
     have, kind = F.coalesce("_shown", none), intent("query")
     first_two = F.slice(have, 1, 2)
-    chosen = F.coalesce(model_pages(reply, have), none) if reply is not None else none
+    said = None if reply is None else reply if repair is None else F.when(model_shows(reply).isNull(), repair).otherwise(reply)
+    shows = F.lit(False) if said is None else F.coalesce(model_shows(said), F.lit(False))
     picked = (
         F.when(F.size(explicit_pages("query")) > 0, F.coalesce("_named", none))
         .when(F.size(have) == 0, none)
         .when(kind == "ambiguous", first_two)
-        .when((F.size(chosen) == 0) & ((kind == "visual") | F.lit(reply is None)), first_two)
-        .otherwise(chosen)
+        .when(shows, none if said is None else model_pages(said, have))
+        .when((kind == "visual") | F.lit(said is None), first_two)
+        .otherwise(none)
     )
     return met.withColumns({"intent": kind, "pages": picked}).drop("_shown", "_named")
 
 
+def images_for_query(queries: DataFrame, hits: DataFrame, images: DataFrame, reply: Column | None = None) -> DataFrame:
+    """queries with intent, images (page, url) to show, and pages_considered: those of all hits, sorted, repeats kept; no hits, intent "unknown"."""
+    number = F.when(F.coalesce("page", F.lit(0)) != 0, F.col("page"))
+    seen = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(number)).alias("pages_considered"))
+    met = select_pages(queries, hits, images, reply).join(seen, "query_id", "left")
+    found = F.transform("pages", lambda p: F.struct(p.alias("page"), image_url("file_key", p).alias("url")))
+    none = F.array().cast("array<struct<page:int,url:string>>")
+    have = F.col("pages_considered").isNotNull()
+    return met.withColumns({
+        "intent": F.when(have, F.col("intent")).otherwise("unknown"),
+        "images": F.when(have, found).otherwise(none),
+        "pages_considered": F.coalesce("pages_considered", F.array().cast("array<int>")),
+    }).drop("pages")
+
+
+def image_of(images: DataFrame, file_key: str, page: int) -> DataFrame:
+    """The row of a page's image; empty if there is none."""
+    return images.where((F.col("file_key") == file_key) & (F.col("page") == page)).limit(1)
+
+
 def page_note(pages: Column | str) -> Column:
     """A sentence that names the pages on view; empty without any."""
     listed = F.array_join(F.transform(pages, lambda p: F.concat(F.lit("p."), p.cast("string"))), ", ")

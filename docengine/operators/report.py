@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.functions.text import col, escape_latex_title, let, py_strip, report_title, sanitize_latex
+from docengine.functions.text import best_lines, col, display_name, escape_latex_title, let, py_strip, report_title, sanitize_latex
+
+from docengine.sources.scratch import written
 
 #: Names of the sections where a file shows no structure.
 DEFAULT_SECTIONS = [
@@ -26,7 +28,9 @@ SKIPPED = (
 ENTRY = r"(?iu)^(?:chapter|unit|part|module|section)\s+(\d+|[ivxlIVXL]+)[:\.\s]+(.+?)(?:\s+\*{0,2}\d+\*{0,2})?$"
 HEADING = r"(?iu)^(?:chapter|unit|part|module|section)\s+[\dIVXivx]+[:\.\s].+"
 CAPITALS = r"^[A-Z][A-Z\s\-/&,]{4,60}$"
+#: A page number after a title, and the name of what is before the first heading.
 PAGE_NUMBER = r"\s*\*{0,2}\d+\*{0,2}\s*$"
+PREAMBLE = "Preamble & Introduction"
 MOST_SECTIONS = 15
 SECTION_LIMIT, CHUNK_LIMIT, LEAST_PAGE = 400_000, 10_000, 300
 
@@ -99,7 +103,7 @@ def chapter_ranges(found: DataFrame, files: DataFrame) -> DataFrame:
     order = Window.partitionBy("file_key").orderBy("start_page")
     ranges = once.join(files, "file_key").withColumn("end_page", F.coalesce(F.lead("start_page").over(order) - 1, F.col("total")).cast("int"))
     before = ranges.withColumn("_n", F.row_number().over(order)).where("_n = 1 and start_page > 1")
-    before = before.select("file_key", F.lit(1).alias("start_page"), F.lit("Preamble & Introduction").alias("name"), (F.col("start_page") - 1).alias("end_page"))
+    before = before.select("file_key", F.lit(1).alias("start_page"), F.lit(PREAMBLE).alias("name"), (F.col("start_page") - 1).alias("end_page"))
     rows = ranges.select(before.columns).unionByName(before)
     numbered = rows.withColumns({"section_no": F.row_number().over(order), "_all": F.count("*").over(Window.partitionBy("file_key"))})
     columns = ["file_key", "section_no", "start_page", "end_page", "name"]
@@ -108,11 +112,13 @@ def chapter_ranges(found: DataFrame, files: DataFrame) -> DataFrame:
     return few.unionByName(many.groupBy("file_key").applyInPandas(_merged, SECTION))
 
 
-def sections(chunks: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Sections of each file: the caller's, else between headings (two at least), else the default ones; back matter goes."""
+def sections(chunks: DataFrame, names: list[str] | None = None, fast: bool = False) -> DataFrame:
+    """Sections of each file: the caller's, else between headings (two at least), else (or if fast) the default ones; back matter goes."""
     files = total_pages(chunks)
     if names := [n for n in names or [] if n.strip()]:
         found = even_partition(files, names)
+    elif fast:
+        found = even_partition(files)
     else:
         heads = headings(chunks)
         enough = heads.groupBy("file_key").count().where("count >= 2").select("file_key")
@@ -152,9 +158,9 @@ def contexts(placed: DataFrame, limit: int = SECTION_LIMIT, chunk_limit: int = C
     return every.select(*by, F.coalesce("context", F.lit("")).alias("context"), F.when(F.col("_low").isNull(), "N/A").otherwise(label).alias("page_range"))
 
 
-def write_sections(made: DataFrame, writer=None) -> DataFrame:
-    """contexts with text: writer(name, context, page_range), by default the context's first sentences."""
-    extract = F.concat(F.left(F.regexp_replace("context", r"\[p\.\d+\]\n", ""), F.lit(400)), F.lit(" (\\textit{"), F.col("page_range"), F.lit("})"))
+def write_sections(made: DataFrame, writer=None, keep: int = 5) -> DataFrame:
+    """contexts with text: writer(name, context, page_range), by default the keep lines of the whole context that best fit the name."""
+    extract = F.concat(best_lines("context", "name", keep), F.lit(" (\\textit{"), F.col("page_range"), F.lit("})"))
     body = extract if writer is None else writer(F.col("name"), F.col("context"), F.col("page_range"))
     return made.withColumn("text", F.when(F.col("context") == "", "\\textit{No content found.}").when(F.coalesce(body, F.lit("")) == "", "\\textit{Empty}").otherwise(body))
 
@@ -170,7 +176,33 @@ def assemble(written: DataFrame, author: str = "Report generator") -> DataFrame:
     return every.select("file_key", F.concat(head, escape_latex_title(report_title("file_key")), tail, F.coalesce("_body", F.lit("")), F.lit("\n\n\\end{document}")).alias("latex"))
 
 
-def generate_report(chunks: DataFrame, names: list[str] | None = None, writer=None) -> DataFrame:
-    """A LaTeX report of each file's chunks (file_key, page, chunk_index, text)."""
-    rows = chunks.where(F.length(py_strip("text")) > 0).withColumn("page", F.coalesce("page", F.lit(0)))
-    return assemble(write_sections(contexts(section_chunks(sections(rows, names), rows)), writer))
+def fallback_section(found: DataFrame, chunks: DataFrame, first: int = 200) -> DataFrame:
+    """section_chunks() of files that have no section: their first chunks under one name."""
+    rest = chunks.join(found.select("file_key").distinct(), "file_key", "left_anti")
+    order = Window.partitionBy("file_key").orderBy("page", "chunk_index")
+    some = rest.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= first).drop("_n")
+    whole = Window.partitionBy("file_key")
+    made = some.withColumns({"section_no": F.lit(1), "start_page": F.min("page").over(whole).cast("int"), "end_page": F.max("page").over(whole).cast("int"), "name": F.lit("Document Content")})
+    return made.select("file_key", "section_no", "start_page", "end_page", "name", *[c for c in chunks.columns if c != "file_key"])
+
+
+def generate_report(chunks: DataFrame, names: list[str] | None = None, writer=None, fast: bool = False) -> DataFrame:
+    """A LaTeX report of each file's chunks (file_key, page, chunk_index, text), which are written once.
+
+    A file whose sections are all back matter has its first chunks as one section.
+    """
+    rows = written(chunks.where(F.length(py_strip("text")) > 0).withColumn("page", F.coalesce("page", F.lit(0))), "report-chunks")
+    found = written(sections(rows, names, fast), "report-sections")
+    placed = section_chunks(found, rows).unionByName(fallback_section(found, rows))
+    return assemble(write_sections(contexts(placed), writer))
+
+
+def report_file(file_key: Column | str, ext: str = "tex") -> Column:
+    """The name a report is saved under."""
+    return F.concat(display_name(file_key), F.lit(f"_report.{ext}"))
+
+
+def save_reports(reports: DataFrame, path: str) -> None:
+    """One folder a file, named by report_file(), each with its LaTeX as text."""
+    named = reports.select(report_file("file_key").alias("file"), F.col("latex").alias("value"))
+    named.write.mode("overwrite").partitionBy("file").text(path)

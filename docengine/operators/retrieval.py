@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.functions.text import expand_query, tokens
+from docengine.functions.text import expand_query, let, tokens
+from docengine.plans.index import hash_embedding
+from docengine.sources.scratch import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-BROADCAST_QUERIES = 20_000
+BROADCAST_VALUES = 2_000_000  # numbers in the vectors of all queries, 8 bytes each
+BROADCAST_TERMS = 200_000
 
 
 # ---- vectors ----------------------------------------------------------------
@@ -27,50 +30,60 @@ def norm(a: Column | str) -> Column:
 
 
 def normalised(a: Column | str) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / n)
+    """Of length 1; a vector of zeros, or with a null, gives nulls."""
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.try_divide(x.cast("double"), n)))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where a vector is null or has no length."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def dense_topk(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The k chunks of a query's file with the largest cosine; pos counts from 0.
 
     index: file_key, chunk_id, embedding, ...; queries: query_id, file_key,
-    query, query_vec. A hash join on the file; the queries are broadcast if
-    few, which is checked. Ties: the lesser chunk_id.
+    query, query_vec. A hash join on the file; the queries are broadcast up to
+    BROADCAST_VALUES numbers in their vectors, which is checked, so that a
+    large file's chunks stay where they are and each task keeps k a query
+    before the exchange. Both sides are normalised once. Chunks and queries
+    without a vector, or with one of zeros, are no hits. Ties: the lesser
+    chunk_id.
     """
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    met = index.join(F.broadcast(queries) if few else queries, "file_key")
-    scored = met.withColumn("score", cosine("embedding", "query_vec")).drop("embedding", "query_vec")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    few = (queries.agg(F.sum(F.size("query_vec"))).first()[0] or 0) <= BROADCAST_VALUES
+    unit = lambda df, c: df.withColumn(c, normalised(c)).where(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()))
+    asked = unit(queries, "query_vec")
+    met = unit(index, "embedding").join(F.broadcast(asked) if few else asked, "file_key")
+    scored = met.withColumn("score", dot("embedding", "query_vec")).drop("embedding", "query_vec")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     top = scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
     return top.withColumns({"pos": F.col("pos") - 1, "score": F.round("score", 4)})
 
 
 # ---- BM25 ---------------------------------------------------------------------
-def _bm25(postings: DataFrame, by: list[str], asked: DataFrame, doc: str) -> DataFrame:
-    """(by, doc, bm25): postings (by, doc, token, tf, dl), asked (by, token, times)."""
-    lengths = postings.select(*by, doc, "dl").distinct().groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy(*by, "token").agg(F.count("*").alias("df"))
+def _bm25(docs: DataFrame, by: list[str], asked: DataFrame, doc: str) -> DataFrame:
+    """(by, doc, bm25): docs (by, doc, text), asked (by, query_id, token, times).
+
+    Only how many texts have a token is counted for all of them, with one
+    partial count a task; counts within a text are for the queries' tokens.
+    """
+    listed = docs.select(*by, doc, tokens("text").alias("_t")).withColumn("dl", F.size("_t")).where("dl > 0")
+    lengths = listed.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df = listed.select(*by, F.explode(F.array_distinct("_t")).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("df"))
     df = df.join(lengths, by) if by else df.crossJoin(F.broadcast(lengths))  # one row
-    df = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = written(df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "idf")
     mean = df.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
-    df = df.join(mean, by) if by else df.crossJoin(F.broadcast(mean))  # one row
-    df = df.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
     on = [*by, "token"]
-    terms = asked.join(df, on).join(postings.select(*on, doc, "tf", "dl"), on)
+    terms = asked.join(df, on)
+    terms = terms.join(mean, by) if by else terms.crossJoin(F.broadcast(mean))  # one row
+    terms = written(terms.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))), "terms")
+    few = terms.count() <= BROADCAST_TERMS
+    wanted = terms.select(*on).distinct()
+    inner = listed.select(*by, doc, "dl", F.explode("_t").alias("token")).join(F.broadcast(wanted) if few else wanted, on, "left_semi")
+    tf = inner.groupBy(*by, doc, "token", "dl").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     keys = ["query_id", doc] if "query_id" not in by else [*by, doc]
-    return terms.groupBy(*keys).agg(F.sum(part).alias("bm25"))
-
-
-def postings(docs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, token, tf, dl) of each text's tokens."""
-    listed = docs.select(*keys, tokens("text").alias("_t")).withColumn("dl", F.size("_t"))
-    return listed.select(*keys, "dl", F.explode("_t").alias("token")).groupBy(*keys, "token", "dl").agg(F.count("*").alias("tf"))
+    return tf.join(F.broadcast(terms) if few else terms, on).groupBy(*keys).agg(F.sum(part).alias("bm25"))
 
 
 def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -82,7 +95,7 @@ def bm25_over_hits(hits: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
 
     Scores are over the largest; only those over 0 stay; rank counts from 0.
     """
-    scored = _bm25(postings(hits, "query_id", "pos"), ["query_id"], query_terms(queries), "pos")
+    scored = _bm25(hits, ["query_id"], query_terms(queries), "pos")
     whole = Window.partitionBy("query_id")
     best = F.max("bm25").over(whole)
     scored = scored.withColumn("bm25", F.when(best > 0, F.col("bm25") / best).otherwise(F.col("bm25"))).where("bm25 > 0")
@@ -92,7 +105,7 @@ def bm25_over_hits(hits: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
 
 def bm25_corpus(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, chunk_id, bm25, rank) with the whole corpus as corpus; an extension."""
-    scored = _bm25(postings(docs, "chunk_id"), [], query_terms(queries), "chunk_id")
+    scored = _bm25(docs, [], query_terms(queries), "chunk_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -164,8 +177,20 @@ def rerank(hits: DataFrame, prior: str, top: int = 8, scorer=lexical_score, quer
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 20, pool: int = 16, top: int = 8) -> DataFrame:
-    """Expanded query to dense hits to BM25 over them, fused, diversified, re-ranked on the raw query."""
-    dense = dense_topk(index, queries, k)
-    lexical = bm25_over_hits(dense, queries.withColumn("query", expand_query("query")), k)
+def expanded(queries: DataFrame, embed=hash_embedding, expand=expand_query) -> DataFrame:
+    """queries with the expanded text as query, and its vector where that differs."""
+    wide = queries.withColumn("_wide", expand("query"))
+    return wide.withColumns({"query_vec": F.when(F.col("_wide") == F.col("query"), F.col("query_vec").cast("array<double>")).otherwise(embed("_wide")), "query": F.col("_wide")}).drop("_wide")
+
+
+def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 20, pool: int = 16, top: int = 8, embed=hash_embedding) -> DataFrame:
+    """Expanded query to dense hits to BM25 over them, fused, diversified, re-ranked on the raw query.
+
+    embed gives the vector of an expanded query; one with nothing to expand
+    keeps its own.
+    """
+    wide = expanded(queries, embed)
+    raw = queries.select("query_id", F.col("query").alias("_raw"))
+    dense = written(dense_topk(index, wide, k).join(raw, "query_id").withColumn("query", F.col("_raw")).drop("_raw"), "dense")
+    lexical = bm25_over_hits(dense, wide, k)
     return rerank(mmr(rrf(dense, lexical), top_n=pool), "mmr_pos", top)

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions.rules import is_small_talk, small_talk_reply
+from docengine.functions.text import best_lines, py_strip
 from docengine.operators.corrective import HIT, corrective_search
 from docengine.operators.pages import page_note, select_pages
 from docengine.operators.retrieval import hybrid_search
 from docengine.operators.report import DEFAULT_SECTIONS
+from docengine.plans.index import hash_embedding
 from docengine.sources.scratch import written
 
 INSTRUCTIONS = "Answer from the context alone, in detail, and cite pages as p.N. If the context does not answer the question, say so."
@@ -29,18 +31,24 @@ def prompt(question: Column | str, context: Column | str, note: Column | str) ->
     return F.concat(F.lit(INSTRUCTIONS + "\n\nContext:\n"), context, F.lit("\n\nQuestion: "), question, F.when(F.length(note) > 0, F.concat(F.lit("\n\n"), note)).otherwise(""))
 
 
-def extract(prompt_text: Column) -> Column:
-    """The default model: the context's first 300 characters."""
-    return F.left(F.regexp_extract(prompt_text, r"(?s)Context:\n(.*)\n\nQuestion: ", 1), F.lit(300))
+def extract(prompt_text: Column, keep: int = 3) -> Column:
+    """The default model: the keep lines of the whole context that best fit the question."""
+    part = lambda i: F.regexp_extract(prompt_text, r"(?s)Context:\n(.*)\n\nQuestion: (.*)$", i)
+    return best_lines(part(1), part(2), keep, skip=r"^\[[A-Z]+ \| .*\]$")
 
 
-def ask(index: DataFrame, queries: DataFrame, images: DataFrame, statuses: DataFrame | None = None, model=extract) -> DataFrame:
+def ask(index: DataFrame, queries: DataFrame, images: DataFrame, statuses: DataFrame | None = None, model=extract, embed=hash_embedding) -> DataFrame:
     """queries (query_id, file_key, query, query_vec) with answer, pages and path.
 
-    path says which rule answered: small_talk, status (the file is being
-    indexed or failed), corrective, hybrid (where corrective retrieval found
-    nothing), or nothing. The model sees only rows that have a context.
+    path says which rule answered: missing (no prompt or file is named),
+    small_talk, status (the file is being indexed or failed), corrective,
+    hybrid (where corrective retrieval found nothing), or nothing. The model
+    sees only rows that have a context; embed gives the vectors of variants,
+    rewritten and expanded queries.
     """
+    blank = (F.coalesce(py_strip("query"), F.lit("")) == "") | (F.coalesce(py_strip("file_key"), F.lit("")) == "")
+    missing = queries.where(blank).select("query_id", F.lit("A prompt and a file name are required.").alias("answer"), F.array().cast("array<int>").alias("pages"), F.lit("missing").alias("path"))
+    queries = queries.where(~blank)
     talk = is_small_talk("query")
     columns = ["query_id", "answer", "pages", "path"]
     none = F.array().cast("array<int>")
@@ -52,11 +60,11 @@ def ask(index: DataFrame, queries: DataFrame, images: DataFrame, statuses: DataF
         said = said.unionByName(met.where(reason.isNotNull()).select("query_id", reason.alias("answer"), none.alias("pages"), F.lit("status").alias("path")))
         rest = met.where(reason.isNull()).drop("status", "message")
 
-    found = written(corrective_search(index, rest.select("query_id", "file_key", "query", "query_vec")), "corrective")
+    found = written(corrective_search(index, rest.select("query_id", "file_key", "query", "query_vec"), embed=embed), "corrective")
     first = found.where(F.size("chunks") > 0)
     hits = first.select("query_id", "file_key", F.posexplode("chunks").alias("pos", "c")).select("query_id", "file_key", "pos", *[f"c.{x}" for x in HIT])
     missed = rest.join(first.select("query_id"), "query_id", "left_anti")
-    second = written(hybrid_search(index, missed), "hybrid")
+    second = written(hybrid_search(index, missed, embed=embed), "hybrid")
     other = second.select("query_id", "file_key", (F.col("rank") - 1).alias("pos"), *HIT)
     contexts = first.select("query_id", "context", F.lit("corrective").alias("path")).unionByName(fallback_context(second).withColumn("path", F.lit("hybrid")))
 
@@ -65,7 +73,7 @@ def ask(index: DataFrame, queries: DataFrame, images: DataFrame, statuses: DataF
     asked = ready.where("context is not null").withColumn("_prompt", prompt("query", "context", page_note("pages")))
     answered = asked.withColumn("answer", model(F.col("_prompt"))).select(columns)
     nothing = ready.where("context is null").select("query_id", F.concat(F.lit("No relevant content found in '"), "file_key", F.lit("'.")).alias("answer"), none.alias("pages"), F.lit("nothing").alias("path"))
-    return said.select(columns).unionByName(answered).unionByName(nothing)
+    return missing.unionByName(said.select(columns)).unionByName(answered).unionByName(nothing)
 
 
 def health(spark: SparkSession, **parts: bool) -> DataFrame:

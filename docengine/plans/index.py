@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docengine.sources.scratch import written
+
 STATUS = "file_key string, status string, message string, updated_at timestamp"
 
 
 def hash_embedding(text, dims: int = 64):
-    """The default embedder: signed counts of word hashes, all in the JVM."""
+    """The default embedder: signed counts of word hashes, all in the JVM. A text without words gives nulls, which no search finds."""
     from docengine.functions.text import tokens
     from docengine.operators.retrieval import normalised
 
@@ -58,6 +60,66 @@ def drop_file(spark: SparkSession, path: str, file_key: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def write_cache(chunks: DataFrame, path: str) -> None:
+    """Remember the chunks of whole files (path, md5, and the chunk's columns): a file's entry is replaced as a whole."""
+    packed = chunks.groupBy("path", "md5").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.to_json(F.struct(*[c for c in chunks.columns if c not in ("path", "md5")])).alias("json")))).alias("chunks"))
+    packed.withColumn("file", F.sha2("path", 256)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str, files: DataFrame, schema: str) -> DataFrame:
+    """Chunks of the files (path, content or md5) whose cached entry is of the same content; an entry that can't be read is a miss."""
+    hits = cache_hits(files, spark.read.parquet(path))
+    rows = hits.select("path", "md5", F.explode("chunks").alias("c"))
+    return rows.select("path", "md5", F.from_json("c.json", schema).alias("c")).select("path", "md5", "c.*")
+
+
+def write_json(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines, in the order of files and chunks."""
+    chunks.sortWithinPartitions("file_key", "chunk_index").write.mode("overwrite").json(path)
+
+
+def index_files(files: DataFrame, pages: DataFrame, path: str, log: str, embed=hash_embedding, force: bool = False) -> DataFrame:
+    """Index files (file_key) from their chunks (pages: file_key, chunk_index, text, ..) and return the statuses it logged.
+
+    A file that has chunks in the index is ready and left alone unless force.
+    Others are logged as indexing, then as ready, or as an error with "No
+    chunks produced". log is a Parquet table of STATUS rows.
+    """
+    spark = files.sparkSession
+    def said(rows: DataFrame, status: str, message: str | None = None) -> None:
+        rows.select("file_key", F.lit(status).alias("status"), F.lit(message).cast("string").alias("message"), F.current_timestamp().alias("updated_at")).write.mode("append").parquet(log)
+
+    names = files.select("file_key").distinct()
+    due = names if force else not_indexed(names, _indexed(spark, path))
+    said(names.join(due, "file_key", "left_anti"), "ready")
+    due = written(due, "due")
+    said(due, "indexing")
+    chunks = written(with_ids(pages.join(due, "file_key", "left_semi").withColumn("embedding", embed("text"))), "chunks")
+    have = chunks.select("file_key").distinct()
+    if not chunks.isEmpty():
+        write_index(chunks, path)
+    said(due.join(have, "file_key", "left_semi"), "ready")
+    said(due.join(have, "file_key", "left_anti"), "error", "No chunks produced")
+    return latest_status(spark.read.schema(STATUS).parquet(log)).join(names, "file_key", "left_semi")
+
+
+def _indexed(spark: SparkSession, path: str) -> DataFrame:
+    """The files of the index; none where there is no index yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return read_index(spark, path).select("file_key") if there else spark.createDataFrame([], "file_key string")
+
+
+def reindex(spark: SparkSession, file_key: str, sources: list[DataFrame], path: str, log: str, embed=hash_embedding) -> DataFrame:
+    """Index a file again from the first of sources (chunks) that has it; the index is not touched if none has."""
+    for pages in sources:
+        own = pages.where(F.col("file_key") == file_key)
+        if not own.isEmpty():
+            drop_file(spark, path, file_key)
+            return index_files(own.select("file_key").distinct(), own, path, log, embed, force=True)
+    raise FileNotFoundError(f"File not found: {file_key}")
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """(file_key, status, message): the last entry of each file."""
     return log.groupBy("file_key").agg(F.max_by(F.struct("status", "message"), "updated_at").alias("s")).select("file_key", "s.status", "s.message")

@@ -7,15 +7,21 @@ index partitioned by source, and benchmark items with a vector as queries.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import rules, text
 from docengine.operators import chunking, corrective, pages, report, retrieval
 from docengine.plans import answer, index
+from docengine.sources.scratch import written
 from docengine.streaming import ingest, tokens
 
 
+LETTERS = string.ascii_letters + string.digits + ".,"
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,11 +51,29 @@ def markdown(spark, sf_dir):
     return listed.select("doc_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
-def vector_index(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_key"), "source", "text")
-    met = docs.join(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+def letter_embedding(c):
+    """How often a text has each of LETTERS: an embedder that SQL can express."""
+    one = F.length(c)
+    return F.array(*[(one - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
+
+
+def letter_embedding_of(c):
+    return letter_embedding(F.col(c) if isinstance(c, str) else c)
+
+
+def index_rows(spark, sf_dir):
+    """All documents as chunks of a page, without vectors."""
     n = F.col("chunk_id").cast("int")
-    return met.withColumns({"page": n % 40, "total_pages": F.lit(40), "chunk_index": n, "type": F.when(n % 7 == 0, "table").otherwise("text"), "image_path": F.lit("")})
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_key"), "source", "text")
+    return docs.withColumns({"page": n % 40, "total_pages": F.lit(40), "chunk_index": n, "type": F.when(n % 7 == 0, "table").otherwise("text"), "image_path": F.lit("")})
+
+
+def vector_index(spark, sf_dir):
+    """index_rows() with their vector or else their letter_embedding(), written once as an index is."""
+    docs = index_rows(spark, sf_dir)
+    met = docs.join(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+    met = met.withColumn("embedding", F.when(F.col("embedding").isNull(), letter_embedding(F.col("text"))).otherwise(F.col("embedding").cast("array<double>")))
+    return written(met, "index")
 
 
 def vector_queries(spark, sf_dir):
@@ -58,7 +82,7 @@ def vector_queries(spark, sf_dir):
 
 
 def image_pages(spark, sf_dir):
-    return vector_index(spark, sf_dir).where("page % 3 = 0").select("file_key", "page").distinct()
+    return index_rows(spark, sf_dir).where("page % 3 = 0").select("file_key", "page").distinct()
 
 
 def user_turns(spark, sf_dir):
@@ -75,12 +99,13 @@ WITH = """
 with lines as (select doc_id, source, unnest(range(0, len(l))) as i, unnest(l) as line from (select doc_id, source, string_split(text, chr(10)) as l from documents where text is not null)),
 chunk_lines as (select 'doc_' || doc_id as file_key, cast(i // 5 + 1 as int) as page, cast(i as int) as chunk_index, line as text from lines where length(trim(line)) >= 30),
 headed as (select file_key, page, chunk_index, case when page % 3 = 1 and chunk_index % 5 = 0 then 'Chapter ' || page || ': ' || left(text, 20) || chr(10) || text else text end as text from chunk_lines),
-vindex as (select doc_id as chunk_id, source as file_key, text, embedding, cast(doc_id % 40 as int) as page, case when doc_id % 7 = 0 then 'table' else 'text' end as type from documents join embeddings on doc_id = vec_id),
+vindex as (select doc_id as chunk_id, source as file_key, text, coalesce(embedding::double[], {LETTERS}) as embedding, cast(doc_id % 40 as int) as page, case when doc_id % 7 = 0 then 'table' else 'text' end as type from documents left join embeddings on doc_id = vec_id),
 vqueries as (select item_id as query_id, 'src' || (item_id % 20) as file_key, text as query, embedding as query_vec from benchmark join embeddings on item_id = vec_id),
-scored as (select query_id, file_key, query, chunk_id, text, page, type, list_cosine_similarity(embedding::double[], query_vec::double[]) as s from vindex join vqueries using (file_key)),
-dense as (select * from (select *, row_number() over (partition by query_id order by s desc, chunk_id) - 1 as pos from scored) where pos < 20),
+scored as (select * from (select query_id, file_key, query, chunk_id, text, page, type, list_cosine_similarity(embedding::double[], query_vec::double[]) as s from vindex join vqueries using (file_key)) where s is not null and not isnan(s)),
+dense as (select * from (select *, row_number() over (partition by query_id order by round(s, 9) desc, chunk_id) - 1 as pos from scored) where pos < 20),
 plain as (select 'c' || conv_id || '-' || turn as id, text from conversations where role = 'user' union all select 'b' || item_id, text from benchmark),
 """
+WITH = WITH.replace("{LETTERS}", "[" + ", ".join(f"(length(text) - length(replace(text, '{x}', '')))::double" for x in LETTERS) + "]")
 _STARTS = "['hi', 'What''s up', 'show the diagram of', 'what is', 'compare page 3 and p. 12', 'help', 'explain rag vs fig.']"
 
 
@@ -184,7 +209,7 @@ def rerank(spark, sf_dir):
 
 
 def hybrid_search(spark, sf_dir):
-    return retrieval.hybrid_search(vector_index(spark, sf_dir), vector_queries(spark, sf_dir)).select("query_id", "rank", "chunk_id", "score", F.round("rerank_score", 6).alias("rerank_score"))
+    return retrieval.hybrid_search(vector_index(spark, sf_dir), vector_queries(spark, sf_dir), embed=letter_embedding_of).select("query_id", "rank", "chunk_id", "score", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 def dedupe_variants(spark, sf_dir):
@@ -204,7 +229,7 @@ def grade_chunks(spark, sf_dir):
 
 
 def corrective_search(spark, sf_dir):
-    return corrective.corrective_search(vector_index(spark, sf_dir), vector_queries(spark, sf_dir)).select("query_id", "rewrite_count", F.size("chunks").alias("kept"), "context")
+    return corrective.corrective_search(vector_index(spark, sf_dir), vector_queries(spark, sf_dir), embed=letter_embedding_of).select("query_id", "rewrite_count", F.size("chunks").alias("kept"), "context")
 
 
 def page_images(spark, sf_dir):
@@ -217,6 +242,26 @@ def page_select(spark, sf_dir):
     return out.select("query_id", "intent", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
+REPLIES = ['sure: ```json {"show_images": true, "pages": [3, 6, "9", 12.7, 1e12, 15, -3, null]}``` done', '{"show_images": false, "pages": [3]}', "not json {", '{"pages": [3, 6]}', '{"show_images": true, "pages": []}']
+
+
+def _asked(spark, sf_dir):
+    put = F.element_at(F.array(F.lit("show the figure of "), F.lit("explain "), F.lit("")), (F.col("query_id") % 3 + 1).cast("int"))
+    return vector_queries(spark, sf_dir).withColumn("query", F.concat(put, "query"))
+
+
+def page_model(spark, sf_dir):
+    """Pages by a model's replies of several kinds."""
+    reply = F.element_at(F.array(*map(F.lit, REPLIES)), (F.col("query_id") % 5 + 1).cast("int"))
+    out = pages.select_pages(_asked(spark, sf_dir), _dense(spark, sf_dir), image_pages(spark, sf_dir), reply)
+    return out.select("query_id", "intent", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+def images_for_query(spark, sf_dir):
+    out = pages.images_for_query(_asked(spark, sf_dir), _dense(spark, sf_dir), image_pages(spark, sf_dir))
+    return out.select("query_id", "intent", F.array_join(F.transform("images", lambda i: i["url"]), ",").alias("images"), F.array_join(F.col("pages_considered").cast("array<string>"), ",").alias("pages_considered"))
+
+
 def chunks_preview(spark, sf_dir):
     return pages.chunk_listing(chunk_lines(spark, sf_dir)).select("file_key", "chunk_index", "preview", "image_url")
 
@@ -242,13 +287,13 @@ def section_join(spark, sf_dir):
 
 def section_context(spark, sf_dir):
     rows = headed_lines(spark, sf_dir)
-    return report.contexts(report.section_chunks(report.sections(rows), rows), limit=1500, chunk_limit=400).select("file_key", "section_no", "page_range", "context")
+    return report.contexts(report.section_chunks(report.sections(rows), rows)).select("file_key", "section_no", "page_range", "context")
 
 
 def section_context_whole(spark, sf_dir):
-    """section_context() under the operator's own budgets."""
+    """section_context() of the default sections, as in fast mode."""
     rows = headed_lines(spark, sf_dir)
-    return report.contexts(report.section_chunks(report.sections(rows), rows)).select("file_key", "section_no", "page_range", "context")
+    return report.contexts(report.section_chunks(report.sections(rows, fast=True), rows)).select("file_key", "section_no", "page_range", "context")
 
 
 def report_latex(spark, sf_dir):
@@ -278,15 +323,20 @@ def think_stream(spark, sf_dir):
     return tokens.parse(rows.select("stream_id", "seq", F.to_json(F.struct(F.struct("content").alias("message"), "done")).alias("line")))
 
 
+def decode_stream(spark, sf_dir):
+    """think_stream() as a client gets it, put together again."""
+    return tokens.decode(tokens.to_lines(think_stream(spark, sf_dir))).select("stream_id", "text", "thinking", "think_done")
+
+
 def ask(spark, sf_dir):
     """Benchmark questions, some as small talk, of files of which some are still being indexed."""
     q = vector_queries(spark, sf_dir).withColumn("query", F.when(F.col("query_id") % 9 == 0, F.concat(F.lit("hello "), "query")).otherwise(F.col("query")))
     status = q.select("file_key").distinct().select("file_key", F.when(F.col("file_key") == "src3", "indexing").when(F.col("file_key") == "src4", "error").otherwise("ready").alias("status"), F.lit("No chunks produced").alias("message"))
-    return answer.ask(vector_index(spark, sf_dir), q, image_pages(spark, sf_dir), status).select("query_id", "path", "answer", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+    return answer.ask(vector_index(spark, sf_dir), q, image_pages(spark, sf_dir), status, embed=letter_embedding_of).select("query_id", "path", "answer", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
 def image_diagnosis(spark, sf_dir):
-    rows = vector_index(spark, sf_dir).withColumn("image_path", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(""))
+    rows = index_rows(spark, sf_dir).withColumn("image_path", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(""))
     return answer.image_diagnosis(rows, image_pages(spark, sf_dir))
 
 
@@ -298,7 +348,7 @@ QUERIES = {f.__name__: f for f in (
     tokenize, clean_text, expand_query, file_names, latex_text, normalise_math, small_talk, query_rules, strip_table_lines, chunk_documents,
     chunk_markdown, chunk_reindex, chunk_stats, dense_topk, bm25_hits, bm25_corpus, rrf, bow_cosine, mmr, rerank, hybrid_search, dedupe_variants,
     grade_chunks, corrective_search, page_images, page_select, chunks_preview, even_partition, heading_scan, section_ranges, section_join,
-    section_context, section_context_whole, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis,
+    section_context, section_context_whole, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis, page_model, images_for_query, decode_stream,
 )}
 
 
@@ -342,6 +392,7 @@ keyed as (select *, case when regexp_matches(clean, '(?i)^(?:chapter|unit|part|m
 _NAMES = "[" + ", ".join(f"'{n}'" for n in report.DEFAULT_SECTIONS) + "]"
 _EVEN = f"""select file_key, cast(i + 1 as int) as section_no, cast(i * greatest(total // 5, 1) + 1 as int) as start_page, cast(case when i < 4 then (i + 1) * greatest(total // 5, 1) else total end as int) as end_page, {_NAMES}[i + 1] as name
   from (select file_key, max(page) as total from {{chunks}} group by all) f, (select unnest(range(0, 5)) as i) r"""
+_PLACED = "placed as (select s.*, c.page, c.chunk_index, c.text from sections s left join headed c on s.file_key = c.file_key and c.page between s.start_page and s.end_page)"
 _SECTIONS = _HEADS + f""",
 enough as (select file_key from heads group by all having count(*) >= 2),
 once as (select file_key, page as start_page, left(clean, 80) as name from (select *, row_number() over (partition by file_key, lower(regexp_replace(coalesce(key, clean), '\\s+', ' ', 'g')) order by page) as rn from keyed) where rn = 1 and file_key in (select file_key from enough)),
@@ -350,7 +401,7 @@ allr as (select * from ranged union all select file_key, 1, min(start_page) - 1,
 sects as (select file_key, cast(row_number() over (partition by file_key order by start_page) as int) as section_no, start_page, end_page, name from allr
   union all select * from ({_EVEN.format(chunks="headed")}) where file_key not in (select file_key from enough)),
 sections as (select * from sects where not regexp_matches({_strip("name")}, '{report.SKIPPED.replace("(?iu)", "(?i)")}')),
-placed as (select s.*, c.page, c.chunk_index, c.text from sections s left join headed c on s.file_key = c.file_key and c.page between s.start_page and s.end_page)"""
+""" + _PLACED
 
 
 def _contexts(limit: int, chunk_limit: int) -> str:
@@ -369,6 +420,12 @@ _NBSP = lambda c: f"translate({c}, chr(8239) || chr(160) || chr(8195) || chr(819
 _HEAD = "\\documentclass[12pt]{article}\n\\usepackage[utf8]{inputenc}\n\\usepackage[T1]{fontenc}\n\\usepackage[margin=1in]{geometry}\n\\usepackage{amsmath,amssymb,booktabs,longtable,hyperref}\n\n\\title{"
 _TAIL = "}\n\\author{Report generator}\n\\date{\\today}\n\\begin{document}\n\\maketitle\n\\tableofcontents\n\\newpage\n\n"
 _MADE = "made0 as (select file_key, chunk_index, case when chunk_index % 11 = 0 then 'vlm' else 'plain_text' end as method, case when chunk_index % 3 = 0 then 'table' else 'text' end as type, page from chunk_lines)"
+_PICK = rf"""img as (select distinct file_key, page from vindex where page % 3 = 0),
+asked as (select query_id, file_key, ['show the figure of ', 'explain ', ''][query_id % 3 + 1] || query as text from vqueries),
+shown as (select query_id, list(distinct d.page order by d.page) as have from dense d join img using (file_key, page) where d.page <> 0 group by all),
+ex as (select query_id, file_key, {_INTENT} as intent, regexp_extract_all(lower(text), '(?:page|slide|p\.?)\s*(\d+)', 1) as nums from asked),
+nm as (select query_id, unnest(nums) as p, unnest(range(0, len(nums))) as i, file_key from ex),
+named as (select query_id, string_agg(p, ',' order by i) as pages from nm where (file_key, cast(p as int)) in (select (file_key, page) from img) group by all)"""
 _ASKED = "long as (select query_id, list_filter(list_distinct({t}), lambda x: length(x) > 3) as asked from vqueries)".format(t=_toks("query"))
 
 ORACLE_SQL = {
@@ -426,15 +483,26 @@ ex as (select query_id, file_key, {_INTENT} as intent, regexp_extract_all(lower(
 nm as (select query_id, unnest(nums) as p, unnest(range(0, len(nums))) as i, file_key from ex),
 named as (select query_id, string_agg(p, ',' order by i) as pages from nm where (file_key, cast(p as int)) in (select (file_key, page) from img) group by all)
 select query_id, intent, case when len(nums) > 0 then coalesce(named.pages, '') when have is null then '' else array_to_string(list_slice(have, 1, 2), ',') end as pages from ex left join shown using (query_id) left join named using (query_id)""",
+    "page_model": WITH + _PICK + """, modelled as (select *, case query_id % 5 when 0 then list_filter([3, 6, 12, 15], lambda x: list_contains(coalesce(have, []), x)) when 4 then [] end as said from ex left join shown using (query_id) left join named using (query_id))
+select query_id, intent, case when len(nums) > 0 then coalesce(pages, '') when have is null then '' when intent = 'ambiguous' then array_to_string(list_slice(have, 1, 2), ',')
+  when said is not null then array_to_string(said, ',') when intent = 'visual' then array_to_string(list_slice(have, 1, 2), ',') else '' end as pages from modelled""",
+    "images_for_query": WITH + _PICK + """, seen as (select query_id, array_to_string(list(page order by page) filter (page <> 0), ',') as considered from dense group by all),
+urls as (select query_id, intent, file_key, case when len(nums) > 0 then coalesce(pages, '') when have is null then '' else array_to_string(list_slice(have, 1, 2), ',') end as shown from ex left join shown using (query_id) left join named using (query_id))
+select query_id, case when seen.query_id is null then 'unknown' else intent end as intent, case when seen.query_id is null or shown = '' then '' else array_to_string(list_transform(string_split(shown, ','), lambda p: '/page-image/' || file_key || '/' || p), ',') end as images, coalesce(considered, '') as pages_considered
+from urls left join seen using (query_id)""",
+    "decode_stream": "select conv_id || '-' || turn as stream_id, 'so  ' || text as text, 'let me see' as thinking, true as think_done from conversations",
     "chunks_preview": WITH + "z as (select 1) select file_key, chunk_index, case when length(text) > 300 then left(text, 300) || '...' else text end as preview, '/page-image/' || file_key || '/' || page as image_url from chunk_lines",
     "even_partition": WITH + "z as (select 1) " + _EVEN.format(chunks="chunk_lines"),
     "heading_scan": WITH + _HEADS + " select file_key, page, title, key from keyed",
     "section_ranges": WITH + _SECTIONS + " select file_key, section_no, start_page, end_page, name from sections",
     "section_join": WITH + _SECTIONS + " select file_key, section_no, count(chunk_index) as chunks, min(chunk_index) as first, max(chunk_index) as last from placed group by all",
-    "section_context": WITH + _SECTIONS + _contexts(1500, 400) + " select file_key, section_no, page_range, context from made",
-    "section_context_whole": WITH + _SECTIONS + _contexts(400_000, 10_000) + " select file_key, section_no, page_range, context from made",
+    "section_context": WITH + _SECTIONS + _contexts(400_000, 10_000) + " select file_key, section_no, page_range, context from made",
+    "section_context_whole": WITH + f"sections as ({_EVEN.format(chunks='headed')}), " + _PLACED + _contexts(400_000, 10_000) + " select file_key, section_no, page_range, context from made",
     "report_latex": WITH + _SECTIONS + _contexts(400_000, 10_000) + rf""",
-written as (select *, case when context = '' then '\textit{{No content found.}}' else left(regexp_replace(context, '\[p\.\d+\]\n', '', 'g'), 400) || ' (\textit{{' || page_range || '}})' end as text from made),
+best as (select file_key, section_no, i, line, row_number() over (partition by file_key, section_no order by len(list_intersect(list_distinct({_toks("name")}), list_distinct({_toks("line")}))) desc, i) as rn
+  from (select file_key, section_no, name, unnest(range(0, len(l))) as i, unnest(l) as line from (select *, string_split(context, chr(10)) as l from made where context <> '')) where {_strip("line")} <> '' and not regexp_matches(line, '^\[p\.\d+\]$')),
+lns as (select file_key, section_no, string_agg(line, ' ' order by i) as body from best where rn <= 5 group by all),
+written as (select made.*, case when context = '' then '\textit{{No content found.}}' else coalesce(body, '') || ' (\textit{{' || page_range || '}})' end as text from made left join lns using (file_key, section_no)),
 bodies as (select file_key, string_agg('\section{{' || {_ESC("name")} || '}}' || chr(10) || chr(10) || {_NBSP(_strip("text"))}, chr(10) || chr(10) order by section_no) as body from written where not contains(text, '\textit{{No content') group by all)
 select file_key, '{_HEAD}' || 'Doc ' || substr(file_key, 5) || '{_TAIL}' || coalesce(body, '') || chr(10) || chr(10) || '\end{{document}}' as latex from (select distinct file_key from written) left join bodies using (file_key)""",
     "cache_misses": "select '/docs/' || doc_id || '.txt' as path, md5(text) as md5 from documents where doc_id % 3 = 0 or doc_id % 5 = 0",

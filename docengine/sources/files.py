@@ -18,7 +18,7 @@ def _name(path):
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, name, ext, length, modificationTime) of all files below path; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", _name(F.col("path")).alias("name"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("ext"), "length", "modificationTime")
+    return files.select("path", _name(F.col("path")).alias("name"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("ext"), "length", "modificationTime").orderBy("path")
 
 
 def accepted(files: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def pdf_pages(spark: SparkSession, path: str, extract) -> DataFrame:
     """Pages of PDF files by extract(content) -> [(page, text, method, image_path)], run in Arrow batches.
 
     The extractor is a parameter: no PDF library is needed here. A file that
-    it fails on gives no pages.
+    it fails on gives one row with a null page and the error as error.
     """
     import pandas as pd
 
@@ -51,21 +51,24 @@ def pdf_pages(spark: SparkSession, path: str, extract) -> DataFrame:
             for file, content in zip(batch["path"], batch["content"]):
                 try:
                     pages = list(extract(bytes(content)))
-                except Exception:
-                    pages = []
-                out += [(file, p, len(pages), t, m, i) for p, t, m, i in pages]
-            yield pd.DataFrame(out, columns=["path", "page", "total_pages", "text", "method", "image_path"])
+                    out += [(file, p, len(pages), t, m, i, None) for p, t, m, i in pages]
+                except Exception as e:  # the extractor's own, of any kind; it goes to the status log
+                    out.append((file, None, 0, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "page", "total_pages", "text", "method", "image_path", "error"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
-    pages = files.select("path", "content").mapInPandas(run, "path string, page int, total_pages int, text string, method string, image_path string")
+    pages = files.select("path", "content").mapInPandas(run, "path string, page int, total_pages int, text string, method string, image_path string, error string")
     named = pages.withColumn("source", _name(F.col("path")))
-    return named.select(file_key("source").alias("file_key"), "source", "page", "total_pages", "method", "image_path", "text")
+    return named.select(file_key("source").alias("file_key"), "source", "page", "total_pages", "method", "image_path", "text", "error")
 
 
 def load_documents(spark: SparkSession, path: str, extract=None) -> DataFrame:
     """Chunks of all files below path: PDFs (if there is an extractor), then texts."""
     texts = chunk_table(read_texts(spark, path))
-    return texts if extract is None else chunk_table(pdf_pages(spark, path, extract)).unionByName(texts)
+    if extract is None:
+        return texts
+    pages = pdf_pages(spark, path, extract)
+    return chunk_table(pages.where("error is null").drop("error")).unionByName(texts)
 
 
 def page_images(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<think>", "</think>"
 EVENTS = "stream_id string, seq long, kind string, payload string"
@@ -27,6 +28,7 @@ def step(state: tuple[str, bool, bool], line: str) -> tuple[tuple[str, bool, boo
     try:
         item = json.loads(line)
         piece = (item.get("message") or {}).get("content") or ""
+        piece = piece if isinstance(piece, str) else str(piece)
     except (ValueError, AttributeError):
         return state, events
     buffer += piece
@@ -67,6 +69,36 @@ def parse(lines: DataFrame) -> DataFrame:
     return lines.groupBy("stream_id").applyInPandas(_batch, EVENTS)
 
 
+def error_events(failed: DataFrame) -> DataFrame:
+    """Events of streams that broke off (stream_id, seq, error): a token with the message, then done."""
+    both = F.array(F.struct(F.lit("token").alias("kind"), F.concat(F.lit("Error: "), F.coalesce("error", F.lit("unknown"))).alias("payload")), F.struct(F.lit("done").alias("kind"), F.lit("").alias("payload")))
+    rows = failed.select("stream_id", "seq", F.posexplode(both).alias("i", "e"))
+    return rows.select("stream_id", (F.col("seq") + F.col("i")).cast("long").alias("seq"), "e.kind", "e.payload")
+
+
+def to_lines(events: DataFrame) -> DataFrame:
+    """(stream_id, seq, line): events as a client gets them."""
+    item = F.when(F.col("kind") == "done", "[DONE]").when(F.col("kind") == "images", F.concat(F.lit('{"images":'), "payload", F.lit("}")))
+    item = item.when(F.col("kind") == "think_end", '{"think_end":true}').otherwise(F.to_json(F.create_map("kind", "payload")))
+    return events.select("stream_id", "seq", F.concat(F.lit("data: "), item).alias("line"))
+
+
+def decode(lines: DataFrame) -> DataFrame:
+    """(stream_id, text, thinking, think_done, images) of event lines (stream_id, seq, line).
+
+    Lines that aren't "data: " and JSON are passed over, as is all after
+    [DONE]. One stream is one answer, so a group is small.
+    """
+    data = F.trim(F.substring("line", 7, 1 << 30))
+    rows = lines.where(F.col("line").startswith("data: ")).withColumn("_d", data)
+    before = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = rows.withColumn("_over", F.max(F.when(F.col("_d") == "[DONE]", 1).otherwise(0)).over(before))
+    get = lambda k: F.get_json_object(F.when(F.try_parse_json("_d").isNotNull(), F.col("_d")), f"$.{k}")
+    kinds = open_.withColumns({k: F.when(F.col("_over") == 0, get(k)) for k in ("images", "think_token", "think_end", "token")})
+    told = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(k, F.lit("")) != "", F.struct("seq", F.col(k).alias("t"))))), lambda x: x["t"]), "")
+    return kinds.groupBy("stream_id").agg(told("token").alias("text"), told("think_token").alias("thinking"), F.coalesce(F.bool_or(F.col("think_end") == "true"), F.lit(False)).alias("think_done"), F.max_by("images", F.when(F.col("images").isNotNull(), F.col("seq"))).alias("images"))
+
+
 def _stateful(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     buffer, thinking, seq, ended = state.get if state.exists else ("", False, 0, False)
     now, out = (buffer, thinking, ended), []

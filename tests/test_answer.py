@@ -16,7 +16,8 @@ def test_ask_takes_the_right_path(spark):
         key = asked[k].file_key
         want = "small_talk" if k % 9 == 0 else "status" if key in ("src3", "src4") else "corrective" if key in have else "nothing"
         assert r.path == want
-        assert r.answer.startswith({"small_talk": "Hello!", "status": "The file ", "nothing": f"No relevant content found in '{key}'", "corrective": "["}[want])
+        assert r.answer.startswith({"small_talk": "Hello!", "status": "The file ", "nothing": f"No relevant content found in '{key}'", "corrective": ""}[want])
+        assert want != "corrective" or r.answer and "chunk:" not in r.answer
 
 
 def test_fallback_context(spark):
@@ -29,7 +30,10 @@ def test_prompt_and_default_model(spark):
     df = spark.createDataFrame([("why?", "some\ncontext", "Pages on view: p.1.")], "q string, c string, n string")
     text = df.select(answer.prompt("q", "c", "n").alias("p")).first().p
     assert text.endswith("Context:\nsome\ncontext\n\nQuestion: why?\n\nPages on view: p.1.")
-    assert df.select(answer.extract(answer.prompt("q", "c", "n")).alias("a")).first().a == "some\ncontext"
+    assert df.select(answer.extract(answer.prompt("q", "c", "n")).alias("a")).first().a == "some context"
+    long = "[TEXT | f p.1/2 | chunk:0]\n" + "filler line\n" * 2000 + "the answer is in the last line\n" + "more of it"
+    df = spark.createDataFrame([("what is the answer", long, "")], "q string, c string, n string")
+    assert "the answer is in the last line" in df.select(answer.extract(answer.prompt("q", "c", "n")).alias("a")).first().a
 
 
 def test_small_tables(spark):

@@ -112,7 +112,7 @@ def slow_hybrid(spark):
             dot = sum(a * b for a, b in zip(v, q.query_vec))
             return dot / (math.sqrt(sum(a * a for a in v)) * math.sqrt(sum(b * b for b in q.query_vec)))
 
-        hits = sorted(((-cos(c["embedding"]), c["chunk_id"], c["text"]) for c in index if c["file_key"] == q.file_key))[:20]
+        hits = sorted(((-round(cos(c["embedding"]), 9), c["chunk_id"], c["text"]) for c in index if c["file_key"] == q.file_key))[:20]
         hits = [(round(-s, 4), i, t) for s, i, t in hits]
         texts = [t.lower().split() for _, _, t in hits]
         n, df = len(hits), Counter(w for t in texts for w in set(t))
@@ -176,14 +176,73 @@ def test_corrective_search_rewrites_once(spark):
     assert all(r.rewrite_count in (0, 1) and (r.kept > 0) == (r.context != "") for r in rows)
 
 
+def vectors(*rows):
+    """(file_key, chunk_id, embedding, text) as an index."""
+    return [("f", i, [float(x) for x in v], 1, 1, i, "text", "f", t) for i, (v, t) in enumerate(rows)]
+
+
+INDEX = "file_key string, chunk_id int, embedding array<double>, page int, total_pages int, chunk_index int, type string, source string, text string"
+
+
+def axis(c):
+    """An embedder of three axes: words with a, b and c."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.array(*[F.when(c.contains(w), 1.0).otherwise(0.0) for w in ("alpha", "beta", "gamma")])
+
+
+def test_variant_and_rewrite_find_other_chunks(spark):
+    index = spark.createDataFrame(vectors(([1, 0, 0], "alpha question words match"), ([0, 1, 0], "beta is elsewhere"), ([0, 0, 1], "gamma is elsewhere too")), INDEX)
+    asked = spark.createDataFrame([(1, "f", "question words about alpha please", [1.0, 0.0, 0.0])], "query_id int, file_key string, query string, query_vec array<double>")
+    def found(variant, rewrite):
+        r = corrective.corrective_search(index, asked, k=1, variant=variant, rewrite=rewrite, embed=axis).first()
+        return [c.text.split()[0] for c in r.chunks], r.rewrite_count
+
+    same = lambda c: F.col(c)
+    assert found(same, same) == (["alpha"], 1)
+    states = asked.withColumns({"original": F.col("query"), "rewrite_count": F.lit(0)})
+    two = corrective.retrieve(index, states, 1, lambda c: F.lit("what does beta mean here then"), axis).first()
+    assert [c.text.split()[0] for c in two.chunks] == ["alpha", "beta"]
+    assert found(same, lambda c: F.lit("now gamma is asked for instead")) == (["gamma"], 1)
+
+
+def test_hybrid_search_embeds_the_expanded_query(spark):
+    index = spark.createDataFrame(vectors(([1, 0, 0], "one"), ([0, 1, 0], "two")), INDEX)
+    asked = spark.createDataFrame([(1, "f", "a fig. of it", [1.0, 0.0, 0.0])], "query_id int, file_key string, query string, query_vec array<double>")
+    hit = lambda **o: retrieval.hybrid_search(index, asked, k=1, **o).first().text
+    assert hit(embed=lambda c: F.when(F.col(c).contains("diagram"), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)))) == "two"
+    plain = asked.withColumn("query", F.lit("nothing to expand"))
+    assert retrieval.hybrid_search(index, plain, k=1).first().text == "one"
+
+
+def test_vectors_without_length_are_no_hits(spark):
+    from docengine.plans.index import hash_embedding
+
+    rows = vectors(([0, 0, 0], "zero"), ([1, 0, 0], "one")) + [("f", 5, None, 1, 1, 5, "text", "f", "none"), ("f", 6, [1.0, None, 0.0], 1, 1, 6, "text", "f", "hole")]
+    asked = spark.createDataFrame([(1, "f", "q", [1.0, 0.0, 0.0]), (2, "f", "q", [0.0, 0.0, 0.0]), (3, "f", "q", None)], "query_id int, file_key string, query string, query_vec array<double>")
+    assert [(r.query_id, r.text) for r in retrieval.dense_topk(spark.createDataFrame(rows, INDEX), asked).collect()] == [(1, "one")]
+    empty = spark.createDataFrame([("",), (None,), ("word",)], "t string").select(hash_embedding("t").alias("v")).collect()
+    assert all(x is None for x in empty[0].v) and abs(sum(x * x for x in empty[2].v) - 1) < 1e-9
+
+
 def test_page_selection_cases(spark):
     asked = spark.createDataFrame([(1, "f", "tcp handshake"), (2, "f", "explain tcp"), (3, "f", "show page 5 and page 6"), (4, "f", "show the diagram"), (5, "g", "show it")], "query_id int, file_key string, query string")
     hits = spark.createDataFrame([(q, "g" if q == 5 else "f", p, i, "text", "t") for q in range(1, 6) for i, p in enumerate([9, 2, 5, 9, 4])], "query_id int, file_key string, page int, pos int, type string, text string")
     images = spark.createDataFrame([("f", p) for p in (9, 2, 5, 7)], "file_key string, page int")
     got = {r.query_id: r.pages for r in pages.select_pages(asked, hits, images).collect()}
     assert got == {1: [2, 5], 2: [2, 5], 3: [5], 4: [2, 5], 5: []}
-    chosen = {r.query_id: r.pages for r in pages.select_pages(asked, hits, images, F.lit('sure: ```json\n{"pages": [9, "2", 4, "x"]}```')).collect()}
-    assert chosen == {1: [2, 5], 2: [9, 2], 3: [5], 4: [9, 2], 5: []}
+    def by_model(reply, repair=None):
+        return {r.query_id: r.pages for r in pages.select_pages(asked, hits, images, F.lit(reply), None if repair is None else F.lit(repair)).collect()}
+
+    yes = 'sure: ```json\n{"show_images": true, "pages": [9, "2", 4, "x", 5.9, 1e12, -1]}``` that is all'
+    assert by_model(yes) == {1: [2, 5], 2: [9, 5], 3: [5], 4: [9, 5], 5: []}
+    for no in ('{"show_images": false, "pages": [9]}', '{"pages": [9]}', '{"show_images": true, "pages": [NaN]}', "no JSON {", "", "[1]"):
+        assert by_model(no) == {1: [2, 5], 2: [], 3: [5], 4: [2, 5], 5: []}
+    assert by_model('{"show_images": true, "pages": []}') == {1: [2, 5], 2: [], 3: [5], 4: [], 5: []}
+    assert by_model("broken {", '{"show_images": true, "pages": [2]}') == {1: [2, 5], 2: [2], 3: [5], 4: [2], 5: []}
+    shown = {r.query_id: r for r in pages.images_for_query(asked.unionByName(spark.createDataFrame([(9, "f", "show it")], asked.schema)), hits, images).collect()}
+    assert shown[4].pages_considered == [2, 4, 5, 9, 9] and [i.url for i in shown[4].images] == ["/page-image/f/2", "/page-image/f/5"]
+    assert (shown[9].intent, shown[9].images, shown[9].pages_considered) == ("unknown", [], [])
+    assert pages.image_of(images, "f", 9).count() == 1 and pages.image_of(images, "f", 3).count() == 0
     none = spark.createDataFrame([(1, "f", 1)], "query_id int, file_key string, page int").limit(0).select("file_key", "page")
     assert all(r.pages == [] for r in pages.select_pages(asked, hits, none).collect())
 
@@ -243,6 +302,46 @@ def test_report_skips_back_matter_and_handles_texts(spark):
     assert [(r.name, r.start_page, r.end_page) for r in named] == [("One", 1, 1), ("Two", 2, 3)]
 
 
+def test_report_of_back_matter_only_fast_mode_and_names(spark, tmp_path):
+    rows = [("all_back_pdf", p, p, f"{n}\nsome text of it") for p, n in ((1, "REFERENCES"), (2, "GLOSSARY"))] + [("plain", p, p, f"Chapter {p}: Name\nbody of {p}") for p in range(1, 11)]
+    chunks = spark.createDataFrame(rows, "file_key string, page int, chunk_index int, text string")
+    got = {r.file_key: r.latex for r in report.generate_report(chunks).collect()}
+    assert "\\section{Document Content}" in got["all_back_pdf"] and "\\section{Chapter 3: Name}" in got["plain"]
+    fast = report.generate_report(chunks, fast=True)
+    assert {r.file_key: r.latex.count("\\section{") for r in fast.collect()}["plain"] == 5
+    report.save_reports(fast, f"file://{tmp_path}/reports")
+    back = spark.read.text(f"file://{tmp_path}/reports", wholetext=True).select("file", "value").collect()
+    assert {r.file for r in back} == {"all back_report.tex", "plain_report.tex"} and all("end{document}" in r.value for r in back)
+
+
+def test_best_lines_read_the_whole_text(spark):
+    from docengine.functions.text import best_lines
+
+    text = "[p.1]\n" + "nothing here\n" * 3000 + "the red fox\n[p.2]\na fox\nred"
+    df = spark.createDataFrame([(text, "Red fox"), ("", "x"), (None, "x")], "t string, q string").select(best_lines("t", "q", 2).alias("b")).collect()
+    assert [r.b for r in df] == ["the red fox a fox", "", None]
+
+
+def test_page_structures_to_chunks(spark):
+    from docengine.operators import page_text
+
+    schema = "file_key string, source string, page int, total_pages int, image_path string, markdown string, plain string, visual boolean, blocks array<struct<type:int,bbox:array<double>,lines:array<array<string>>>>, tables array<array<array<string>>>, table_texts array<string>"
+    long = "a line of some length to be kept as a chunk"
+    blocks = [(0, [50.0, 30.0, 0.0, 0.0], [["right", " of it "]]), (0, [10.0, 31.0, 0.0, 0.0], [[long, ""], [" "]]), (1, [0.0, 0.0, 0.0, 0.0], [["an image"]]), (0, [90.0, 0.0, 0.0, 0.0], [["first"]])]
+    table = [["a", "b"], ["1", "2"]]
+    pages_ = [("f", "f.pdf", 1, 3, "i1", "# Head of the page\n" + long + " CUT\n| x | y |", "p", False, blocks, [table, [["only head"]]], [" CUT"]), ("f", "f.pdf", 2, 3, "i2", "short", "plain", True, blocks, None, None), ("f", "f.pdf", 3, 3, "", None, " " + long + " ", False, None, [], None)]
+    df = spark.createDataFrame(pages_, schema)
+    got = [(r.page, r.method, r.type, r.chunk_index, r.text) for r in page_text.page_chunks(df, lambda p: F.when(p == "i2", F.lit("the picture shows a box and an arrow"))).orderBy("chunk_index").collect()]
+    assert got == [
+        (1, "markdown", "text", 0, f"# Head of the page\n\n{long}"),
+        (1, "pymupdf_table", "table", 1, "[TABLE 1 | Page 1/3]\n| a | b |\n| --- | --- |\n| 1 | 2 |"),
+        (2, "dict_text", "text", 2, f"first\n{long}\nright of it"),
+        (3, "plain_text", "text", 3, long),
+        (2, "vlm", "text", 4, "[VLM | Page 2/3]\nthe picture shows a box and an arrow"),
+    ]
+    assert page_text.vision_chunks(df, lambda p: F.lit(" skip ")).count() == 0
+
+
 def test_plans_push_limits_and_filters(spark):
     plan = queries.dense_topk(spark, SF)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan

@@ -158,10 +158,79 @@ def test_whole_section_contexts(spark):
 
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    got = entry.QUERIES["section_context_whole"](spark, SF).select("file_key", "section_no", "page_range", "context").collect()
-    want = con.execute(f"select file_key, section_no, page_range, context from ({entry.ORACLE_SQL['section_context_whole']})").fetchall()
+    got = entry.QUERIES["section_context"](spark, SF).select("file_key", "section_no", "page_range", "context").collect()
+    want = con.execute(f"select file_key, section_no, page_range, context from ({entry.ORACLE_SQL['section_context']})").fetchall()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     rows = queries.headed_lines(spark, SF)
     texts = report.section_chunks(report.sections(rows), rows).where("page is not null").select("file_key", "section_no", F.trim("text").alias("text")).collect()
     made = {(r.file_key, r.section_no): r.context for r in got}
     assert max(map(len, made.values())) > 1500 and all(r.text in made[r.file_key, r.section_no] for r in texts)
+
+
+CHUNK = "file_key string, source string, page int, total_pages int, chunk_index int, type string, method string, image_path string, text string"
+
+
+def some_chunks(spark, *names):
+    return spark.createDataFrame([(n, n, 1, 1, i, "text", "plain_text", "", f"chunk {i} of {n}") for n in names for i in (0, 1)], CHUNK)
+
+
+def test_index_files_logs_statuses_and_reindex_checks_first(spark, tmp_path):
+    from docengine.plans import index
+
+    path, log = f"file://{tmp_path}/index", f"file://{tmp_path}/log"
+    files = spark.createDataFrame([("a",), ("b",), ("empty",)], "file_key string")
+    said = {r.file_key: (r.status, r.message) for r in index.index_files(files, some_chunks(spark, "a", "b", "other"), path, log).collect()}
+    assert said == {"a": ("ready", None), "b": ("ready", None), "empty": ("error", "No chunks produced")}
+    assert {r.status for r in spark.read.parquet(log).where("file_key = 'a'").collect()} == {"indexing", "ready"}
+    rows = index.read_index(spark, path)
+    assert {r.chunk_id for r in rows.collect()} == {f"{n}_chunk_{i}" for n in "ab" for i in (0, 1)} and len(rows.first().embedding) == 64
+    index.index_files(files, some_chunks(spark, "a").withColumn("text", F.lit("changed")), path, log)
+    assert {r.text for r in index.read_index(spark, path, "a").collect()} == {"chunk 0 of a", "chunk 1 of a"}
+    with pytest.raises(FileNotFoundError):
+        index.reindex(spark, "a", [some_chunks(spark, "b"), some_chunks(spark, "c")], path, log)
+    assert index.read_index(spark, path, "a").count() == 2
+    index.reindex(spark, "a", [some_chunks(spark, "b"), some_chunks(spark, "a").withColumn("text", F.lit("new"))], path, log)
+    assert {r.text for r in index.read_index(spark, path, "a").collect()} == {"new"} and index.read_index(spark, path, "b").count() == 2
+
+
+def test_cache_round_trip(spark, tmp_path):
+    from docengine.plans import index
+
+    chunks = some_chunks(spark, "a", "b").withColumns({"path": F.concat(F.lit("/x/"), "file_key"), "md5": F.md5("file_key")})
+    index.write_cache(chunks, f"file://{tmp_path}/cache")
+    files = spark.createDataFrame([("/x/a", "a"), ("/x/b", "changed")], "path string, content string").withColumn("content", F.col("content").cast("binary"))
+    back = index.read_cache(spark, f"file://{tmp_path}/cache", files, CHUNK).select(*some_chunks(spark, "a").columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, some_chunks(spark, "a").collect()))
+    index.write_json(some_chunks(spark, "a"), f"file://{tmp_path}/json")
+    assert spark.read.json(f"file://{tmp_path}/json").count() == 2
+
+
+def test_event_lines_are_decoded(spark):
+    from docengine.streaming import tokens
+
+    lines = ['data: {"images": [{"page": 3}]}', "noise", 'data: {"think_token": "hm "}', 'data: {"think_token": "ok"}', 'data: {"think_end": true}', "data: {broken", 'data: {"token": "a b"}', 'data: {"token": " c"}', "data: [DONE]", 'data: {"token": "late"}']
+    df = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)] + [("t", 0, 'data: {"token": "x"}')], "stream_id string, seq long, line string")
+    got = {r.stream_id: r for r in tokens.decode(df).collect()}
+    assert (got["s"].text, got["s"].thinking, got["s"].think_done, got["s"].images) == ("a b c", "hm ok", True, '[{"page":3}]')
+    assert (got["t"].text, got["t"].thinking, got["t"].think_done, got["t"].images) == ("x", "", False, None)
+    failed = spark.createDataFrame([("s", 4, "request timed out"), ("t", 0, None)], "stream_id string, seq long, error string")
+    events = tokens.error_events(failed)
+    assert [(r.seq, r.kind, r.payload) for r in events.where("stream_id = 's'").orderBy("seq").collect()] == [(4, "token", "Error: request timed out"), (5, "done", "")]
+    assert {r.stream_id: r.text for r in tokens.decode(tokens.to_lines(events)).collect()} == {"s": "Error: request timed out", "t": "Error: unknown"}
+    assert tokens.step(("", False, False), '{"message": {"content": 5}}')[0][0] == "5"
+
+
+def test_pdf_errors_are_rows(spark, tmp_path):
+    from docengine.sources import files
+
+    (tmp_path / "good.pdf").write_bytes(b"x")
+    (tmp_path / "bad.pdf").write_bytes(b"y")
+
+    def extract(content):
+        if content == b"y":
+            raise ValueError("not a PDF")
+        return [(1, "a page of text that is long enough to be a chunk", "plain_text", "")]
+
+    rows = {r.source: r for r in files.pdf_pages(spark, f"file://{tmp_path}", extract).collect()}
+    assert rows["bad.pdf"].error == "ValueError: not a PDF" and rows["bad.pdf"].page is None and rows["good.pdf"].error is None
+    assert files.load_documents(spark, f"file://{tmp_path}", extract).count() == 1
