@@ -48,7 +48,7 @@ class _Sequence(HTMLParser):
             self.figure = len(self.items)
         elif tag == "figcaption":
             self.in_caption, self.caption = True, []
-        elif tag in ("img", "audio", "video", "source"):
+        elif tag in ("img", "audio", "video", "source") and not self.hidden:
             at = dict(attrs)
             src = at.get("src") or ""
             if src.startswith(SCHEME):
@@ -99,7 +99,10 @@ def interleave(pages: DataFrame, column: str = "html") -> DataFrame:
 
     A media item is an img, audio, video or source whose src is
     "sha256:<digest>"; its caption is its alt, or its figure's figcaption.
-    Scripts and styles are left out. Null HTML has an empty sequence.
+    Scripts, styles and templates are left out, with the media in them. Null or
+    empty HTML has an empty sequence; a very long page is parsed whole. Repeated
+    rows are rows, an empty table gives one. Input columns keep their values,
+    but for one named sequence, which is replaced.
     """
     base = without(pages, "sequence")
     schema = T.StructType([*base.schema.fields, T.StructField("sequence", SEQUENCE)])
@@ -115,7 +118,8 @@ def references(sequences: DataFrame, *keys: str) -> DataFrame:
 def resolve(refs: DataFrame, store: DataFrame) -> DataFrame:
     """refs with the columns of a store that has one row a digest; unknown digests keep nulls.
 
-    A plain join on the digest: a digest with a third of all references is
+    Repeated references are rows, and empty tables are allowed; columns of
+    both sides but digest must differ in name. A plain join on the digest: a digest with a third of all references is
     split by Spark's skew handling, as nothing above needs its rows together.
     """
     return refs.join(store, "digest", "left")

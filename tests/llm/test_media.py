@@ -6,7 +6,7 @@ import zlib
 from docengine.llm import media, queries
 
 SF = "/root/testdata/sf0.001"
-PAGE = """<html><script>var t = "<p>x</p>";</script><h1>Head</h1><p>One &amp; two<img src="sha256:AB" alt="alt text"> three</p>
+PAGE = """<html><script>var t = "<p>x</p>";</script><template><p>no<img src="sha256:ef"></p></template><h1>Head</h1><p>One &amp; two<img src="sha256:AB" alt="alt text"> three</p>
 <figure><img src="sha256:cd"><img src="other.png"><figcaption>The <b>cap</b>tion</figcaption></figure><p>end"""
 
 
