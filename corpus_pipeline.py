@@ -18,8 +18,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language: without a letter, with no likely language, or that cost more a byte than held-out texts of theirs."""
-    return langid.learned(docs).where(F.col("score") >= LEAST_SURE).select(docs.columns)
+    """Rejects documents of no language: without a letter, with no likely language, or that cost more a byte than held-out texts of theirs.
+
+    Where a document names no language, the one found is passed on.
+    """
+    kept = langid.learned(docs).where(F.col("score") >= LEAST_SURE)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
