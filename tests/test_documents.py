@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from docengine.functions.text import SYNONYMS
 from docengine.operators import chunking, corrective, pages, report, retrieval
 from docengine.plans import queries
 
@@ -108,9 +109,13 @@ def slow_hybrid(spark):
     index = [r.asDict() for r in queries.vector_index(spark, SF).collect()]
     out = {}
     for q in queries.vector_queries(spark, SF).collect():
+        more = [s for w in q.query.lower().split() for s in SYNONYMS.get(w.strip(".,;:()"), [])]
+        wide = " ".join([q.query, *more])
+        vec = [float(wide.count(x)) for x in queries.LETTERS] if more else q.query_vec
+
         def cos(v):
-            dot = sum(a * b for a, b in zip(v, q.query_vec))
-            return dot / (math.sqrt(sum(a * a for a in v)) * math.sqrt(sum(b * b for b in q.query_vec)))
+            dot = sum(a * b for a, b in zip(v, vec))
+            return dot / (math.sqrt(sum(a * a for a in v)) * math.sqrt(sum(b * b for b in vec)))
 
         hits = sorted(((-round(cos(c["embedding"]), 9), c["chunk_id"], c["text"]) for c in index if c["file_key"] == q.file_key))[:20]
         hits = [(round(-s, 4), i, t) for s, i, t in hits]
@@ -120,14 +125,14 @@ def slow_hybrid(spark):
         mean = sum(idf.values()) / max(1, len(idf))
         idf = {w: 0.25 * mean if x < 0 else x for w, x in idf.items()}
         avg = sum(map(len, texts)) / max(1, n)
-        words = q.query.lower().split()
+        words = wide.lower().split()
         score = [sum(idf.get(w, 0) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w in words if w in t) for t in texts]
         top = max(score, default=0)
         score = [s / top if top > 0 else s for s in score]
         rank = {p: r for r, p in enumerate(sorted((p for p in range(n) if score[p] > 0), key=lambda p: (-round(score[p], 9), p)))}
         fused = sorted(range(n), key=lambda p: (-round(1 / (61 + p) + (1 / (61 + rank[p]) if p in rank else 0), 12), p))
         picked = [fused[i] for i in retrieval.pick_diverse([hits[p][2] for p in fused], [hits[p][0] for p in fused], top_n=16)]
-        asked = set(words)
+        asked = set(q.query.lower().split())
         ranked = sorted(range(len(picked)), key=lambda i: (-len(asked & set(texts[picked[i]])) / len(asked), i))[:8]
         out[q.query_id] = [hits[picked[i]][1] for i in ranked]
     return out
