@@ -32,7 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+_OPEN: list[list[str]] = []  # tables of the blocks of scratch() that are running
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that stored() writes within are deleted at the end, but for those that stay."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(df: DataFrame, label: str, compression: str = "snappy", stay: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so what follows neither computes df twice nor loses
@@ -40,6 +55,8 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _OPEN and not stay:
+        _OPEN[-1].append(path)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 

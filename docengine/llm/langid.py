@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.common import give_back, sliced, stored, without
+from docengine.llm.common import give_back, scratch, sliced, stored, without
 
 ORDER = 3  # bytes of the longest context
 PAD = b"\n" * ORDER
@@ -51,18 +51,8 @@ def train(docs: DataFrame, label: str = "lang", docs_per_language: int = 400, se
     Spark; the driver gets one row for each language and distinct gram of that
     sample. Empty input gives no trees.
     """
-    fit = docs.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & has_letter(F.col(text)))
-    slim = fit.select(F.col(label).alias("lang"), F.col(id_col).alias("id")).withColumn("h", F.xxhash64(F.lit(seed), "id"))
-    counts = stored(slim.groupBy("lang").agg(F.count("*").alias("n")), "langid-counts")
-    counts = F.broadcast(counts) if counts.count() <= 100_000 else counts
-    likely = F.shiftrightunsigned("h", 11) / float(1 << 53) < 3 * docs_per_language / F.col("n")  # so no task gets a whole language
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    slim = slim.join(counts, "lang").where(likely).withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_language)
-    chosen = stored(slim.select("id").distinct(), "langid-sample")
-    few = chosen.count() <= 1_000_000  # 8 bytes a row
-    sample = fit.join(F.broadcast(chosen) if few else chosen, fit[id_col] == chosen["id"]).select("id", F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
-    sample = sample.groupBy("id", "lang").agg(F.min("text").alias("text")).drop("id")  # of a repeated id the least text
-    rows = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    with scratch(docs.sparkSession):
+        rows = _counts(docs, label, docs_per_language, seed, text, id_col)
     trees = {}
     for lang, part in sorted(rows.groupby("lang"), key=lambda x: x[0]):
         gram, n = part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
@@ -76,6 +66,22 @@ def train(docs: DataFrame, label: str = "lang", docs_per_language: int = 400, se
     return trees
 
 
+def _counts(docs: DataFrame, label: str, docs_per_language: int, seed: int, text: str, id_col: str):
+    """(lang, gram, n) of train()'s sample, as pandas."""
+    fit = docs.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & has_letter(F.col(text)))
+    slim = fit.select(F.col(label).alias("lang"), F.col(id_col).alias("id")).withColumn("h", F.xxhash64(F.lit(seed), "id"))
+    counts = stored(slim.groupBy("lang").agg(F.count("*").alias("n")), "langid-counts")
+    counts = F.broadcast(counts) if counts.count() <= 100_000 else counts
+    likely = F.shiftrightunsigned("h", 11) / float(1 << 53) < 3 * docs_per_language / F.col("n")  # so no task gets a whole language
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    slim = slim.join(counts, "lang").where(likely).withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_language)
+    chosen = stored(slim.select("id").distinct(), "langid-sample")
+    few = chosen.count() <= 1_000_000  # 8 bytes a row
+    sample = fit.join(F.broadcast(chosen) if few else chosen, fit[id_col] == chosen["id"]).select("id", F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
+    sample = sample.groupBy("id", "lang").agg(F.min("text").alias("text")).drop("id")  # of a repeated id the least text
+    return sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+
+
 def distribution(tree: list[dict], context: int) -> np.ndarray:
     """Probabilities of all 256 next bytes after ORDER bytes, by PPM method C.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.common import give_back, mixed, part_hashes, sliced, stored, without, word_starts
+from docengine.llm.common import give_back, mixed, part_hashes, scratch, sliced, stored, without, word_starts
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -222,11 +222,17 @@ def _sets(n: int):
 
 
 def _classes(docs: DataFrame, threshold: float, words: int, recall: float, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """docs with _nd_row and _nd_node, written; and (node, label, class_id, row, links) of each node."""
+    """docs with _nd_row and _nd_node, written; and the classes of its nodes."""
     bands, rows = choose_bands(threshold, recall)
     base = without(docs, "_nd_row", "_nd_node", "_nd_bands", "_nd_marks").withColumn("_nd_row", F.monotonically_increasing_id())
     schema = T.StructType([*base.schema.fields, T.StructField("_nd_node", T.BinaryType()), T.StructField("_nd_bands", T.ArrayType(T.LongType())), T.StructField("_nd_marks", T.BinaryType())])
-    signed = stored(base.mapInArrow(_signed(base.columns.index("text"), schema.names, bands, rows, words, seed), schema), "signed", compression="zstd")
+    signed = stored(base.mapInArrow(_signed(base.columns.index("text"), schema.names, bands, rows, words, seed), schema), "signed", compression="zstd", stay=True)
+    with scratch(docs.sparkSession):
+        return signed, _linked_classes(signed, threshold, words, block)
+
+
+def _linked_classes(signed: DataFrame, threshold: float, words: int, block: int) -> DataFrame:
+    """(node, label, class_id, first_id, row, links) of each node; what is written on the way is deleted."""
     own = signed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_nd_row").alias("row"), F.col("_nd_node").alias("node"), F.col("_nd_bands").alias("bands"), F.col("_nd_marks").alias("marks")).where("node is not null")
     # all of a node's rows have the same bands and marks; the row kept is that of the least id, null last
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -261,7 +267,7 @@ def _classes(docs: DataFrame, threshold: float, words: int, recall: float, block
     every = nodes.select("node", "first_id", "row").join(label, "node", "left").join(counted, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = every.groupBy("label").agg(F.min("first_id").alias("class_id"))
     every = every.join(first, "label").select("node", "label", "class_id", "first_id", "row", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return signed, stored(every, "classes")  # written, so a join with it has two plain exchanges, where Spark can split a node of many copies
+    return stored(every, "classes", stay=True)  # written, so a join with it has two plain exchanges, where Spark can split a node of many copies
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = 0.999, block: int = BLOCK, seed: int = 29) -> DataFrame:
@@ -299,5 +305,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORD
     """
     signed, classes = _classes(docs, threshold, words, recall, block, seed)
     best = classes.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node", "row")).alias("best"))
-    kept = signed.where("_nd_node is not null").join(best.select(F.col("best.row").alias("_nd_row")), "_nd_row", "left_semi")
+    rows = best.select(F.col("best.row").alias("_nd_row"))
+    few = classes.count() <= BROADCAST_ROWS  # then the texts stay where they are
+    kept = signed.where("_nd_node is not null").join(F.broadcast(rows) if few else rows, "_nd_row", "left_semi")
     return kept.unionByName(signed.where("_nd_node is null")).select(docs.columns)
