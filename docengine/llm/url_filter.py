@@ -68,7 +68,9 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RU
     form is in listed (one column of canonical URLs; repeats and nulls do no
     harm): the Bloom filter passes possible hits to an exact join, which
     removes false positives. The filter is broadcast if its size, which is
-    checked, is under BROADCAST_BYTES, and joined by a shuffle beyond.
+    checked, is under BROADCAST_BYTES, and joined by a shuffle beyond. Only
+    possible hits go to the exact join, so the pages are read twice, for
+    them and for the others, but the others are never shuffled.
     Null URLs and URLs without "://" have empty host and path, no rule, and
     are allowed. An empty list or table is allowed.
     """
@@ -79,17 +81,16 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RU
     base = without(pages, "host", "path", "rule", "verdict").withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     base = base.withColumns({"rule": rule, "verdict": verdict})
-    ruled = base.where("rule is not null")
-    rest = base.where("rule is null").withColumn("_uf_url", canonical(F.col("host"), F.col("path")))
+    probes = base.withColumn("_uf_url", canonical(F.col("host"), F.col("path")))
 
     filter_, blocks = bloom_blocks(listed, "_uf_url", keys, bits_per_key)
     filter_ = filter_.select(*[F.col(c).alias(f"_uf_{c}") for c in filter_.columns])
     small = blocks * 8 * (LANES + 1) <= BROADCAST_BYTES
-    probed = rest.withColumn("_uf_block", _block(F.col("_uf_url"), blocks)).join(F.broadcast(filter_) if small else filter_, "_uf_block", "left")
+    probed = probes.withColumn("_uf_block", _block(F.col("_uf_url"), blocks)).join(F.broadcast(filter_) if small else filter_, "_uf_block", "left")
     hit = reduce(lambda a, b: a & b, [F.col(f"_uf_lane{i}").bitwiseAND(_mask(F.col("_uf_url"), i)) == _mask(F.col("_uf_url"), i) for i in range(LANES)])
-    probed = probed.withColumn("_uf_hit", F.coalesce(hit, F.lit(False))).drop(*filter_.columns)
+    probed = probed.withColumn("_uf_hit", F.col("rule").isNull() & F.coalesce(hit, F.lit(False))).drop(*filter_.columns)
 
     possible = probed.where("_uf_hit").join(listed.withColumn("_uf_listed", F.lit(True)), "_uf_url", "left")
     judged = possible.withColumn("verdict", F.when(F.col("_uf_listed"), "block").otherwise("allow"))
-    passed = probed.where("not _uf_hit").withColumn("verdict", F.lit("allow"))
-    return ruled.unionByName(judged.select(base.columns)).unionByName(passed.select(base.columns))
+    settled = probed.where("not _uf_hit").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    return settled.select(base.columns).unionByName(judged.select(base.columns))
