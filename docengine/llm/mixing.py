@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.common import WORD, stored, without
 
-OUT = ("size", "source_size", "target", "taken", "copies", "position", "position2")
+OUT = ("size", "source_size", "target", "taken", "copies", "position", "positions")
+BUCKET_ROWS = 2048  # of a bucket, were there one source
 
 
 def word_count(text: Column) -> Column:
@@ -53,34 +56,40 @@ def mix(
     slopes=(0.5, 0.0, -0.5),
     budget: float = 1.5,
     cap: float = 2.0,
-    bits: int = 10,
+    bucket_rows: int = BUCKET_ROWS,
     seed: int = 11,
     text: str = "text",
     source: str = "source",
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """docs with size, source_size, target, taken, copies, position and position2.
+    """docs with size, source_size, target, taken, copies, position and positions.
 
     Each source's documents stand in one seeded order, gone through as often
     as its target asks (cap times at most). A running sum of sizes there says
     which words the mix takes; the one document at the target's edge is taken
     in part. A source's demand over training time runs by its slope (rising,
     level, falling); integrating it and inverting the sum at a document's
-    place gives its position in 0..1. Documents that aren't taken have
-    positions over 1, so a range sort spreads them too.
-
-    The running sum goes over 2**bits hash buckets of a source, then within a
-    bucket, so no task holds a whole source. Null texts have size 0; null
+    place gives its position in 0..1, one a copy in positions. Documents that
+    aren't taken have a position over 1, so a range sort spreads them too, and
+    no positions.
+
+    The running sum goes over hash buckets of a source, then within a bucket,
+    so no task holds a whole source. All rows are counted, and a source has as
+    many buckets as leave bucket_rows rows or less in each on average, so a
+    bucket doesn't grow with the table. The join with the buckets' offsets and
+    the window within a bucket share one exchange, and nothing that grows is
+    broadcast. Sources are ranked in one task: some 100 bytes a source. Null texts have size 0; null
     sources are a source, the last; null ids are ids. Equal rows share an
     order value and split what they take in any way. Empty input, empty
     output. Input columns with the output's names are replaced.
     """
     size = word_count(F.col(text)) if size is None else size
+    bits = max(0, math.ceil(math.log2(max(1, docs.count()) / bucket_rows)))
     base = docs.withColumns({
         "_mx_size": size,
         "_mx_h": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text)),
         "_mx_key": F.when(F.col(source).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source))),
-    }).withColumn("_mx_bucket", F.shiftrightunsigned("_mx_h", 64 - bits).cast("int"))
+    }).withColumn("_mx_bucket", (F.shiftrightunsigned("_mx_h", 64 - bits) if bits else F.lit(0)).cast("long"))
 
     sums = stored(base.groupBy(F.col("_mx_key").alias("key"), F.col("_mx_bucket").alias("bucket")).agg(F.min(source).alias("source"), F.sum("_mx_size").alias("bucket_size")), "mix-sums")
     targets = source_targets(sums.groupBy("key").agg(F.min("source").alias("source"), F.sum("bucket_size").alias("source_size")), weights, budget, cap)
@@ -89,7 +98,7 @@ def mix(
     places = places.select(F.col("key").alias("_mx_key"), F.col("bucket").alias("_mx_bucket"), F.col("offset").alias("_mx_offset"), F.col("index").alias("_mx_index"), F.col("source_size").alias("_mx_source_size"), F.col("target").alias("_mx_target"))
 
     order = Window.partitionBy("_mx_key", "_mx_bucket").orderBy("_mx_h", F.col(id_col), "_mx_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = base.join(places, ["_mx_key", "_mx_bucket"])
+    rows = base.join(places.hint("shuffle_hash"), ["_mx_key", "_mx_bucket"])
     rows = rows.withColumn("_mx_start", F.col("_mx_offset") + F.coalesce(F.sum("_mx_size").over(order), F.lit(0).cast("long")))
     goal = F.floor("_mx_target").cast("long")
     lap = lambda i: F.greatest(F.least(goal - F.col("_mx_start") - i * F.col("_mx_source_size"), F.col("_mx_size")), F.lit(0).cast("long"))
@@ -109,7 +118,7 @@ def mix(
         taken.alias("taken"),
         copies.alias("copies"),
         F.coalesce(place(0), unused).alias("position"),
-        (place(1) if len(laps) > 1 else F.lit(None).cast("double")).alias("position2"),
+        F.array_compact(F.array(*[place(i) for i in laps])).alias("positions"),
     )
 
 
@@ -122,6 +131,5 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a row for each time a document is taken, in the order of positions."""
     own = {c: f"_mx_own_{c}" for c in docs.columns if c.lower() in OUT}
     mixed = mix(docs.withColumnsRenamed(own), **options).where("copies > 0")
-    places = F.filter(F.array("position", "position2"), lambda p: p <= 1)
-    ordered = range_sorted(mixed.withColumn("_mx_at", F.explode(places)), "_mx_at")
+    ordered = range_sorted(mixed.withColumn("_mx_at", F.explode("positions")), "_mx_at")
     return ordered.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

@@ -50,7 +50,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixing.range_sorted(mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "position2"))
+    return mixing.range_sorted(mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", F.get("positions", F.lit(1)).alias("position2")))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

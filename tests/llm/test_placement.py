@@ -135,11 +135,11 @@ def level(sizes, weights=(3, 1, 2), budget=1.5, cap=2.0):
     return done
 
 
-@pytest.mark.parametrize("which", ["odd", "sf"])
-def test_mix_meets_targets(spark, odd_docs, which):
+@pytest.mark.parametrize("which,bucket_rows", [("odd", 2048), ("odd", 1), ("sf", 2048), ("sf", 8)])
+def test_mix_meets_targets(spark, odd_docs, which, bucket_rows):
     docs = odd_docs if which == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
-    rows = mixing.mix(docs).collect()
-    again = mixing.mix(docs).collect()
+    rows = mixing.mix(docs, bucket_rows=bucket_rows).collect()
+    again = mixing.mix(docs, bucket_rows=bucket_rows).collect()
     key = lambda r: (str(r.doc_id), r.text or "", r.taken, r.position)
     assert sorted(map(key, rows)) == sorted(map(key, again)) and len(rows) == docs.count()
     sizes, taken, target = Counter(), Counter(), {}
@@ -163,6 +163,22 @@ def test_positions_follow_the_integrated_schedule(spark):
     assert abs(early - (0.5 * 0.5 + 0.5 * 0.25)) < 0.01  # the integral of 1 + (2t - 1) / 2 to 1/2
 
 
+def test_each_lap_of_a_higher_cap_is_emitted(spark):
+    """A source that is gone through four times gives each document four times, at positions that rise."""
+    docs = spark.createDataFrame([(i, "a b", "s") for i in range(50)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, budget=4.0, cap=4.0, bucket_rows=8).collect()
+    assert all(r.copies == len(r.positions) == 4 and sorted(r.positions) == r.positions and r.taken == 8 for r in rows)
+    copies = Counter(r.doc_id for r in mixing.training_order(docs, budget=4.0, cap=4.0).collect())
+    assert copies == {i: 4 for i in range(50)}
+
+
+def test_mix_broadcasts_no_buckets_and_shuffles_rows_once(spark):
+    rows = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), bucket_rows=1)
+    plan = rows._jdf.queryExecution().toString().split("Physical Plan", 1)[1]
+    assert "ShuffledHashJoin" in plan
+    assert plan.count("Exchange hashpartitioning(_mx_key") == 2  # the rows and the offsets, none for the window
+
+
 def test_mix_of_nothing(no_docs):
     assert mixing.mix(no_docs).count() == 0
 
