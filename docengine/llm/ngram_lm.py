@@ -186,12 +186,19 @@ class Trie:
 
 # ---- n-grams of a chunk ---------------------------------------------------------
 def _squeezed(x: np.ndarray) -> bytes:
-    """Integers from 0 on, by planes of their bytes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Integers from 0 on, by planes of their bytes, each compressed alone, as their bytes are spread unlike one another's."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    packed = [zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in planes[:used]]
+    return np.array([len(x), used, *map(len, packed)], "<u4").tobytes() + b"".join(packed)
 
 
 def _whole(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    n, used = np.frombuffer(data, "<u4", 2).tolist()
+    ends = np.cumsum(np.frombuffer(data, "<u4", used, 8)) + 8 + 4 * used
+    planes = np.zeros((8, n), np.uint8)
+    for plane, start, end in zip(planes, [8 + 4 * used, *ends], ends):
+        plane[:] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[start:end]), np.uint8)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
@@ -256,12 +263,21 @@ class Grams:
         return np.searchsorted(bucket.astype(np.int64), np.arange(n + 1))
 
 
+def _words(data: bytes) -> np.ndarray:
+    """Hashes from their gaps, which go round at 64 bits where a class ends."""
+    return np.cumsum(_whole(data), dtype=np.uint64)
+
+
 # ---- on Spark ------------------------------------------------------------------
 CHUNKS = "chunk long, doc_id array<long>, held_out array<boolean>, lengths array<int>, tokens binary, words binary, n_grams long, train_texts long, train_tokens long"
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the texts' different words, the words' places there token by token, and the tokens of each text."""
+    """Hashes of the texts' different words, the words' places there token by token, and the tokens of each text.
+
+    Words are in classes by the bits of their count, the most frequent first,
+    and by hash in a class: places are small and hashes have small gaps.
+    """
     data = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
     starts = word_starts(data)
@@ -275,7 +291,10 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         stop = starts[low + (1 << 17)] if low + (1 << 17) < len(starts) else len(data)
         every[np.flatnonzero(own)[low : low + (1 << 17)]] = part_hashes(data[part[0] : stop], part - part[0], words=True)
     hashes, tokens = np.unique(every, return_inverse=True)
-    return hashes, tokens, lengths
+    order = np.argsort(-np.frexp(np.bincount(tokens))[1], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return hashes[order], place[tokens], lengths
 
 
 def _tokenized(chunk_bytes: int):
@@ -291,7 +310,7 @@ def _tokenized(chunk_bytes: int):
             nonlocal serial, pending
             hashes, tokens, lengths = _tokens([t for _, _, t in pending])
             train = np.array([not h for _, h, _ in pending])
-            row = [[(part << 32) + serial], [[d for d, _, _ in pending]], [[h for _, h, _ in pending]], [lengths.astype(np.int32)], [_squeezed(tokens)], [hashes.tobytes()], [3 * len(tokens)], [int(train.sum())], [int(lengths[train].sum())]]
+            row = [[(part << 32) + serial], [[d for d, _, _ in pending]], [[h for _, h, _ in pending]], [lengths.astype(np.int32)], [_squeezed(tokens)], [_squeezed(np.diff(hashes, prepend=np.uint64(0)))], [3 * len(tokens)], [int(train.sum())], [int(lengths[train].sum())]]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             serial, pending = serial + 1, []
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["chunk", "doc_id", "held_out", "lengths", "tokens", "words", "n_grams", "train_texts", "train_tokens"])
@@ -319,7 +338,7 @@ def _dealt(buckets: int):
         for batch in sliced(batches, 1):
             chunk, held, lengths, tokens, words = (batch.column(c)[0].as_py() for c in ("chunk", "held_out", "lengths", "tokens", "words"))
             lengths, tokens = np.array(lengths), _whole(tokens).astype(np.int64)
-            grams = Grams(np.frombuffer(words, np.uint64), tokens, lengths)
+            grams = Grams(_words(words), tokens, lengths)
             train = np.repeat(~np.array(held, bool), lengths)
             n = [np.bincount(at[own], minlength=size) for at, own, size in ((tokens, train, grams.v), (grams.at2, train, len(grams.bigrams)), (grams.at3, train[grams.inner], len(grams.last)))]
             n, keys, cuts = np.concatenate(n)[grams.order], grams.keys[grams.order], grams.buckets(buckets)
@@ -349,7 +368,7 @@ def _scored(tokens: int, texts: int, kinds: int, prior: tuple[float, float]):
     def run(key: tuple[pa.Scalar, ...], chunk: pa.Table, counted: pa.Table) -> pa.Table:
         docs, held, lengths, at, words = (chunk[c][0].as_py() for c in ("doc_id", "held_out", "lengths", "tokens", "words"))
         lengths, at = np.array(lengths), _whole(at).astype(np.int64)
-        grams = Grams(np.frombuffer(words, np.uint64), at, lengths)
+        grams = Grams(_words(words), at, lengths)
         parts = sorted(zip(counted["bucket"].to_pylist(), counted["corpus"].to_pylist()))
         n = np.empty(len(grams.keys), np.int64)
         n[grams.order] = np.concatenate([_whole(x) for _, x in parts]).astype(np.int64)
