@@ -105,22 +105,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def part_hashes(data: np.ndarray, starts: np.ndarray, words: bool = False, which: int = 0) -> np.ndarray:
+def _hashes(data: np.ndarray, starts: np.ndarray, table: np.ndarray, which: tuple[int, ...]) -> list[np.ndarray]:
+    if not len(starts):
+        return [np.empty(0, np.uint64)] * len(which)
+    length = np.diff(starts, append=len(data))
+    place = np.arange(starts[0], len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), length)
+    out = []
+    for w in which:
+        power = np.full(int(length.max()), _STEP[w])
+        power[0] = 1
+        value = table[w][data[starts[0] :]]
+        value *= np.cumprod(power)[place]
+        out.append(mixed(np.add.reduceat(value, starts - starts[0])))
+    return out
+
+
+def part_hashes(data: np.ndarray, starts: np.ndarray, words: bool = False) -> np.ndarray:
     """A 64-bit hash of each part of data (uint8) from one start to the next.
 
     A sum of random values of its bytes times powers of a multiplier; with
     words, white space counts nothing, so what follows a word doesn't matter.
     """
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    length = np.diff(starts, append=len(data))
-    power = np.full(int(length.max()), _STEP[which])
-    power[0] = 1
-    power = np.cumprod(power)
-    place = np.arange(starts[0], len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), length)
-    value = (_WORD_BYTES if words else _BYTES)[which][data[starts[0] :]]
-    value *= power[place]
-    return mixed(np.add.reduceat(value, starts - starts[0]))
+    return _hashes(data, starts, _WORD_BYTES if words else _BYTES, (0,))[0]
+
+
+def part_hash_pairs(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """part_hashes(), and a second hash of each part from other random values."""
+    return _hashes(data, starts, _BYTES, (0, 1))
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:

@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import give_back, part_hashes
+from docengine.llm.common import give_back, part_hash_pairs
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 MEMO = 1_000_000  # pieces, of some 30 bytes each
 AT_ONCE = 1 << 20  # bytes of text
+JOINED = 100  # new pieces in a string; the tokenizer slows down on longer ones
 #: White space other than blank, line feed, tab and carriage return, or what some call so.
 ODD_SPACE = re.compile("[\\x00\\x0b\\x0c\\x1c-\\x1f\\x85\\u00a0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 _GAP = np.isin(np.arange(256), [0x20, 0x0A, 0x09, 0x0D])
@@ -40,9 +41,9 @@ class Encoder:
     word. So a text's ids are those of its pieces between such places, one
     after another. A piece is encoded once and remembered by two 64-bit
     hashes, as flat arrays (MEMO pieces at most, then afresh). New pieces that
-    are one blank or line feed and a word are encoded as one long string: its
-    ids split at those that begin with a blank or line feed. Texts with
-    ODD_SPACE, or a piece whose second hash is another's, are encoded whole.
+    are one blank or line feed and a word are encoded JOINED at a time as one
+    string: its ids split at those that begin with a blank or line feed. Texts
+    with ODD_SPACE, or a piece whose second hash is another's, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -88,7 +89,7 @@ class Encoder:
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         k = int(plain.sum())
         pieces = [raw[s : s + n] for s, n in zip(starts[order].tolist(), length[order].tolist())]
-        joined = [b"".join(pieces[i : min(i + 5000, k)]).decode() for i in range(0, k, 5000)]
+        joined = [b"".join(pieces[i : min(i + JOINED, k)]).decode() for i in range(0, k, JOINED)]
         long = np.concatenate([np.empty(0, np.uint32), *self.encode(joined)])
         alone = self.encode([p.decode() for p in pieces[k:]])
         cuts = np.flatnonzero(self.first[long])
@@ -112,7 +113,7 @@ class Encoder:
             begin, data = np.cumsum(size) - size, np.frombuffer(b"".join(parts), np.uint8)
             starts = self.starts(data, begin)
             length = np.diff(starts, append=len(data))
-            key, check = part_hashes(data, starts), part_hashes(data, starts, which=1)
+            key, check = part_hash_pairs(data, starts)
             kinds, one, at = np.unique(key, return_index=True, return_inverse=True)
             if len(self.keys) + len(kinds) > MEMO:
                 self.clear()
