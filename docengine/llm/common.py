@@ -75,6 +75,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sliced(batches, rows: int = 256):
     """Arrow batches cut small, so that a task holds few texts as Python objects at once."""
     for batch in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.llm.common import give_back, scratch, sliced, stored, without
+from docengine.llm.common import free_name, give_back, scratch, sliced, stored, without
 
 ORDER = 3  # bytes of the longest context
 PAD = b"\n" * ORDER
@@ -254,7 +254,7 @@ def predict(docs: DataFrame, trees: dict[str, list[dict]], text: str = "text", c
     of any other name keep their values. Empty input, empty output.
     """
     base = without(docs, "lang_pred", "score", *(COSTS if costs else ()))
-    fed = base.select("*", has_letter(F.col(text)).alias("_li_known"))  # read by its place, so the name may be taken
+    fed = base.select("*", has_letter(F.col(text)).alias(free_name(base, "_li_known")))
     trees = {lang: flattened(tree) for lang, tree in trees.items()}
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *(T.StructField(c, T.DoubleType()) for c in COSTS if costs)])
     return fed.mapInArrow(_predict(trees, base.columns.index(text), base.columns, costs), schema)

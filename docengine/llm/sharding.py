@@ -35,7 +35,8 @@ def shuffle_shards(docs: DataFrame, shards: int = 8, bucket_bytes: int = 8 << 20
     input, so rows with one id, or null ids, spread as well; the same files
     read with the same settings give the same order. Size is the text's
     UTF-8 bytes (null: none) plus 1. Empty input, empty output. Input columns
-    named size, shard or slot are replaced.
+    named size, shard or slot are replaced, those whose names begin with _sh_
+    aren't kept; all others keep their values, whatever their names.
     """
     rows = without(docs, "size", "shard", "slot").withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
     total = rows.agg(F.sum("size")).first()[0] or 0
