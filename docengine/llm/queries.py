@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import hamming, langid, media, mixing, near_duplicates, ngram_lm, packing, quality, sharding, url_filter
+from docengine.llm import hamming, langid, media, mixing, near_duplicates, ngram_lm, packing, quality, sharding, simhash, url_filter
 from docengine.llm.common import table
 
 LISTED_HOSTS = r"(^|\.)(spam-farm|adult-x)\."
@@ -79,6 +79,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_low", "p_toxic", "quality_score", quality.kept().alias("keep"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP7_SQL = f"""
 with p as (
@@ -107,5 +111,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_ngram_lm": op9_ngram_lm,
     "op10_quality": op10_quality,
+    "op13_simhash": op13_simhash,
 }
 ORACLE_SQL = {"op4_hamming_topk": OP4_SQL, "op7_url_filter": OP7_SQL}
