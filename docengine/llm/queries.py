@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import hamming, langid, media, mixing, near_duplicates, ngram_lm, packing, quality, sharding, simhash, url_filter
-from docengine.llm.common import table
+from docengine.llm import alignment, hamming, langid, media, mixing, near_duplicates, ngram_lm, packing, quality, sharding, simhash, url_filter
+from docengine.llm.common import stored, table
 
 LISTED_HOSTS = r"(^|\.)(spam-farm|adult-x)\."
 
@@ -79,6 +79,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_low", "p_toxic", "quality_score", quality.kept().alias("keep"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    swept = alignment.alignments(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    kept = stored(swept.withColumn("groups_sha256", sha).drop("groups"), "aligned", compression="zstd", stay=True)
+    return alignment.with_counts(kept).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -111,6 +118,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_ngram_lm": op9_ngram_lm,
     "op10_quality": op10_quality,
+    "op11_alignment": op11_alignment,
     "op13_simhash": op13_simhash,
 }
 ORACLE_SQL = {"op4_hamming_topk": OP4_SQL, "op7_url_filter": OP7_SQL}
