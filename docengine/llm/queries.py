@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import alignment, hamming, langid, media, mixing, near_duplicates, ngram_lm, packing, quality, sharding, simhash, url_filter
+from docengine.llm import alignment, hamming, langid, media, mixing, near_duplicates, ngram_lm, packing, prefix_trie, quality, sharding, simhash, url_filter
 from docengine.llm.common import stored, table
 
 LISTED_HOSTS = r"(^|\.)(spam-farm|adult-x)\."
@@ -86,6 +86,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.with_counts(kept).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -119,6 +123,7 @@ QUERIES = {
     "op9_ngram_lm": op9_ngram_lm,
     "op10_quality": op10_quality,
     "op11_alignment": op11_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_simhash": op13_simhash,
 }
 ORACLE_SQL = {"op4_hamming_topk": OP4_SQL, "op7_url_filter": OP7_SQL}
