@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions.rules import is_short
 from docengine.functions.text import expand_query, py_strip, tokens
+from docengine.operators.feedback import wordings
 from docengine.operators.retrieval import dense_topk
 from docengine.plans.index import hash_embedding
 from docengine.sources.scratch import written
@@ -63,32 +64,46 @@ def context(chunks: Column | str, top: int = 8) -> Column:
 HIT = ("page", "total_pages", "chunk_index", "type", "source", "text")
 
 
-def retrieve(index: DataFrame, states: DataFrame, k: int = 15, variant=expand_query, embed=hash_embedding) -> DataFrame:
-    """states with chunks: hits of the query, and of one variant with its own vector unless the query is short."""
-    own = states.select("query_id", "file_key", "query", F.col("query_vec").cast("array<double>").alias("query_vec"), F.lit(0).alias("variant"))
-    other = own.where(~is_short("query") & (variant("query") != F.col("query"))).withColumns({"query": variant("query"), "query_vec": embed(variant("query")), "variant": F.lit(1)})
-    asked = own.unionByName(other).withColumnRenamed("query_id", "_q").withColumn("query_id", F.struct("_q", "variant"))
-    hits = dense_topk(index, asked.drop("_q", "variant"), k).withColumns({"variant": F.col("query_id.variant"), "query_id": F.col("query_id._q")})
+def retrieve(index: DataFrame, states: DataFrame, k: int = 15, variant=expand_query, embed=hash_embedding) -> tuple[DataFrame, DataFrame]:
+    """states with chunks: hits of the query, and of one variant with its own vector unless the query is short; and the query's own hits.
+
+    variant is a Feedback over the query's own hits, or a function of the
+    query's Column. Questions are written with their vectors, so neither
+    wording nor vector is worked out again for each chunk.
+    """
+    asked = states.select("query_id", "file_key", "query", "query_vec")
+    own = written(dense_topk(index, asked, k), "own-hits")
+    long = asked.where(~is_short("query"))
+    other = long.drop("query_vec").join(wordings(long, own, variant, "variants"), "query_id").where((F.col("text") != "") & (F.col("text") != F.col("query")))
+    other = written(other.select("query_id", "file_key", F.col("text").alias("query")).withColumn("query_vec", embed("query")), "variants")
+    more = dense_topk(index, other, k).drop("query").join(long.select("query_id", "query"), "query_id")
+    hits = own.withColumn("variant", F.lit(0)).unionByName(more.withColumn("variant", F.lit(1)))
     short = states.select("query_id", is_short("query").alias("_short"))
     hits = hits.join(short, "query_id")
     whole = hits.where("_short").withColumn("place", F.col("pos") + 1)
     deduped = dedupe_variants(hits.where("not _short")).unionByName(whole)
     listed = deduped.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*HIT).alias("c")))), lambda x: x["c"]).alias("chunks"))
-    return states.drop("chunks").join(listed, "query_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(listed.schema["chunks"].dataType)))
+    return states.drop("chunks").join(listed, "query_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(listed.schema["chunks"].dataType))), own
 
 
 def corrective_search(index: DataFrame, queries: DataFrame, k: int = 15, rewrite=expand_query, rewrites: int = 1, variant=expand_query, embed=hash_embedding) -> DataFrame:
     """queries (query_id, file_key, query, query_vec) with kept chunks, rewrite_count and context.
 
     Retrieve, grade, and for those that need it rewrite and go again: the
-    bound on rewrites makes it a plan of so many stages. embed gives the
-    vectors of variants and rewritten queries.
+    bound on rewrites makes it a plan of so many stages. variant and rewrite
+    are a Feedback, which words them by the query's own hits, or functions of
+    the query's Column; embed gives the vectors of what they say.
     """
-    states = queries.withColumn("query_vec", F.col("query_vec").cast("array<double>")).withColumns({"original": F.col("query"), "rewrite_count": F.lit(0)})
+    states = written(queries.withColumn("query_vec", F.col("query_vec").cast("array<double>")).withColumns({"original": F.col("query"), "rewrite_count": F.lit(0)}), "states")
     done = None
     for turn in range(rewrites + 1):
-        graded = written(grade(retrieve(index, states, k, variant, embed), rewrites=rewrites), "graded")
+        found, own = retrieve(index, states, k, variant, embed)
+        graded = written(grade(found, rewrites=rewrites), "graded")
         over = graded.where("not needs_rewrite").drop("needs_rewrite")
         done = over if done is None else done.unionByName(over)
-        states = graded.where("needs_rewrite").drop("needs_rewrite", "chunks").withColumns({"query": rewrite("query"), "query_vec": embed(rewrite("query")), "rewrite_count": F.col("rewrite_count") + 1})
+        if turn < rewrites:
+            again = graded.where("needs_rewrite").drop("needs_rewrite", "chunks", "query_vec")
+            said = wordings(again, own, rewrite, "rewrites")
+            again = again.drop("query").join(said.withColumnRenamed("text", "query"), "query_id")
+            states = written(again.withColumns({"query_vec": embed("query"), "rewrite_count": F.col("rewrite_count") + 1}), "states")
     return done.withColumn("context", context("chunks"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.functions.text import expand_query, let, tokens
+from docengine.functions.text import col, expand_query, let, tokens
 from docengine.plans.index import hash_embedding
 from docengine.sources.scratch import written
 
@@ -31,7 +31,7 @@ def norm(a: Column | str) -> Column:
 
 def normalised(a: Column | str) -> Column:
     """Of length 1; a vector of zeros, or with a null, gives nulls."""
-    return let(norm(a), lambda n: F.transform(a, lambda x: F.try_divide(x.cast("double"), n)))
+    return let(col(a), lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.try_divide(x.cast("double"), n))))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -46,14 +46,16 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     query, query_vec. A hash join on the file; the queries are broadcast up to
     BROADCAST_VALUES numbers in their vectors, which is checked, so that a
     large file's chunks stay where they are and each task keeps k a query
-    before the exchange. Both sides are normalised once. Chunks and queries
-    without a vector, or with one of zeros, are no hits. Ties: the lesser
-    chunk_id.
+    before the exchange. Both sides are normalised once; an index that holds
+    unit vectors (column unit, null where there is none) is read as it is.
+    Chunks and queries without a vector, or with one of zeros, are no hits.
+    Ties: the lesser chunk_id.
     """
     few = (queries.agg(F.sum(F.size("query_vec"))).first()[0] or 0) <= BROADCAST_VALUES
     unit = lambda df, c: df.withColumn(c, normalised(c)).where(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()))
     asked = unit(queries, "query_vec")
-    met = unit(index, "embedding").join(F.broadcast(asked) if few else asked, "file_key")
+    stored = index.drop("embedding").withColumnRenamed("unit", "embedding").where("embedding is not null") if "unit" in index.columns else unit(index, "embedding")
+    met = stored.join(F.broadcast(asked) if few else asked, "file_key")
     scored = met.withColumn("score", dot("embedding", "query_vec")).drop("embedding", "query_vec")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     top = scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
@@ -189,7 +191,7 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 20, pool: int =
     embed gives the vector of an expanded query; one with nothing to expand
     keeps its own.
     """
-    wide = expanded(queries, embed)
+    wide = written(expanded(queries, embed), "questions")
     raw = queries.select("query_id", F.col("query").alias("_raw"))
     dense = written(dense_topk(index, wide, k).join(raw, "query_id").withColumn("query", F.col("_raw")).drop("_raw"), "dense")
     lexical = bm25_over_hits(dense, wide, k)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions.rules import is_small_talk, small_talk_reply
-from docengine.functions.text import best_lines, py_strip
+from docengine.functions.text import best_lines, expand_query, py_strip
 from docengine.operators.corrective import HIT, corrective_search
 from docengine.operators.pages import page_note, select_pages
 from docengine.operators.retrieval import hybrid_search
@@ -37,14 +37,14 @@ def extract(prompt_text: Column, keep: int = 3) -> Column:
     return best_lines(part(1), part(2), keep, skip=r"^\[[A-Z]+ \| .*\]$")
 
 
-def ask(index: DataFrame, queries: DataFrame, images: DataFrame, statuses: DataFrame | None = None, model=extract, embed=hash_embedding) -> DataFrame:
+def ask(index: DataFrame, queries: DataFrame, images: DataFrame, statuses: DataFrame | None = None, model=extract, embed=hash_embedding, rewrite=expand_query, variant=expand_query) -> DataFrame:
     """queries (query_id, file_key, query, query_vec) with answer, pages and path.
 
     path says which rule answered: missing (no prompt or file is named),
     small_talk, status (the file is being indexed or failed), corrective,
     hybrid (where corrective retrieval found nothing), or nothing. The model
     sees only rows that have a context; embed gives the vectors of variants,
-    rewritten and expanded queries.
+    rewritten and expanded queries, variant and rewrite are corrective_search()'s.
     """
     blank = (F.coalesce(py_strip("query"), F.lit("")) == "") | (F.coalesce(py_strip("file_key"), F.lit("")) == "")
     missing = queries.where(blank).select("query_id", F.lit("A prompt and a file name are required.").alias("answer"), F.array().cast("array<int>").alias("pages"), F.lit("missing").alias("path"))
@@ -60,7 +60,7 @@ def ask(index: DataFrame, queries: DataFrame, images: DataFrame, statuses: DataF
         said = said.unionByName(met.where(reason.isNotNull()).select("query_id", reason.alias("answer"), none.alias("pages"), F.lit("status").alias("path")))
         rest = met.where(reason.isNull()).drop("status", "message")
 
-    found = written(corrective_search(index, rest.select("query_id", "file_key", "query", "query_vec"), embed=embed), "corrective")
+    found = written(corrective_search(index, rest.select("query_id", "file_key", "query", "query_vec"), embed=embed, rewrite=rewrite, variant=variant), "corrective")
     first = found.where(F.size("chunks") > 0)
     hits = first.select("query_id", "file_key", F.posexplode("chunks").alias("pos", "c")).select("query_id", "file_key", "pos", *[f"c.{x}" for x in HIT])
     missed = rest.join(first.select("query_id"), "query_id", "left_anti")
@@ -68,7 +68,7 @@ def ask(index: DataFrame, queries: DataFrame, images: DataFrame, statuses: DataF
     other = second.select("query_id", "file_key", (F.col("rank") - 1).alias("pos"), *HIT)
     contexts = first.select("query_id", "context", F.lit("corrective").alias("path")).unionByName(fallback_context(second).withColumn("path", F.lit("hybrid")))
 
-    chosen = select_pages(rest.select("query_id", "file_key", "query"), hits.unionByName(other), images)
+    chosen = written(select_pages(rest.select("query_id", "file_key", "query"), hits.unionByName(other), images), "chosen")
     ready = chosen.join(contexts, "query_id", "left")
     asked = ready.where("context is not null").withColumn("_prompt", prompt("query", "context", page_note("pages")))
     answered = asked.withColumn("answer", model(F.col("_prompt"))).select(columns)

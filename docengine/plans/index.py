@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docengine.functions.text import let, tokens
 from docengine.sources.scratch import written
 
 STATUS = "file_key string, status string, message string, updated_at timestamp"
@@ -12,14 +13,20 @@ STATUS = "file_key string, status string, message string, updated_at timestamp"
 
 def hash_embedding(text, dims: int = 64):
     """The default embedder: signed counts of word hashes, all in the JVM. A text without words gives nulls, which no search finds."""
-    from docengine.functions.text import tokens
     from docengine.operators.retrieval import normalised
 
-    words = F.transform(tokens(text), lambda w: F.xxhash64(w))
-    def part(d):
-        return F.aggregate(words, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dims)) == d, F.when(h > 0, 1.0).otherwise(-1.0)).otherwise(0.0))
+    def part(hashes, d):
+        return F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dims)) == d, F.when(h > 0, 1.0).otherwise(-1.0)).otherwise(0.0))
 
-    return normalised(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), part))
+    hashed = F.transform(tokens(text), lambda w: F.xxhash64(w))
+    return normalised(let(hashed, lambda hashes: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: part(hashes, d))))
+
+
+def unit_vector(embedding):
+    """What an index stores for search: the vector at length 1, null where there is none."""
+    from docengine.operators.retrieval import normalised
+
+    return let(normalised(embedding), lambda v: F.when(~F.exists(v, lambda x: x.isNull()), v))
 
 
 def cache_misses(files: DataFrame, cache: DataFrame) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import rules, text
-from docengine.operators import chunking, corrective, pages, report, retrieval
+from docengine.operators import chunking, corrective, feedback, pages, report, retrieval
 from docengine.plans import answer, index
-from docengine.sources.scratch import written
+from docengine.sources.scratch import shared, written
 from docengine.streaming import ingest, tokens
 
 
@@ -53,12 +53,8 @@ def markdown(spark, sf_dir):
 
 def letter_embedding(c):
     """How often a text has each of LETTERS: an embedder that SQL can express."""
-    one = F.length(c)
-    return F.array(*[(one - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
-
-
-def letter_embedding_of(c):
-    return letter_embedding(F.col(c) if isinstance(c, str) else c)
+    count = lambda t, x: F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))
+    return text.let(text.col(c), lambda t: F.array(*[count(t, x).cast("double") for x in LETTERS]))
 
 
 def index_rows(spark, sf_dir):
@@ -69,16 +65,26 @@ def index_rows(spark, sf_dir):
 
 
 def vector_index(spark, sf_dir):
-    """index_rows() with their vector or else their letter_embedding(), written once as an index is."""
-    docs = index_rows(spark, sf_dir)
-    met = docs.join(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
-    met = met.withColumn("embedding", F.when(F.col("embedding").isNull(), letter_embedding(F.col("text"))).otherwise(F.col("embedding").cast("array<double>")))
-    return written(met, "index")
+    """index_rows() with their vector or else their letter_embedding(), and that at length 1; written once an application."""
+    def build():
+        docs = index_rows(spark, sf_dir)
+        met = docs.join(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+        met = met.withColumn("embedding", F.when(F.col("embedding").isNull(), letter_embedding("text")).otherwise(F.col("embedding").cast("array<double>")))
+        return met.withColumn("unit", index.unit_vector("embedding"))
+
+    return shared(spark, "index", sf_dir, build)
 
 
 def vector_queries(spark, sf_dir):
+    """Benchmark items with a vector, some with abbreviations put in front."""
     items = _t(spark, sf_dir, "benchmark").join(_t(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id"))
-    return items.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("file_key"), F.col("text").alias("query"), F.col("embedding").alias("query_vec"))
+    query = F.when(F.col("item_id") % 4 == 2, F.concat(F.lit("rag vs fig. in "), "text")).otherwise(F.col("text"))
+    return items.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("file_key"), query.alias("query"), F.col("embedding").alias("query_vec"))
+
+
+def by_feedback(spark, sf_dir):
+    """Variants and rewrites by pseudo-relevance feedback."""
+    return feedback.Feedback(shared(spark, "file-terms", sf_dir, lambda: feedback.file_terms(vector_index(spark, sf_dir))))
 
 
 def image_pages(spark, sf_dir):
@@ -100,7 +106,7 @@ with lines as (select doc_id, source, unnest(range(0, len(l))) as i, unnest(l) a
 chunk_lines as (select 'doc_' || doc_id as file_key, cast(i // 5 + 1 as int) as page, cast(i as int) as chunk_index, line as text from lines where length(trim(line)) >= 30),
 headed as (select file_key, page, chunk_index, case when page % 3 = 1 and chunk_index % 5 = 0 then 'Chapter ' || page || ': ' || left(text, 20) || chr(10) || text else text end as text from chunk_lines),
 vindex as (select doc_id as chunk_id, source as file_key, text, coalesce(embedding::double[], {LETTERS}) as embedding, cast(doc_id % 40 as int) as page, case when doc_id % 7 = 0 then 'table' else 'text' end as type from documents left join embeddings on doc_id = vec_id),
-vqueries as (select item_id as query_id, 'src' || (item_id % 20) as file_key, text as query, embedding as query_vec from benchmark join embeddings on item_id = vec_id),
+vqueries as (select item_id as query_id, 'src' || (item_id % 20) as file_key, case when item_id % 4 = 2 then 'rag vs fig. in ' else '' end || text as query, embedding as query_vec from benchmark join embeddings on item_id = vec_id),
 scored as (select * from (select query_id, file_key, query, chunk_id, text, page, type, list_cosine_similarity(embedding::double[], query_vec::double[]) as s from vindex join vqueries using (file_key)) where s is not null and not isnan(s)),
 dense as (select * from (select *, row_number() over (partition by query_id order by round(s, 9) desc, chunk_id) - 1 as pos from scored) where pos < 20),
 plain as (select 'c' || conv_id || '-' || turn as id, text from conversations where role = 'user' union all select 'b' || item_id, text from benchmark),
@@ -176,7 +182,15 @@ def dense_topk(spark, sf_dir):
 
 
 def _dense(spark, sf_dir):
-    return retrieval.dense_topk(vector_index(spark, sf_dir), vector_queries(spark, sf_dir))
+    """The hits that keyword scores and fusion read several times, written."""
+    return written(retrieval.dense_topk(vector_index(spark, sf_dir), vector_queries(spark, sf_dir)), "dense")
+
+
+def feedback_wordings(spark, sf_dir):
+    """The other wordings of each question by the words of its first hits."""
+    how, asked, hits = by_feedback(spark, sf_dir), vector_queries(spark, sf_dir), _dense(spark, sf_dir)
+    rewritten = how.rewrites(asked, hits).withColumnRenamed("text", "rewrite")
+    return rewritten.join(how.variants(asked, hits).withColumnRenamed("text", "variant"), "query_id", "left")
 
 
 def bm25_hits(spark, sf_dir):
@@ -209,7 +223,7 @@ def rerank(spark, sf_dir):
 
 
 def hybrid_search(spark, sf_dir):
-    return retrieval.hybrid_search(vector_index(spark, sf_dir), vector_queries(spark, sf_dir), embed=letter_embedding_of).select("query_id", "rank", "chunk_id", "score", F.round("rerank_score", 6).alias("rerank_score"))
+    return retrieval.hybrid_search(vector_index(spark, sf_dir), vector_queries(spark, sf_dir), embed=letter_embedding).select("query_id", "rank", "chunk_id", "score", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 def dedupe_variants(spark, sf_dir):
@@ -229,7 +243,8 @@ def grade_chunks(spark, sf_dir):
 
 
 def corrective_search(spark, sf_dir):
-    return corrective.corrective_search(vector_index(spark, sf_dir), vector_queries(spark, sf_dir), embed=letter_embedding_of).select("query_id", "rewrite_count", F.size("chunks").alias("kept"), "context")
+    how = by_feedback(spark, sf_dir)
+    return corrective.corrective_search(vector_index(spark, sf_dir), vector_queries(spark, sf_dir), rewrite=how, variant=how, embed=letter_embedding).select("query_id", "rewrite_count", F.size("chunks").alias("kept"), "context")
 
 
 def page_images(spark, sf_dir):
@@ -332,7 +347,8 @@ def ask(spark, sf_dir):
     """Benchmark questions, some as small talk, of files of which some are still being indexed."""
     q = vector_queries(spark, sf_dir).withColumn("query", F.when(F.col("query_id") % 9 == 0, F.concat(F.lit("hello "), "query")).otherwise(F.col("query")))
     status = q.select("file_key").distinct().select("file_key", F.when(F.col("file_key") == "src3", "indexing").when(F.col("file_key") == "src4", "error").otherwise("ready").alias("status"), F.lit("No chunks produced").alias("message"))
-    return answer.ask(vector_index(spark, sf_dir), q, image_pages(spark, sf_dir), status, embed=letter_embedding_of).select("query_id", "path", "answer", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+    how = by_feedback(spark, sf_dir)
+    return answer.ask(vector_index(spark, sf_dir), q, image_pages(spark, sf_dir), status, embed=letter_embedding, rewrite=how, variant=how).select("query_id", "path", "answer", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
 def image_diagnosis(spark, sf_dir):
@@ -347,7 +363,7 @@ def event_windows(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     tokenize, clean_text, expand_query, file_names, latex_text, normalise_math, small_talk, query_rules, strip_table_lines, chunk_documents,
     chunk_markdown, chunk_reindex, chunk_stats, dense_topk, bm25_hits, bm25_corpus, rrf, bow_cosine, mmr, rerank, hybrid_search, dedupe_variants,
-    grade_chunks, corrective_search, page_images, page_select, chunks_preview, even_partition, heading_scan, section_ranges, section_join,
+    grade_chunks, feedback_wordings, corrective_search, page_images, page_select, chunks_preview, even_partition, heading_scan, section_ranges, section_join,
     section_context, section_context_whole, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis, page_model, images_for_query, decode_stream,
 )}
 
@@ -428,6 +444,51 @@ nm as (select query_id, unnest(nums) as p, unnest(range(0, len(nums))) as i, fil
 named as (select query_id, string_agg(p, ',' order by i) as pages from nm where (file_key, cast(p as int)) in (select (file_key, page) from img) group by all)"""
 _ASKED = "long as (select query_id, list_filter(list_distinct({t}), lambda x: length(x) > 3) as asked from vqueries)".format(t=_toks("query"))
 
+_LETTERS = lambda c: "[" + ", ".join(f"(length({c}) - length(replace({c}, '{x}', '')))::double" for x in LETTERS) + "]"
+_TERMS = f"""terms as (select file_key, token, count(*) as df from (select distinct chunk_id, file_key, unnest({_toks("text")}) as token from vindex) group by all),
+fn as (select file_key, count(*) as n from vindex group by all)"""
+
+
+def _feedback(t: str, asked: str, hits: str) -> str:
+    """variant{t} and rewrite{t} (query_id, text) of asked by the first of hits."""
+    return f"""share{t} as (select query_id, token, sum(1.0::double / dl) as share from (select query_id, dl, unnest(t) as token from (select query_id, {_toks("text")} as t, len({_toks("text")}) as dl from {hits} where pos < 5)) where length(token) > 3 group by all),
+best{t} as (select query_id, token, row_number() over (partition by query_id order by round(share * ln(1 + n::double / df), 9) desc, token) as rank from share{t} join {asked} using (query_id) join terms using (file_key, token) join fn using (file_key) where not list_contains({_toks("query")}, token)),
+variant{t} as (select query_id, string_agg(token, ' ' order by rank) as text from best{t} where rank <= 8 group by all),
+usual{t} as (select query_id, token, row_number() over (partition by query_id order by df desc, token) as rank from (select distinct query_id, file_key, unnest({_toks("query")}) as token from {asked}) join terms using (file_key, token)),
+said{t} as (select query_id, string_agg(token, ' ' order by part, rank) as text from (select query_id, token, 0 as part, rank from usual{t} where rank <= 6 union all select query_id, token, 1, rank from best{t} where rank <= 4) group by all),
+rewrite{t} as (select query_id, coalesce(text, query) as text from {asked} left join said{t} using (query_id))"""
+
+
+def _found(name: str, asked: str) -> str:
+    """The 15 best chunks of asked (query_id, file_key, qv)."""
+    return f"""{name} as (select * from (select *, row_number() over (partition by query_id order by round(s, 9) desc, chunk_id) - 1 as pos from
+  (select query_id, chunk_id, text, page, type, file_key, list_cosine_similarity(embedding, qv) as s from vindex join (select query_id, file_key, qv from {asked}) using (file_key)) where s is not null and not isnan(s)) where pos < 15)"""
+
+
+def _turn(t: int) -> str:
+    """One turn of the corrective loop over asked{t}: graded{t} (query_id, pl, chunk.., n, due)."""
+    return ",\n".join([
+        _found(f"own{t}", f"asked{t}"),
+        _feedback(str(t), f"asked{t}", f"own{t}"),
+        f"more{t} as (select query_id, file_key, text as query, {_LETTERS('text')} as qv from asked{t} join variant{t} using (query_id) where len({_toks('query')}) > 4 and text <> query and text <> '')",
+        _found(f"other{t}", f"more{t}"),
+        f"both{t} as (select h.*, len({_toks('query')}) <= 4 as short from (select *, 0 as variant from own{t} union all select *, 1 from other{t}) h join asked{t} using (query_id))",
+        f"once{t} as (select *, row_number() over (partition by query_id order by variant, pos) as pl from (select *, row_number() over (partition by query_id, case when short then chunk_id::varchar else left(text, 100) end order by variant, pos) as rn from both{t}) where rn = 1)",
+        f"judged{t} as (select o.*, len({_toks('original')}) <= 4 as all_stay, coalesce(len(list_intersect(list_filter(list_distinct({_toks('query')}), lambda x: length(x) > 3), {_toks('o.text')})) >= 2, false) as yes from once{t} o join asked{t} using (query_id))",
+        f"counted{t} as (select *, count(*) filter (yes) over (partition by query_id) as n_yes, row_number() over (partition by query_id order by pl) as rn2 from judged{t})",
+        f"kept{t} as (select * from counted{t} where all_stay or yes or (n_yes = 0 and rn2 <= 2))",
+        f"due{t} as (select query_id from kept{t} group by query_id having not any_value(all_stay) and count(*) < 2)",
+    ])
+
+
+_CORRECTIVE = ",\n".join([
+    "asked0 as (select query_id, file_key, query, query as original, query_vec::double[] as qv from vqueries)", _turn(0),
+    f"asked1 as (select query_id, file_key, r.text as query, original, {_LETTERS('r.text')} as qv from asked0 join due0 using (query_id) join rewrite0 r using (query_id))", _turn(1),
+    "final as (select *, 0 as turn from kept0 where query_id not in (select query_id from due0) union all select *, 1 from kept1)",
+    "labelled as (select query_id, turn, rn2, row_number() over (partition by query_id order by rn2) as rn3, '[' || upper(type) || ' | ' || file_key || ' ' || case when page <> 0 then 'p.' || page || '/40' else '' end || ' | chunk:' || chunk_id || ']' || chr(10) || text as line from final)",
+    "corrected as (select query_id, cast(max(turn) as int) as rewrite_count, cast(count(*) as int) as kept, coalesce(string_agg(line, chr(10) || chr(10) order by rn3) filter (rn3 <= 8), '') as context from labelled group by all)",
+])
+
 ORACLE_SQL = {
     "tokenize": f"select doc_id, token, count(*) as tf from (select doc_id, unnest({_toks('text')}) as token from documents) group by all",
     "clean_text": rf"select doc_id, coalesce(regexp_replace(regexp_replace({_strip('text')}, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '') as clean from documents",
@@ -473,6 +534,8 @@ select query_id, variant, pos, cast(row_number() over (partition by query_id ord
 n as (select *, count(*) filter (yes) over (partition by query_id) as k, row_number() over (partition by query_id order by pos) as rn from v),
 kept as (select * from n where short or yes or (k = 0 and rn <= 2))
 select query_id, string_agg(cast(chunk_id as varchar), ',' order by pos) as kept, not any_value(short) and count(*) < 2 as needs_rewrite from kept group by query_id""",
+    "feedback_wordings": WITH + _TERMS + ",\n" + _feedback("", "vqueries", "dense") + " select query_id, r.text as rewrite, v.text as variant from rewrite r left join variant v using (query_id)",
+    "corrective_search": WITH + _TERMS + ",\n" + _CORRECTIVE + " select query_id, coalesce(rewrite_count, case when query_id in (select query_id from due0) then 1 else 0 end) as rewrite_count, coalesce(kept, 0) as kept, coalesce(context, '') as context from vqueries left join corrected using (query_id)",
     "page_images": WITH + """img as (select distinct file_key, page from vindex where page % 3 = 0),
 f as (select * from (select *, row_number() over (partition by query_id, page order by pos) as rn from dense where page <> 0) where rn = 1)
 select query_id, f.page, img.page is not null as has_image, 'Page ' || f.page || ' | type:' || type || ' | image_on_disk:' || case when img.page is not null then 'YES' else 'NO' end || ' | ' || replace(left(text, 150), chr(10), ' ') as summary from f left join img on f.file_key = img.file_key and f.page = img.page""",

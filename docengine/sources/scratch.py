@@ -4,19 +4,53 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table below spark.checkpoint.dir, read back; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path below spark.checkpoint.dir; a local session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docengine-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table at a shared_path(), read back."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of path, and the path in it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, folder = file_system(spark, path)
+    return system.exists(folder)
+
+
+_SHARED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def shared(spark: SparkSession, label: str, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() gives for the tables in folder, written once an application and read by all that ask for it.
+
+    The tables of a folder are taken not to change meanwhile.
+    """
+    key = (spark.sparkContext.applicationId, label, folder)
+    if key not in _SHARED or not exists(spark, _SHARED[key][0]):
+        df, path = build(), shared_path(spark, label)
+        df.write.parquet(path)
+        _SHARED[key] = (path, df.schema)
+    path, schema = _SHARED[key]
+    return spark.read.schema(schema).parquet(path)

@@ -205,7 +205,7 @@ def test_variant_and_rewrite_find_other_chunks(spark):
     same = lambda c: F.col(c)
     assert found(same, same) == (["alpha"], 1)
     states = asked.withColumns({"original": F.col("query"), "rewrite_count": F.lit(0)})
-    two = corrective.retrieve(index, states, 1, lambda c: F.lit("what does beta mean here then"), axis).first()
+    two = corrective.retrieve(index, states, 1, lambda c: F.lit("what does beta mean here then"), axis)[0].first()
     assert [c.text.split()[0] for c in two.chunks] == ["alpha", "beta"]
     assert found(same, lambda c: F.lit("now gamma is asked for instead")) == (["gamma"], 1)
 
