@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions.text import tokens
+from docengine.sources.scratch import written
 
 BROADCAST_TERMS = 500_000
 
@@ -38,6 +39,7 @@ class Feedback:
 
     def _near(self, small: DataFrame) -> DataFrame:
         """small (file_key, token, ..) with df and n. What questions and their first hits hold is broadcast up to BROADCAST_TERMS rows, so the file's words stay where they are."""
+        small = written(small, "question-words")
         few = small.count() <= BROADCAST_TERMS
         return self.terms.join(F.broadcast(small) if few else small, ["file_key", "token"])
 

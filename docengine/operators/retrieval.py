@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docengine.functions.text import col, expand_query, let, tokens
+from docengine.operators import postings
 from docengine.plans.index import hash_embedding
 from docengine.sources.scratch import written
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
+K1, B, EPSILON = postings.K1, postings.B, postings.EPSILON
 RRF_K = 60
 BROADCAST_VALUES = 2_000_000  # numbers in the vectors of all queries, 8 bytes each
 BROADCAST_TERMS = 200_000
+BROADCAST_HITS = 200_000  # of some 100 bytes and the question
 
 
 # ---- vectors ----------------------------------------------------------------
@@ -49,19 +51,34 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     before the exchange. Both sides are normalised once; an index that holds
     unit vectors (column unit, null where there is none) is read as it is.
     Chunks and queries without a vector, or with one of zeros, are no hits.
-    Ties: the lesser chunk_id.
+    Ties: the lesser chunk_id, which is unique in a file. Vectors are compared
+    without their texts, which only hits are joined with.
     """
-    few = (queries.agg(F.sum(F.size("query_vec"))).first()[0] or 0) <= BROADCAST_VALUES
-    unit = lambda df, c: df.withColumn(c, normalised(c)).where(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()))
-    asked = unit(queries, "query_vec")
-    stored = index.drop("embedding").withColumnRenamed("unit", "embedding").where("embedding is not null") if "unit" in index.columns else unit(index, "embedding")
-    met = stored.join(F.broadcast(asked) if few else asked, "file_key")
-    scored = met.withColumn("score", dot("embedding", "query_vec")).drop("embedding", "query_vec")
+    values, asked_rows = queries.agg(F.coalesce(F.sum(F.size("query_vec")), F.lit(0)), F.count("*")).first()
+    asked = _unit(queries, "query_vec")
+    chunks = index.select("file_key", "chunk_id", F.col("unit").alias("embedding")).where("embedding is not null") if "unit" in index.columns else _unit(index.select("file_key", "chunk_id", "embedding"), "embedding")
+    met = chunks.join(F.broadcast(asked) if values <= BROADCAST_VALUES else asked, "file_key")
+    top = best_hits(met.withColumn("score", dot("embedding", "query_vec")).drop("embedding", "query_vec"), k)
+    return with_chunks(index, top, asked_rows * k)
+
+
+def _unit(df: DataFrame, c: str) -> DataFrame:
+    return df.withColumn(c, normalised(c)).where(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()))
+
+
+def best_hits(scored: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query_id by score, ties by chunk_id, with pos from 0."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     top = scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
     return top.withColumns({"pos": F.col("pos") - 1, "score": F.round("score", 4)})
 
 
+def with_chunks(index: DataFrame, top: DataFrame, rows: int) -> DataFrame:
+    """top (file_key, chunk_id, ..; at most so many rows) with what else the index has of each chunk. Texts are read where they lie, for hits only."""
+    few = rows <= BROADCAST_HITS
+    return index.drop("embedding", "unit").join(F.broadcast(top) if few else top, ["file_key", "chunk_id"])
+
+
 # ---- BM25 ---------------------------------------------------------------------
 def _bm25(docs: DataFrame, by: list[str], asked: DataFrame, doc: str) -> DataFrame:
     """(by, doc, bm25): docs (by, doc, text), asked (by, query_id, token, times).
@@ -106,10 +123,8 @@ def bm25_over_hits(hits: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
 
 
 def bm25_corpus(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, chunk_id, bm25, rank) with the whole corpus as corpus; an extension."""
-    scored = _bm25(docs, [], query_terms(queries), "chunk_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(query_id, chunk_id, bm25, rank) with the whole corpus as corpus, by postings that are built for this call; an extension."""
+    return postings.search(postings.Postings(*postings.build(docs)), queries, k).drop("scored")
 
 
 # ---- fusion ---------------------------------------------------------------------

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import rules, text
-from docengine.operators import chunking, corrective, feedback, pages, report, retrieval
+from docengine.operators import cells, chunking, corrective, feedback, pages, postings, report, retrieval
 from docengine.plans import answer, index
-from docengine.sources.scratch import shared, written
+from docengine.sources.scratch import shared, shared_tables, written
 from docengine.streaming import ingest, tokens
 
 
@@ -198,10 +198,25 @@ def bm25_hits(spark, sf_dir):
     return scored.select("query_id", "pos", F.round("bm25", 6).alias("bm25"), "bm25_rank")
 
 
-def bm25_corpus(spark, sf_dir):
+def corpus_postings(spark, sf_dir):
+    """The postings of all documents, built and stored once an application."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return postings.Postings(*shared_tables(spark, ("posting-blocks", "posting-words"), sf_dir, lambda: postings.build(docs)))
+
+
+def bm25_corpus(spark, sf_dir):
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.bm25_corpus(docs, asked).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
+    return postings.search(corpus_postings(spark, sf_dir), asked).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
+
+
+def vector_cells(spark, sf_dir):
+    """The cluster-pruned index of vector_index(), built and stored once an application."""
+    return cells.Cells(*shared_tables(spark, ("cell-vectors", "cells"), sf_dir, lambda: cells.build(vector_index(spark, sf_dir))))
+
+
+def dense_pruned(spark, sf_dir):
+    """dense_topk() by cells, of which those that can't have a hit aren't read."""
+    return cells.search(vector_cells(spark, sf_dir), vector_queries(spark, sf_dir)).select("query_id", "pos", "chunk_id", "score")
 
 
 def rrf(spark, sf_dir):
@@ -362,7 +377,7 @@ def event_windows(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tokenize, clean_text, expand_query, file_names, latex_text, normalise_math, small_talk, query_rules, strip_table_lines, chunk_documents,
-    chunk_markdown, chunk_reindex, chunk_stats, dense_topk, bm25_hits, bm25_corpus, rrf, bow_cosine, mmr, rerank, hybrid_search, dedupe_variants,
+    chunk_markdown, chunk_reindex, chunk_stats, dense_topk, dense_pruned, bm25_hits, bm25_corpus, rrf, bow_cosine, mmr, rerank, hybrid_search, dedupe_variants,
     grade_chunks, feedback_wordings, corrective_search, page_images, page_select, chunks_preview, even_partition, heading_scan, section_ranges, section_join,
     section_context, section_context_whole, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis, page_model, images_for_query, decode_stream,
 )}
@@ -510,6 +525,7 @@ select doc_id, cast(row_number() over (partition by doc_id order by b) - 1 as in
     "chunk_reindex": WITH + _MADE + " select file_key, chunk_index as old, cast(row_number() over (partition by file_key order by case when method = 'vlm' then 1 else 0 end, page, case when type = 'table' then 1 else 0 end, chunk_index) - 1 as int) as chunk_index from made0",
     "chunk_stats": WITH + _MADE + " select file_key, count(*) filter (type = 'text') as text, count(*) filter (type = 'table') as tables, count(*) filter (method = 'vlm') as vlm, count(*) as total from made0 group by all",
     "dense_topk": WITH + "z as (select 1) select query_id, cast(pos as int) as pos, chunk_id, round(s, 4) as score from dense",
+    "dense_pruned": WITH + "z as (select 1) select query_id, cast(pos as int) as pos, chunk_id, round(s, 4) as score from dense",
     "bm25_hits": WITH + _BM25 + " select query_id, cast(pos as int) as pos, round(bm25, 6) as bm25, cast(bm25_rank as int) as bm25_rank from lexical where bm25_rank < 20",
     "bm25_corpus": f"""with qt as (select item_id as query_id, token, count(*) as times from (select item_id, unnest({_toks("text")}) as token from benchmark) group by all),
 post as (select doc_id, token, dl, count(*) as tf from (select doc_id, len(t) as dl, unnest(t) as token from (select doc_id, {_toks("text")} as t from documents)) group by all),

@@ -42,15 +42,20 @@ def exists(spark: SparkSession, path: str) -> bool:
 _SHARED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
-def shared(spark: SparkSession, label: str, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
+def shared_tables(spark: SparkSession, labels: tuple[str, ...], folder: str, build: Callable[[], tuple[DataFrame, ...]]) -> list[DataFrame]:
     """What build() gives for the tables in folder, written once an application and read by all that ask for it.
 
     The tables of a folder are taken not to change meanwhile.
     """
-    key = (spark.sparkContext.applicationId, label, folder)
-    if key not in _SHARED or not exists(spark, _SHARED[key][0]):
-        df, path = build(), shared_path(spark, label)
-        df.write.parquet(path)
-        _SHARED[key] = (path, df.schema)
-    path, schema = _SHARED[key]
-    return spark.read.schema(schema).parquet(path)
+    keys = [(spark.sparkContext.applicationId, label, folder) for label in labels]
+    if not all(key in _SHARED and exists(spark, _SHARED[key][0]) for key in keys):
+        for key, df in zip(keys, build()):
+            path = shared_path(spark, key[1])
+            df.write.parquet(path)
+            _SHARED[key] = (path, df.schema)
+    return [spark.read.schema(schema).parquet(path) for path, schema in map(_SHARED.__getitem__, keys)]
+
+
+def shared(spark: SparkSession, label: str, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """shared_tables() of one table."""
+    return shared_tables(spark, (label,), folder, lambda: (build(),))[0]
