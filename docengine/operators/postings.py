@@ -53,8 +53,8 @@ def search(index: Postings, queries: DataFrame, k: int = 10, query: str = "query
 
     A span's bound for a query is the sum of its blocks' largest parts times
     the words' weights, so no document in it has more. Only blocks' heads are
-    read for the bounds. Spans are opened from the highest bound down until
-    they must hold k documents; the kth score there decides which others are
+    read for the bounds. The k spans of the highest bounds are opened, and
+    more where they may not hold k documents; the kth score there decides which others are
     opened, and no document elsewhere can have more. Documents without a word
     of the query are no hits.
     """
@@ -64,8 +64,9 @@ def search(index: Postings, queries: DataFrame, k: int = 10, query: str = "query
     near = lambda df: F.broadcast(df) if few else df
     heads = index.blocks.select("token", "span", "n", "most").join(near(terms), "token")
     bounds = heads.groupBy("query_id", "span").agg(F.sum(F.greatest(F.col("w") * F.col("most"), F.lit(0.0))).alias("bound"), F.max("n").alias("sure"))
-    before = Window.partitionBy("query_id").orderBy(F.desc("bound"), "span").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = written(bounds.withColumn("first", F.coalesce(F.sum("sure").over(before), F.lit(0)) < k), "span-bounds")
+    best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "span")
+    held = F.coalesce(F.sum("sure").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounds = written(bounds.withColumn("first", (held < k) | (F.row_number().over(best) <= k)), "span-bounds")
 
     def scores(spans: DataFrame) -> DataFrame:
         wanted = written(spans.join(near(terms), "query_id"), "wanted-blocks")

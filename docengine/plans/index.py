@@ -1,4 +1,4 @@
-"""The chunk index: a Parquet table partitioned by file, with a status log."""
+"""The chunk index: a table with snapshots, and a status log."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine.functions.text import let, tokens
-from docengine.sources.scratch import written
+from docengine.plans import store
+from docengine.sources.scratch import exists, written
 
 STATUS = "file_key string, status string, message string, updated_at timestamp"
 
@@ -46,14 +47,13 @@ def with_ids(chunks: DataFrame) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
-    """Replace the partitions of the files in chunks; others stay."""
-    chunks.repartition("file_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_key").parquet(path)
+    """Replace the files in chunks by one commit; others stay."""
+    store.commit(chunks, path)
 
 
 def read_index(spark: SparkSession, path: str, file_key: str | None = None) -> DataFrame:
-    """The index, or one file's partition; reading never creates anything."""
-    rows = spark.read.parquet(path)
-    return rows if file_key is None else rows.where(F.col("file_key") == file_key)
+    """The index's last version, or one file of it; reading never creates anything."""
+    return store.read(spark, path, file_key)
 
 
 def not_indexed(files: DataFrame, index: DataFrame) -> DataFrame:
@@ -61,10 +61,8 @@ def not_indexed(files: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def drop_file(spark: SparkSession, path: str, file_key: str) -> None:
-    """Delete a file's partition through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/file_key={file_key}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """A tombstone for a file."""
+    store.delete(spark, path, spark.range(1).select(F.lit(file_key).alias("file_key")))
 
 
 def write_cache(chunks: DataFrame, path: str) -> None:
@@ -85,44 +83,51 @@ def write_json(chunks: DataFrame, path: str) -> None:
     chunks.sortWithinPartitions("file_key", "chunk_index").write.mode("overwrite").json(path)
 
 
-def index_files(files: DataFrame, pages: DataFrame, path: str, log: str, embed=hash_embedding, force: bool = False) -> DataFrame:
+def index_files(files: DataFrame, pages: DataFrame, path: str, log: str, embed=hash_embedding, force: bool = False, key: str | None = None) -> DataFrame:
     """Index files (file_key) from their chunks (pages: file_key, chunk_index, text, ..) and return the statuses it logged.
 
     A file that has chunks in the index is ready and left alone unless force.
-    Others are logged as indexing, then as ready, or as an error with "No
-    chunks produced". log is a Parquet table of STATUS rows.
+    Others are logged as indexing, then as ready, or as an error: "No chunks
+    produced", or what loading or embedding failed with, in which case the
+    index stays at its last version. All files of a call are one commit; a
+    key names it, so a call with a key that has gone through does nothing
+    again. log is a Parquet table of STATUS rows, in which a status that a
+    file has already isn't repeated.
     """
     spark = files.sparkSession
-    def said(rows: DataFrame, status: str, message: str | None = None) -> None:
-        rows.select("file_key", F.lit(status).alias("status"), F.lit(message).cast("string").alias("message"), F.current_timestamp().alias("updated_at")).write.mode("append").parquet(log)
 
-    names = files.select("file_key").distinct()
-    due = names if force else not_indexed(names, _indexed(spark, path))
+    def said(rows: DataFrame, status: str, message: str | None = None) -> None:
+        new = rows.select("file_key", F.lit(status).alias("status"), F.lit(message).cast("string").alias("message"))
+        if exists(spark, log):
+            new = new.join(latest_status(spark.read.schema(STATUS).parquet(log)).where(F.col("status") == status), ["file_key", "status"], "left_anti").select("file_key", "status", "message")
+        written(new, "statuses").withColumn("updated_at", F.current_timestamp()).write.mode("append").parquet(log)
+
+    names = written(files.select("file_key").distinct(), "names")
+    again = key is not None and store.committed(spark, path, key)
+    due = written(names if force else names.join(store.files_of(spark, path), "file_key", "left_anti"), "due")
     said(names.join(due, "file_key", "left_anti"), "ready")
-    due = written(due, "due")
-    said(due, "indexing")
-    chunks = written(with_ids(pages.join(due, "file_key", "left_semi").withColumn("embedding", embed("text"))), "chunks")
-    have = chunks.select("file_key").distinct()
-    if not chunks.isEmpty():
-        write_index(chunks, path)
-    said(due.join(have, "file_key", "left_semi"), "ready")
-    said(due.join(have, "file_key", "left_anti"), "error", "No chunks produced")
+    failed = None
+    if not again:
+        said(due, "indexing")
+        try:
+            chunks = with_ids(pages.join(due, "file_key", "left_semi")).withColumn("embedding", embed("text"))
+            store.commit(chunks.withColumn("unit", unit_vector("embedding")), path, key, files=due)
+        except Exception as e:  # whatever the loader or the embedder raises; it belongs in the log, and nothing was committed
+            failed = f"{type(e).__name__}: {e}".split("\n")[0][:300]
+    have = store.files_of(spark, path)
+    if failed:
+        said(due, "error", failed)
+    else:
+        said(due.join(have, "file_key", "left_semi"), "ready")
+        said(due.join(have, "file_key", "left_anti"), "error", "No chunks produced")
     return latest_status(spark.read.schema(STATUS).parquet(log)).join(names, "file_key", "left_semi")
 
 
-def _indexed(spark: SparkSession, path: str) -> DataFrame:
-    """The files of the index; none where there is no index yet."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    return read_index(spark, path).select("file_key") if there else spark.createDataFrame([], "file_key string")
-
-
 def reindex(spark: SparkSession, file_key: str, sources: list[DataFrame], path: str, log: str, embed=hash_embedding) -> DataFrame:
-    """Index a file again from the first of sources (chunks) that has it; the index is not touched if none has."""
+    """Index a file again from the first of sources (chunks) that has it; the index is not touched if none has, or if that fails."""
     for pages in sources:
         own = pages.where(F.col("file_key") == file_key)
         if not own.isEmpty():
-            drop_file(spark, path, file_key)
             return index_files(own.select("file_key").distinct(), own, path, log, embed, force=True)
     raise FileNotFoundError(f"File not found: {file_key}")
 

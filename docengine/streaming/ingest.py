@@ -7,25 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docengine.operators.chunking import chunk_table
-from docengine.plans.index import write_index
+from docengine.plans.index import STATUS, hash_embedding, index_files, latest_status
 from docengine.sources.files import as_pages
 
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of .txt files as they arrive below path."""
+    """Pages of .txt files as they arrive below path."""
     raw = spark.readStream.option("pathGlobFilter", "*.[tT][xX][tT]").text(path, wholetext=True)
-    return chunk_table(as_pages(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))))
+    return as_pages(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
-def ingest(spark: SparkSession, source: str, index: str, checkpoint: str) -> StreamingQuery:
-    """Index what has arrived since the last run; a file's partition is replaced as a whole, so a retry is harmless."""
-    def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            write_index(batch, index)
+def ingest(spark: SparkSession, source: str, index: str, checkpoint: str, log: str, embed=hash_embedding) -> StreamingQuery:
+    """Index what has arrived since the last run: chunks with ids and vectors, and statuses, as index_files() writes them.
+
+    A batch is one commit named by the checkpoint and the batch's number, so
+    a batch that runs again after a failure changes nothing that went through.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        index_batch(batch, number, index, checkpoint, log, embed)
 
     return text_stream(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_batch(batch: DataFrame, number: int, index: str, checkpoint: str, log: str, embed=hash_embedding) -> None:
+    """One batch of text_stream()'s pages into the index."""
+    if not batch.isEmpty():
+        index_files(batch.select("file_key"), chunk_table(batch), index, log, embed, force=True, key=f"{checkpoint}#{number}")
+
+
+def status_stream(spark: SparkSession, log: str) -> DataFrame:
+    """The status log as a stream of each file's latest status; for the update or complete output mode."""
+    return latest_status(spark.readStream.schema(STATUS).parquet(log))
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Counts and values by event-time window and type; a Spark built-in, not a capability of the survey's."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from docengine.operators import report
+from docengine.operators import report, retrieval
 from docengine.plans import index, queries
 from docengine.sources import files
 from docengine.streaming import ingest, tokens
@@ -63,11 +63,11 @@ def test_index_partitions(spark, tmp_path):
     index.write_index(made.where("file_key = 'f' and chunk_index = 0"), path)
     assert sorted((r.file_key, r.text) for r in index.read_index(spark, path).collect()) == [("f", "one"), ("g", "three")]
     one = index.read_index(spark, path, "g")
-    assert "PartitionFilters: [isnotnull(file_key" in one._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
     known = spark.createDataFrame([("g",), ("h",)], "file_key string")
     assert [r.file_key for r in index.not_indexed(known, index.read_index(spark, path)).collect()] == ["h"]
     index.drop_file(spark, path, "g")
-    assert [r.text for r in spark.read.parquet(path).collect()] == ["one"]
+    assert [r.text for r in index.read_index(spark, path).collect()] == ["one"]
 
 
 def test_cache_and_status(spark):
@@ -124,11 +124,70 @@ def test_stream_is_batch(spark, tmp_path):
 
 
 def test_ingest(spark, folder):
-    args = (f"file://{folder}/in", f"file://{folder}/index", f"file://{folder}/cp")
-    ingest.ingest(spark, *args).awaitTermination()
+    source, path, checkpoint, log = (f"file://{folder}/{x}" for x in ("in", "index", "cp", "log"))
+    ingest.ingest(spark, source, path, checkpoint, log).awaitTermination()
     (folder / "in" / "e.txt").write_text(BODY)
-    ingest.ingest(spark, *args).awaitTermination()
-    assert {r.file_key for r in spark.read.parquet(args[1]).collect()} == {"file_a_txt", "file_e_txt"}
+    (folder / "in" / "short.txt").write_text("too short")
+    ingest.ingest(spark, source, path, checkpoint, log).awaitTermination()
+    rows = index.read_index(spark, path)
+    assert {r.file_key for r in rows.collect()} == {"file_a_txt", "file_e_txt"}
+    assert {r.chunk_id for r in rows.collect()} == {"file_a_txt_chunk_0", "file_e_txt_chunk_0"}
+    view = ingest.status_stream(spark, log).writeStream.format("memory").queryName("seen_statuses").outputMode("complete").trigger(availableNow=True).start()
+    view.awaitTermination()
+    want = {"file_a_txt": "ready", "file_e_txt": "ready", "file_short_txt": "error"}
+    assert {r.file_key: r.status for r in spark.table("seen_statuses").collect()} == want
+    # a question finds what came by the stream
+    asked = spark.createDataFrame([(1, "file_e_txt", "text long enough to be a chunk")], "query_id long, file_key string, query string").withColumn("query_vec", index.hash_embedding("query"))
+    assert [r.chunk_id for r in retrieval.hybrid_search(rows, asked).collect()] == ["file_e_txt_chunk_0"]
+    # the last batch once more
+    before = index.store.version(spark, path), spark.read.parquet(log).count()
+    batch = files.as_pages(spark.createDataFrame([("e.txt", "another text that is long enough for a chunk")], "path string, text string"))
+    ingest.index_batch(batch, 1, path, checkpoint, log)
+    assert before == (index.store.version(spark, path), spark.read.parquet(log).count())
+    assert {r.text for r in index.read_index(spark, path, "file_e_txt").collect()} == {BODY}
+
+
+def test_a_failing_embedder_leaves_the_last_version(spark, tmp_path):
+    path, log = f"file://{tmp_path}/index", f"file://{tmp_path}/log"
+    names = spark.createDataFrame([("a",)], "file_key string")
+    index.index_files(names, some_chunks(spark, "a"), path, log)
+    broken = lambda c: F.raise_error(F.lit("no embedder")).cast("array<double>")
+    said = index.reindex(spark, "a", [some_chunks(spark, "a").withColumn("text", F.lit("new"))], path, log, broken).first()
+    assert said.status == "error" and "no embedder" in said.message
+    assert {r.text for r in index.read_index(spark, path, "a").collect()} == {"chunk 0 of a", "chunk 1 of a"}
+    index.reindex(spark, "a", [some_chunks(spark, "a").withColumn("text", F.lit("new"))], path, log)
+    assert {r.text for r in index.read_index(spark, path, "a").collect()} == {"new"}
+    assert index.statuses(spark.read.parquet(log), index.read_index(spark, path)).first().status == "ready"
+
+
+def test_store_versions(spark, tmp_path):
+    path, store = f"file://{tmp_path}/store", index.store
+    rows = lambda *x: spark.createDataFrame(x, "file_key string, n int")
+    with pytest.raises(FileNotFoundError):
+        store.read(spark, path)
+    assert store.commit(rows(*[(f, i) for f in "abc" for i in range(3)]), path) == 1
+    assert store.commit(rows(("a", 9)), path, key="k") == 2 == store.commit(rows(("a", 10)), path, key="k")
+    assert store.delete(spark, path, rows(("b", 0), ("never", 0))) == 3
+    got = lambda **o: sorted(map(tuple, store.read(spark, path, **o).collect()))
+    assert got() == [("a", 9), ("c", 0), ("c", 1), ("c", 2)] and got(file_key="b") == [] and got(file_key="a") == [("a", 9)]
+    assert len(got(at=1)) == 9 and sorted(r.file_key for r in store.files_of(spark, path).collect()) == ["a", "c"]
+    # new columns, and a writer that loses the race
+    store.commit(spark.createDataFrame([("d", 1, "x")], "file_key string, n int, more string"), path)
+    assert not store._publish(spark, path, 4, []) and ("d", 1, "x") in got() and ("a", 9, None) in got()
+    assert store.compact(spark, path) == 5 and len(got()) == 5 and len(store.manifest(spark, path)) == 1
+    assert store.commit(rows(("a", 10)), path, key="k") == 5 and store.vacuum(spark, path) == 8
+    assert len(got()) == 5
+
+
+def test_a_large_file_is_many_tasks(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        index.store.commit(spark.range(200_000).select(F.lit("f").alias("file_key"), F.sha2(F.col("id").cast("string"), 256).alias("x")), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(index.read_index(spark, path).inputFiles()) >= 8 and index.read_index(spark, path, "f").count() == 200_000
 
 
 def test_contract(spark):
