@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions.rules import is_short
 from docengine.functions.text import expand_query, py_strip, tokens
+from docengine.operators import model_calls
 from docengine.operators.feedback import wordings
 from docengine.operators.retrieval import dense_topk
 from docengine.plans.index import hash_embedding
@@ -52,6 +53,26 @@ def grade(states: DataFrame, reply: Column | None = None, threshold: int = 2, re
     return graded.withColumns({"needs_rewrite": due, "chunks": kept}).drop("_v")
 
 
+def grader_block(chunks: Column | str, length: int = 300) -> Column:
+    """The beginnings of chunks, numbered from 1, as a grading model reads them."""
+    chunks = F.col(chunks) if isinstance(chunks, str) else chunks
+    return F.array_join(F.transform(chunks, lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.left(c["text"], F.lit(length)))), "\n\n")
+
+
+def grader_prompt(question: Column | str, chunks: Column | str, length: int = 300) -> Column:
+    question = F.col(question) if isinstance(question, str) else question
+    return F.concat(F.lit("For each numbered passage answer yes or no on a line of its own: does it help to answer the question?\n\nQuestion: "), question, F.lit("\n\n"), grader_block(chunks, length))
+
+
+def grade_by_model(states: DataFrame, model, threshold: int = 2, rewrites: int = 1, **options) -> DataFrame:
+    """grade() by a model's replies; where its call fails, all chunks stay. Short questions and those without chunks aren't sent."""
+    prompt = F.when((F.size("chunks") > 0) & ~is_short("original"), grader_prompt("query", "chunks"))
+    said = model_calls.call(states, prompt, model, **options)
+    all_yes = F.array_join(F.transform("chunks", lambda _: F.lit("yes")), "\n")
+    reply = F.when(F.col("reply_error").isNotNull(), all_yes).otherwise(F.coalesce("reply", F.lit("")))
+    return grade(said, reply, threshold, rewrites).drop("reply", "reply_attempts")
+
+
 def context(chunks: Column | str, top: int = 8) -> Column:
     """The first chunks with labels, in one text."""
     def one(c):

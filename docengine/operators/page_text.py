@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.functions.text import col, excise, image_label, py_strip, render_table, strip_table_lines, table_label, unless_skipped
+from docengine.operators import model_calls
 from docengine.operators.chunking import chunk_table, reindex
 
 LEAST_TEXT = 30
@@ -64,6 +65,16 @@ def vision_chunks(pages: DataFrame, describe=lambda image_path: F.lit("")) -> Da
     return chunk_table(said.select(*TABLE, F.lit("vlm").alias("method"), text.alias("text")))
 
 
+def described(pages: DataFrame, model, **options) -> DataFrame:
+    """Visual pages with what a vision model says to their image_path, by model_calls.call(): reply, reply_error, reply_attempts."""
+    return model_calls.call(pages.where("visual"), F.col("image_path"), model, **options)
+
+
+def said_chunks(said: DataFrame) -> DataFrame:
+    """Chunks of described() pages; failed ones give none, but their errors are in model_calls.failures()."""
+    return vision_chunks(said, lambda _: F.col("reply"))
+
+
 def page_chunks(pages: DataFrame, describe=None) -> DataFrame:
     """Chunks of whole files: text, tables and what a vision model says, numbered by page."""
     texts = chunk_table(page_texts(pages).where("text is not null").select(*TABLE, "method", "text"))

@@ -21,6 +21,21 @@ BROADCAST_TERMS = 200_000
 BROADCAST_HITS = 200_000  # of some 100 bytes and the question
 
 
+#: What a chunk that lacks a column, or has null there, counts as; source is the file.
+DEFAULTS = {"type": "text", "method": "", "image_path": ""}
+
+
+def with_defaults(index: DataFrame) -> DataFrame:
+    """index with every column that hits show: absent ones and nulls as their defaults, absent numbers as null."""
+    made = index
+    for c in ("page", "total_pages", "chunk_index"):
+        if c not in made.columns:
+            made = made.withColumn(c, F.lit(None).cast("int"))
+    for c, value in {"source": F.col("file_key"), **{c: F.lit(v) for c, v in DEFAULTS.items()}}.items():
+        made = made.withColumn(c, F.coalesce(c, value) if c in made.columns else value)
+    return made
+
+
 # ---- vectors ----------------------------------------------------------------
 def dot(a: Column | str, b: Column | str) -> Column:
     x = F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double"))
@@ -194,20 +209,71 @@ def rerank(hits: DataFrame, prior: str, top: int = 8, scorer=lexical_score, quer
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+#: Of single words, ordered pairs and unordered windows; a window's words lie less than WINDOW apart; MU is the weight of the collection.
+WORDS_SHARE, ORDERED_SHARE, WINDOW_SHARE, WINDOW, MU = 0.85, 0.1, 0.05, 8, 500
+
+
+def dependence_scores(hits: DataFrame, query: str = "query") -> DataFrame:
+    """(query_id, pos, dependence): the sequential dependence model's score of each hit (query_id, pos, query, text).
+
+    Features are the query's words, its neighbouring words in that order, and
+    the same two in either order within a window. Each scores ln((n + MU c /
+    C) / (length + MU)), n being its number in the hit, c in all hits of the
+    query, and C their words; features that no hit has say nothing. The mean
+    over a kind's features has that kind's share. A hit with none of the
+    words has no score. Only places of the query's
+    words are compared, and those by stretches of the text, so a long text
+    that repeats two words costs what its length does.
+    """
+    keys = ["query_id", "pos"]
+    listed = written(hits.select(*keys, tokens(query).alias("q"), tokens("text").alias("t")).withColumn("dl", F.size("t")), "hit-words")
+    whole = listed.groupBy("query_id").agg(F.sum("dl").alias("total"))
+    places = listed.select(*keys, "q", F.posexplode("t").alias("i", "token")).where(F.array_contains("q", F.col("token"))).drop("q")
+    asked = listed.groupBy("query_id").agg(F.first("q").alias("q"))
+    words = asked.select("query_id", F.explode(F.array_distinct("q")).alias("a"))
+    pairs = F.arrays_zip(F.slice("q", 1, F.greatest(F.size("q") - 1, F.lit(0))).alias("a"), F.slice("q", 2, F.greatest(F.size("q") - 1, F.lit(0))).alias("b"))
+    pairs = asked.select("query_id", F.inline(F.array_distinct(pairs))).where("a <> b")
+
+    stretch = (F.col("i") / WINDOW).cast("int")
+    left = places.select(*keys, F.col("i").alias("ia"), F.col("token").alias("a"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("s")).join(pairs, ["query_id", "a"])
+    right = places.select(*keys, F.col("i").alias("ib"), F.col("token").alias("b"), stretch.alias("s"))
+    met = left.join(right, [*keys, "b", "s"]).where(F.abs(F.col("ia") - F.col("ib")) < WINDOW)
+    both = met.groupBy(*keys, "a", "b").agg(F.count("*").alias("window"), F.count(F.when(F.col("ib") == F.col("ia") + 1, 1)).alias("ordered"))
+    counts = places.groupBy(*keys, F.col("token").alias("a")).agg(F.count("*").alias("n")).join(words, ["query_id", "a"]).select(*keys, F.lit("words").alias("kind"), "a", F.lit("").alias("b"), "n")
+    for kind in ("ordered", "window"):
+        counts = counts.unionByName(both.where(F.col(kind) > 0).select(*keys, F.lit(kind).alias("kind"), "a", "b", F.col(kind).alias("n")))
+    counts = written(counts, "features")
+    feature = ["query_id", "kind", "a", "b"]
+    known = counts.groupBy(*feature).agg(F.sum("n").alias("c"))
+    held = counts.where("kind = 'words'").select(*keys).distinct()
+    every = listed.select(*keys, "dl").join(held, keys, "left_semi").join(known, "query_id").join(counts, [*keys, "kind", "a", "b"], "left").join(whole, "query_id")  # a query's few hits times its features
+    part = F.log((F.coalesce("n", F.lit(0)) + MU * F.col("c") / F.col("total")) / (F.col("dl") + MU))
+    share = F.when(F.col("kind") == "words", WORDS_SHARE).when(F.col("kind") == "ordered", ORDERED_SHARE).otherwise(WINDOW_SHARE)
+    kinds = every.groupBy(*keys, "kind").agg((F.avg(part) * F.first(share)).alias("s"))
+    return listed.select(*keys).join(kinds.groupBy(*keys).agg(F.sum("s").alias("dependence")), keys, "left")
+
+
+def rerank_by_dependence(hits: DataFrame, prior: str, top: int = 8, query: str = "query") -> DataFrame:
+    """rerank() by dependence_scores(); hits without any word of the query come last."""
+    met = hits.join(dependence_scores(hits, query), ["query_id", "pos"]).withColumn("rerank_score", F.col("dependence")).drop("dependence")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round("rerank_score", 9)), prior)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def expanded(queries: DataFrame, embed=hash_embedding, expand=expand_query) -> DataFrame:
     """queries with the expanded text as query, and its vector where that differs."""
     wide = queries.withColumn("_wide", expand("query"))
     return wide.withColumns({"query_vec": F.when(F.col("_wide") == F.col("query"), F.col("query_vec").cast("array<double>")).otherwise(embed("_wide")), "query": F.col("_wide")}).drop("_wide")
 
 
-def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 20, pool: int = 16, top: int = 8, embed=hash_embedding) -> DataFrame:
+def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 20, pool: int = 16, top: int = 8, embed=hash_embedding, reranker=rerank) -> DataFrame:
     """Expanded query to dense hits to BM25 over them, fused, diversified, re-ranked on the raw query.
 
     embed gives the vector of an expanded query; one with nothing to expand
-    keeps its own.
+    keeps its own. reranker is rerank or rerank_by_dependence.
     """
     wide = written(expanded(queries, embed), "questions")
     raw = queries.select("query_id", F.col("query").alias("_raw"))
     dense = written(dense_topk(index, wide, k).join(raw, "query_id").withColumn("query", F.col("_raw")).drop("_raw"), "dense")
     lexical = bm25_over_hits(dense, wide, k)
-    return rerank(mmr(rrf(dense, lexical), top_n=pool), "mmr_pos", top)
+    return reranker(mmr(rrf(dense, lexical), top_n=pool), "mmr_pos", top)

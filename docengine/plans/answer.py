@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine.functions.rules import is_small_talk, small_talk_reply
@@ -14,6 +14,7 @@ from docengine.operators.report import DEFAULT_SECTIONS
 from docengine.plans.index import hash_embedding
 from docengine.sources.scratch import written
 
+SAMPLE = 20  # chunks whose image paths a diagnosis shows
 INSTRUCTIONS = "Answer from the context alone, in detail, and cite pages as p.N. If the context does not answer the question, say so."
 
 
@@ -87,9 +88,15 @@ def report_sections(spark: SparkSession) -> DataFrame:
 
 
 def image_diagnosis(chunks: DataFrame, images: DataFrame) -> DataFrame:
-    """(file_key, indexed_paths, images, diagnosis): whether a file's chunks and image folder agree."""
+    """(file_key, indexed_paths, images, diagnosis, sample): whether a file's chunks and image folder agree.
+
+    sample lists the different image paths of a file's first SAMPLE chunks,
+    by chunk_index, sorted.
+    """
     paths = chunks.groupBy("file_key").agg(F.countDistinct(F.when(F.col("image_path") != "", F.col("image_path"))).alias("indexed_paths"))
+    order = Window.partitionBy("file_key").orderBy("chunk_index")
+    first = chunks.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).groupBy("file_key").agg(F.array_sort(F.collect_set(F.when(F.col("image_path") != "", F.col("image_path")))).alias("sample"))
     counts = images.groupBy("file_key").agg(F.count("*").alias("images"))
-    met = paths.join(counts, "file_key", "full_outer").na.fill(0, ["indexed_paths", "images"])
+    met = paths.join(first, "file_key").join(counts, "file_key", "full_outer").na.fill(0, ["indexed_paths", "images"])
     why = F.when(F.col("images") == 0, "no page images").when(F.col("indexed_paths") == 0, "images, but no chunk refers to one").otherwise("ok")
-    return met.withColumn("diagnosis", why)
+    return met.select("file_key", "indexed_paths", "images", why.alias("diagnosis"), F.coalesce("sample", F.array().cast("array<string>")).alias("sample"))

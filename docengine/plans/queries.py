@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import rules, text
-from docengine.operators import cells, chunking, corrective, feedback, pages, postings, report, retrieval
-from docengine.plans import answer, index
-from docengine.sources.scratch import shared, shared_tables, written
+from docengine.operators import cells, chunking, corrective, feedback, pages, postings, report, retrieval, tables
+from docengine.plans import answer, index, store
+from docengine.sources.scratch import shared, shared_path, shared_tables, written
 from docengine.streaming import ingest, tokens
 
 
@@ -33,7 +33,7 @@ def lines(spark, sf_dir):
 
 
 def chunk_lines(spark, sf_dir):
-    rows = lines(spark, sf_dir).where(F.length(F.trim("line")) >= 30)
+    rows = lines(spark, sf_dir).where(F.trim("line") != "")
     return rows.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file_key"), (F.expr("i div 5") + 1).cast("int").alias("page"), F.col("i").alias("chunk_index"), F.col("line").alias("text"))
 
 
@@ -103,7 +103,7 @@ def user_turns(spark, sf_dir):
 
 WITH = """
 with lines as (select doc_id, source, unnest(range(0, len(l))) as i, unnest(l) as line from (select doc_id, source, string_split(text, chr(10)) as l from documents where text is not null)),
-chunk_lines as (select 'doc_' || doc_id as file_key, cast(i // 5 + 1 as int) as page, cast(i as int) as chunk_index, line as text from lines where length(trim(line)) >= 30),
+chunk_lines as (select 'doc_' || doc_id as file_key, cast(i // 5 + 1 as int) as page, cast(i as int) as chunk_index, line as text from lines where trim(line) <> ''),
 headed as (select file_key, page, chunk_index, case when page % 3 = 1 and chunk_index % 5 = 0 then 'Chapter ' || page || ': ' || left(text, 20) || chr(10) || text else text end as text from chunk_lines),
 vindex as (select doc_id as chunk_id, source as file_key, text, coalesce(embedding::double[], {LETTERS}) as embedding, cast(doc_id % 40 as int) as page, case when doc_id % 7 = 0 then 'table' else 'text' end as type from documents left join embeddings on doc_id = vec_id),
 vqueries as (select item_id as query_id, 'src' || (item_id % 20) as file_key, case when item_id % 4 = 2 then 'rag vs fig. in ' else '' end || text as query, embedding as query_vec from benchmark join embeddings on item_id = vec_id),
@@ -237,6 +237,10 @@ def rerank(spark, sf_dir):
     return retrieval.rerank(_dense(spark, sf_dir), "pos").select("query_id", "rank", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+def rerank_dependence(spark, sf_dir):
+    return retrieval.rerank_by_dependence(_dense(spark, sf_dir), "pos").select("query_id", "rank", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
 def hybrid_search(spark, sf_dir):
     return retrieval.hybrid_search(vector_index(spark, sf_dir), vector_queries(spark, sf_dir), embed=letter_embedding).select("query_id", "rank", "chunk_id", "score", F.round("rerank_score", 6).alias("rerank_score"))
 
@@ -320,7 +324,7 @@ def section_context(spark, sf_dir):
     return report.contexts(report.section_chunks(report.sections(rows), rows)).select("file_key", "section_no", "page_range", "context")
 
 
-def section_context_whole(spark, sf_dir):
+def section_context_fast(spark, sf_dir):
     """section_context() of the default sections, as in fast mode."""
     rows = headed_lines(spark, sf_dir)
     return report.contexts(report.section_chunks(report.sections(rows, fast=True), rows)).select("file_key", "section_no", "page_range", "context")
@@ -366,9 +370,38 @@ def ask(spark, sf_dir):
     return answer.ask(vector_index(spark, sf_dir), q, image_pages(spark, sf_dir), status, embed=letter_embedding, rewrite=how, variant=how).select("query_id", "path", "answer", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
+def drawn_tables(spark, sf_dir):
+    """Parts, 30 a page, drawn as words with boxes below a line of prose: 5 units a letter, base lines that differ a little."""
+    n = F.col("p_partkey")
+    top = 100.0 + 12.0 * (n % 30)
+    word = lambda x, y, t: F.struct(x.cast("double").alias("x0"), (y - 9).alias("y0"), (x + 5.0 * F.length(t)).cast("double").alias("x1"), y.alias("y1"), t.alias("text"))
+    first, last = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    cells = [(50.0, n.cast("string"), 0.0), (260.0, F.col("p_brand"), 1.0), (400.0, F.col("p_size").cast("string"), -1.0)]
+    words = [word(F.lit(x), top + d, t) for x, t, d in cells] + [word(F.lit(120.0), top, first), word(F.lit(124.0) + 5.0 * F.length(first), top, last)]
+    drawn = _t(spark, sf_dir, "part").select((n.cast("long") / 30).cast("long").alias("page"), F.explode(F.array(*words)).alias("w"))
+    pages_ = drawn.groupBy("page").agg(F.collect_list("w").alias("w"))
+    prose = F.array(*[word(F.lit(50.0 + 32.0 * i), F.lit(60.0), F.lit(t)) for i, t in enumerate(["parts", "listed", "below", "their", "sizes"])])
+    return pages_.select(F.lit("parts").alias("file_key"), "page", F.concat("w", prose).alias("words"))
+
+
+def found_tables(spark, sf_dir):
+    return tables.table_cells(drawn_tables(spark, sf_dir))
+
+
+def index_versions(spark, sf_dir):
+    """All documents as an index, then one file again, the same commit once more, and another file deleted."""
+    path = shared_path(spark, "store")
+    rows = index_rows(spark, sf_dir).select("file_key", "chunk_id", "page", "text")
+    store.commit(rows, path, buckets=8)
+    for _ in range(2):
+        store.commit(rows.where("file_key = 'src1'").withColumn("text", F.concat(F.lit("again "), "text")), path, key="again", buckets=8)
+    store.delete(spark, path, rows.where("file_key = 'src2'").select("file_key"))
+    return store.read(spark, path).select("file_key", "chunk_id", "page", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 def image_diagnosis(spark, sf_dir):
     rows = index_rows(spark, sf_dir).withColumn("image_path", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(""))
-    return answer.image_diagnosis(rows, image_pages(spark, sf_dir))
+    return answer.image_diagnosis(rows, image_pages(spark, sf_dir)).withColumn("sample", F.array_join("sample", ","))
 
 
 def event_windows(spark, sf_dir):
@@ -377,9 +410,9 @@ def event_windows(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tokenize, clean_text, expand_query, file_names, latex_text, normalise_math, small_talk, query_rules, strip_table_lines, chunk_documents,
-    chunk_markdown, chunk_reindex, chunk_stats, dense_topk, dense_pruned, bm25_hits, bm25_corpus, rrf, bow_cosine, mmr, rerank, hybrid_search, dedupe_variants,
+    chunk_markdown, chunk_reindex, chunk_stats, dense_topk, dense_pruned, bm25_hits, bm25_corpus, rrf, bow_cosine, mmr, rerank, rerank_dependence, hybrid_search, dedupe_variants,
     grade_chunks, feedback_wordings, corrective_search, page_images, page_select, chunks_preview, even_partition, heading_scan, section_ranges, section_join,
-    section_context, section_context_whole, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis, page_model, images_for_query, decode_stream,
+    section_context, section_context_fast, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis, page_model, images_for_query, decode_stream, found_tables, index_versions,
 )}
 
 
@@ -543,6 +576,17 @@ dots as (select query_id, pos, sum(a.n * b.n) as d from a join b using (query_id
 select query_id, cast(pos as int) as pos, coalesce(round(d / (na.s * nb.s + 1e-9), 6), 0) as cosine from dense left join dots using (query_id, pos) left join na using (query_id) left join nb using (query_id, pos)""",
     "rerank": WITH + f"""r as (select query_id, pos, chunk_id, len(list_intersect(list_distinct({_toks("query")}), {_toks("text")})) / greatest(len(list_distinct({_toks("query")})), 1)::double as rs from dense)
 select query_id, cast(rank as int) as rank, chunk_id, round(rs, 6) as rerank_score from (select *, row_number() over (partition by query_id order by rs desc, pos) as rank from r) where rank <= 8""",
+    "rerank_dependence": WITH + f"""hw as (select query_id, pos, chunk_id, {_toks("query")} as q, {_toks("text")} as t from dense),
+dl as (select query_id, pos, len(t) as dl, sum(len(t)) over (partition by query_id) as total from hw),
+occ as (select * from (select query_id, pos, q, unnest(range(0, len(t))) as i, unnest(t) as token from hw) where list_contains(q, token)),
+pq as (select distinct query_id, a, b from (select query_id, unnest(q[:-2]) as a, unnest(q[2:]) as b from (select distinct query_id, q from hw where len(q) > 1)) where a <> b),
+near as (select x.query_id, x.pos, a, b, x.i as ia, y.i as ib from occ x join pq on x.query_id = pq.query_id and x.token = a join occ y on y.query_id = x.query_id and y.pos = x.pos and y.token = b and abs(x.i - y.i) < {retrieval.WINDOW}),
+cnt as (select query_id, pos, 'words' as kind, token as a, '' as b, count(*) as n from occ group by all
+  union all select query_id, pos, 'ordered', a, b, count(*) from near where ib = ia + 1 group by all union all select query_id, pos, 'window', a, b, count(*) from near group by all),
+feat as (select query_id, kind, a, b, sum(n) as c from cnt group by all),
+each as (select query_id, pos, kind, ln((coalesce(n, 0) + {retrieval.MU} * c / total::double) / (dl + {retrieval.MU})) as s from dl join feat using (query_id) left join cnt using (query_id, pos, kind, a, b) where (query_id, pos) in (select (query_id, pos) from occ)),
+sums as (select query_id, pos, sum(s) as s from (select query_id, pos, kind, avg(s) * case kind when 'words' then {retrieval.WORDS_SHARE}::double when 'ordered' then {retrieval.ORDERED_SHARE}::double else {retrieval.WINDOW_SHARE}::double end as s from each group by query_id, pos, kind) group by query_id, pos)
+select query_id, cast(rank as int) as rank, chunk_id, round(s, 6) as rerank_score from (select query_id, pos, chunk_id, s, row_number() over (partition by query_id order by round(s, 9) desc nulls last, pos) as rank from hw left join sums using (query_id, pos)) where rank <= 8""",
     "dedupe_variants": """with v as (select conv_id // 10 as query_id, conv_id % 10 as variant, turn as pos, text from conversations),
 k as (select *, row_number() over (partition by query_id, left(text, 100) order by variant, pos) as rn from v)
 select query_id, variant, pos, cast(row_number() over (partition by query_id order by variant, pos) as int) as place from k where rn = 1""",
@@ -576,7 +620,7 @@ from urls left join seen using (query_id)""",
     "section_ranges": WITH + _SECTIONS + " select file_key, section_no, start_page, end_page, name from sections",
     "section_join": WITH + _SECTIONS + " select file_key, section_no, count(chunk_index) as chunks, min(chunk_index) as first, max(chunk_index) as last from placed group by all",
     "section_context": WITH + _SECTIONS + _contexts(400_000, 10_000) + " select file_key, section_no, page_range, context from made",
-    "section_context_whole": WITH + f"sections as ({_EVEN.format(chunks='headed')}), " + _PLACED + _contexts(400_000, 10_000) + " select file_key, section_no, page_range, context from made",
+    "section_context_fast": WITH + f"sections as ({_EVEN.format(chunks='headed')}), " + _PLACED + _contexts(400_000, 10_000) + " select file_key, section_no, page_range, context from made",
     "report_latex": WITH + _SECTIONS + _contexts(400_000, 10_000) + rf""",
 best as (select file_key, section_no, i, line, row_number() over (partition by file_key, section_no order by len(list_intersect(list_distinct({_toks("name")}), list_distinct({_toks("line")}))) desc, i) as rn
   from (select file_key, section_no, name, unnest(range(0, len(l))) as i, unnest(l) as line from (select *, string_split(context, chr(10)) as l from made where context <> '')) where {_strip("line")} <> '' and not regexp_matches(line, '^\[p\.\d+\]$')),
@@ -588,7 +632,13 @@ select file_key, '{_HEAD}' || 'Doc ' || substr(file_key, 5) || '{_TAIL}' || coal
     "file_status": WITH + """log as (select 'doc_' || user_id as file_key, arg_max(event_type, event_id) as status from events group by all), cnt as (select file_key, count(*) as chunks from chunk_lines group by all)
 select file_key, coalesce(status, 'ready') as status, coalesce(chunks, 0) as chunks from log full join cnt using (file_key)""",
     "image_diagnosis": WITH + """i as (select file_key, count(distinct case when chunk_id % 2 = 0 then page end) as indexed_paths from vindex group by all),
+sm as (select file_key, string_agg(distinct path, ',' order by path) as sample from (select file_key, case when chunk_id % 2 = 0 then 'p' || page end as path, row_number() over (partition by file_key order by chunk_id) as rn from vindex) where rn <= 20 group by all),
 g as (select file_key, count(distinct page) as images from vindex where page % 3 = 0 group by all)
-select file_key, coalesce(indexed_paths, 0) as indexed_paths, coalesce(images, 0) as images, case when coalesce(images, 0) = 0 then 'no page images' when indexed_paths = 0 then 'images, but no chunk refers to one' else 'ok' end as diagnosis from i full join g using (file_key)""",
+select file_key, coalesce(indexed_paths, 0) as indexed_paths, coalesce(images, 0) as images, case when coalesce(images, 0) = 0 then 'no page images' when indexed_paths = 0 then 'images, but no chunk refers to one' else 'ok' end as diagnosis, coalesce(sample, '') as sample
+from i left join sm using (file_key) full join g using (file_key)""",
+    "found_tables": """with p as (select p_partkey // 30 as page, p_partkey % 30 as row_no, p_partkey, p_name, p_brand, p_size, count(*) over (partition by p_partkey // 30) as n from part),
+c as (select page, row_no, unnest([0, 1, 2, 3]) as col_no, unnest([p_partkey::varchar, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', -1), p_brand, p_size::varchar]) as text from p where n > 1)
+select 'parts' as file_key, page, 0::bigint as table_no, row_no::int as row_no, col_no, text from c""",
+    "index_versions": "select source as file_key, doc_id as chunk_id, cast(doc_id % 40 as int) as page, md5(case when source = 'src1' then 'again ' else '' end || text) as md5 from documents where source <> 'src2'",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all",
 }

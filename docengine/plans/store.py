@@ -106,7 +106,7 @@ def commit(rows: DataFrame, path: str, key: str | None = None, files: DataFrame
 
 def delete(spark: SparkSession, path: str, files: DataFrame) -> int:
     """Tombstones for files (file_key); their rows stay on disk until compact()."""
-    return commit(read(spark, path).limit(0), path, files=files)
+    return commit(read(spark, path).limit(0), path, files=files, buckets=manifest(spark, path)[-1]["buckets"])
 
 
 def compact(spark: SparkSession, path: str) -> int:

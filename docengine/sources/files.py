@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,30 @@ def as_pages(files: DataFrame) -> DataFrame:
     return named.select(file_key("source").alias("file_key"), "source", F.lit(None).cast("int").alias("page"), F.lit(1).alias("total_pages"), F.lit("plain_text").alias("method"), F.lit("").alias("image_path"), "text")
 
 
+def load_file(spark: SparkSession, path: str, extract=None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, errors) of one file, by its extension in any case; errors is (file_key, status, message).
+
+    Another kind of file, and a text that isn't there or can't be read, give
+    no chunks; what a file failed with is its error, for the status log.
+    """
+    name = path.rpartition("/")[2]
+    key = spark.range(1).select(file_key(F.lit(name)).alias("file_key"))
+    said = lambda why: key.select("file_key", F.lit("error").alias("status"), F.lit(why).alias("message"))
+    none = chunk_table(as_pages(spark.createDataFrame([], "path string, text string")))
+    kind = name.lower().rpartition(".")[2]
+    try:
+        if kind == "txt":
+            raw = spark.read.text(path, wholetext=True)
+            return chunk_table(as_pages(raw.select(F.lit(path).alias("path"), F.col("value").alias("text")))), said("").limit(0)
+        if kind == "pdf" and extract is not None:
+            pages = pdf_pages(spark, path, extract)
+            failed = pages.where("error is not null").select("file_key", F.lit("error").alias("status"), F.col("error").alias("message"))
+            return chunk_table(pages.where("error is null").select("file_key", "source", "page", "total_pages", "method", "image_path", "text")), failed
+    except AnalysisException as e:  # no such path
+        return none, said(str(e).split("\n")[0][:300])
+    return none, said(f"{name}: not a kind of file that is indexed")
+
+
 def pdf_pages(spark: SparkSession, path: str, extract) -> DataFrame:
     """Pages of PDF files by extract(content) -> [(page, text, method, image_path)], run in Arrow batches.
 

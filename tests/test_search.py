@@ -140,3 +140,17 @@ def test_plans_stay_small(spark):
     assert size(retrieval.expanded(asked, queries.letter_embedding)) < 50_000
     texts = asked.select(index.hash_embedding(queries.text.expand_query("query")).alias("v"))
     assert texts._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+
+
+def test_words_in_order_beat_words_scattered(spark):
+    filler = " ".join(f"w{i}" for i in range(40))
+    texts = [f"red {filler} fox {filler} runs", f"{filler} fox red {filler} runs", f"{filler} the red fox runs {filler}", f"{filler} {filler} nothing", "", f"{filler} red x fox {filler} runs"]
+    df = spark.createDataFrame([(1, i, "the red fox runs", t) for i, t in enumerate(texts)] + [(2, 0, "absent", "no such word")], "query_id int, pos int, query string, text string")
+    rows = retrieval.rerank_by_dependence(df, "pos").orderBy("query_id", "rank").collect()
+    assert [r.pos for r in rows if r.query_id == 1][:4] == [2, 1, 5, 0] and [r.rerank_score for r in rows if r.query_id == 2] == [None]
+    long = spark.createDataFrame([(1, 0, "a b", "a b " * 20_000)], df.schema)
+    n, c = 20_000, 40_000
+    got = retrieval.dependence_scores(long).first().dependence
+    window = sum(1 for k in range(n) for j in range(k - 4, k + 4) if 0 <= j < n)  # places 2k and 2j + 1 within 7
+    part = lambda m: math.log((m + 500 * m / c) / (c + 500))
+    assert abs(got - (0.85 * part(n) + 0.1 * part(n) + 0.05 * part(window))) < 1e-9
