@@ -114,3 +114,62 @@ def parse_stream(lines: DataFrame) -> DataFrame:
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     return lines.groupBy("stream_id").applyInPandasWithState(_stateful, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+LIVE_STATE = "buffer string, thinking boolean, seq long, ended boolean, beats int"
+
+
+def _live(beat_ms: int, most: int):
+    """A processor of one stream: events of its lines, a heartbeat after each quiet interval, an error and done after most of them."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Live(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.stream = handle.getValueState("stream", LIVE_STATE)
+
+        def _state(self) -> tuple:
+            return tuple(self.stream.get()) if self.stream.exists() else ("", False, 0, False, 0)
+
+        def _wake(self, timer_values) -> None:
+            """One timer a stream: the next quiet interval's end."""
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + beat_ms)
+
+        def handleInputRows(self, key, rows, timerValues):
+            buffer, thinking, seq, ended, _ = self._state()
+            now, out = (buffer, thinking, ended), []
+            for line in pd.concat(list(rows)).sort_values("seq")["line"]:
+                now, events = step(now, line)
+                out += events
+            self.stream.update((now[0], now[1], seq + len(out), now[2], 0))
+            if not now[2]:
+                self._wake(timerValues)
+            yield _events(key[0], seq, out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            buffer, thinking, seq, ended, beats = self._state()
+            if ended:
+                return
+            broken = beats + 1 >= most
+            out = [("token", "Error: the stream broke off"), ("done", "")] if broken else [("heartbeat", "")]
+            self.stream.update(("" if broken else buffer, thinking, seq + len(out), broken, beats + 1))
+            if not broken:
+                self._wake(timerValues)
+            yield _events(key[0], seq, out)
+
+    return Live()
+
+
+def _events(stream: str, seq: int, out: list[tuple[str, str]]) -> pd.DataFrame:
+    return pd.DataFrame([(stream, seq + i, k, p) for i, (k, p) in enumerate(out)], columns=["stream_id", "seq", "kind", "payload"])
+
+
+def live_stream(lines: DataFrame, beat: float = 15.0, most: int = 8) -> DataFrame:
+    """parse_stream() with timers: a stream that is quiet for beat seconds gives a heartbeat, and after most such intervals in a row an error token and done.
+
+    Lines that come after that are passed over. Needs the RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass), which keeps the timers.
+    """
+    return lines.groupBy("stream_id").transformWithStateInPandas(_live(int(beat * 1000), most), EVENTS, "append", "processingTime")
