@@ -91,10 +91,10 @@ def image_diagnosis(chunks: DataFrame, images: DataFrame) -> DataFrame:
     """(file_key, indexed_paths, images, diagnosis, sample): whether a file's chunks and image folder agree.
 
     sample lists the different image paths of a file's first SAMPLE chunks,
-    by chunk_index, sorted.
+    by chunk_index (by path where chunks have none), sorted.
     """
     paths = chunks.groupBy("file_key").agg(F.countDistinct(F.when(F.col("image_path") != "", F.col("image_path"))).alias("indexed_paths"))
-    order = Window.partitionBy("file_key").orderBy("chunk_index")
+    order = Window.partitionBy("file_key").orderBy("chunk_index" if "chunk_index" in chunks.columns else "image_path")
     first = chunks.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).groupBy("file_key").agg(F.array_sort(F.collect_set(F.when(F.col("image_path") != "", F.col("image_path")))).alias("sample"))
     counts = images.groupBy("file_key").agg(F.count("*").alias("images"))
     met = paths.join(first, "file_key").join(counts, "file_key", "full_outer").na.fill(0, ["indexed_paths", "images"])
