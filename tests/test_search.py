@@ -126,7 +126,6 @@ def test_feedback_finds_new_hits(spark):
         more = retrieval.dense_topk(made, said.withColumn("query_vec", queries.letter_embedding("query")), 15)
         found[kind] = more.join(own.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select("query_id").distinct().count()
     n = own.select("query_id").distinct().count()
-    print(n, found)
     assert found["variants"] > n / 2 and found["rewrites"] > n / 2
 
 
