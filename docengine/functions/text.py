@@ -151,9 +151,13 @@ def render_table(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(rows[0]), rule), body), "\n")).otherwise("")
 
 
+#: Labels in front of chunks of tables and of what a vision model says.
+TABLE_LABEL, IMAGE_LABEL = "[TABLE %d | Page %d/%d]", "[VLM | Page %d/%d]"
+
+
 def table_label(i, page, total) -> Column:
-    return F.format_string("[TABLE %d | Page %d/%d]", i, page, total)
+    return F.format_string(TABLE_LABEL, i, page, total)
 
 
 def image_label(page, total) -> Column:
-    return F.format_string("[VLM | Page %d/%d]", page, total)
+    return F.format_string(IMAGE_LABEL, page, total)

@@ -34,7 +34,10 @@ NUMBERS = ("BIGINT", "DOUBLE", "FLOAT")
 
 
 def _answer(reply: Column | str) -> Column:
-    """The JSON from the first brace to the last, as a variant; null if it can't be read."""
+    """The JSON from the first brace to the last, as a variant; null if it can't be read.
+
+    Text after the last brace is forgiven, so such a reply isn't sent to repair.
+    """
     body = F.regexp_extract(F.regexp_replace(reply, r"```(json)?", ""), r"(?s)(\{.*\})", 1)
     return F.try_parse_json(F.when(body != "", body))
 
