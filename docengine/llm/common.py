@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_OPEN: list[list[str]] = []  # tables of the blocks of scratch() that are running
+#: Tables of the innermost block of scratch() that is running, in each thread for itself.
+_OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables that stored() writes within are deleted at the end, but for those that stay."""
-    _OPEN.append([])
+    paths: list[str] = []
+    token = _OPEN.set(paths)
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(token)
+        for path in paths:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -55,8 +59,9 @@ def stored(df: DataFrame, label: str, compression: str = "snappy", stay: bool =
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _OPEN and not stay:
-        _OPEN[-1].append(path)
+    paths = _OPEN.get()
+    if paths is not None and not stay:
+        paths.append(path)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
