@@ -9,6 +9,7 @@ from docengine.llm import alignment, hamming, langid, media, mixing, near_duplic
 from docengine.llm.common import stored, table
 
 LISTED_HOSTS = r"(^|\.)(spam-farm|adult-x)\."
+LISTED_EACH = 7
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +55,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: canonical URLs of all pages on hosts of LISTED_HOSTS."""
+    """All pages against a list: canonical URLs on hosts of LISTED_HOSTS and, whatever their host, of every LISTED_EACH-th page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = url_filter.host_path(F.col("url"))
-    listed = pages.where(host.rlike(LISTED_HOSTS)).select(url_filter.canonical(host, path).alias("listed"))
+    listed = pages.where(host.rlike(LISTED_HOSTS) | ((host != "") & (F.col("page_id") % LISTED_EACH == 0))).select(url_filter.canonical(host, path).alias("listed"))
     return url_filter.url_verdicts(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -101,7 +102,7 @@ with p as (
 h as (select page_id, {_LOWER.format("regexp_extract(coalesce(r, ''), '^([^/?#]*)([^?#]*)', 1)")} as host,
   regexp_extract(coalesce(r, ''), '^([^/?#]*)([^?#]*)', 2) as path from p),
 c as (select *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') as canon from h),
-l as (select distinct canon from c where regexp_matches(host, '(^|\\.)(spam-farm|adult-x)\\.')),
+l as (select distinct canon from c where regexp_matches(host, '(^|\\.)(spam-farm|adult-x)\\.') or (host <> '' and page_id % {LISTED_EACH} = 0)),
 r as (select *, case
   when (host = 'example.net' or suffix(host, '.example.net')) and prefix(path, '/en/') then 'example.net/en/'
   when (host = 'example.com' or suffix(host, '.example.com')) and prefix(path, '/de/') then 'example.com/de/'
