@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import rules, text
-from docengine.operators import cells, chunking, corrective, feedback, pages, postings, report, retrieval, tables
+from docengine.operators import cells, chunking, corrective, feedback, latent, pages, postings, report, retrieval, tables
 from docengine.plans import answer, index, store
 from docengine.sources.scratch import shared, shared_path, shared_tables, written
 from docengine.streaming import ingest, tokens
@@ -219,6 +219,15 @@ def dense_pruned(spark, sf_dir):
     return cells.search(vector_cells(spark, sf_dir), vector_queries(spark, sf_dir)).select("query_id", "pos", "chunk_id", "score")
 
 
+def dense_latent(spark, sf_dir):
+    """dense_topk() over vectors of an embedder that is fitted on all documents."""
+    docs = index_rows(spark, sf_dir)
+    model = latent.fit(docs)
+    made = written(docs.withColumn("unit", index.unit_vector(model("text"))), "latent")
+    asked = written(vector_queries(spark, sf_dir).withColumn("query_vec", model("query")), "latent-questions")
+    return retrieval.dense_topk(made, asked).select("query_id", "pos", "chunk_id", "score")
+
+
 def rrf(spark, sf_dir):
     dense = _dense(spark, sf_dir)
     fused = retrieval.rrf(dense, retrieval.bm25_over_hits(dense, vector_queries(spark, sf_dir)))
@@ -410,7 +419,7 @@ def event_windows(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tokenize, clean_text, expand_query, file_names, latex_text, normalise_math, small_talk, query_rules, strip_table_lines, chunk_documents,
-    chunk_markdown, chunk_reindex, chunk_stats, dense_topk, dense_pruned, bm25_hits, bm25_corpus, rrf, bow_cosine, mmr, rerank, rerank_dependence, hybrid_search, dedupe_variants,
+    chunk_markdown, chunk_reindex, chunk_stats, dense_topk, dense_pruned, dense_latent, bm25_hits, bm25_corpus, rrf, bow_cosine, mmr, rerank, rerank_dependence, hybrid_search, dedupe_variants,
     grade_chunks, feedback_wordings, corrective_search, page_images, page_select, chunks_preview, even_partition, heading_scan, section_ranges, section_join,
     section_context, section_context_fast, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis, page_model, images_for_query, decode_stream, found_tables, index_versions,
 )}
