@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -34,6 +35,18 @@ def file_system(spark: SparkSession, path: str):
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
+@contextmanager
+def held(df: DataFrame, label: str):
+    """written(), for the length of a block."""
+    path = shared_path(df.sparkSession, label)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        system, folder = file_system(df.sparkSession, path)
+        system.delete(folder, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     system, folder = file_system(spark, path)
     return system.exists(folder)

@@ -9,24 +9,42 @@ from pyspark.sql.streaming import StreamingQuery
 from docengine.operators.chunking import chunk_table
 from docengine.plans.index import STATUS, hash_embedding, index_files, latest_status
 from docengine.sources.files import as_pages
+from docengine.sources.scratch import held
+from docengine.streaming.progress import Frames, observed
 
+_LISTENING: set[tuple[str, str, str]] = set()
 
-def text_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of .txt files as they arrive below path."""
-    raw = spark.readStream.option("pathGlobFilter", "*.[tT][xX][tT]").text(path, wholetext=True)
+
+def text_stream(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
+    """Pages of .txt files as they arrive below path, at most files_a_batch at once."""
+    reader = spark.readStream.option("pathGlobFilter", "*.[tT][xX][tT]")
+    raw = (reader if files_a_batch is None else reader.option("maxFilesPerTrigger", files_a_batch)).text(path, wholetext=True)
     return as_pages(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
-def ingest(spark: SparkSession, source: str, index: str, checkpoint: str, log: str, embed=hash_embedding) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, index: str, checkpoint: str, log: str, embed=hash_embedding, progress: str | None = None, files_a_batch: int | None = None) -> StreamingQuery:
     """Index what has arrived since the last run: chunks with ids and vectors, and statuses, as index_files() writes them.
 
     A batch is one commit named by the checkpoint and the batch's number, so
     a batch that runs again after a failure changes nothing that went through.
+    Its pages are written once and read from there. progress is a table that
+    gets a frame a batch (see progress.frames()) while the stream runs;
+    files_a_batch says how many files are one.
     """
     def write(batch: DataFrame, number: int) -> None:
-        index_batch(batch, number, index, checkpoint, log, embed)
+        with held(batch, "batch") as pages:
+            index_batch(pages, number, index, checkpoint, log, embed)
 
-    return text_stream(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    pages = text_stream(spark, source, files_a_batch)
+    writer = (pages if progress is None else observed(pages)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if progress is None:
+        return writer.start()
+    name = f"ingest {checkpoint}"
+    key = (spark.sparkContext.applicationId, progress, name)
+    if key not in _LISTENING:  # a listener stays with the session, for later runs from the checkpoint too
+        _LISTENING.add(key)
+        spark.streams.addListener(Frames(spark, progress, name))
+    return writer.queryName(name).start()
 
 
 def index_batch(batch: DataFrame, number: int, index: str, checkpoint: str, log: str, embed=hash_embedding) -> None:
