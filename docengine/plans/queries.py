@@ -445,15 +445,22 @@ _INTENT = f"case when ({_V}) > 0 and ({_V}) >= ({_X}) then 'visual' when ({_X})
 _TURNS = f"""put as (select id, text, {_STARTS}[(length(text) % 7) + 1] as put from plain),
 turns as (select id, text from put union all select 'x' || id, put || ' ' || text from put union all select 'y' || id, put from put)"""
 _SYN = "map {" + ", ".join(f"'{k}': {v!r}" for k, v in text.SYNONYMS.items()) + "}"
+_EXTRA = lambda c: f"flatten(list_transform({_toks(c)}, lambda w: coalesce({_SYN}[regexp_replace(w, '^[.,;:()]+|[.,;:()]+$', '', 'g')], [])))"
 
-_BM25 = f"""qt as (select query_id, token, count(*) as times from (select query_id, unnest({_toks("query")}) as token from vqueries) group by all),
-post as (select query_id, pos, token, dl, count(*) as tf from (select query_id, pos, len(t) as dl, unnest(t) as token from (select query_id, pos, {_toks("text")} as t from dense)) group by all),
-lens as (select query_id, count(*) as n, avg(dl) as avgdl from (select distinct query_id, pos, dl from post) group by all),
-idf0 as (select query_id, token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as idf from post join lens using (query_id) group by query_id, token, n),
-idf as (select query_id, token, case when idf < 0 then 0.25 * avg(idf) over (partition by query_id) else idf end as idf from idf0),
-bm as (select query_id, pos, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as b from qt join idf using (query_id, token) join post using (query_id, token) join lens using (query_id) group by all),
-bn as (select query_id, pos, case when max(b) over w > 0 then b / max(b) over w else b end as bm25 from bm window w as (partition by query_id)),
-lexical as (select query_id, pos, bm25, row_number() over (partition by query_id order by round(bm25, 9) desc, pos) - 1 as bm25_rank from bn where bm25 > 0)"""
+
+def _bm25(t: str, hits: str, asked: str) -> str:
+    """lexical{t} (query_id, pos, bm25, bm25_rank): keyword scores of asked over its own hits."""
+    return f"""qt{t} as (select query_id, token, count(*) as times from (select query_id, unnest({_toks("query")}) as token from {asked}) group by all),
+post{t} as (select query_id, pos, token, dl, count(*) as tf from (select query_id, pos, len(t) as dl, unnest(t) as token from (select query_id, pos, {_toks("text")} as t from {hits})) group by all),
+lens{t} as (select query_id, count(*) as n, avg(dl) as avgdl from (select distinct query_id, pos, dl from post{t}) group by all),
+idf0{t} as (select query_id, token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as idf from post{t} join lens{t} using (query_id) group by query_id, token, n),
+idf{t} as (select query_id, token, case when idf < 0 then 0.25 * avg(idf) over (partition by query_id) else idf end as idf from idf0{t}),
+bm{t} as (select query_id, pos, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as b from qt{t} join idf{t} using (query_id, token) join post{t} using (query_id, token) join lens{t} using (query_id) group by all),
+bn{t} as (select query_id, pos, case when max(b) over w > 0 then b / max(b) over w else b end as bm25 from bm{t} window w as (partition by query_id)),
+lexical{t} as (select query_id, pos, bm25, row_number() over (partition by query_id order by round(bm25, 9) desc, pos) - 1 as bm25_rank from bn{t} where bm25 > 0)"""
+
+
+_BM25 = _bm25("", "dense", "vqueries")
 
 _HEADS = r"""firsts as (select file_key, page, regexp_replace(split_part(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), 1), '^\s+|\s+$', '', 'g') as title from (select *, row_number() over (partition by file_key, page order by chunk_index) as rn from headed) where rn = 1),
 heads as (select * from firsts where regexp_matches(title, '(?i)^(?:chapter|unit|part|module|section)\s+[\dIVXivx]+[:\.\s].+') or regexp_matches(title, '^[A-Z][A-Z\s\-/&,]{4,60}$')),
@@ -516,10 +523,10 @@ said{t} as (select query_id, string_agg(token, ' ' order by part, rank) as text
 rewrite{t} as (select query_id, coalesce(text, query) as text from {asked} left join said{t} using (query_id))"""
 
 
-def _found(name: str, asked: str) -> str:
-    """The 15 best chunks of asked (query_id, file_key, qv)."""
+def _found(name: str, asked: str, k: int = 15) -> str:
+    """The k best chunks of asked (query_id, file_key, qv)."""
     return f"""{name} as (select * from (select *, row_number() over (partition by query_id order by round(s, 9) desc, chunk_id) - 1 as pos from
-  (select query_id, chunk_id, text, page, type, file_key, list_cosine_similarity(embedding, qv) as s from vindex join (select query_id, file_key, qv from {asked}) using (file_key)) where s is not null and not isnan(s)) where pos < 15)"""
+  (select query_id, chunk_id, text, page, type, file_key, list_cosine_similarity(embedding, qv) as s from vindex join (select query_id, file_key, qv from {asked}) using (file_key)) where s is not null and not isnan(s)) where pos < {k})"""
 
 
 def _turn(t: int) -> str:
@@ -538,23 +545,82 @@ def _turn(t: int) -> str:
     ])
 
 
-_CORRECTIVE = ",\n".join([
-    "asked0 as (select query_id, file_key, query, query as original, query_vec::double[] as qv from vqueries)", _turn(0),
-    f"asked1 as (select query_id, file_key, r.text as query, original, {_LETTERS('r.text')} as qv from asked0 join due0 using (query_id) join rewrite0 r using (query_id))", _turn(1),
-    "final as (select *, 0 as turn from kept0 where query_id not in (select query_id from due0) union all select *, 1 from kept1)",
-    "labelled as (select query_id, turn, rn2, row_number() over (partition by query_id order by rn2) as rn3, '[' || upper(type) || ' | ' || file_key || ' ' || case when page <> 0 then 'p.' || page || '/40' else '' end || ' | chunk:' || chunk_id || ']' || chr(10) || text as line from final)",
-    "corrected as (select query_id, cast(max(turn) as int) as rewrite_count, cast(count(*) as int) as kept, coalesce(string_agg(line, chr(10) || chr(10) order by rn3) filter (rn3 <= 8), '') as context from labelled group by all)",
+def _corrective(asked: str) -> str:
+    """final (query_id, chunk.., turn, rn2) and corrected (query_id, rewrite_count, kept, context) of asked."""
+    return ",\n".join([
+        f"asked0 as (select query_id, file_key, query, query as original, query_vec::double[] as qv from {asked})", _turn(0),
+        f"asked1 as (select query_id, file_key, r.text as query, original, {_LETTERS('r.text')} as qv from asked0 join due0 using (query_id) join rewrite0 r using (query_id))", _turn(1),
+        "final as (select *, 0 as turn from kept0 where query_id not in (select query_id from due0) union all select *, 1 from kept1)",
+        "labelled as (select query_id, turn, rn2, row_number() over (partition by query_id order by rn2) as rn3, '[' || upper(type) || ' | ' || file_key || ' ' || case when page <> 0 then 'p.' || page || '/40' else '' end || ' | chunk:' || chunk_id || ']' || chr(10) || text as line from final)",
+        "corrected as (select query_id, cast(max(turn) as int) as rewrite_count, cast(count(*) as int) as kept, coalesce(string_agg(line, chr(10) || chr(10) order by rn3) filter (rn3 <= 8), '') as context from labelled group by all)",
+    ])
+
+
+def _mmr(t: str, hits: str, order: str, n: int = 16) -> str:
+    """mmr{t} (query_id, r, mmr_pos): the greedy order of hits; r is their place by order, from 0."""
+    return f"""bag{t} as (select query_id, r, token, count(*) as n from (select query_id, {order} as r, unnest({_toks("text")}) as token from {hits}) group by all),
+size{t} as (select query_id, r, sqrt(sum(n * n)) as z from bag{t} group by all),
+alike{t} as (select a.query_id, a.r, b.r as o, sum(a.n * b.n) as d from bag{t} a join bag{t} b using (query_id, token) group by all),
+near{t} as (select query_id, r, list(d / (a.z * b.z + 1e-9) order by o) as near, list(o order by o) as others from alike{t} join size{t} a using (query_id, r) join (select query_id, r as o, z from size{t}) b using (query_id, o) group by query_id, r),
+cand{t} as (select h.query_id, h.{order} as r, 0.5::double * round(s, 4) as half, coalesce(map(others, near), map()) as near from {hits} h left join near{t} on h.query_id = near{t}.query_id and h.{order} = near{t}.r),
+many{t} as (select query_id, count(*) as n from {hits} group by all),
+greedy{t} as (select query_id, [0::bigint] as picked from many{t} where n > {n}
+  union all select query_id, list_append(any_value(picked), arg_max(r, {{'v': half - 0.5::double * list_max(list_transform(picked, lambda p: coalesce(near[p], 0))), 'r': -r}})) from greedy{t} join cand{t} using (query_id) where len(picked) < {n} and not list_contains(picked, r) group by query_id),
+mmr{t} as (select query_id, unnest(picked) as r, unnest(range(0, {n})) as mmr_pos from greedy{t} where len(picked) = {n} union all select query_id, {order}, {order} from {hits} join many{t} using (query_id) where n <= {n})"""
+
+
+def _hybrid(asked: str) -> str:
+    """hybrid (query_id, rank, chunk.., rs): the 8 best of the expanded question's hits, fused, diversified and re-ranked."""
+    return ",\n".join([
+        f"wide0 as (select query_id, file_key, query as raw, query_vec::double[] as vec, {_EXTRA('query')} as extra from {asked})",
+        "wide1 as (select query_id, file_key, raw, vec, len(extra) = 0 as same, case when len(extra) > 0 then raw || ' ' || array_to_string(extra, ' ') else raw end as query from wide0)",
+        f"wide as (select query_id, file_key, raw, query, case when same then vec else {_LETTERS('query')} end as qv from wide1)",
+        _found("whits", "wide", 20), _bm25("w", "whits", "wide"),
+        "wfused as (select whits.*, row_number() over (partition by query_id order by round(1.0::double / (60 + pos + 1) + coalesce(1.0::double / (60 + bm25_rank + 1), 0), 12) desc, pos) - 1 as rrf_pos from whits left join (select query_id, pos, bm25_rank from lexicalw where bm25_rank < 20) using (query_id, pos))",
+        _mmr("w", "wfused", "rrf_pos"),
+        f"wscored as (select f.*, mmr_pos, len(list_intersect(list_distinct({_toks('raw')}), {_toks('text')})) / greatest(len(list_distinct({_toks('raw')})), 1)::double as rs from wfused f join mmrw m on f.query_id = m.query_id and rrf_pos = r join wide on f.query_id = wide.query_id)",
+        "hybrid as (select * from (select *, row_number() over (partition by query_id order by rs desc, mmr_pos) as rank from wscored) where rank <= 8)",
+    ])
+
+
+_RECURSIVE = WITH.replace("with ", "with recursive ", 1)
+#: What a stream of words shows, 7 letters being held back: think_stream()'s turns have no tags of their own.
+_THINK = """with w as (select conv_id || '-' || turn as stream_id, ' ' || text as s from conversations where text is not null),
+cut as (select stream_id, s, unnest(list_filter(range(2, length(s) + 1), lambda i: i = length(s) or s[i] = ' ')) as l from w),
+part as (select *, greatest(coalesce(lag(l) over (partition by stream_id order by l), 1) - 7, 0) as from_ from cut),
+told as (select stream_id, row_number() over (partition by stream_id order by l) + 2 as seq, substr(s, from_ + 1, l - 7 - from_) as payload from part where l > 7),
+n as (select w.stream_id, s, count(seq) as n from w left join told using (stream_id) group by all)
+select stream_id, seq, 'token' as kind, payload from told
+union all select stream_id, unnest([0, 1, 2, n + 3, n + 4]), unnest(['token', 'think_token', 'think_end', 'token', 'done']), unnest(['so ', 'let me see', '', right(s, 7), '']) from n"""
+_ASK = ",\n".join([
+    "q as (select query_id, file_key, case when query_id % 9 = 0 then 'hello ' else '' end || query as text, query_vec from vqueries)",
+    f"said as (select query_id, file_key, text, query_vec, ({_any(_BARE, rules.SMALL_TALK)}) > 0 as small, {_REPLY} as reply from q)",
+    "rest as (select query_id, file_key, text as query, query_vec from said where not small and file_key not in ('src3', 'src4'))",
+    _corrective("rest"), "missed as (select * from rest where query_id not in (select query_id from corrected))", _hybrid("missed"),
+    "contexts as (select query_id, context, 'corrective' as path from corrected union all select query_id, string_agg('[' || upper(type) || ' | ' || file_key || ']' || chr(10) || text, chr(10) || chr(10) order by rank), 'hybrid' from hybrid group by all)",
+    "img as (select distinct file_key, page from vindex where page % 3 = 0)",
+    "shown as (select query_id, list(distinct page order by page) as have from (select query_id, file_key, page from final union all select query_id, file_key, page from hybrid) join img using (file_key, page) where page <> 0 group by all)",
+    r"nums as (select query_id, file_key, regexp_extract_all(lower(query), '(?:page|slide|p\.?)\s*(\d+)', 1) as nums from rest)",
+    "named as (select query_id, list(page order by i) as named from (select query_id, file_key, try_cast(unnest(nums) as int) as page, unnest(range(0, len(nums))) as i from nums) join img using (file_key, page) group by all)",
+    "chosen as (select query_id, case when len(nums) > 0 then coalesce(named, []) else coalesce(list_slice(have, 1, 2), []) end as pages from nums left join shown using (query_id) left join named using (query_id))",
+    f"wanted as (select query_id, list_distinct({_toks("query || case when len(pages) > 0 then chr(10) || ' Page images on view: ' || array_to_string(list_transform(pages, lambda p: 'p.' || p), ', ') || '.' else '' end")}) as asked from rest join chosen using (query_id))",
+    "line as (select query_id, asked, unnest(range(0, len(l))) as i, unnest(l) as line from (select query_id, asked, string_split(context, chr(10)) as l from contexts join wanted using (query_id)))",
+    rf"best as (select query_id, i, line, row_number() over (partition by query_id order by len(list_intersect(list_distinct({_toks('line')}), asked)) desc, i) as rn from line where {_strip('line')} <> '' and not regexp_matches(line, '^\[[A-Z]+ \| .*\]$'))",
+    "answers as (select query_id, string_agg(line, ' ' order by i) as answer from best where rn <= 3 group by all)",
 ])
 
 ORACLE_SQL = {
     "tokenize": f"select doc_id, token, count(*) as tf from (select doc_id, unnest({_toks('text')}) as token from documents) group by all",
     "clean_text": rf"select doc_id, coalesce(regexp_replace(regexp_replace({_strip('text')}, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '') as clean from documents",
     "expand_query": WITH + f"""q as (select id, 'LLM (rag), sec ' || text as text from plain),
-e as (select id, text, flatten(list_transform({_toks("text")}, lambda w: coalesce({_SYN}[regexp_replace(w, '^[.,;:()]+|[.,;:()]+$', '', 'g')], []))) as extra from q)
+e as (select id, text, {_EXTRA("text")} as extra from q)
 select id, case when len(extra) > 0 then text || ' ' || array_to_string(extra, ' ') else text end as expanded from e""",
     "file_names": r"""select page_id, regexp_replace(regexp_replace(name, '([^./])\.[^./]*$', '\1'), '[^a-zA-Z0-9]', '_', 'g') as stem, 'file_' || regexp_replace(name, '[^a-zA-Z0-9_-]', '_', 'g') as file_key, '/page-image/' || name || '/' || page_id as url
 from (select page_id, string_split(url, '/')[-1] as name from pages)""",
     "latex_text": f"select doc_id, {_NBSP(_ESC('text'))} as latex from documents",
+    "normalise_math": r"""with t as (select doc_id, '\(a\) \[b\] $c$ $c$<br/>' || text as t from documents),
+u as (select doc_id, regexp_replace(regexp_replace(t, '\\\[(.*?)\\\]', chr(10) || '$$\1$$' || chr(10), 'gs'), '\\\((.*?)\\\)', '$\1$', 'gs') as t from t)
+select doc_id, regexp_replace(replace(t, '$c$ $c$', '$c$'), '<br\s*/?>', ' · ', 'gi') as math from u""",
     "small_talk": f"select conv_id, turn, ({_any(_BARE, rules.SMALL_TALK)}) > 0 as small, {_REPLY} as reply from conversations",
     "query_rules": WITH + _TURNS + f""" select id, {_INTENT} as intent, array_to_string(regexp_extract_all(lower(text), '(?:page|slide|p\\.?)\\s*(\\d+)', 1), ',') as pages, len({_toks("text")}) <= 4 as short, ({_any(_BARE, rules.SMALL_TALK)}) > 0 as small from turns""",
     "strip_table_lines": r"select doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: not regexp_matches(regexp_replace(l, '\s+$', ''), '^\|.*\|$')), chr(10)) as kept from documents",
@@ -583,6 +649,8 @@ b as (select query_id, pos, token, count(*) as n from (select query_id, pos, unn
 na as (select query_id, sqrt(sum(n * n)) as s from a group by all), nb as (select query_id, pos, sqrt(sum(n * n)) as s from b group by all),
 dots as (select query_id, pos, sum(a.n * b.n) as d from a join b using (query_id, token) group by all)
 select query_id, cast(pos as int) as pos, coalesce(round(d / (na.s * nb.s + 1e-9), 6), 0) as cosine from dense left join dots using (query_id, pos) left join na using (query_id) left join nb using (query_id, pos)""",
+    "mmr": _RECURSIVE + _mmr("", "dense", "pos") + " select m.query_id, cast(mmr_pos as int) as mmr_pos, cast(pos as int) as pos, chunk_id from mmr m join dense d on d.query_id = m.query_id and pos = r",
+    "hybrid_search": _RECURSIVE + _hybrid("vqueries") + " select query_id, cast(rank as int) as rank, chunk_id, round(s, 4) as score, round(rs, 6) as rerank_score from hybrid",
     "rerank": WITH + f"""r as (select query_id, pos, chunk_id, len(list_intersect(list_distinct({_toks("query")}), {_toks("text")})) / greatest(len(list_distinct({_toks("query")})), 1)::double as rs from dense)
 select query_id, cast(rank as int) as rank, chunk_id, round(rs, 6) as rerank_score from (select *, row_number() over (partition by query_id order by rs desc, pos) as rank from r) where rank <= 8""",
     "rerank_dependence": WITH + f"""hw as (select query_id, pos, chunk_id, {_toks("query")} as q, {_toks("text")} as t from dense),
@@ -604,7 +672,7 @@ n as (select *, count(*) filter (yes) over (partition by query_id) as k, row_num
 kept as (select * from n where short or yes or (k = 0 and rn <= 2))
 select query_id, string_agg(cast(chunk_id as varchar), ',' order by pos) as kept, not any_value(short) and count(*) < 2 as needs_rewrite from kept group by query_id""",
     "feedback_wordings": WITH + _TERMS + ",\n" + _feedback("", "vqueries", "dense") + " select query_id, r.text as rewrite, v.text as variant from rewrite r left join variant v using (query_id)",
-    "corrective_search": WITH + _TERMS + ",\n" + _CORRECTIVE + " select query_id, coalesce(rewrite_count, case when query_id in (select query_id from due0) then 1 else 0 end) as rewrite_count, coalesce(kept, 0) as kept, coalesce(context, '') as context from vqueries left join corrected using (query_id)",
+    "corrective_search": WITH + _TERMS + ",\n" + _corrective("vqueries") + " select query_id, coalesce(rewrite_count, case when query_id in (select query_id from due0) then 1 else 0 end) as rewrite_count, coalesce(kept, 0) as kept, coalesce(context, '') as context from vqueries left join corrected using (query_id)",
     "page_images": WITH + """img as (select distinct file_key, page from vindex where page % 3 = 0),
 f as (select * from (select *, row_number() over (partition by query_id, page order by pos) as rn from dense where page <> 0) where rn = 1)
 select query_id, f.page, img.page is not null as has_image, 'Page ' || f.page || ' | type:' || type || ' | image_on_disk:' || case when img.page is not null then 'YES' else 'NO' end || ' | ' || replace(left(text, 150), chr(10), ' ') as summary from f left join img on f.file_key = img.file_key and f.page = img.page""",
@@ -622,6 +690,10 @@ select query_id, intent, case when len(nums) > 0 then coalesce(pages, '') when h
 urls as (select query_id, intent, file_key, case when len(nums) > 0 then coalesce(pages, '') when have is null then '' else array_to_string(list_slice(have, 1, 2), ',') end as shown from ex left join shown using (query_id) left join named using (query_id))
 select query_id, case when seen.query_id is null then 'unknown' else intent end as intent, case when seen.query_id is null or shown = '' then '' else array_to_string(list_transform(string_split(shown, ','), lambda p: '/page-image/' || file_key || '/' || p), ',') end as images, coalesce(considered, '') as pages_considered
 from urls left join seen using (query_id)""",
+    "ask": _RECURSIVE + _TERMS + ",\n" + _ASK + """ select query_id, case when small then 'small_talk' when file_key in ('src3', 'src4') then 'status' else coalesce(path, 'nothing') end as path,
+  case when small then reply when file_key = 'src3' then 'The file is still being indexed.' when file_key = 'src4' then 'The file could not be indexed: No chunks produced' when path is null then 'No relevant content found in ' || chr(39) || file_key || chr(39) || '.' else coalesce(answer, '') end as answer,
+  case when path is null then '' else coalesce(array_to_string(pages, ','), '') end as pages from said left join contexts using (query_id) left join chosen using (query_id) left join answers using (query_id)""",
+    "think_stream": _THINK,
     "decode_stream": "select conv_id || '-' || turn as stream_id, 'so  ' || text as text, 'let me see' as thinking, true as think_done from conversations",
     "chunks_preview": WITH + "z as (select 1) select file_key, chunk_index, case when length(text) > 300 then left(text, 300) || '...' else text end as preview, '/page-image/' || file_key || '/' || page as image_url from chunk_lines",
     "even_partition": WITH + "z as (select 1) " + _EVEN.format(chunks="chunk_lines"),

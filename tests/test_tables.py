@@ -204,7 +204,7 @@ def test_answers_of_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "benchmark", "conversations", "events"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    for name in ("chunk_markdown", "rrf", "grade_chunks", "page_select", "section_ranges", "file_status", "query_rules"):
+    for name in ("chunk_markdown", "rrf", "grade_chunks", "page_select", "section_ranges", "file_status", "query_rules", "normalise_math", "think_stream", "mmr", "hybrid_search", "ask"):
         got = entry.QUERIES[name](spark, SF)
         columns = sorted(got.columns)
         want = con.execute(f"select {', '.join(columns)} from ({entry.ORACLE_SQL[name]})").fetchall()
