@@ -75,8 +75,10 @@ def said_chunks(said: DataFrame) -> DataFrame:
     return vision_chunks(said, lambda _: F.col("reply"))
 
 
-def page_chunks(pages: DataFrame, describe=None) -> DataFrame:
-    """Chunks of whole files: text, tables and what a vision model says, numbered by page."""
+def page_chunks(pages: DataFrame, describe=None, said: DataFrame | None = None) -> DataFrame:
+    """Chunks of whole files: text, tables and what a vision model says (by describe, or in said, which is described()'s), numbered by page."""
     texts = chunk_table(page_texts(pages).where("text is not null").select(*TABLE, "method", "text"))
     every = texts.unionByName(table_chunks(pages))
-    return reindex(every if describe is None else every.unionByName(vision_chunks(pages, describe)))
+    if describe is not None:
+        every = every.unionByName(vision_chunks(pages, describe))
+    return reindex(every if said is None else every.unionByName(said_chunks(said)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import rules, text
 from docengine.operators import cells, chunking, corrective, feedback, latent, pages, postings, report, retrieval, tables
-from docengine.plans import answer, index, store
+from docengine.plans import answer, index, loading, store
 from docengine.sources.scratch import shared, shared_path, shared_tables, written
 from docengine.streaming import ingest, tokens
 
@@ -408,6 +408,34 @@ def index_versions(spark, sf_dir):
     return store.read(spark, path).select("file_key", "chunk_id", "page", F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
+def _two_pages(content: bytes):
+    """A reader of texts, without headings, as files of two pages: Markdown and a table of two rows drawn as words, then lines in a block, every fifth with a picture."""
+    t = content.decode().replace("#", "+")
+    half = len(t) // 2
+    word = lambda x, y, w: {"x0": float(x), "y0": y - 9.0, "x1": x + 5.0 * len(w), "y1": float(y), "text": w}
+    rows = [("letters", str(len(t))), ("half", str(half))]
+    yield {"page": 1, "markdown": t[:half], "words": [word(x, 100 + 12 * i, w) for i, r in enumerate(rows) for x, w in zip((50, 200), r)]}
+    yield {"page": 2, "image_path": f"{len(t)}.png", "visual": len(t) % 5 == 0, "blocks": [{"type": 0, "bbox": [0.0] * 4, "lines": [[x] for x in t[half:].split("\n")]}]}
+
+
+def _picture(image: str) -> str:
+    """A vision model that can't see some pictures."""
+    if image.endswith("0.png"):
+        raise ValueError("unreadable")
+    return f"A picture of what is written in {image}"
+
+
+def loaded_files(spark, sf_dir):
+    """Documents as files of two pages; a third of them was loaded before and is in the cache."""
+    docs = _t(spark, sf_dir, "documents").where("text is not null")
+    files = docs.select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.col("text").cast("binary").alias("content"), "doc_id")
+    cache = shared_path(spark, "chunk-cache")
+    for part in (files.where("doc_id % 3 = 0"), files):
+        out = loading.load(part, _two_pages, cache, _picture, buckets=8)
+    known = out.cached.withColumn("was_cached", F.lit(True))
+    return out.chunks.join(known, "path", "left").select("source", "page", "chunk_index", "type", "method", "text", F.coalesce("was_cached", F.lit(False)).alias("was_cached"))
+
+
 def image_diagnosis(spark, sf_dir):
     rows = index_rows(spark, sf_dir).withColumn("image_path", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(""))
     return answer.image_diagnosis(rows, image_pages(spark, sf_dir)).withColumn("sample", F.array_join("sample", ","))
@@ -421,7 +449,7 @@ QUERIES = {f.__name__: f for f in (
     tokenize, clean_text, expand_query, file_names, latex_text, normalise_math, small_talk, query_rules, strip_table_lines, chunk_documents,
     chunk_markdown, chunk_reindex, chunk_stats, dense_topk, dense_pruned, dense_latent, bm25_hits, bm25_corpus, rrf, bow_cosine, mmr, rerank, rerank_dependence, hybrid_search, dedupe_variants,
     grade_chunks, feedback_wordings, corrective_search, page_images, page_select, chunks_preview, even_partition, heading_scan, section_ranges, section_join,
-    section_context, section_context_fast, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis, page_model, images_for_query, decode_stream, found_tables, index_versions,
+    section_context, section_context_fast, report_latex, cache_misses, file_status, think_stream, event_windows, ask, image_diagnosis, page_model, images_for_query, decode_stream, found_tables, index_versions, loaded_files,
 )}
 
 
@@ -720,6 +748,13 @@ from i left join sm using (file_key) full join g using (file_key)""",
     "found_tables": """with p as (select p_partkey // 30 as page, p_partkey % 30 as row_no, p_partkey, p_name, p_brand, p_size, count(*) over (partition by p_partkey // 30) as n from part),
 c as (select page, row_no, unnest([0, 1, 2, 3]) as col_no, unnest([p_partkey::varchar, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', -1), p_brand, p_size::varchar]) as text from p where n > 1)
 select 'parts' as file_key, page, 0::bigint as table_no, row_no::int as row_no, col_no, text from c""",
+    "loaded_files": f"""with d as (select doc_id || '.pdf' as source, doc_id, replace(text, '#', '+') as t, length(text) // 2 as half, length(text) as n from documents where text is not null),
+p as (select *, 1 as page, 'markdown' as method, left(t, half) as raw from d union all select *, 2, 'dict_text', {_strip("array_to_string(list_filter(list_transform(string_split(substr(t, half + 1), chr(10)), lambda x: " + _strip("x") + "), lambda x: x <> ''), chr(10))")} from d),
+kept as (select *, {_strip("array_to_string(list_filter(string_split(raw, chr(10)), lambda l: not regexp_matches(regexp_replace(l, '" + chr(92) + "s+$', ''), '^" + chr(92) + "|.*" + chr(92) + "|$')), chr(10))")} as text from p where length({_strip("raw")}) > 30),
+c as (select source, doc_id, n, page, case when text like '|%' or contains(text, '| ---') or contains(text, '| :---') then 'table' else 'text' end as type, method, text, 0 as o from kept where length(text) > 30
+  union all select source, doc_id, n, 1, 'table', 'pymupdf_table', '[TABLE 1 | Page 1/2]' || chr(10) || '| letters | ' || n || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| half | ' || half || ' |', 0 from d
+  union all select source, doc_id, n, 2, 'text', 'vlm', '[VLM | Page 2/2]' || chr(10) || 'A picture of what is written in ' || n || '.png', 1 from d where n % 10 = 5)
+select source, page, cast(row_number() over (partition by source order by o, page, type = 'table') - 1 as int) as chunk_index, type, method, text, doc_id % 3 = 0 and n % 10 <> 0 as was_cached from c""",
     "index_versions": "select source as file_key, doc_id as chunk_id, cast(doc_id % 40 as int) as page, md5(case when source = 'src1' then 'again ' else '' end || text) as md5 from documents where source <> 'src2'",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all",
 }
