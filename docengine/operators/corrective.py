@@ -88,8 +88,8 @@ HIT = ("page", "total_pages", "chunk_index", "type", "source", "text")
 def retrieve(index: DataFrame, states: DataFrame, k: int = 15, variant=expand_query, embed=hash_embedding) -> tuple[DataFrame, DataFrame]:
     """states with chunks: hits of the query, and of one variant with its own vector unless the query is short; and the query's own hits.
 
-    variant is a Feedback over the query's own hits, or a function of the
-    query's Column. Questions are written with their vectors, so neither
+    variant is a Feedback over the query's own hits, an asking.ByModel, or a
+    function of the query's Column. Questions are written with their vectors, so neither
     wording nor vector is worked out again for each chunk.
     """
     asked = states.select("query_id", "file_key", "query", "query_vec")
@@ -112,8 +112,8 @@ def corrective_search(index: DataFrame, queries: DataFrame, k: int = 15, rewrite
 
     Retrieve, grade, and for those that need it rewrite and go again: the
     bound on rewrites makes it a plan of so many stages. variant and rewrite
-    are a Feedback, which words them by the query's own hits, or functions of
-    the query's Column; embed gives the vectors of what they say.
+    are a Feedback, which words them by the query's own hits, an
+    asking.ByModel, or functions of the query's Column; embed gives the vectors of what they say.
     """
     states = written(queries.withColumn("query_vec", F.col("query_vec").cast("array<double>")).withColumns({"original": F.col("query"), "rewrite_count": F.lit(0)}), "states")
     done = None

@@ -70,7 +70,7 @@ class Feedback:
 
 
 def wordings(questions: DataFrame, hits: DataFrame, how, kind: str) -> DataFrame:
-    """(query_id, text) by a Feedback (kind: variants or rewrites) or by a function of the question's Column."""
-    if isinstance(how, Feedback):
+    """(query_id, text) by a Feedback or asking.ByModel (kind: variants or rewrites) or by a function of the question's Column."""
+    if hasattr(how, kind):
         return getattr(how, kind)(questions, hits)
     return questions.select("query_id", how("query").alias("text"))

@@ -186,15 +186,17 @@ def fallback_section(found: DataFrame, chunks: DataFrame, first: int = 200) -> D
     return made.select("file_key", "section_no", "start_page", "end_page", "name", *[c for c in chunks.columns if c != "file_key"])
 
 
-def generate_report(chunks: DataFrame, names: list[str] | None = None, writer=None, fast: bool = False) -> DataFrame:
+def generate_report(chunks: DataFrame, names: list[str] | None = None, writer=None, fast: bool = False, write=write_sections) -> DataFrame:
     """A LaTeX report of each file's chunks (file_key, page, chunk_index, text), which are written once.
 
-    A file whose sections are all back matter has its first chunks as one section.
+    write makes the sections' texts, with writer if there is one, such as
+    asking.write_sections_by_model() with its model bound. A file whose sections are all back matter has its first chunks as one section.
     """
     rows = written(chunks.where(F.length(py_strip("text")) > 0).withColumn("page", F.coalesce("page", F.lit(0))), "report-chunks")
     found = written(sections(rows, names, fast), "report-sections")
     placed = section_chunks(found, rows).unionByName(fallback_section(found, rows))
-    return assemble(write_sections(contexts(placed), writer))
+    made = contexts(placed)
+    return assemble(written(write(made) if writer is None else write(made, writer), "report-texts"))
 
 
 def report_file(file_key: Column | str, ext: str = "tex") -> Column:
