@@ -82,19 +82,19 @@ def merge_ranges(ranges: list[tuple[int, int, str]], most: int = MOST_SECTIONS)
     return ranges
 
 
-def _merged(group: pd.DataFrame) -> pd.DataFrame:
+def _merged(group: pd.DataFrame, most: int) -> pd.DataFrame:
     group = group.sort_values("start_page")
-    out = merge_ranges(list(zip(group["start_page"], group["end_page"], group["name"])))
+    out = merge_ranges(list(zip(group["start_page"], group["end_page"], group["name"])), most)
     return pd.DataFrame([(group["file_key"].iloc[0], i + 1, s, e, n) for i, (s, e, n) in enumerate(out)], columns=["file_key", "section_no", "start_page", "end_page", "name"])
 
 
 SECTION = "file_key string, section_no int, start_page int, end_page int, name string"
 
 
-def chapter_ranges(found: DataFrame, files: DataFrame) -> DataFrame:
+def chapter_ranges(found: DataFrame, files: DataFrame, most: int | None = MOST_SECTIONS) -> DataFrame:
     """Sections between headings: the first of equal ones counts; what is before the first is a preamble.
 
-    Only files with over MOST_SECTIONS ranges go through the merge, one small group each.
+    Only files with over most ranges go through the merge, one small group each; without most every range stays.
     """
     norm = F.lower(F.regexp_replace(py_strip(F.coalesce(chapter_key("title"), _bare(F.col("title")))), r"(?U)\s+", " "))
     same = Window.partitionBy("file_key", norm).orderBy("page")
@@ -107,13 +107,15 @@ def chapter_ranges(found: DataFrame, files: DataFrame) -> DataFrame:
     rows = ranges.select(before.columns).unionByName(before)
     numbered = rows.withColumns({"section_no": F.row_number().over(order), "_all": F.count("*").over(Window.partitionBy("file_key"))})
     columns = ["file_key", "section_no", "start_page", "end_page", "name"]
-    few = numbered.where(F.col("_all") <= MOST_SECTIONS).select(columns)
-    many = numbered.where(F.col("_all") > MOST_SECTIONS).select("file_key", "start_page", "end_page", "name")
-    return few.unionByName(many.groupBy("file_key").applyInPandas(_merged, SECTION))
+    if most is None:
+        return numbered.select(columns)
+    few = numbered.where(F.col("_all") <= most).select(columns)
+    many = numbered.where(F.col("_all") > most).select("file_key", "start_page", "end_page", "name")
+    return few.unionByName(many.groupBy("file_key").applyInPandas(lambda group: _merged(group, most), SECTION))
 
 
-def sections(chunks: DataFrame, names: list[str] | None = None, fast: bool = False) -> DataFrame:
-    """Sections of each file: the caller's, else between headings (two at least), else (or if fast) the default ones; back matter goes."""
+def sections(chunks: DataFrame, names: list[str] | None = None, fast: bool = False, most: int | None = MOST_SECTIONS) -> DataFrame:
+    """Sections of each file: the caller's, else between headings (two at least, merged to most if there are more), else (or if fast) the default ones; back matter goes."""
     files = total_pages(chunks)
     if names := [n for n in names or [] if n.strip()]:
         found = even_partition(files, names)
@@ -122,7 +124,7 @@ def sections(chunks: DataFrame, names: list[str] | None = None, fast: bool = Fal
     else:
         heads = headings(chunks)
         enough = heads.groupBy("file_key").count().where("count >= 2").select("file_key")
-        found = chapter_ranges(heads.join(enough, "file_key", "left_semi"), files).unionByName(even_partition(files.join(enough, "file_key", "left_anti")))
+        found = chapter_ranges(heads.join(enough, "file_key", "left_semi"), files, most).unionByName(even_partition(files.join(enough, "file_key", "left_anti")))
     return found.where(~py_strip("name").rlike(SKIPPED))
 
 
@@ -186,14 +188,14 @@ def fallback_section(found: DataFrame, chunks: DataFrame, first: int = 200) -> D
     return made.select("file_key", "section_no", "start_page", "end_page", "name", *[c for c in chunks.columns if c != "file_key"])
 
 
-def generate_report(chunks: DataFrame, names: list[str] | None = None, writer=None, fast: bool = False, write=write_sections) -> DataFrame:
+def generate_report(chunks: DataFrame, names: list[str] | None = None, writer=None, fast: bool = False, write=write_sections, most: int | None = MOST_SECTIONS) -> DataFrame:
     """A LaTeX report of each file's chunks (file_key, page, chunk_index, text), which are written once.
 
     write makes the sections' texts, with writer if there is one, such as
     asking.write_sections_by_model() with its model bound. A file whose sections are all back matter has its first chunks as one section.
     """
     rows = written(chunks.where(F.length(py_strip("text")) > 0).withColumn("page", F.coalesce("page", F.lit(0))), "report-chunks")
-    found = written(sections(rows, names, fast), "report-sections")
+    found = written(sections(rows, names, fast, most), "report-sections")
     placed = section_chunks(found, rows).unionByName(fallback_section(found, rows))
     made = contexts(placed)
     return assemble(written(write(made) if writer is None else write(made, writer), "report-texts"))
