@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,18 +56,29 @@ def step(state: tuple[str, bool, bool], line: str) -> tuple[tuple[str, bool, boo
     return (buffer, thinking, ended), events
 
 
-def _batch(group: pd.DataFrame) -> pd.DataFrame:
-    state, out = ("", False, False), []
-    for line in group.sort_values("seq")["line"]:
-        state, events = step(state, line)
-        out += events
-    key = group["stream_id"].iloc[0]
-    return pd.DataFrame([(key, i, k, p) for i, (k, p) in enumerate(out)], columns=["stream_id", "seq", "kind", "payload"])
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events of a task's lines, which come stream by stream in their order; the state of the stream at hand is all that is kept."""
+    schema = pa.schema([("stream_id", pa.string()), ("seq", pa.int64()), ("kind", pa.string()), ("payload", pa.string())])
+    now, state, n = object(), ("", False, False), 0
+    for batch in batches:
+        ids, seqs, kinds, payloads = [], [], [], []
+        for stream, line in zip(batch.column("stream_id").to_pylist(), batch.column("line").to_pylist()):
+            if stream != now:
+                now, state, n = stream, ("", False, False), 0
+            state, events = step(state, line)
+            for kind, payload in events:
+                ids.append(stream)
+                seqs.append(n)
+                kinds.append(kind)
+                payloads.append(payload)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, seqs, kinds, payloads), schema)], schema=schema)
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Events of lines (stream_id, seq, line), a stream (one answer) at a time."""
-    return lines.groupBy("stream_id").applyInPandas(_batch, EVENTS)
+    """Events of lines (stream_id, seq, line). A task goes through its streams one after another, each sorted by seq."""
+    dealt = lines.select("stream_id", "seq", "line").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    return dealt.select(F.col("stream_id").cast("string"), "line").mapInArrow(_parsed, EVENTS)
 
 
 def error_events(failed: DataFrame) -> DataFrame:

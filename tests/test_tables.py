@@ -110,6 +110,29 @@ def test_think_parser_does_not_depend_on_the_cut():
         assert joined(out, "token") == "a < b  mid end <thin" and joined(out, "think_token") == "x </ y"
 
 
+def test_streams_across_batches(spark):
+    """Streams longer than a batch, and many in one task, are parsed as one line after another; no group is a call of its own."""
+    made = [(f"s{i}" if i else None, n, '{"message": {"content": "%s"}, "done": %s}' % (w, "true" if n == 39 else "false")) for i in range(30) for n, w in enumerate(["a ", "<thi", "nk>b ", "</think> "] * 10)]
+    random.Random(3).shuffle(made)
+    df = spark.createDataFrame(made, "stream_id string, seq long, line string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        parsed = tokens.parse(df)
+        got = [tuple(r) for r in parsed.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for stream in {m[0] for m in made}:
+        state, events = ("", False, False), []
+        for _, _, line in sorted((m for m in made if m[0] == stream), key=lambda m: m[1]):
+            state, more = tokens.step(state, line)
+            events += more
+        want += [(stream, i, *e) for i, e in enumerate(events)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert "FlatMapGroups" not in parsed._jdf.queryExecution().toString()
+
+
 def test_stream_is_batch(spark, tmp_path):
     rows = [(s, i, f'{{"message": {{"content": "{w} "}}, "done": {"true" if i == 9 else "false"}}}') for s in ("p", "q") for i, w in enumerate("a b <think>c d</think> e f g h i j k".split()[:10])]
     df = spark.createDataFrame(rows, "stream_id string, seq long, line string")
