@@ -102,11 +102,11 @@ def decode(lines: DataFrame) -> DataFrame:
     [DONE]. One stream is one answer, so a group is small.
     """
     data = F.trim(F.substring("line", 7, 1 << 30))
-    rows = lines.where(F.col("line").startswith("data: ")).withColumn("_d", data)
+    rows = lines.where(F.col("line").startswith("data: ")).withColumn("_d", data).withColumn("_json", F.try_parse_json("_d").isNotNull())
     before = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     open_ = rows.withColumn("_over", F.max(F.when(F.col("_d") == "[DONE]", 1).otherwise(0)).over(before))
-    get = lambda k: F.get_json_object(F.when(F.try_parse_json("_d").isNotNull(), F.col("_d")), f"$.{k}")
-    kinds = open_.withColumns({k: F.when(F.col("_over") == 0, get(k)) for k in ("images", "think_token", "think_end", "token")})
+    get = lambda k: F.get_json_object("_d", f"$.{k}")
+    kinds = open_.withColumns({k: F.when((F.col("_over") == 0) & F.col("_json"), get(k)) for k in ("images", "think_token", "think_end", "token")})
     told = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(k, F.lit("")) != "", F.struct("seq", F.col(k).alias("t"))))), lambda x: x["t"]), "")
     return kinds.groupBy("stream_id").agg(told("token").alias("text"), told("think_token").alias("thinking"), F.coalesce(F.bool_or(F.col("think_end") == "true"), F.lit(False)).alias("think_done"), F.max_by("images", F.when(F.col("images").isNotNull(), F.col("seq"))).alias("images"))
 
