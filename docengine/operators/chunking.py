@@ -64,8 +64,7 @@ def chunks_of(text: Column | str, size: int = 1000, overlap: int = 200) -> Colum
 
 def chunk_table(pages: DataFrame, size: int = 1000, overlap: int = 200, start: int = 0) -> DataFrame:
     """One row a chunk of pages (file_key, source, page, total_pages, method, image_path, text)."""
-    cut = pages.withColumn("_chunks", chunks_of("text", size, overlap)).drop("text")
-    rows = cut.select("*", F.posexplode("_chunks").alias("_i", "_c")).drop("_chunks")
+    rows = pages.select("*", F.posexplode(chunks_of("text", size, overlap)).alias("_i", "_c"))  # as a column of its own it would be worked out for filters too
     return rows.withColumns({"chunk_index": F.col("_i") + start, "type": F.col("_c.type"), "text": F.col("_c.text")}).drop("_i", "_c")
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.functions.text import col, excise, image_label, py_strip, render_table, strip_table_lines, table_label, unless_skipped
+from docengine.functions.text import col, excise, image_label, let, py_strip, render_table, strip_table_lines, table_label, unless_skipped
 from docengine.operators import model_calls
 from docengine.operators.chunking import chunk_table, reindex
 
@@ -38,13 +38,13 @@ def blocks_text(blocks: Column | str) -> Column:
 def page_texts(pages: DataFrame) -> DataFrame:
     """pages with text and method: Markdown if it is longer than LEAST_TEXT, else the blocks' text if that is, else the plain text; tables are cut out, and what is left if it is too short."""
     long = lambda c: F.length(py_strip(c)) > LEAST_TEXT
-    made = pages.withColumn("_blocks", blocks_text("blocks"))
-    method = F.when(F.coalesce(long("markdown"), F.lit(False)), "markdown").when(long("_blocks"), "dict_text").otherwise("plain_text")
-    made = made.withColumn("method", method)
-    raw = F.when(F.col("method") == "markdown", F.col("markdown")).when(F.col("method") == "dict_text", F.col("_blocks")).otherwise(py_strip(F.coalesce("plain", F.lit(""))))
+    said = lambda method, raw: F.struct(F.lit(method).alias("method"), raw.alias("raw"))
+    plain = said("plain_text", py_strip(F.coalesce("plain", F.lit(""))))
+    other = let(blocks_text("blocks"), lambda b: F.when(long(b), said("dict_text", b)).otherwise(plain))
+    chosen = F.when(F.coalesce(long("markdown"), F.lit(False)), said("markdown", F.col("markdown"))).otherwise(other)
     parts = F.filter(F.coalesce("table_texts", F.array().cast("array<string>")), lambda t: t != "")
-    text = excise(strip_table_lines(raw), parts)
-    return made.withColumn("text", F.when(long(text), text)).drop("_blocks")
+    kept = lambda c: let(excise(strip_table_lines(c["raw"]), parts), lambda t: F.struct(c["method"].alias("method"), F.when(long(t), t).alias("text")))
+    return pages.drop("method", "text").select("*", F.inline(F.array(let(chosen, kept))))  # a row each; unlike a projection it is never copied into filters
 
 
 TABLE = ("file_key", "source", "page", "total_pages", "image_path")

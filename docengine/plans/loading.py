@@ -17,6 +17,7 @@ from docengine.plans import store
 from docengine.sources.scratch import written
 
 BROADCAST_FILES = 200_000  # paths with their hashes, of some 150 bytes
+PAGES, BYTES = 256, 1 << 22  # of read files in one batch of rows
 CHUNK = ("file_key", "source", "page", "total_pages", "chunk_index", "type", "method", "image_path", "text")
 #: What a reader says of a page; all but page may be left out.
 PAGE = "page int, total_pages int, image_path string, markdown string, plain string, visual boolean, blocks array<struct<type:int,bbox:array<double>,lines:array<array<string>>>>, words array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>, error string"
@@ -35,7 +36,7 @@ def page_structures(files: DataFrame, read: Callable[[bytes], Iterable[dict]]) -
 
     A page whose dict has an error is only that error; a file that read fails
     on is one row with a null page and its error, and none of its pages. A
-    task holds the pages of one file at a time.
+    task holds the pages of one file at a time, and those of small files up to PAGES and BYTES before they go on.
     """
     schema = T.StructType([T.StructField("path", T.StringType()), *T._parse_datatype_string(PAGE).fields])
     names = schema.names[1:]
@@ -51,11 +52,18 @@ def page_structures(files: DataFrame, read: Callable[[bytes], Iterable[dict]]) -
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kind = to_arrow_schema(schema)
+        rows, size = [], 0
         for batch in batches:
+            paths, contents = batch.column("path"), batch.column("content")
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1).to_pylist()[0]
-                found = pages_of(one["path"], one["content"])
-                yield pa.RecordBatch.from_pylist([{c: p.get(c) for c in schema.names} for p in found], kind)
+                content = contents[i].as_py()
+                rows += [{c: p.get(c) for c in schema.names} for p in pages_of(paths[i].as_py(), content)]
+                size += len(content or b"")
+                if len(rows) >= PAGES or size >= BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, kind)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, kind)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
