@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docengine.functions.text import tokens
+from docengine.functions.text import let, tokens
 from docengine.sources.scratch import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -32,22 +36,71 @@ def build(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     in one are a block, so a word that every document has is as many blocks
     as there are spans. part is what an occurrence adds to BM25 but for idf;
     most is the largest of a block. idf under zero is EPSILON times the mean.
+    Texts are cut into words once and a span's lists go through one exchange;
+    a task makes the blocks of one span at a time.
     """
-    listed = docs.select("chunk_id", tokens("text").alias("t")).withColumn("dl", F.size("t")).where("dl > 0")
-    counted = listed.select("chunk_id", "dl", F.explode("t").alias("token")).groupBy("chunk_id", "token", "dl").agg(F.count("*").alias("tf"))
-    counted = written(counted, "word-counts")
-    n_docs, avgdl = counted.groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    lists = F.array(let(tokens("text"), lambda t: F.struct(t.alias("t"), F.size(t).alias("dl"))))
+    listed = written(docs.select("chunk_id", F.inline(lists)), "word-lists").where("dl > 0")
+    n_docs, avgdl = listed.agg(F.count("*"), F.avg("dl")).first()
     spans = max(1, math.ceil(n_docs / span))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    dealt = counted.select("token", F.pmod(F.xxhash64("chunk_id"), F.lit(spans)).cast("int").alias("span"), "chunk_id", part.alias("part"))
-    entries = F.array_sort(F.collect_list(F.struct("chunk_id", "part")))
-    blocks = written(dealt.groupBy("token", "span").agg(F.count("*").alias("n"), F.max("part").alias("most"), entries.alias("entries")).sortWithinPartitions("token", "span"), "blocks")
-    words = blocks.groupBy("token").agg(F.sum("n").alias("df"))
+    entry = T.StructType([T.StructField("chunk_id", docs.schema["chunk_id"].dataType), T.StructField("part", T.DoubleType())])
+    schema = T.StructType([*T._parse_datatype_string("token string, span int, n long, most double").fields, T.StructField("entries", T.ArrayType(entry))])
+    dealt = listed.select(F.pmod(F.xxhash64("chunk_id"), F.lit(spans)).cast("int").alias("span"), "*")
+    blocks = written(dealt.groupBy("span").applyInArrow(lambda group: _blocks(group, avgdl), schema), "blocks")
+    words = written(blocks.groupBy("token").agg(F.sum("n").alias("df")), "words")
     words = words.withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = words.agg(F.avg("idf")).first()[0]
     return blocks, words.withColumn("idf", F.when(F.col("idf") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("idf")))
 
 
+def _blocks(group: pa.Table, avgdl: float) -> pa.Table:
+    """The blocks of one span's documents (span, chunk_id, t, dl)."""
+    group = group.sort_by("chunk_id").combine_chunks()
+    lists, dl = group["t"].combine_chunks(), group["dl"].to_numpy()
+    known = lists.flatten().dictionary_encode()
+    place = known.indices.to_numpy().astype("int64") * len(dl) + np.repeat(np.arange(len(dl)), dl)  # by word, then by document
+    place, tf = np.unique(place, return_counts=True)
+    word, doc = place // len(dl), place % len(dl)
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    offsets = pa.array(np.append(starts, len(word)).astype("int32"))
+    entries = pa.StructArray.from_arrays([group["chunk_id"].combine_chunks().take(pa.array(doc)), pa.array(part)], ["chunk_id", "part"])
+    n = np.diff(np.append(starts, len(word)))
+    return pa.table({"token": known.dictionary.take(pa.array(word[starts])), "span": pa.array(np.full(len(starts), group["span"][0].as_py(), "int32")), "n": pa.array(n), "most": pa.array(np.maximum.reduceat(part, starts)), "entries": pa.ListArray.from_arrays(offsets, entries)})
+
+
+QUERIES_AT_ONCE = 256
+
+
+def _span_hits(blocks: pa.Table, opened: pa.Table, k: int) -> pa.Table:
+    """(query_id, chunk_id, bm25) of one span's blocks (entries, asked): for each query that opened it the k best documents, and what is within MARGIN of the kth."""
+    entries, asked = (blocks[c].combine_chunks() for c in ("entries", "asked"))
+    row = lambda lists: np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    e, a = entries.flatten(), asked.flatten()
+    docs, who = e.field("chunk_id").dictionary_encode(), a.field("query_id").dictionary_encode()
+    parts = np.zeros((len(docs.dictionary), blocks.num_rows))
+    parts[docs.indices.to_numpy(), row(entries)] = e.field("part").to_numpy()
+    has = (parts > 0).astype("float32")
+    by, of, w = row(asked), who.indices.to_numpy(), a.field("w").to_numpy()
+    wanted = np.flatnonzero(pc.is_in(who.dictionary, value_set=opened["queries"].combine_chunks().flatten()).to_numpy(zero_copy_only=False))
+    found = []
+    for at in range(0, len(wanted), QUERIES_AT_ONCE):
+        some = wanted[at : at + QUERIES_AT_ONCE]
+        column = np.full(len(who.dictionary), -1)
+        column[some] = np.arange(len(some))
+        mine = column[of] >= 0
+        weights = np.zeros((blocks.num_rows, len(some)))
+        weights[by[mine], column[of[mine]]] = w[mine]
+        asks = np.zeros(weights.shape, "float32")
+        asks[by[mine], column[of[mine]]] = 1
+        met = has @ asks > 0
+        score = np.where(met, parts @ weights, -np.inf)
+        least = np.sort(score, axis=0)[-k] if len(score) > k else np.full(len(some), -np.inf)
+        doc, query = np.nonzero(met & (score >= least - MARGIN))
+        found.append(pa.table({"query_id": who.dictionary.take(pa.array(some[query])), "chunk_id": docs.dictionary.take(pa.array(doc)), "bm25": pa.array(score[doc, query])}))
+    return pa.concat_tables(found)
+
+
 def search(index: Postings, queries: DataFrame, k: int = 10, query: str = "query") -> DataFrame:
     """(query_id, chunk_id, bm25, rank, scored): the k best documents of each query, ties by chunk_id, and in how many spans they were sought.
 
@@ -68,11 +121,18 @@ def search(index: Postings, queries: DataFrame, k: int = 10, query: str = "query
     held = F.coalesce(F.sum("sure").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bounds = written(bounds.withColumn("first", (held < k) | (F.row_number().over(best) <= k)), "span-bounds")
 
+    asked = terms.groupBy("token").agg(F.collect_list(F.struct("query_id", "w")).alias("asked"))
+    chunk_id = index.blocks.schema["entries"].dataType.elementType["chunk_id"].dataType
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", chunk_id), T.StructField("bm25", T.DoubleType())])
+
+    def one(blocks: pa.Table, opened: pa.Table) -> pa.Table:
+        return _span_hits(blocks, opened, k)
+
     def scores(spans: DataFrame) -> DataFrame:
-        wanted = written(spans.join(near(terms), "query_id"), "wanted-blocks")
-        opened = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
-        hits = index.blocks.select("token", "span", "entries").join(opened, ["token", "span"]).select("query_id", "w", F.inline("entries"))
-        return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("part")).alias("bm25"))
+        """The k best of each query in each of its spans: a span's blocks meet in one task, so no sum of a document goes through an exchange."""
+        opened = spans.groupBy("span").agg(F.collect_list("query_id").alias("queries"))
+        held = index.blocks.select("token", "span", "entries").join(near(asked), "token").join(opened.select("span"), "span", "left_semi").select("span", "entries", "asked")
+        return held.groupBy("span").cogroup(opened.groupBy("span")).applyInArrow(one, schema)
 
     first = written(scores(bounds.where("first").select("query_id", "span")), "first-spans")
     order = Window.partitionBy("query_id").orderBy(F.desc("bm25"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -22,11 +23,16 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table at a shared_path(), read back."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[back] = path
+    return back
 
 
 def file_system(spark: SparkSession, path: str):
@@ -58,13 +64,16 @@ _SHARED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 def shared_tables(spark: SparkSession, labels: tuple[str, ...], folder: str, build: Callable[[], tuple[DataFrame, ...]]) -> list[DataFrame]:
     """What build() gives for the tables in folder, written once an application and read by all that ask for it.
 
-    The tables of a folder are taken not to change meanwhile.
+    The tables of a folder are taken not to change meanwhile. A table of
+    written() stays where it is.
     """
     keys = [(spark.sparkContext.applicationId, label, folder) for label in labels]
     if not all(key in _SHARED and exists(spark, _SHARED[key][0]) for key in keys):
         for key, df in zip(keys, build()):
-            path = shared_path(spark, key[1])
-            df.write.parquet(path)
+            path = _WRITTEN.get(df)
+            if path is None:
+                path = shared_path(spark, key[1])
+                df.write.parquet(path)
             _SHARED[key] = (path, df.schema)
     return [spark.read.schema(schema).parquet(path) for path, schema in map(_SHARED.__getitem__, keys)]
 
