@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.functions.text import let, tokens
+from docengine.functions.text import tokens
 from docengine.sources.scratch import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -36,16 +37,18 @@ def build(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     in one are a block, so a word that every document has is as many blocks
     as there are spans. part is what an occurrence adds to BM25 but for idf;
     most is the largest of a block. idf under zero is EPSILON times the mean.
-    Texts are cut into words once and a span's lists go through one exchange;
-    a task makes the blocks of one span at a time.
+    Texts go through one exchange, to their spans; a task makes the blocks of one span at a time.
     """
-    lists = F.array(let(tokens("text"), lambda t: F.struct(t.alias("t"), F.size(t).alias("dl"))))
-    listed = written(docs.select("chunk_id", F.inline(lists)), "word-lists").where("dl > 0")
-    n_docs, avgdl = listed.agg(F.count("*"), F.avg("dl")).first()
+    def lengths(texts: pa.Array) -> pa.Array:
+        return pa.array([len(_words(t)) for t in texts.to_pylist()], pa.int64())
+
+    texts = docs.select("chunk_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    dl = texts.select(F.arrow_udf(lengths, "long")("text").alias("dl"))
+    n_docs, avgdl = dl.agg(F.count(F.when(F.col("dl") > 0, 1)), F.avg(F.when(F.col("dl") > 0, F.col("dl")))).first()
     spans = max(1, math.ceil(n_docs / span))
     entry = T.StructType([T.StructField("chunk_id", docs.schema["chunk_id"].dataType), T.StructField("part", T.DoubleType())])
     schema = T.StructType([*T._parse_datatype_string("token string, span int, n long, most double").fields, T.StructField("entries", T.ArrayType(entry))])
-    dealt = listed.select(F.pmod(F.xxhash64("chunk_id"), F.lit(spans)).cast("int").alias("span"), "*")
+    dealt = texts.select(F.pmod(F.xxhash64("chunk_id"), F.lit(spans)).cast("int").alias("span"), "*")
     blocks = written(dealt.groupBy("span").applyInArrow(lambda group: _blocks(group, avgdl), schema), "blocks")
     words = written(blocks.groupBy("token").agg(F.sum("n").alias("df")), "words")
     words = words.withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -53,11 +56,21 @@ def build(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     return blocks, words.withColumn("idf", F.when(F.col("idf") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("idf")))
 
 
+#: White space as in tokens(); Python's split() takes the four separators from \x1c on as well.
+SPACE, SEPARATOR = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), re.compile("[\x1c-\x1f]")
+
+
+def _words(text: str) -> list[str]:
+    """tokens() of a text in lower case."""
+    return [w for w in SPACE.split(text) if w] if SEPARATOR.search(text) else text.split()
+
+
 def _blocks(group: pa.Table, avgdl: float) -> pa.Table:
-    """The blocks of one span's documents (span, chunk_id, t, dl)."""
+    """The blocks of one span's documents (span, chunk_id, text in lower case)."""
     group = group.sort_by("chunk_id").combine_chunks()
-    lists, dl = group["t"].combine_chunks(), group["dl"].to_numpy()
-    known = lists.flatten().dictionary_encode()
+    lists = [_words(t) for t in group["text"].to_pylist()]
+    dl = np.array([len(t) for t in lists], "int64")
+    known = pa.array([w for t in lists for w in t], pa.string()).dictionary_encode()
     place = known.indices.to_numpy().astype("int64") * len(dl) + np.repeat(np.arange(len(dl)), dl)  # by word, then by document
     place, tf = np.unique(place, return_counts=True)
     word, doc = place // len(dl), place % len(dl)

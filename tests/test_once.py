@@ -1,5 +1,8 @@
 """Costly expressions are worked out once a row, and copied into no filter."""
 
+from pyspark.sql import functions as F
+
+from docengine.functions.text import tokens
 from docengine.operators import page_text, postings
 from docengine.plans import queries
 from docengine.sources.scratch import shared_tables, written
@@ -44,3 +47,9 @@ def test_letter_embedding_and_vectors(spark):
     got = {r.chunk_id: r.embedding for r in made.collect()}
     assert got[1] == [float("aAäa.,Z9".count(x)) for x in queries.LETTERS] and got[2] == [None] * 64 and got[3] == [0.0] * 64 and got[4] == [1.0] * 64
     assert set(got) == {1, 2, 3, 4}
+
+
+def test_words_of_postings_are_tokens(spark):
+    text = "".join(f"a{chr(c)}B" for c in [*range(1, 0x3100)] if not 0xD800 <= c < 0xE000)
+    said = spark.createDataFrame([(text,)], "t string").select(tokens("t").alias("w"), F.lower("t").alias("l")).first()
+    assert said.w == postings._words(said.l)
