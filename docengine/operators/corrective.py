@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docengine.functions.rules import is_short
 from docengine.functions.text import expand_query, py_strip, tokens
 from docengine.operators import model_calls
-from docengine.operators.feedback import wordings
+from docengine.operators.feedback import Feedback, wordings
 from docengine.operators.retrieval import dense_topk
 from docengine.plans.index import hash_embedding
 from docengine.sources.scratch import written
@@ -85,15 +85,15 @@ def context(chunks: Column | str, top: int = 8) -> Column:
 HIT = ("page", "total_pages", "chunk_index", "type", "source", "text")
 
 
-def retrieve(index: DataFrame, states: DataFrame, k: int = 15, variant=expand_query, embed=hash_embedding) -> tuple[DataFrame, DataFrame]:
+def retrieve(index: DataFrame, states: DataFrame, k: int = 15, variant=expand_query, embed=hash_embedding, own: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """states with chunks: hits of the query, and of one variant with its own vector unless the query is short; and the query's own hits.
 
     variant is a Feedback over the query's own hits, an asking.ByModel, or a
     function of the query's Column. Questions are written with their vectors, so neither
-    wording nor vector is worked out again for each chunk.
+    wording nor vector is worked out again for each chunk. own: the query's own hits, where they are known.
     """
     asked = states.select("query_id", "file_key", "query", "query_vec")
-    own = written(dense_topk(index, asked, k), "own-hits")
+    own = written(dense_topk(index, asked, k), "own-hits") if own is None else own
     long = asked.where(~is_short("query"))
     other = long.drop("query_vec").join(wordings(long, own, variant, "variants"), "query_id").where((F.col("text") != "") & (F.col("text") != F.col("query")))
     other = written(other.select("query_id", "file_key", F.col("text").alias("query")).withColumn("query_vec", embed("query")), "variants")
@@ -107,6 +107,12 @@ def retrieve(index: DataFrame, states: DataFrame, k: int = 15, variant=expand_qu
     return states.drop("chunks").join(listed, "query_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(listed.schema["chunks"].dataType))), own
 
 
+def narrowed(ways: tuple, questions: DataFrame, hits: DataFrame) -> list:
+    """ways to word questions, each Feedback of them narrowed to these questions, once if it is named twice."""
+    made = {id(w): w.narrowed(questions, hits) for w in {id(w): w for w in ways}.values() if isinstance(w, Feedback)}
+    return [made.get(id(w), w) for w in ways]
+
+
 def corrective_search(index: DataFrame, queries: DataFrame, k: int = 15, rewrite=expand_query, rewrites: int = 1, variant=expand_query, embed=hash_embedding) -> DataFrame:
     """queries (query_id, file_key, query, query_vec) with kept chunks, rewrite_count and context.
 
@@ -118,13 +124,15 @@ def corrective_search(index: DataFrame, queries: DataFrame, k: int = 15, rewrite
     states = written(queries.withColumn("query_vec", F.col("query_vec").cast("array<double>")).withColumns({"original": F.col("query"), "rewrite_count": F.lit(0)}), "states")
     done = None
     for turn in range(rewrites + 1):
-        found, own = retrieve(index, states, k, variant, embed)
+        own = written(dense_topk(index, states.select("query_id", "file_key", "query", "query_vec"), k), "own-hits")
+        other, rewritten = narrowed((variant, rewrite), states, own)
+        found, own = retrieve(index, states, k, other, embed, own)
         graded = written(grade(found, rewrites=rewrites), "graded")
         over = graded.where("not needs_rewrite").drop("needs_rewrite")
         done = over if done is None else done.unionByName(over)
         if turn < rewrites:
             again = graded.where("needs_rewrite").drop("needs_rewrite", "chunks", "query_vec")
-            said = wordings(again, own, rewrite, "rewrites")
+            said = wordings(again, own, rewritten, "rewrites")
             again = again.drop("query").join(said.withColumnRenamed("text", "query"), "query_id")
             states = written(again.withColumns({"query_vec": embed("query"), "rewrite_count": F.col("rewrite_count") + 1}), "states")
     return done.withColumn("context", context("chunks"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,8 @@ RRF_K = 60
 BROADCAST_VALUES = 2_000_000  # numbers in the vectors of all queries, 8 bytes each
 BROADCAST_TERMS = 200_000
 BROADCAST_HITS = 200_000  # of some 100 bytes and the question
+SCORES = 2_000_000  # of 8 bytes, worked out at once
+MARGIN = 1e-8  # scores are ordered by nine decimals, and sums in another order differ by less
 
 
 #: What a chunk that lacks a column, or has null there, counts as; source is the file.
@@ -67,12 +72,19 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     unit vectors (column unit, null where there is none) is read as it is.
     Chunks and queries without a vector, or with one of zeros, are no hits.
     Ties: the lesser chunk_id, which is unique in a file. Vectors are compared
-    without their texts, which only hits are joined with.
+    without their texts, which only hits are joined with. Where the queries
+    are broadcast, a task first drops the chunks that can't be a hit by
+    matrix products; the others' cosines are worked out as without that.
     """
     values, asked_rows = queries.agg(F.coalesce(F.sum(F.size("query_vec")), F.lit(0)), F.count("*")).first()
     asked = _unit(queries, "query_vec")
     chunks = index.select("file_key", "chunk_id", F.col("unit").alias("embedding")).where("embedding is not null") if "unit" in index.columns else _unit(index.select("file_key", "chunk_id", "embedding"), "embedding")
-    met = chunks.join(F.broadcast(asked) if values <= BROADCAST_VALUES else asked, "file_key")
+    if values <= BROADCAST_VALUES:
+        by_file = asked.groupBy("file_key").agg(F.collect_list("query_vec").alias("v")).where("file_key is not null").collect()
+        sent = index.sparkSession.sparkContext.broadcast({r.file_key: r.v for r in by_file})
+        chunks = chunks.mapInArrow(lambda batches: _near_enough(batches, sent.value, k), chunks.schema)
+        asked = F.broadcast(asked)
+    met = chunks.join(asked, "file_key")
     top = best_hits(met.withColumn("score", dot("embedding", "query_vec")).drop("embedding", "query_vec"), k)
     return with_chunks(index, top, asked_rows * k)
 
@@ -81,6 +93,33 @@ def _unit(df: DataFrame, c: str) -> DataFrame:
     return df.withColumn(c, normalised(c)).where(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()))
 
 
+def _near_enough(batches: Iterator[pa.RecordBatch], asked: dict, k: int) -> Iterator[pa.RecordBatch]:
+    """Of a task's chunks (file_key, embedding, ..) those that may be a hit: fewer than k so far are nearer by over MARGIN to one of their file's queries. Vectors of another length than the queries' stay."""
+    asked = {key: np.array(v, "float64") if len({*map(len, v)}) == 1 else None for key, v in asked.items()}
+    best, k = {}, max(1, k)
+    for batch in batches:
+        files, vectors = batch["file_key"].dictionary_encode(), batch["embedding"]
+        lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        starts, flat = np.cumsum(lengths) - lengths, vectors.flatten().to_numpy(zero_copy_only=False)
+        at, keep = files.indices.fill_null(-1).to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
+        for f, key in enumerate(files.dictionary.to_pylist()):
+            rows = np.flatnonzero(at == f)
+            if key not in asked:
+                continue
+            queries = asked[key]
+            odd = np.ones(len(rows), bool) if queries is None else lengths[rows] != queries.shape[1]
+            keep[rows[odd]] = True
+            rows = rows[~odd]
+            for i in range(0, len(rows), step := max(1, SCORES // len(queries)) if len(rows) else 1):
+                some = rows[i : i + step]
+                scores = flat[starts[some][:, None] + np.arange(queries.shape[1])] @ queries.T
+                scores[np.isnan(scores)] = np.inf
+                seen = np.concatenate([best[key], scores]) if key in best else scores
+                best[key] = seen = np.partition(seen, len(seen) - k, axis=0)[-k:] if len(seen) > k else seen
+                keep[some] = (scores >= (seen.min(axis=0) - MARGIN if len(seen) == k else -np.inf)).any(axis=1)
+        yield batch.filter(pa.array(keep))
+
+
 def best_hits(scored: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query_id by score, ties by chunk_id, with pos from 0."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
